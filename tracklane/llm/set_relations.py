@@ -7,7 +7,9 @@ keep each shingle's position, so runs of a list that size or position rule out
 are skipped. Two relations between sets save the rest of the work:
 
 * texts alike are one set, and large lists are not paired off: each set is
-  compared with the head of its size block and with its neighbour;
+  compared with the heads of its size block and with its neighbour. Heads are the
+  sets that hold the list's shingle first, so have the fewest rare ones: of many
+  near copies those nearest to all others;
 * a set's answers follow from those of a similar set that has answered. Sets
   already in one component need no comparison, and for B and C compared with the
   same A, |B and C| <= min(|A and B|, |A and C|) + min(|B - A|, |C - A|), so only
@@ -42,6 +44,8 @@ SKETCH_BITS = 22
 _PARTS = 64
 #: Lists up to this size are paired off at once.
 SHORT = 8
+#: Sets of a size block with which all others of a large list are compared.
+HEADS = 3
 _ENTRY = {"key": np.uint32, "doc": np.uint32, "n": np.uint32, "pos": np.uint32}
 _ASK = {"doc": np.uint32, "home2": np.uint32, "doc2": np.uint32}
 _LONG = {"lkey": np.uint64, "lnode": np.int64, "ln": np.uint32, "lpos": np.uint32}
@@ -187,14 +191,16 @@ def similar_components(documents: DataFrame, size: int = 5, id_col: str = "doc_i
             first.append(i)
             second.append(i + k)
         for a, c in zip(start[count > SHORT].tolist(), count[count > SHORT].tolist(), strict=True):
-            head = a
-            while head < a + c:  # a size block: as far as the head's size allows
-                stop = a + int(np.searchsorted(n[a : a + c], n[head] * 5 // 4, "right"))
-                j = np.arange(head + 1, stop)
-                j = j[_possible(np.full(len(j), n[head]), np.full(len(j), pos[head]), n[j], pos[j])]
-                first.append(np.full(len(j), head))
-                second.append(j)
-                head = max(stop, head + 1)
+            low = a
+            while low < a + c:  # a size block: as far as the least size allows
+                stop = max(low + 1, a + int(np.searchsorted(n[a : a + c], n[low] * 5 // 4, "right")))
+                block = np.arange(low, stop)
+                for head in low + np.argsort(pos[low:stop], kind="stable")[:HEADS]:
+                    lo, hi = np.minimum(block, head), np.maximum(block, head)
+                    fits = (block != head) & _possible(n[lo], pos[lo], n[hi], pos[hi])
+                    first.append(np.full(int(fits.sum()), head))
+                    second.append(block[fits])
+                low = stop
         i, j = np.concatenate(first), np.concatenate(second)
         pair = np.unique(np.stack([home[i].astype(np.int64) << 32 | doc[i], home[j].astype(np.int64) << 32 | doc[j]], 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
         pair = pair[pair[:, 0] != pair[:, 1]]
@@ -306,7 +312,8 @@ def _open_pairs(listed: DataFrame, pairs: DataFrame, groups_of: DataFrame) -> Da
     entries = listed.select(F.col("a").alias("node"), F.col("b").alias("key"), F.col("na").alias("n"), F.col("nb").alias("pos"))
     entries = entries.join(groups_of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = entries.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    best = pairs.groupBy(F.col("b").alias("node")).agg(F.max(F.struct("overlap", "a")).alias("m")).select("node", F.col("m.a").alias("head"), F.col("m.overlap").alias("shared"))
+    asked = pairs.groupBy("a").agg(F.count("*").alias("times"))
+    best = pairs.join(asked, "a").groupBy(F.col("b").alias("node")).agg(F.max(F.struct("times", "a", "overlap")).alias("m")).select("node", F.col("m.a").alias("head"), F.col("m.overlap").alias("shared"))
     entries = _graph.checkpoint(entries.join(mixed, "key", "left_semi").join(best, "node", "left").na.fill({"head": -1, "shared": 0}))
     if entries.isEmpty():
         return None
