@@ -1,6 +1,429 @@
-"""All queries over the driver's tables, with their SQL."""
+"""All queries over the driver's tables, with their SQL.
+
+The driver has no tracking data: `tracks` projects its events onto tracks, in
+Spark and, as the CTE `t`, in SQL.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from .functions import boxes, text
+from .operators import frames, intervals, jerseys
+from .streaming import folds
+
+_WIDTH = 2000.0
+_T = """t AS (SELECT event_id // 15 + 1 AS frame, user_id % 20 + 1 AS id, value * 10.0 AS x, CAST(props->>'k' AS DOUBLE) * 5 AS y,
+  20.0 + event_id % 17 AS w, 40.0 + event_id % 23 AS h, (event_id % 100) / 100.0 AS score, event_type AS label, CAST(props->>'k' AS INT) AS number, event_id AS row_ord
+  FROM events QUALIFY row_number() OVER (PARTITION BY event_id // 15, user_id % 20 ORDER BY event_id DESC) = 1)"""
+_V = _T + f""", l AS (SELECT *, lag(frame) OVER o AS pf, lag(x + w / 2) OVER o AS px, lag(y + y / 2) OVER o AS py FROM t WINDOW o AS (PARTITION BY id ORDER BY frame, row_ord)),
+v AS (SELECT frame, id, sqrt(((x + w / 2 - px) / {_WIDTH}) * ((x + w / 2 - px) / {_WIDTH}) + ((y + y / 2 - py) / {_WIDTH}) * ((y + y / 2 - py) / {_WIDTH})) AS v FROM l WHERE frame - pf BETWEEN 1 AND 2)"""
+
+
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.get_json_object("props", "$.k")
+    rows = e.select(
+        F.expr("event_id div 15 + 1").alias("frame"), (F.col("user_id") % 20 + 1).alias("id"), (F.col("value") * 10.0).alias("x"), (k.cast("double") * 5).alias("y"),
+        (F.lit(20.0) + F.col("event_id") % 17).alias("w"), (F.lit(40.0) + F.col("event_id") % 23).alias("h"), ((F.col("event_id") % 100) / 100.0).alias("score"),
+        F.col("event_type").alias("label"), k.cast("int").alias("number"), F.col("event_id").alias("row_ord"),
+    )
+    return frames.last_of(rows, ("frame", "id"), "row_ord")
+
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(tracks(spark, sf_dir)) if f.__code__.co_varnames[0] == "t" else f(spark, sf_dir)
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _r(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+_SLOW = _V + ", s AS (SELECT frame, count(*) AS n, count(*) FILTER (WHERE v < 0.05) AS slow FROM v GROUP BY 1 HAVING count(*) >= 4 AND count(*) FILTER (WHERE v < 0.05) / count(*) >= 0.6)"
+_LOW = _SLOW + """, k AS (SELECT frame, sum(CASE WHEN frame - lag <= 2 THEN 0 ELSE 1 END) OVER (ORDER BY frame) AS k FROM (SELECT frame, lag(frame) OVER (ORDER BY frame) AS lag FROM s)),
+low AS (SELECT min(frame) AS "start", max(frame) AS "end" FROM k GROUP BY k.k HAVING max(frame) - min(frame) + 1 >= 3)"""
+
+
+def _breaks(gap: float) -> str:
+    return _LOW + f""", i AS (SELECT "start" / 30.0 AS s, ("end" - "start") / 30.0 AS d FROM low),
+m AS (SELECT s, s + d AS e, max(s + d) OVER (ORDER BY s, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe, d FROM i),
+g AS (SELECT s, e, sum(CASE WHEN s <= pe + {gap} THEN 0 ELSE 1 END) OVER (ORDER BY s, d) AS g FROM m)
+SELECT round(min(s), 6) AS start_s, round(max(e) - min(s), 6) AS duration_s FROM g GROUP BY g.g"""
+
+
+def _low(t: DataFrame) -> DataFrame:
+    return intervals.low_activity(intervals.track_velocity(t, _WIDTH), 0.05, 0.6, 4, 3)
+
+
+def _break_rows(t: DataFrame, gap: float) -> DataFrame:
+    start, duration = text.frame_seconds(F.col("start"), F.col("end"), 30.0)
+    merged = intervals.merge_intervals(_low(t).select(start.alias("start"), duration.alias("duration")), gap)
+    return _r(merged.select(F.col("start").alias("start_s"), F.col("duration").alias("duration_s")), "start_s", "duration_s")
+
+
+@query("WITH " + _breaks(0.3))
+def period_breaks(t):
+    return _break_rows(t, 0.3)
+
+
+@query("WITH " + _breaks(0.1))
+def faceoff_breaks(t):
+    return _break_rows(t, 0.1)
+
+
+@query("WITH " + _V + " SELECT frame, id, round(v, 6) AS v FROM v")
+def track_velocity(t):
+    return _r(intervals.track_velocity(t, _WIDTH), "v")
+
+
+@query("WITH " + _SLOW + " SELECT frame, n, slow FROM s")
+def slow_frames(t):
+    return intervals.slow_frames(intervals.track_velocity(t, _WIDTH), 0.05, 0.6, 4)
+
+
+@query("WITH " + _LOW + ' SELECT "start", "end" FROM low')
+def low_velocity_ranges(t):
+    return _low(t)
+
+
+@query("WITH " + _T + " SELECT frame, count(DISTINCT id) AS n FROM t GROUP BY 1")
+def frame_occupancy(t):
+    return t.groupBy("frame").agg(F.count_distinct("id").alias("n"))
+
+
+@query()
+def crowded_periods(t):
+    return intervals.crowded_periods(t.groupBy("frame").agg(F.count("*").alias("n")).withColumn("game", F.lit(1)), 10, 4, 0.8)
+
+
+@query("WITH " + _T + """, i AS (SELECT row_number() OVER (ORDER BY s) AS interval, s, lead(s) OVER (ORDER BY s) - 1 - s AS z FROM (SELECT DISTINCT (frame // 100) * 100 + 1 AS s FROM t))
+SELECT DISTINCT interval, frame, id FROM t JOIN i ON z IS NULL OR frame BETWEEN s + 0.1 * z AND s + z - 0.1 * z""")
+def interval_assign(t):
+    return intervals.assign_intervals(t.select("frame", "id"), t.select(F.expr("(frame div 100) * 100 + 1").alias("start")).distinct())
+
+
+_OBS = _T + ", o AS (SELECT * FROM t WHERE number > 0 AND number < 100), r AS (SELECT DISTINCT number FROM o WHERE number % 3 = 0)"
+
+
+def _obs(t: DataFrame) -> DataFrame:
+    return t.filter("number > 0 and number < 100")
+
+
+def _roster(t: DataFrame) -> DataFrame:
+    return _obs(t).filter("number % 3 = 0").select("number").distinct()
+
+
+@query("WITH " + _OBS + " SELECT id, frame, number FROM o SEMI JOIN r USING (number)")
+def roster_filter(t):
+    return jerseys.in_roster(_obs(t).select("id", "frame", "number"), _roster(t)).select("id", "frame", "number")
+
+
+_FREQ = _OBS + ", c AS (SELECT id, number, count(*) AS n, min(frame) AS first_frame FROM o GROUP BY 1, 2), q AS (SELECT * FROM c QUALIFY n >= 0.5 * max(n) OVER (PARTITION BY id))"
+
+
+@query("WITH " + _FREQ + " SELECT id, number, n, first_frame FROM q")
+def frequent_numbers(t):
+    return jerseys.frequent_numbers(jerseys.last_number(_obs(t)), 0.5)
+
+
+@query("WITH " + _OBS + " SELECT id, number, min(frame) AS first_frame, string_agg(CAST(frame AS VARCHAR), ',' ORDER BY frame) AS frames FROM o GROUP BY 1, 2")
+def number_first_seen(t):
+    return _obs(t).groupBy("id", "number").agg(F.min("frame").alias("first_frame"), F.concat_ws(",", F.transform(F.array_sort(F.collect_list("frame")), lambda f: f.cast("string"))).alias("frames"))
+
+
+@query("WITH " + _OBS + """, d AS (SELECT DISTINCT frame, number FROM o)
+SELECT frame, string_agg(CAST(number AS VARCHAR), ',' ORDER BY number) AS numbers FROM d WHERE number >= 10 OR NOT EXISTS (SELECT 1 FROM d e WHERE e.frame = d.frame AND e.number >= 10 AND contains(CAST(e.number AS VARCHAR), CAST(d.number AS VARCHAR))) GROUP BY 1""")
+def one_digit_trim(t):
+    kept = jerseys.trim_one_digit(F.col("a"))
+    return _obs(t).groupBy("frame").agg(F.sort_array(F.collect_set("number")).alias("a")).select("frame", F.concat_ws(",", F.transform(kept, lambda n: n.cast("string"))).alias("numbers"))
+
+
+@query("WITH " + _FREQ.replace("0.5 *", "0.9 *").replace("FROM o GROUP BY 1, 2)", """FROM (SELECT o.* FROM o JOIN k ON k.id = o.id AND k.number = o.number) GROUP BY 1, 2)""").replace(", c AS", """, n AS (SELECT DISTINCT id, number FROM o),
+b AS (SELECT id, count(*) AS a, count(*) FILTER (WHERE number IN (SELECT number FROM r)) AS m FROM n GROUP BY 1),
+p AS (SELECT n.id, n.number, a, m FROM n JOIN b USING (id) WHERE a = 1 OR m = 0 OR number IN (SELECT number FROM r)),
+k AS (SELECT id, number FROM p WHERE a = 1 OR m = 1 OR number >= 10 OR NOT EXISTS (SELECT 1 FROM p e WHERE e.id = p.id AND e.number >= 10 AND contains(CAST(e.number AS VARCHAR), CAST(p.number AS VARCHAR)))), c AS""") + " SELECT id, row_number() OVER (PARTITION BY id ORDER BY first_frame, number) - 1 AS sub, number, first_frame FROM q")
+def roster_resolve(t):
+    return jerseys.resolved(_obs(t), _roster(t), 0.9)
+
+
+@query("WITH " + _OBS + """, d AS (SELECT DISTINCT number, frame FROM o), k AS (SELECT number, frame, sum(CASE WHEN frame - p <= 20 THEN 0 ELSE 1 END) OVER (PARTITION BY number ORDER BY frame) AS k FROM (SELECT *, lag(frame) OVER (PARTITION BY number ORDER BY frame) AS p FROM d))
+SELECT number, min(frame) AS "start", max(frame) AS "end", count(*) AS n FROM k GROUP BY number, k.k""")
+def shift_intervals(t):
+    return jerseys.shifts(_obs(t), 20)
+
+
+@query("WITH " + _OBS + """, g AS (SELECT DISTINCT a.frame, a.id FROM o a), e AS (SELECT g.frame, g.id, b.number, sum(b.score * pow(0.9, g.frame - b.frame) * CASE WHEN b.number >= 10 THEN 0.61 ELSE 0.39 END) AS votes
+FROM g JOIN o b ON b.id = g.id AND b.frame BETWEEN g.frame - 30 AND g.frame GROUP BY 1, 2, 3)
+SELECT frame, id, number, round(votes, 6) AS votes FROM e QUALIFY row_number() OVER (PARTITION BY frame, id ORDER BY round(votes, 9) DESC, number) = 1""")
+def decayed_votes(t):
+    return _r(jerseys.decayed_votes(_obs(t), 30, 0.9), "votes")
+
+
+@query("WITH " + _T + """, c AS (SELECT frame, greatest(least((x + w / 2) / 2000, 1), 0) AS cx, greatest(least((y + h / 2) / 600, 1), 0) AS cy FROM t)
+SELECT frame, round(least(count(*) / 22.0, 1), 9) AS n, round(avg(cx), 9) AS mean_cx, round(avg(cy), 9) AS mean_cy, round(stddev_pop(cx), 9) AS std_cx, round(stddev_pop(cy), 9) AS std_cy, round(min(cx), 9) AS min_cx, round(max(cx), 9) AS max_cx, round(max(cx) - min(cx), 9) AS width FROM c GROUP BY 1""")
+def frame_features(t):
+    return _r(frames.frame_features(t, 2000.0, 600.0, 22), "n", "mean_cx", "mean_cy", "std_cx", "std_cy", "min_cx", "max_cx", "width", digits=9)
+
+
+@query("WITH " + _T + " SELECT DISTINCT frame FROM t WHERE frame IN (SELECT frame FROM t WHERE label = 'click') AND frame IN (SELECT frame FROM t WHERE score > 0.5)")
+def frame_intersection(t):
+    return frames.common_frames(t, t.filter("label = 'click'"), t.filter("score > 0.5"))
+
+
+_B = ", avg(x) AS x, avg(y) AS y, avg(w) AS w, avg(h) AS h FROM t WHERE row_ord % 2 = "
+
+
+@query("WITH " + _T + f""", a AS (SELECT frame{_B}0 GROUP BY 1), b AS (SELECT frame{_B}1 GROUP BY 1),
+j AS (SELECT greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS i, a.w * a.h + b.w * b.h AS s, sqrt(pow(a.x + a.w / 2 - b.x - b.w / 2, 2) + pow(a.y + a.h / 2 - b.y - b.h / 2, 2)) AS d FROM a JOIN b USING (frame))
+SELECT count(*) AS frames, round(avg(i / (s - i)), 6) AS mean_iou, round(avg(d), 6) AS mean_distance FROM j""")
+def run_compare_iou(t):
+    run = lambda k: t.filter(F.col("row_ord") % 2 == k).groupBy("frame").agg(*[F.avg(c).alias(c) for c in "xywh"])
+    return _r(frames.compare_runs(run(0), run(1)), "mean_iou", "mean_distance")
+
+
+@query("WITH " + _T + " SELECT t.frame, t.id, coalesce(s.number, -1) AS jersey FROM t LEFT JOIN (SELECT frame, id, number FROM t WHERE number > 50) s USING (frame, id)")
+def attach_defaults(t):
+    side = t.filter("number > 50").select("frame", "id", F.col("number").alias("jersey"))
+    return frames.attach(t.select("frame", "id"), side, ("frame", "id"), {"jersey": -1})
+
+
+@query("WITH " + _T + ", m AS (SELECT max(x + w) AS mx, max(y + h) AS my FROM t) SELECT frame, id, mx, my FROM t, m")
+def rink_cross(t):
+    m = t.agg(F.max(F.col("x") + F.col("w")).alias("mx"), F.max(F.col("y") + F.col("h")).alias("my"))
+    return t.select("frame", "id").crossJoin(F.broadcast(m))  # one row
+
+
+_IOU = "greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0)"
+_WIDE = _T + ", u AS (SELECT * REPLACE (w * 10 AS w, h * 5 AS h) FROM t)"
+
+
+def _wide(t):
+    return t.withColumns({"w": F.col("w") * 10, "h": F.col("h") * 5})
+
+
+@query("WITH " + _WIDE + f""", j AS (SELECT a.frame, a.id, b.id AS id_, {_IOU} AS i, a.w * a.h + b.w * b.h AS s FROM u a JOIN u b ON a.frame = b.frame AND a.row_ord % 2 = 0 AND b.row_ord % 2 = 1)
+SELECT frame, id, id_, round(i / (s - i), 6) AS iou FROM j WHERE i / (s - i) > 0.1 QUALIFY row_number() OVER (PARTITION BY frame, id ORDER BY i / (s - i) DESC, id_) = 1""")
+def iou_best_match(t):
+    u = _wide(t)
+    return _r(frames.best_match(u.filter("row_ord % 2 = 0"), u.filter("row_ord % 2 = 1"), 0.1), "iou")
+
+
+@query("WITH " + _WIDE + f" SELECT frame, id FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE a.frame = b.frame AND a.id <> b.id AND {_IOU} > 0)")
+def non_overlap(t):
+    return frames.non_overlapping(_wide(t)).select("frame", "id")
+
+
+@query("WITH " + _T + " SELECT frame, id, score FROM t QUALIFY row_number() OVER (PARTITION BY frame ORDER BY score DESC, id) <= 3")
+def topk_per_frame(t):
+    return frames.top_k(t, 3, [F.desc("score"), F.col("id")]).select("frame", "id", "score")
+
+
+@query("WITH " + _T + " SELECT frame, id, h FROM t QUALIFY row_number() OVER (PARTITION BY frame ORDER BY h DESC, id) <= 4")
+def tallest_k(t):
+    return frames.top_k(t, 4, [F.desc("h"), F.col("id")]).select("frame", "id", "h")
+
+
+@query("WITH " + _T + " SELECT frame, id FROM t QUALIFY row_number() OVER (PARTITION BY frame ORDER BY w * h DESC, id) > 1 OR count(*) OVER (PARTITION BY frame) < 5")
+def drop_largest(t):
+    return frames.drop_largest(t, 5).select("frame", "id")
+
+
+@query("WITH " + _T + " SELECT frame, id FROM t QUALIFY h >= 60 OR max(h) OVER (PARTITION BY frame) < 60")
+def min_height(t):
+    return frames.min_height(t, 60.0).select("frame", "id")
+
+
+@query("WITH " + _T + """ SELECT frame, id FROM t WHERE NOT (x + w / 2 BETWEEN 0 AND 1000 AND y + h / 2 < 50 + 50 * (x + w / 2) / 1000) AND NOT (x + w / 2 BETWEEN 500 AND 2000 AND y + h / 2 > 450 - 100 * (x + w / 2 - 500) / 1500)""")
+def border_prune(t):
+    return frames.below_borders(t, [(0.0, 50.0, 1000.0, 100.0)], [(500.0, 450.0, 2000.0, 350.0)]).select("frame", "id")
+
+
+@query("WITH " + _T + " SELECT frame, id FROM t WHERE CAST(floor(y + h / 2) AS BIGINT) BETWEEN 0 AND 399 AND floor(x + w / 2) BETWEEN floor(y + h / 2) AND 1500 + floor(y + h / 2)")
+def mask_prune(t):
+    mask = t.sparkSession.range(400).select(F.col("id").alias("y"), F.col("id").alias("x0"), (F.col("id") + 1500).alias("x1"))
+    return frames.in_mask(t, mask).select("frame", "id")
+
+
+@query("WITH " + _T + " SELECT frame, id, label FROM t WHERE id >= 0 AND isfinite(x) AND isfinite(y) AND w >= 0 AND h >= 0")
+def valid_tracks(t):
+    return t.filter(boxes.valid(boxes.tlwh_to_tlbr(boxes.cols("x", "y", "w", "h"))) & (F.col("id") >= 0)).select("frame", "id", "label")
+
+
+@query("WITH " + _T + """ SELECT frame, id, x + w AS r, y + h AS b, x + w / 2 AS cx, round(w / h, 6) AS ratio, greatest(least(x, 1000), 100) AS clamped, round(100 * abs(pi() / 2 * ((x - 1000) / 1000) - pi() / 2 * ((x + w - 1000) / 1000)), 6) AS arc,
+ CASE WHEN x < 0 THEN 0 WHEN x + w > 1000 THEN 1000 - w ELSE x END AS flush FROM t""")
+def box_ops(t):
+    b = boxes.tlwh_to_tlbr(boxes.cols("x", "y", "w", "h"))
+    bounds = tuple(F.lit(v) for v in (0.0, 0.0, 1000.0, 10000.0))
+    out = t.select("frame", "id", b[2].alias("r"), b[3].alias("b"), boxes.center(b)[0].alias("cx"), boxes.aspect_ratio(b).alias("ratio"), boxes.clamp(F.col("x"), F.lit(100.0), F.lit(1000.0)).alias("clamped"), boxes.panoramic_distance(F.col("x"), F.col("x") + F.col("w"), F.lit(2000.0)).alias("arc"), boxes.shift_into(b, bounds)[0].alias("flush"))
+    return _r(out, "ratio", "arc", "cx", "flush")
+
+
+@query("""WITH s AS (SELECT event_id, value * 37 AS s FROM events) SELECT event_id, printf('%02d:%02d:%02d', CAST(floor(s / 3600) AS INT), CAST(floor(s / 60) AS INT) % 60, CAST(round_even(s - floor(s / 60) * 60, 0) AS INT)) AS clock FROM s""")
+def hms_format(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.format_hms(F.col("value") * 37).alias("clock"))
+
+
+@query("SELECT event_id, (event_id % 3) * 3600.0 + (event_id % 60) * 60.0 + user_id % 60 AS seconds, 30000 / 1001.0 AS fps FROM events")
+def hms_parse(spark, sf_dir):
+    clock = F.concat_ws(":", F.col("event_id") % 3, F.col("event_id") % 60, F.col("user_id") % 60)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.parse_hms(clock).alias("seconds"), text.parse_rate(F.lit("30000/1001")).alias("fps"))
+
+
+_VX = _T + ", g AS (SELECT frame, x + w / 2 AS cx, x - lag(x) OVER (PARTITION BY id ORDER BY frame) AS vx FROM t), f AS (SELECT * FROM g WHERE vx IS NOT NULL)"
+
+
+def _group_sql(op: str, neg: str, most: str) -> str:
+    return "WITH " + _VX + f""", c AS (SELECT frame, count(*) AS n, count(*) FILTER (WHERE vx {op} 300) AS r, count(*) FILTER (WHERE vx {neg} -300) AS l, max(cx) FILTER (WHERE vx {op} 300) AS er, min(cx) FILTER (WHERE vx {neg} -300) AS el FROM f GROUP BY 1)
+SELECT frame, CASE WHEN r / n > 0.5 THEN 1 ELSE -1 END AS direction, CASE WHEN r / n > 0.5 THEN er ELSE el END AS edge_x FROM c WHERE n {most} 4 AND (r / n > 0.5 OR l / n > 0.5)"""
+
+
+def _speeds(t):
+    return t.withColumn("vx", F.col("x") - F.lag("x").over(W.partitionBy("id").orderBy("frame"))).filter("vx is not null").withColumn("cx", F.col("x") + F.col("w") / 2)
+
+
+@query(_group_sql(">", "<", ">"))
+def group_velocity_strict(t):
+    return frames.group_velocity(_speeds(t), 300.0, 0.5, 4, True)
+
+
+@query(_group_sql(">=", "<=", ">="))
+def group_velocity_native(t):
+    return frames.group_velocity(_speeds(t), 300.0, 0.5, 4, False)
+
+
+@query("WITH " + _T + ', c AS (SELECT frame, avg(x) AS x FROM t GROUP BY 1) SELECT frame, round(x - lag(x) OVER (ORDER BY frame), 6) AS d1, round(x - 2 * lag(x) OVER (ORDER BY frame) + lag(x, 2) OVER (ORDER BY frame), 6) AS d2 FROM c')
+def diff1_diff2(t):
+    return _r(intervals.differences(t.groupBy("frame").agg(F.avg("x").alias("x")), "x", "frame"), "d1", "d2").drop("x")
+
+
+@query("WITH " + _T + ", c AS (SELECT frame, count(*) AS n FROM t GROUP BY 1) SELECT frame, array_to_string(list(n) OVER o, ',') AS window_n FROM c WINDOW o AS (ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) QUALIFY count(*) OVER o = 4")
+def sliding_sequences(t):
+    rows = intervals.sequences(t.groupBy("frame").agg(F.count("*").alias("n")), F.col("n"), "frame", 4)
+    return rows.select("frame", F.concat_ws(",", F.transform("window", lambda n: n.cast("string"))).alias("window_n"))
+
+
+@query("WITH " + _T + " SELECT id, max(frame) AS frame, arg_max(label, frame) AS label FROM t GROUP BY 1")
+def latest_action(t):
+    return t.groupBy("id").agg(F.max("frame").alias("frame"), F.max_by("label", "frame").alias("label"))
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def last_wins_dedupe(spark, sf_dir):
+    return frames.last_of(spark.read.parquet(f"{sf_dir}/events.parquet"), ("user_id",), "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("WITH " + _T + " SELECT frame, sha256(string_agg(concat(id, ',', row_ord, ',', label), ';' ORDER BY concat(id, ',', row_ord, ',', label))) AS hash FROM t GROUP BY 1")
+def fingerprint(t):
+    return frames.fingerprint(t, ("frame",), ("id", "row_ord", "label"))
+
+
+@query("WITH " + _T + " SELECT max(x + w) AS max_x, max(y + h) AS max_y FROM t")
+def max_extents(t):
+    return frames.max_extents(t)
+
+
+@query("WITH " + _T + " SELECT frame, min(x) AS l, min(y) AS t, max(x + w) AS r, max(y + h) AS b FROM t GROUP BY 1")
+def union_box(t):
+    return frames.enclosing(t)
+
+
+@query("SELECT event_id, CASE WHEN user_id - 50 BETWEEN 0 AND 2147483647 THEN user_id - 50 ELSE 0 END AS label FROM events")
+def label_sanitize(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.sanitized_label(F.col("user_id") - 50).alias("label"))
+
+
+@query("""WITH o AS (SELECT c_mktsegment AS player, CASE WHEN c_custkey % 2 = 0 THEN 'home' ELSE 'away' END AS side, CAST(max(c_custkey) AS VARCHAR) AS v FROM customer GROUP BY 1, 2)
+SELECT player, max(v) FILTER (WHERE side = 'home') AS home, max(v) FILTER (WHERE side = 'away') AS away, CAST(max(v) FILTER (WHERE side = 'home') AS INT) - CAST(max(v) FILTER (WHERE side = 'away') AS INT) AS delta FROM o GROUP BY 1""")
+def player_compare(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy(F.col("c_mktsegment").alias("player"), F.when(F.col("c_custkey") % 2 == 0, "home").otherwise("away").alias("side")).agg(F.max("c_custkey").cast("string").alias("v"))
+    return frames.pivot_sides(rows, "player", "side", "v")
+
+
+@query("SELECT c_name AS name, c_acctbal AS balance, 'home' AS side FROM customer UNION ALL SELECT s_name, s_acctbal, 'away' FROM supplier")
+def union_sides(spark, sf_dir):
+    read = lambda t, p, side: spark.read.parquet(f"{sf_dir}/{t}.parquet").select(F.col(f"{p}_name").alias("name"), F.col(f"{p}_acctbal").alias("balance"), F.lit(side).alias("side"))
+    return read("customer", "c", "home").unionByName(read("supplier", "s", "away"))
+
+
+_PR = """WITH b AS (SELECT d.lang AS cls, d.doc_id AS ord, d.n_chars AS conf, l.quality AS hit FROM documents d JOIN labels l USING (doc_id)),
+p AS (SELECT cls, ord, row_number() OVER o AS seen, sum(hit) OVER o / nullif(sum(hit) OVER (PARTITION BY cls), 0) AS recall, sum(hit) OVER o / row_number() OVER o AS precision FROM b WINDOW o AS (PARTITION BY cls ORDER BY conf DESC, ord))"""
+
+
+def _scored(spark, sf_dir):
+    d, q = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return d.select("doc_id", F.col("lang").alias("cls"), F.col("n_chars").alias("conf")).join(q, "doc_id").select("cls", F.col("doc_id").alias("ord"), "conf", F.col("quality").alias("hit"))
+
+
+@query(_PR + " SELECT cls, ord, seen, round(recall, 6) AS recall, round(precision, 6) AS precision FROM p")
+def pr_curve(spark, sf_dir):
+    return _r(frames.precision_recall(_scored(spark, sf_dir)), "recall", "precision")
+
+
+@query(_PR + """, e AS (SELECT cls, seen, recall, max(precision) OVER (PARTITION BY cls ORDER BY seen DESC) AS best, lag(recall) OVER (PARTITION BY cls ORDER BY seen) AS before FROM p)
+SELECT cls, round(sum(best * (recall - coalesce(before, 0))), 6) AS ap FROM e GROUP BY 1""")
+def average_precision(spark, sf_dir):
+    return _r(frames.average_precision(_scored(spark, sf_dir)), "ap")
+
+
+@query("WITH " + _T + """, i AS (SELECT id, frame AS s, frame + w / 10 AS e FROM t), m AS (SELECT *, max(e) OVER (PARTITION BY id ORDER BY s, e - s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM i),
+k AS (SELECT *, sum(CASE WHEN s <= pe THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY s, e - s) AS k FROM m), u AS (SELECT id, max(e) - min(s) AS d FROM k GROUP BY id, k.k)
+SELECT id, round(b, 6) AS busy, round(a, 6) AS total FROM (SELECT id, sum(d) AS b FROM u GROUP BY 1) JOIN (SELECT id, sum(e - s) AS a FROM i GROUP BY 1) USING (id)""")
+def busy_union(t):
+    rows = t.select("id", F.col("frame").cast("double").alias("start"), (F.col("frame") + F.col("w") / 10).alias("end"))
+    return _r(intervals.busy_time(rows, ("id",)), "busy", "total")
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS \"start\", event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    return _r(folds.event_windows(spark.read.parquet(f"{sf_dir}/events.parquet"), "1 hour"), "total")
+
+
+@query("SELECT label, count(*) AS n, round(avg(list_sum(embedding)), 4) AS mean_sum FROM embeddings GROUP BY 1")
+def batch_means(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return _r(e.groupBy("label").agg(F.count("*").alias("n"), F.avg(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)).alias("mean_sum")), "mean_sum", digits=4)
+
+
+@query("SELECT a.n_name AS a, b.n_name AS b, round(1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)), 6) AS similarity FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+def edit_similarity(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    both = n.select(F.col("n_name").alias("a"), "n_regionkey").join(n.select(F.col("n_name").alias("b"), "n_regionkey"), "n_regionkey")
+    return _r(both.select("a", "b", text.edit_similarity(F.col("a"), F.col("b")).alias("similarity")), "similarity")
+
+
+@query("WITH " + _T + """, r AS (SELECT id, frame, x, row_number() OVER (PARTITION BY id ORDER BY frame) AS k FROM t)
+SELECT a.id, a.frame, round(sum(b.x * CASE WHEN b.k = 1 THEN pow(2 / 3, a.k - 1) ELSE pow(2 / 3, a.k - b.k) / 3 END), 6) AS ema FROM r a JOIN r b ON a.id = b.id AND b.k <= a.k GROUP BY 1, 2""")
+def ema_anchor(t):
+    return _r(intervals.ema(t, "x", "frame", 1 / 3, ("id",)), "ema")
+
+
+@query()
+def rolling_speed(t):
+    return intervals.rolling_speed(t, 10)
+
+
+@query()
+def evidence_voter(t):
+    return folds.fold(_obs(t).withColumn("score", F.col("score").cast("double")), folds.EvidenceVoter(), "id")
+
+
+@query()
+def zone_state(t):
+    cx = t.groupBy("frame").agg(F.avg(F.col("x") + F.col("w") / 2).alias("cx")).withColumn("game", F.lit(1))
+    return folds.fold(cx, folds.Zones(400.0, 450.0, 550.0, 600.0), "game")
+
+
+@query()
+def association_tracker(t):
+    rows = t.select((F.col("id") % 4).alias("game"), "frame", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"), F.length("label").cast("long").alias("label"), F.col("score").cast("double").alias("score"))
+    return folds.fold(rows, folds.Associations(), "game")
