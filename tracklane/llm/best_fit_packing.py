@@ -138,52 +138,57 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def swap_search(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
-    """Empties the emptiest bins into others' room while the room left suffices."""
+def _exchange(give: list[int], take: list[int], free: int, lengths: list[int]) -> tuple[list[int], list[int]] | None:
+    """(pieces that go over, pieces that come back) which leave the fuller bin fuller by as much as fits."""
+    own = sorted(give, key=lambda i: lengths[i])
+    sizes = [lengths[i] for i in own]
+    at = bisect.bisect_right(sizes, free) - 1
+    if at >= 0:  # move
+        return [own[at]], []
+    found, most = None, 0
+    for x in take:
+        at = bisect.bisect_right(sizes, lengths[x] + free) - 1
+        if at >= 0 and sizes[at] - lengths[x] > most:  # one for one
+            most, found = sizes[at] - lengths[x], ([own[at]], [x])
+        lo, hi = 0, len(own) - 1
+        while lo < hi and most < free:  # two for one
+            gain = sizes[lo] + sizes[hi] - lengths[x]
+            if gain > free:
+                hi -= 1
+            else:
+                if gain > most:
+                    most, found = gain, ([own[lo], own[hi]], [x])
+                lo += 1
+    return found
+
+
+def swap_search(bins: list[list[int]], lengths: list[int], size: int, near: int = 64) -> list[list[int]]:
+    """Exchanges between underfull bins, from the emptiest on, each with the `near` fullest, until nothing gains or no fewer bins can hold all."""
     fill = [sum(lengths[i] for i in b) for b in bins]
-    by_fill = sorted((k for k in range(len(bins)) if fill[k] < size), key=lambda k: fill[k])
-    slack = sum(size - fill[k] for k in by_fill)
-    for donor in by_fill:
-        slack -= size - fill[donor]
-        if fill[donor] > slack:
-            break
-        gained = True
-        while gained and bins[donor]:
-            gained = False
-            for b in sorted((k for k in by_fill if k != donor and bins[k] and fill[donor] <= fill[k] < size), key=lambda k: -fill[k]):
-                own = sorted(bins[donor], key=lambda i: lengths[i])
-                if not own:
-                    break
-                sizes, free = [lengths[i] for i in own], size - fill[b]
-                at = bisect.bisect_right(sizes, free) - 1
-                if at >= 0:  # move
-                    out, into = [own[at]], []
-                else:
-                    out, into, most = [], [], 0
-                    for x in bins[b]:
-                        at = bisect.bisect_right(sizes, lengths[x] + free) - 1
-                        if at >= 0 and sizes[at] - lengths[x] > most:  # one for one
-                            most, out, into = sizes[at] - lengths[x], [own[at]], [x]
-                        lo, hi = 0, len(own) - 1
-                        while lo < hi and most < free:  # two for one
-                            gain = sizes[lo] + sizes[hi] - lengths[x]
-                            if gain > free:
-                                hi -= 1
-                            else:
-                                if gain > most:
-                                    most, out, into = gain, [own[lo], own[hi]], [x]
-                                lo += 1
-                    if not out:
+    least = -(-sum(fill) // size)
+    left, gained = len(bins), True
+    while gained and left > least:
+        gained = False
+        open_ = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < size), key=lambda k: fill[k])
+        for donor in open_:
+            more = True
+            while more and bins[donor]:
+                more = False
+                for b in reversed(open_[-near:]):
+                    if b == donor or not bins[donor] or not fill[donor] <= fill[b] < size:
                         continue
-                moved = sum(lengths[i] for i in out) - sum(lengths[i] for i in into)
-                bins[b] = [i for i in bins[b] if i not in into] + out
-                bins[donor] = [i for i in bins[donor] if i not in out] + into
-                fill[b] += moved
-                fill[donor] -= moved
-                slack -= moved
-                gained = True
-        if bins[donor]:
-            slack += 0
+                    change = _exchange(bins[donor], bins[b], size - fill[b], lengths)
+                    if change:
+                        out, into = change
+                        moved = sum(lengths[i] for i in out) - sum(lengths[i] for i in into)
+                        bins[b] = [i for i in bins[b] if i not in into] + out
+                        bins[donor] = [i for i in bins[donor] if i not in out] + into
+                        fill[b] += moved
+                        fill[donor] -= moved
+                        more = gained = True
+            left -= not bins[donor]
+            if left <= least:
+                break
     return [b for b in bins if b]
 
 
