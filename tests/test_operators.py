@@ -1,12 +1,13 @@
 """Worked examples of the column functions, operators, graphs and folds."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tracklane import catalog
 from tracklane.functions import boxes, text
-from tracklane.operators import frames, intervals, jerseys
+from tracklane.operators import frames, groups, intervals, jerseys, media, training
 from tracklane.plans import config
 from tracklane.plans.graph import Graph, Node, barrier, checksums
 from tracklane.sources import tables
@@ -148,3 +149,67 @@ def test_frames(spark):
     assert [r["id"] for r in frames.non_overlapping(rows).collect()] == [3]
     assert sorted(r["id"] for r in frames.drop_largest(rows, 3).collect()) == [1, 2]
     assert [r["id"] for r in frames.min_height(rows, 20.0).collect()] == [3] and frames.min_height(rows, 99.0).count() == 3
+
+
+def _brute_clusters(points, k):
+    centres, member = points[:k].astype(float).tolist(), None
+    while True:
+        found = [min(range(k), key=lambda c: ((p[0] - centres[c][0]) ** 2 + (p[1] - centres[c][1]) ** 2, c)) for p in points]
+        for c in set(found):
+            inside = [p for p, m in zip(points, found) if m == c]
+            centres[c] = [sum(p[0] for p in inside) / len(inside), sum(p[1] for p in inside) / len(inside)]
+        if found == member:
+            return found
+        member = found
+
+
+def test_clusters():
+    rng = np.random.default_rng(1)
+    for n, k in ((5, 3), (12, 2), (30, 3)):
+        points = rng.normal(size=(n, 2)).round(3)
+        assert groups.clusters(points, k, threshold=0).tolist() == _brute_clusters(points, k)
+
+
+def test_end_outlier():
+    boxes_ = np.array([[0, 0, 10, 10], [500, 0, 510, 10], [520, 0, 530, 10], [540, 0, 550, 10]], float)
+    assert groups.end_outlier(boxes_) == 0 and groups.end_outlier(boxes_[::-1]) == 3
+    assert groups.end_outlier(boxes_[1:], 2.0) is None and groups.end_outlier(np.repeat(boxes_[:1], 4, 0)) is None
+
+
+def test_cluster_boxes(spark):
+    rows = [(1, i, float(10 * i), 0.0, 4.0, 4.0) for i in range(4)] + [(1, 9, 900.0, 0.0, 4.0, 4.0)] + [(2, i, 0.0, 0.0, 1.0, 1.0) for i in range(3)]
+    got = groups.cluster_boxes(spark.createDataFrame(rows, "frame long, id long, x double, y double, w double, h double"), outlier_ratio=None).collect()
+    assert [tuple(r) for r in got] == [(1, 0.0, 0.0, 34.0, 4.0)]
+
+
+def test_pose_features_of_missing_poses(spark):
+    rows = spark.createDataFrame([(1, '{"predictions":[{"scores":[0.5]}]}'), (2, "{"), (3, None), (4, '{"predictions":[{"bboxes":[[0,0,10,20]],"keypoint_scores":[[0.9,0.1]]}]}')], "Frame long, PoseJSON string")
+    got = {r[0]: tuple(r)[1:] for r in training.pose_features(tables.pose_rows(rows), 100.0, 100.0, 2).collect()}
+    assert got[2] == got[3] == (0.0,) * 8 and got[1] == (0.0,) * 6 + (0.5, 0.0)
+    assert got[4] == (0.5, 0.05, 0.1, 0.0, 0.0, 0.2, 0.5, 0.5)
+
+
+def test_layout_leaves_out_boxes_that_are_not_finite(spark):
+    rows = [(1, 1, 50.0, 0.0, 10.0, 10.0), (1, 2, 0.0, 0.0, 10.0, 10.0), (1, 3, float("nan"), 0.0, 1.0, 1.0), (2, 1, None, 0.0, 1.0, 1.0)]
+    got = {r["frame"]: r["boxes"] for r in training.player_layout(spark.createDataFrame(rows, "frame long, id long, x double, y double, w double, h double"), 100.0, 100.0, 3).collect()}
+    assert got == {1: [0.0, 0.0, 0.1, 0.1, 0.5, 0.0, 0.1, 0.1, 0.0, 0.0, 0.0, 0.0], 2: [0.0] * 12}
+
+
+def test_split_tracks_refuses_an_eleventh_number(spark):
+    rows = spark.createDataFrame([(7, 0, 12, 1), (7, 1, 14, 5)], "id long, sub int, number int, first_frame long")
+    assert [r["track"] for r in jerseys.split_tracks(rows).collect()] == [7.0, 7.1]
+    with pytest.raises(Exception, match="more than ten"):
+        jerseys.split_tracks(rows.withColumn("sub", F.lit(10))).collect()
+
+
+def test_loud_runs(spark):
+    rows = spark.createDataFrame([(1, t, 9.0 if t in (3, 4, 5, 9) else 1.0) for t in range(12)], "game long, at long, energy double")
+    assert [tuple(r) for r in media.loud_runs(rows, 0.5, 1, 2).collect()] == [(1, 3, 5)]
+    assert media.loud_runs(rows.limit(0), 0.5, 1, 2).count() == 0
+
+
+def test_null_boxes_share_nothing(spark):
+    rows = spark.createDataFrame([(1, 1, None, 0.0, 9.0, 9.0), (1, 2, 0.0, 0.0, 9.0, 9.0)], "frame long, id long, x double, y double, w double, h double")
+    assert sorted(r["id"] for r in frames.non_overlapping(rows).collect()) == [1, 2]
+    got = {r[0] for r in rows.select(boxes.clamp(F.col("x"), F.lit(-1.0), F.lit(1.0))).collect()}
+    assert got == {None, 0.0}

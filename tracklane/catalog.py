@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .functions import boxes, text
-from .operators import frames, intervals, jerseys
+from .operators import frames, groups, intervals, jerseys, media, training
+from .sources import tables
 from .streaming import folds
 
 _WIDTH = 2000.0
@@ -427,3 +428,120 @@ def zone_state(t):
 def association_tracker(t):
     rows = t.select((F.col("id") % 4).alias("game"), "frame", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"), F.length("label").cast("long").alias("label"), F.col("score").cast("double").alias("score"))
     return folds.fold(rows, folds.Associations(), "game")
+
+
+@query("SELECT track, number, first_frame FROM (SELECT id + sub / 10.0 AS track, number, first_frame FROM (" + ORACLE_SQL["roster_resolve"] + "))")
+def track_split(t):
+    return jerseys.split_tracks(jerseys.resolved(_obs(t), _roster(t), 0.9))
+
+
+@query("""WITH i AS (SELECT user_id % 10 AS game, event_id / 4.0 AS s, value / 100.0 AS d FROM events), m AS (SELECT *, max(s + d) OVER (PARTITION BY game ORDER BY s, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM i),
+g AS (SELECT *, sum(CASE WHEN s <= pe + 0.5 THEN 0 ELSE 1 END) OVER (PARTITION BY game ORDER BY s, d) AS g FROM m) SELECT game, round(min(s), 6) AS "start", round(max(s + d) - min(s), 6) AS duration FROM g GROUP BY game, g.g""")
+def interval_merge(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 10).alias("game"), (F.col("event_id") / 4.0).alias("start"), (F.col("value") / 100.0).alias("duration"))
+    return _r(intervals.merge_intervals(rows, 0.5, ("game",)), "start", "duration")
+
+
+@query("WITH " + _T + """, r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY w * h DESC, id) AS big, row_number() OVER (PARTITION BY frame ORDER BY trunc(x + w / 2), id) AS low,
+row_number() OVER (PARTITION BY frame ORDER BY trunc(x + w / 2) DESC, id) AS top, count(*) OVER (PARTITION BY frame) AS n FROM t) SELECT frame, id FROM r WHERE n < 4 OR NOT (big = 1 OR (n >= 10 AND (low = 1 OR top = 1)))""")
+def extremes_prune(t):
+    return groups.without_extremes(t).select("frame", "id")
+
+
+@query()
+def kmeans_cluster(t):
+    return groups.cluster_boxes(t)
+
+
+_PF = "least(greatest({}, 0), 1)"
+
+
+@query("WITH " + _T + f""" SELECT frame, {", ".join(f"round({_PF.format(e)}, 9) AS {n}" for n, e in {
+    "count": "count(*) / 22.0", "mean_cx": "avg((x + x + w) / 2 / 6000)", "mean_cy": "avg((y + y + h) / 2 / 700)", "std_cx": "stddev_pop((x + x + w) / 2 / 6000)", "std_cy": "stddev_pop((y + y + h) / 2 / 700)", "mean_h": "avg(h / 700)",
+    "mean_score": "avg((score + number / 100) / 2)", "sure": "avg((CASE WHEN score > 0.5 THEN 1 ELSE 0 END + CASE WHEN number / 100 > 0.5 THEN 1 ELSE 0 END) / 2)"}.items())} FROM t GROUP BY 1""")
+def pose_features(t):
+    box = F.array("x", "y", F.col("x") + F.col("w"), F.col("y") + F.col("h"))
+    parts = t.groupBy(F.col("frame").alias("Frame")).agg(F.collect_list(F.struct(box.alias("b"), F.array(F.col("score").cast("double"), F.col("number") / 100).alias("s"))).alias("l"))
+    prediction = F.struct(F.transform("l", lambda e: e["b"]).alias("bboxes"), F.transform("l", lambda e: e["s"]).alias("keypoint_scores"))
+    poses = tables.pose_rows(parts.select("Frame", F.to_json(F.struct(F.array(prediction).alias("predictions"))).alias("PoseJSON")))
+    out = training.pose_features(poses, 6000.0, 700.0, 22).withColumnRenamed("Frame", "frame")
+    return _r(out, *[c for c in out.columns if c != "frame"], digits=9)
+
+
+@query("WITH " + _T + """, r AS (SELECT frame, row_number() OVER (PARTITION BY frame ORDER BY x + w / 2, id) AS k, least(x / 6000, 1) AS a, least(y / 700, 1) AS b, least(w / 6000, 1) AS c, least(h / 700, 1) AS d FROM t),
+s AS (SELECT frame, k FROM (SELECT DISTINCT frame FROM t), range(1, 7) q(k)), u AS (SELECT s.frame, s.k, unnest([0, 1, 2, 3]) AS j, unnest([a, b, c, d]) AS v FROM s LEFT JOIN r USING (frame, k))
+SELECT frame, 4 * (k - 1) + j AS pos, round(coalesce(v, 0), 6) AS v FROM u""")
+def player_layout(t):
+    rows = training.player_layout(t, 6000.0, 700.0, 6).select("frame", F.posexplode("boxes").alias("pos", "v"))
+    return _r(rows.withColumn("pos", F.col("pos").cast("long")), "v")
+
+
+_CAM = ", c AS (SELECT frame // 100 AS game, frame, avg(x) AS x, avg(y) AS y, avg(w) AS w, avg(h) AS h FROM t GROUP BY 1, 2)"
+
+
+def _camera(t):
+    return t.groupBy(F.expr("frame div 100").alias("game"), "frame").agg(*[F.avg(c).alias(c) for c in "xywh"])
+
+
+@query("WITH " + _T + _CAM + " SELECT game, frame, " + ", ".join(f"round(lag({c}, 1, {d}) OVER o, 6) AS p{c}" for c, d in zip("xywh", "0011", strict=True)) + " FROM c WINDOW o AS (PARTITION BY game ORDER BY frame)")
+def previous_target(t):
+    return _r(training.previous_target(_camera(t), ("game",)).select("game", "frame", "px", "py", "pw", "ph"), "px", "py", "pw", "ph")
+
+
+@query("WITH " + _T + _CAM + " SELECT game, frame, round(least((x + w / 2) / 3000, 1), 6) AS cx, round(least((y + h / 2) / 300, 1), 6) AS cy, round(least(h / 300, 1), 6) AS height FROM c")
+def camera_targets(t):
+    return _r(training.center_height(_camera(t), 3000.0, 300.0), "cx", "cy", "height")
+
+
+@query("WITH " + _T + ", l AS (SELECT frame, list(id ORDER BY y, id) AS l FROM t GROUP BY 1) SELECT frame, i AS sample, l[1 + i * (len(l) - 1) // 4] AS id FROM l, range(5) q(i)")
+def evenly_spaced(t):
+    return training.evenly_spaced(t, 5, "y").withColumn("sample", F.col("sample").cast("long"))
+
+
+@query("WITH " + _T + """, s AS (SELECT id, label, round(avg(score), 6) AS score FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS r FROM s)
+SELECT id, max(label) FILTER (WHERE r = 1) AS label, max(score) AS score, string_agg(label, ',' ORDER BY r) AS labels FROM r WHERE r <= 2 GROUP BY 1 HAVING max(score) >= 0.5""")
+def top_actions(t):
+    scores = t.groupBy("id", "label").agg(F.round(F.avg("score"), 6).alias("score"))
+    return training.top_classes(scores, 2, 0.5).withColumn("labels", F.concat_ws(",", "labels"))
+
+
+@query("""WITH e AS (SELECT user_id % 5 AS game, event_id AS pos, value AS energy FROM events), b AS (SELECT game, quantile_cont(energy, 0.6) AS bar FROM e GROUP BY 1),
+k AS (SELECT game, pos, sum(CASE WHEN pos - p <= 6 THEN 0 ELSE 1 END) OVER (PARTITION BY game ORDER BY pos) AS k FROM (SELECT game, pos, lag(pos) OVER (PARTITION BY game ORDER BY pos) AS p FROM e JOIN b USING (game) WHERE energy > bar))
+SELECT game, min(pos) AS "start", max(pos) AS "end" FROM k GROUP BY game, k.k HAVING max(pos) - min(pos) >= 12""")
+def loud_runs(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 5).alias("game"), F.col("event_id").alias("at"), F.col("value").alias("energy"))
+    return media.loud_runs(e, 0.6, 6, 12)
+
+
+_FILES = "SELECT frame // 20 AS game, row_ord AS ord, CAST(w AS INT) AS width, CAST(h AS INT) AS height, score * 60 AS fps, number * 100 AS audio_rate, id % 4 AS channels FROM t"
+
+
+@query("WITH " + _T + f""", f AS ({_FILES}), s AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY game ORDER BY width * height DESC, ord) = 1), m AS (SELECT game, max(fps) AS fps, max(audio_rate) AS a, max(channels) AS c FROM f GROUP BY 1)
+SELECT game, width, height, round(CASE WHEN m.fps > 0 THEN m.fps ELSE 30 END, 6) AS fps, CASE WHEN a > 0 THEN a ELSE 48000 END AS audio_rate, least(greatest(c, 1), 2) AS channels FROM s JOIN m USING (game)""")
+def target_profile(t):
+    files = t.select(F.expr("frame div 20").alias("game"), F.col("row_ord").alias("ord"), F.col("w").cast("int").alias("width"), F.col("h").cast("int").alias("height"), (F.col("score") * 60).alias("fps"), (F.col("number") * 100).alias("audio_rate"), (F.col("id") % 4).alias("channels"))
+    return _r(media.target_profile(files, ("game",)), "fps")
+
+
+@query("WITH " + _T + ", m AS (SELECT frame, min(w) AS a, max(h) AS b FROM t GROUP BY 1) SELECT frame, round(a * b / (a + b), 6) AS rate FROM m")
+def combined_rate(t):
+    both = t.groupBy("frame").agg(F.array(F.min("w"), F.max("h")).alias("l")).select("frame", F.explode("l").alias("rate"))
+    return _r(media.combined_rate(both, "rate", ("frame",)), "rate")
+
+
+@query("SELECT CASE WHEN user_id % 2 = 0 THEN 'home' ELSE 'away' END AS side, count(*) FILTER (WHERE event_type = 'click') AS gf, count(*) FILTER (WHERE event_type = 'view') AS ga FROM events GROUP BY 1")
+def goal_counts(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.when(F.col("event_type") == "click", "GF").when(F.col("event_type") == "view", "GA")
+    return media.goal_counts(e.select(F.when(F.col("user_id") % 2 == 0, "home").otherwise("away").alias("side"), kind.alias("kind")))
+
+
+@query("WITH " + _T + """, e AS (SELECT x AS l, y AS t, x + w AS r, y + h AS b, w, h, frame, id FROM t), k AS (SELECT *, least(1, 60 / w, 90 / h) AS k FROM e)
+SELECT frame, id, round(greatest(least(l, 4000), 100), 6) AS cl, round(CASE WHEN l < 100 THEN 100 WHEN r > 2000 THEN 2000 - w ELSE l END, 6) AS sl, round(CASE WHEN t < 50 THEN 50 WHEN b > 300 THEN 300 - h ELSE t END, 6) AS st,
+round(w * k, 6) AS fw, round(h * k, 6) AS fh, round(greatest(w, h * 16 / 9.0), 6) AS aw, round(greatest(h, w / (16 / 9.0)), 6) AS ah FROM k""")
+def box_fits(t):
+    b = boxes.tlwh_to_tlbr(boxes.cols("x", "y", "w", "h"))
+    edges = tuple(F.lit(v) for v in (100.0, 50.0, 2000.0, 300.0))
+    moved, fit, wide = boxes.shift_into(b, edges), boxes.tlbr_to_tlwh(boxes.fit_inside(b, F.lit(60.0), F.lit(90.0))), boxes.tlbr_to_tlwh(boxes.with_aspect(b, 16 / 9))
+    out = t.select("frame", "id", boxes.clamp(b[0], F.lit(100.0), F.lit(4000.0)).alias("cl"), moved[0].alias("sl"), moved[1].alias("st"), fit[2].alias("fw"), fit[3].alias("fh"), wide[2].alias("aw"), wide[3].alias("ah"))
+    return _r(out, "cl", "sl", "st", "fw", "fh", "aw", "ah")

@@ -40,7 +40,8 @@ def aspect_ratio(b: Box) -> Column:
 
 
 def clamp(v, lo, hi) -> Column:
-    return F.greatest(F.least(v, hi), lo)
+    """Between lo and hi; null stays null."""
+    return F.when(v.isNotNull(), F.greatest(F.least(v, hi), lo))
 
 
 def clamp_box(b: Box, bounds: Box) -> Box:
@@ -85,8 +86,12 @@ def distance(ax, ay, bx, by) -> Column:
 
 
 def intersection(a: Box, b: Box) -> Column:
+    """Area that two TLBR boxes share; null where a coordinate is."""
     side = lambda lo, hi: F.greatest(F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo]), F.lit(0.0))
-    return side(0, 2) * side(1, 3)
+    known = F.lit(True)
+    for c in (*a, *b):
+        known &= c.isNotNull()
+    return F.when(known, side(0, 2) * side(1, 3))
 
 
 def iou(a: Box, b: Box) -> Column:
@@ -102,13 +107,17 @@ def center_aspect_height(b: Box) -> tuple[Column, Column, Column, Column]:
     return cx, cy, w / h, h
 
 
+def finite(*values: Column) -> Column:
+    """All are numbers, none null."""
+    fine = F.lit(True)
+    for v in values:
+        fine &= ~F.isnan(v) & (F.abs(v) < float("inf"))
+    return F.coalesce(fine, F.lit(False))
+
+
 def valid(b: Box) -> Column:
     """Finite and not inverted."""
-    fine = b[2] >= b[0]
-    fine &= b[3] >= b[1]
-    for c in b:
-        fine &= ~F.isnan(c) & (F.abs(c) < float("inf"))
-    return F.coalesce(fine, F.lit(False))
+    return F.coalesce((b[2] >= b[0]) & (b[3] >= b[1]), F.lit(False)) & finite(*b)
 
 
 def panoramic_distance(x1, x2, width, rink_width: float = 200.0) -> Column:

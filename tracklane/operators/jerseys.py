@@ -39,6 +39,12 @@ def resolved(observations: DataFrame, roster: DataFrame | None = None, least: fl
     return frequent_numbers(rows, least).withColumn("sub", rank - 1).select("id", "sub", "number", "first_frame")
 
 
+def split_tracks(found: DataFrame) -> DataFrame:
+    """track, number, first_frame of resolved tracks: sub-track i of a track is its id and i tenths, so at most ten fit; more make an error."""
+    track = F.when(F.col("sub") < 10, F.col("id") + F.col("sub") / 10).otherwise(F.raise_error(F.lit("a track with more than ten numbers")).cast("double"))
+    return found.select(track.alias("track"), "number", "first_frame")
+
+
 def decayed_votes(observations: DataFrame, window: int, decay: float, two_digit: float = 0.61, one_digit: float = 0.39) -> DataFrame:
     """frame, id, number, votes: the number with most decayed votes of a track's last `window` frames."""
     w = W.partitionBy("id").orderBy("frame").rangeBetween(-window, 0)
