@@ -11,7 +11,7 @@ from tracklane.operators import frames, groups, intervals, jerseys, media, train
 from tracklane.plans import config
 from tracklane.plans.graph import Graph, Node, barrier, checksums
 from tracklane.sources import tables
-from tracklane.streaming import folds
+from tracklane.streaming import folds, movers
 
 SF = "/root/testdata/sf0.001"
 
@@ -213,3 +213,47 @@ def test_null_boxes_share_nothing(spark):
     assert sorted(r["id"] for r in frames.non_overlapping(rows).collect()) == [1, 2]
     got = {r[0] for r in rows.select(boxes.clamp(F.col("x"), F.lit(-1.0), F.lit(1.0))).collect()}
     assert got == {None, 0.0}
+
+
+def _moves(machine, dests):
+    s, out = machine.start(), []
+    for f, d in enumerate(dests):
+        s, rows = machine.step(s, (f, *d))
+        out.append(rows[0][1:])
+    return out
+
+
+ARENA = (0.0, 0.0, 1000.0, 500.0)
+
+
+def test_camera_box_reaches_a_resting_destination_and_stays_inside():
+    mover = movers.CameraBox(ARENA, *(movers.Limits(s, s / 10, arrive=2) for s in (30.0, 15.0, 20.0, 10.0)))
+    seen = _moves(mover, [(600.0, 200.0, 200.0, 100.0)] * 400)
+    assert seen[-1] == pytest.approx((600.0, 200.0, 200.0, 100.0), abs=1.0)
+    for x, y, w, h in seen:
+        assert x >= -1e-6 and y >= -1e-6 and x + w <= 1000 + 1e-6 and y + h <= 500 + 1e-6
+    for a, b in zip(seen, seen[1:]):
+        assert abs((b[0] + b[2] / 2) - (a[0] + a[2] / 2)) <= 30 + 1e-6
+
+
+def test_camera_box_brakes_evenly_where_the_direction_changes():
+    r = movers.Limits(30.0, 100.0, brake=3, cooldown=2)
+    a, speeds = dict(movers._STILL, v=30.0), []
+    for _ in range(4):
+        a = movers._tick(movers._steer(a, -50.0, r, False), r)
+        speeds.append(a["v"])
+    assert speeds == [20.0, 10.0, 0.0, -30.0] and a["cool"] == 0
+
+
+def test_camera_box_keeps_its_aspect_and_bears_missing_destinations():
+    mover = movers.CameraBox(ARENA, aspect=16 / 9, sticky=10.0, bands=(0.1, 0.1, 0.1, 0.1), smoothing=0.5)
+    dests = [(300.0, 100.0, 160.0, 90.0), (None, 1.0, 1.0, 1.0), (float("nan"), 0.0, 1.0, 1.0), *[(10.0 * i, 50.0, 160.0, 90.0) for i in range(60)]]
+    assert all(w / h == pytest.approx(16 / 9) for _, _, w, h in _moves(mover, dests))
+
+
+def test_camera_box_of_few_players_looks_at_the_arena(spark):
+    rows = [(1, 1, i, 100.0 * i, 50.0, 10.0, 20.0) for i in range(3)] + [(1, 2, i, 100.0 + 5 * i, 50.0, 10.0, 20.0) for i in range(6)]
+    t = spark.createDataFrame(rows, "game long, frame long, id long, x double, y double, w double, h double")
+    got = {r["frame"]: (r["x"], r["y"], r["w"], r["h"]) for r in movers.destinations(t, ARENA).collect()}
+    assert got[1] == (0.0, 0.0, 1000.0, 500.0) and got[2][0] >= 100.0 and got[2][2] < 50.0
+    assert movers.play(t.limit(0), [movers.CameraBox(ARENA)]).count() == 0

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from .functions import boxes, text
 from .operators import frames, groups, intervals, jerseys, media, training
 from .sources import tables
-from .streaming import folds
+from .streaming import folds, movers
 
 _WIDTH = 2000.0
 _T = """t AS (SELECT event_id // 15 + 1 AS frame, user_id % 20 + 1 AS id, value * 10.0 AS x, CAST(props->>'k' AS DOUBLE) * 5 AS y,
@@ -545,3 +545,10 @@ def box_fits(t):
     moved, fit, wide = boxes.shift_into(b, edges), boxes.tlbr_to_tlwh(boxes.fit_inside(b, F.lit(60.0), F.lit(90.0))), boxes.tlbr_to_tlwh(boxes.with_aspect(b, 16 / 9))
     out = t.select("frame", "id", boxes.clamp(b[0], F.lit(100.0), F.lit(4000.0)).alias("cl"), moved[0].alias("sl"), moved[1].alias("st"), fit[2].alias("fw"), fit[3].alias("fh"), wide[2].alias("aw"), wide[3].alias("ah"))
     return _r(out, "cl", "sl", "st", "fw", "fh", "aw", "ah")
+
+
+@query()
+def camera_box(t):
+    arena = (0.0, 0.0, 6000.0, 700.0)
+    slow = movers.CameraBox(arena, movers.Limits(120.0, 12.0, brake=6, cancel=True, cooldown=4, arrive=3), aspect=16 / 9, sticky=10.0, bands=(0.1, 0.1, 0.1, 0.1))
+    return movers.play(t.withColumn("game", F.expr("frame div 100")), [movers.CameraBox(arena, movers.Limits(300.0, 60.0)), slow], scale=1.2).withColumnsRenamed({"x": "l", "y": "t"})
