@@ -408,9 +408,11 @@ def ema_anchor(t):
     return _r(intervals.ema(t, "x", "frame", 1 / 3, ("id",)), "ema")
 
 
-@query()
+@query("WITH " + _T + """, m AS (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY id ORDER BY frame) = 1 THEN 0 ELSE 1 END AS fresh FROM t), r AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY frame) AS run FROM m),
+s AS (SELECT id, run, frame, sqrt(pow(x + w / 2 - lag(x + w / 2) OVER o, 2) + pow(y + h / 2 - lag(y + h / 2) OVER o, 2)) AS step FROM r WINDOW o AS (PARTITION BY id, run ORDER BY frame))
+SELECT frame, id, round(avg(step) OVER (PARTITION BY id, run ORDER BY frame ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS speed FROM s""")
 def rolling_speed(t):
-    return intervals.rolling_speed(t, 10)
+    return _r(intervals.rolling_speed(t, 10), "speed")
 
 
 @query()
@@ -483,14 +485,14 @@ def _camera(t):
     return t.groupBy(F.expr("frame div 100").alias("game"), "frame").agg(*[F.avg(c).alias(c) for c in "xywh"])
 
 
-@query("WITH " + _T + _CAM + " SELECT game, frame, " + ", ".join(f"round(lag({c}, 1, {d}) OVER o, 6) AS p{c}" for c, d in zip("xywh", "0011", strict=True)) + " FROM c WINDOW o AS (PARTITION BY game ORDER BY frame)")
+@query("WITH " + _T + _CAM + " SELECT game, frame, " + ", ".join(f"round(lag({c}, 1, {d}) OVER o, 9) AS p{c}" for c, d in zip("xywh", "0011", strict=True)) + " FROM c WINDOW o AS (PARTITION BY game ORDER BY frame)")
 def previous_target(t):
-    return _r(training.previous_target(_camera(t), ("game",)).select("game", "frame", "px", "py", "pw", "ph"), "px", "py", "pw", "ph")
+    return _r(training.previous_target(_camera(t), ("game",)).select("game", "frame", "px", "py", "pw", "ph"), "px", "py", "pw", "ph", digits=9)
 
 
-@query("WITH " + _T + _CAM + " SELECT game, frame, round(least((x + w / 2) / 3000, 1), 6) AS cx, round(least((y + h / 2) / 300, 1), 6) AS cy, round(least(h / 300, 1), 6) AS height FROM c")
+@query("WITH " + _T + _CAM + " SELECT game, frame, round(least((x + w / 2) / 3000, 1), 9) AS cx, round(least((y + h / 2) / 300, 1), 9) AS cy, round(least(h / 300, 1), 9) AS height FROM c")
 def camera_targets(t):
-    return _r(training.center_height(_camera(t), 3000.0, 300.0), "cx", "cy", "height")
+    return _r(training.center_height(_camera(t), 3000.0, 300.0), "cx", "cy", "height", digits=9)
 
 
 @query("WITH " + _T + ", l AS (SELECT frame, list(id ORDER BY y, id) AS l FROM t GROUP BY 1) SELECT frame, i AS sample, l[1 + i * (len(l) - 1) // 4] AS id FROM l, range(5) q(i)")
@@ -552,3 +554,10 @@ def camera_box(t):
     arena = (0.0, 0.0, 6000.0, 700.0)
     slow = movers.CameraBox(arena, movers.Limits(120.0, 12.0, brake=6, cancel=True, cooldown=4, arrive=3), aspect=16 / 9, sticky=10.0, bands=(0.1, 0.1, 0.1, 0.1))
     return movers.play(t.withColumn("game", F.expr("frame div 100")), [movers.CameraBox(arena, movers.Limits(300.0, 60.0)), slow], scale=1.2).withColumnsRenamed({"x": "l", "y": "t"})
+
+
+@query("""WITH k AS (SELECT *, sum(CASE WHEN ts < p + INTERVAL '2705 seconds' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events))
+SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_s, count(*) AS n, round(sum(value), 6) AS total FROM k GROUP BY user_id, k.k""")
+def event_sessions(spark, sf_dir):
+    rows = folds.event_sessions(spark.read.parquet(f"{sf_dir}/events.parquet"), "2705 seconds", "user_id")
+    return _r(rows.select("user_id", F.unix_timestamp("start").alias("start_s"), F.unix_timestamp("last").alias("last_s"), "n", "total"), "total")

@@ -217,3 +217,10 @@ def event_windows(rows: DataFrame, width: str, watermark: str | None = None) ->
     timed = rows.withWatermark("ts", watermark) if watermark else rows
     out = timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def event_sessions(rows: DataFrame, gap: str, key: str, watermark: str | None = None) -> DataFrame:
+    """A key's sessions: runs of event times less than the gap apart, with first and last time, count and sum."""
+    timed = rows.withWatermark("ts", watermark) if watermark else rows
+    out = timed.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.max("ts").alias("last"), F.count("*").alias("n"), F.sum("value").alias("total"))
+    return out.select(key, F.col("w.start").alias("start"), "last", "n", "total")
