@@ -12,8 +12,14 @@ def _mean(values: Column) -> Column:
 
 
 def _deviation(values: Column) -> Column:
-    middle = _mean(values)
-    return F.sqrt(_mean(F.transform(values, lambda v: (v - middle) * (v - middle))))
+    """Population deviation in one pass, with running means."""
+
+    def add(a: Column, v: Column) -> Column:
+        mean = a["m"] + (v - a["m"]) / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), mean.alias("m"), (a["s"] + (v - a["m"]) * (v - mean)).alias("s"))
+
+    start = F.struct(*[F.lit(0.0).alias(c) for c in "nms"])
+    return F.when(F.size(values) > 0, F.aggregate(values, start, add, lambda a: F.sqrt(a["s"] / a["n"])))
 
 
 def _share(value: Column) -> Column:
