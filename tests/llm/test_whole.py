@@ -1,8 +1,10 @@
 """Cases in which an operator once did less than its whole job."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from tracklane.llm import redirect_rules
+from tracklane.llm import best_fit_packing, redirect_rules
 
 
 def test_relative_links_stay_on_their_hosts(spark):
@@ -25,3 +27,24 @@ def test_relative_links_stay_on_their_hosts(spark):
     assert {r["page_id"]: r["verdict"] for r in redirect_rules.judge(more, redirects=moved).collect()} == {1: "allow", 2: "block"}
     one = spark.range(1).select(*(redirect_rules.resolve(F.lit(h), F.lit("http://a/b/c/d;p?q")).alias(f"c{i}") for i, h in enumerate(("g", "./g/.", "..", "../..", "../../../g", "g?y/./x", "", "?y", "//G", "#s")))).first()
     assert list(one) == ["http://a/b/c/g", "http://a/b/c/g/", "http://a/b/", "http://a/", "http://a/g", "http://a/b/c/g?y/./x", "http://a/b/c/d;p?q", "http://a/b/c/d;p?y", "http://g/", "http://a/b/c/d;p?q"]
+
+
+def test_swaps_reach_past_the_fullest_bins():
+    lengths = [97] * 64 + [60, 40, 40, 30, 30]
+    lone = [[i] for i in range(64)]  # no piece fits their gap of 3 and none can come back
+    bins = best_fit_packing.swap_search([*lone, [64, 67], [65, 66], [68]], lengths, 100)
+    assert len(bins) == 66 and sorted(i for b in bins for i in b) == list(range(69))
+    assert max(sum(lengths[i] for i in b) for b in bins) <= 100
+
+
+def test_no_exchange_is_left():
+    rng = random.Random(3)
+    for k in range(40):
+        lengths = sorted((rng.randint(1, 60) for _ in range(80)), reverse=True)
+        bins = best_fit_packing.swap_search(best_fit_packing.best_fit(lengths, 100) if k % 2 else [[i] for i in range(80)], lengths, 100, near=2)
+        assert sorted(i for b in bins for i in b) == list(range(80))
+        fill = [sum(lengths[i] for i in b) for b in bins]
+        assert max(fill) <= 100
+        if len(bins) > -(-sum(lengths) // 100):
+            pairs = [(a, b) for a in range(len(bins)) for b in range(len(bins)) if a != b and fill[a] < fill[b] < 100]
+            assert not any(best_fit_packing._exchange(bins[a], bins[b], 100 - fill[b], lengths) for a, b in pairs)

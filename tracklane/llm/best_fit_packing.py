@@ -6,7 +6,7 @@ cut only where longer than a sequence. Pieces are dealt to groups of about
 `group_size`; each group is packed best-fit-decreasing, then underfull bins
 exchange pieces: a move, one for one or two for one, whenever it makes the
 fuller bin fuller, which raises the sum of squared fills, until the emptiest bins
-have gone or nothing fits. Bins that stay underfull in any group are pooled and
+have gone or no exchange between any two of them gains. Bins that stay underfull in any group are pooled and
 packed once more in groups.
 
 Edge cases: null text is empty and gives one piece of id 0; repeated rows give
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import gc
+import heapq
 import re
 import struct
 import zlib
@@ -162,31 +163,97 @@ def _exchange(give: list[int], take: list[int], free: int, lengths: list[int]) -
     return found
 
 
+class _Partners:
+    """Of all open bins: for each length of a piece (0 stands for none), the bin with most room that holds one."""
+
+    def __init__(self, bins: list[list[int]], fill: list[int], lengths: list[int], size: int):
+        self.bins, self.fill, self.lengths, self.size = bins, fill, lengths, size
+        self.heaps = [[] for _ in range(size + 1)]
+        self.room = np.zeros(size + 1, np.int64)
+        self.open, self.kinds = set(), {}
+
+    def put(self, b: int) -> None:
+        """Adds a bin, or tells that its pieces have changed."""
+        before = self.kinds.get(b, set())
+        self.open.discard(b)
+        self.kinds[b] = {0, *(self.lengths[i] for i in self.bins[b])}
+        if self.bins[b] and self.fill[b] < self.size:
+            self.open.add(b)
+            for x in self.kinds[b]:
+                heapq.heappush(self.heaps[x], (self.fill[b] - self.size, b))
+        for x in before | self.kinds[b]:
+            self._most(x)
+
+    def drop(self, b: int) -> None:
+        self.open.discard(b)
+        for x in self.kinds.pop(b, ()):
+            self._most(x)
+
+    def _most(self, x: int) -> None:
+        heap = self.heaps[x]
+        while heap and not (heap[0][1] in self.open and x in self.kinds[heap[0][1]] and self.size - self.fill[heap[0][1]] == -heap[0][0]):
+            heapq.heappop(heap)
+        self.room[x] = -heap[0][0] if heap else 0
+
+    def find(self, donor: int) -> int | None:
+        """The open bin to which an exchange moves most of the donor's tokens; None where no bin gains by any."""
+        own = np.array([self.lengths[i] for i in self.bins[donor]], np.int64)
+        sizes, times = np.unique(own, return_counts=True)
+        two = (sizes[:, None] + sizes)[np.triu_indices(len(sizes), 1)]
+        give = np.unique(np.concatenate([sizes, two, 2 * sizes[times > 1]]))
+        held = np.flatnonzero(self.room)
+        at = np.searchsorted(give, held + self.room[held], "right") - 1
+        gain = np.where(at >= 0, give[np.maximum(at, 0)] - held, 0)
+        best = int(np.argmax(gain)) if len(gain) else 0
+        return self.heaps[held[best]][0][1] if len(gain) and gain[best] > 0 else None
+
+
 def swap_search(bins: list[list[int]], lengths: list[int], size: int, near: int = 64) -> list[list[int]]:
-    """Exchanges between underfull bins, from the emptiest on, each with the `near` fullest, until nothing gains or no fewer bins can hold all."""
+    """Exchanges between underfull bins, from the emptiest on, first with the `near` fullest, then with any of all others, until nothing gains or no fewer bins can hold all."""
     fill = [sum(lengths[i] for i in b) for b in bins]
     least = -(-sum(fill) // size)
     left, gained = len(bins), True
     while gained and left > least:
         gained = False
         open_ = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < size), key=lambda k: fill[k])
+        partners, waiting = _Partners(bins, fill, lengths, size), []
+        reached = 0
+        for k in open_:
+            partners.put(k)
+
+        def exchange(donor: int, b: int) -> bool:
+            change = _exchange(bins[donor], bins[b], size - fill[b], lengths)
+            if not change:
+                return False
+            out, into = change
+            moved = sum(lengths[i] for i in out) - sum(lengths[i] for i in into)
+            bins[b] = [i for i in bins[b] if i not in into] + out
+            bins[donor] = [i for i in bins[donor] if i not in out] + into
+            fill[b] += moved
+            fill[donor] -= moved
+            partners.put(b)
+            return True
+
         for donor in open_:
+            if fill[donor] > reached:
+                for k in waiting:  # emptier than all donors to come, unless as full
+                    if fill[k] < fill[donor]:
+                        partners.drop(k)
+                waiting = [k for k in waiting if fill[k] >= fill[donor]]
+                reached = fill[donor]
+            partners.drop(donor)
             more = True
             while more and bins[donor]:
                 more = False
                 for b in reversed(open_[-near:]):
-                    if b == donor or not bins[donor] or not fill[donor] <= fill[b] < size:
-                        continue
-                    change = _exchange(bins[donor], bins[b], size - fill[b], lengths)
-                    if change:
-                        out, into = change
-                        moved = sum(lengths[i] for i in out) - sum(lengths[i] for i in into)
-                        bins[b] = [i for i in bins[b] if i not in into] + out
-                        bins[donor] = [i for i in bins[donor] if i not in out] + into
-                        fill[b] += moved
-                        fill[donor] -= moved
-                        more = gained = True
+                    if b in partners.open and b != donor and bins[donor] and fill[donor] <= fill[b] < size:
+                        more |= exchange(donor, b)
+                gained |= more
+            while bins[donor] and (b := partners.find(donor)) is not None and exchange(donor, b):
+                gained = True
             left -= not bins[donor]
+            partners.put(donor)
+            waiting.append(donor)
             if left <= least:
                 break
     return [b for b in bins if b]
