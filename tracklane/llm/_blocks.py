@@ -17,13 +17,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 PER_PARTITION = 2
+#: Text that one home holds on average, at most.
+HOME_BYTES = 64 << 20
 
 
-def count_of(df: DataFrame) -> int:
-    """Groups to deal to: follows the session's shuffle partitions, which follow the data."""
-    return PER_PARTITION * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def count_of(documents: DataFrame, text_col: str = "text") -> int:
+    """Groups to deal to: by the measured bytes of all texts, at least two for each shuffle partition."""
+    size = documents.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first()["n"] or 0
+    return max(PER_PARTITION * max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-int(size) // HOME_BYTES))
 
 
 def homed(documents: DataFrame, groups: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -33,6 +37,14 @@ def homed(documents: DataFrame, groups: int, id_col: str = "doc_id", text_col: s
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), rid.alias("rid"), *extra).withColumn("home", F.pmod(F.col("rid"), F.lit(groups)).cast("int"))
 
 
+def carried(ddl: str, rows: DataFrame, names: list[str]) -> StructType:
+    """The schema `ddl` with the columns `names` of rows behind it."""
+    out = StructType.fromDDL(ddl)
+    for n in names:
+        out = out.add(n, rows.schema[n].dataType)
+    return out
+
+
 def ordered(table: pa.Table) -> pa.Table:
     """The group's documents in the order by which entries name them."""
     return table.take(pa.array(np.argsort(table["rid"].to_numpy(), kind="stable")))
@@ -88,11 +100,14 @@ def unpack(table: pa.Table, fields: dict[str, type], other: str | None = None) -
     return out
 
 
-def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First index and size of each run of equal sorted keys."""
+def runs(keys: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index and size of each run of equal sorted keys (and of equal further parts of keys)."""
     if not len(keys):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    new = keys[1:] != keys[:-1]
+    for m in more:
+        new |= m[1:] != m[:-1]
+    first = np.flatnonzero(np.r_[True, new])
     return first, np.diff(np.r_[first, len(keys)])
 
 

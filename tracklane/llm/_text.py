@@ -1,42 +1,34 @@
 """Vectorised helpers on Arrow text columns, used inside tasks only.
 
 A text is a run of UTF-8 bytes. Words are maximal runs of bytes that are not
-separators and never cross documents. Fingerprints are polynomial in the bytes
-(modulo 2**64, with a random 64-bit value for each byte) and then mixed; two
-different strings share one with a chance of about 2**-64.
+separators and never cross documents. A word's fingerprint mixes its length and
+its bytes, eight at a time, through a bijection that is not linear; words longer
+than `LONG` bytes take a keyed BLAKE2b digest. Windows of bytes are fingerprinted by prefix doubling: the mix
+of the fingerprints of two shorter windows, which overlap where the length is no
+power of two times eight.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
-#: Bytes hashed at a time: bounds the 8-byte temporaries of one step.
+#: Bytes handled at a time: bounds the 8-byte temporaries of one step, also within one long text.
 STEP = 1 << 20
+LONG = 64
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[65:91] += 32
 
 _U = np.uint64
+_KEY = b"words of a corpus"
 _RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, STEP + 1), _U(base))
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if n <= 4 * STEP:
-            _POWERS[base] = have
-    return have[:n]
+_ODD = _RNG.integers(1, 2**63, LONG // 8 + 1, dtype=np.uint64) * _U(2) + _U(1)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -46,7 +38,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * _U(0xD6E8FEB86659FD93) + (b ^ (b >> _U(29))) * _U(0xA0761D6478BD642F))
+    return mix(mix(a + _U(0xD6E8FEB86659FD93)) ^ (b * _U(0xA0761D6478BD642F)))
 
 
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -65,70 +57,104 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def ranges(off: np.ndarray, step: int = STEP):
-    """Runs of documents [i, j) of at most `step` bytes; a longer document stands alone."""
-    n, i = len(off) - 1, 0
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + step, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
-
-
-def prefix_sums(data: np.ndarray, lower: bool = False) -> np.ndarray:
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _BYTE)[data] * powers(_BASE, len(data)), out=out[1:])
-    return out
-
-
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    inverse = powers(_INVERSE, len(sums))
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
-
-
-def window_hash(sums: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprint of the `size` bytes from every position where they fit."""
-    n = len(sums) - size
+def slices(batches, size: int = STEP, column: str = "text"):
+    """Parts of Arrow batches with about `size` bytes of text each; a longer text stands alone."""
+    for batch in batches:
+        _, off = buffers(batch[column])
+        i, n = 0, len(batch)
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
+            yield batch.slice(i, min(j, n) - i)
+            i = j
+
+
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on, as numbers; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Fingerprint of each span of bytes."""
+    size = end - start
+    h = mix(size.astype(np.uint64) * _ODD[0] + _ODD[1])
+    lanes = _lanes(data)
+    active = np.flatnonzero(size <= LONG)
+    for k in range(LONG // 8):
+        active = active[size[active] > 8 * k]
+        if not len(active):
+            break
+        lane = lanes[start[active] + 8 * k] & _MASKS[np.minimum(size[active] - 8 * k, 8)]
+        h[active] = mix((h[active] ^ lane) * _ODD[k + 1])
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=_KEY).digest(), "little")
+    return h
+
+
+def window_hash(data: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
+    """Fingerprint of the `size` bytes from every position where they fit, by doubling windows of eight bytes."""
+    n = len(data) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    return mix((sums[size:] - sums[:-size]) * powers(_INVERSE, len(sums))[:n] + _U(size))
+    have = min(size, 8)
+    h = mix((_lanes(data)[: len(data) - have + 1] & _MASKS[have]) ^ _U(mix(np.array([salt + 1], np.uint64))[0]))
+    while have < size:
+        step = min(have, size - have)
+        h = combine(h[:-step], h[step:])
+        have += step
+    return h
+
+
+def _pieces(data: np.ndarray, off: np.ndarray, separator: np.ndarray):
+    """Spans of about STEP bytes that end at a text's end or behind a separator."""
+    lo, total = 0, len(data)
+    while lo < total:
+        hi = lo + STEP
+        if hi < total:
+            stop = int(off[np.searchsorted(off, hi)])
+            while hi < stop:
+                part = separator[data[hi - 1 : min(hi - 1 + STEP, stop)]]
+                k = int(part.argmax())
+                if part[k]:
+                    hi += k
+                    break
+                hi = min(hi + STEP, stop)
+        hi = min(hi, total)
+        yield lo, hi
+        lo = hi
 
 
 def words(data: np.ndarray, off: np.ndarray, separator: np.ndarray = SPACE, lower: bool = False):
     """(start, end, document, fingerprint) of every word, in order."""
     parts = []
-    for i, j in ranges(off):
-        lo, hi = int(off[i]), int(off[j])
-        if hi == lo:
-            continue
+    for lo, hi in _pieces(data, off, separator):
         piece = data[lo:hi]
         inner = ~separator[piece]
+        i, j = np.searchsorted(off, (lo, hi))
+        cuts = off[i:j] - lo  # texts that begin here
         first = np.zeros(hi - lo, bool)
-        cuts = off[i:j] - lo
-        first[cuts[cuts < hi - lo]] = True
+        first[cuts] = True
         begins = inner.copy()
         begins[1:] &= ~inner[:-1] | first[1:]
         ends = inner.copy()
         ends[:-1] &= ~inner[1:] | first[1:]
         s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        h = span_hash(prefix_sums(piece, lower), s, e)
-        d = np.searchsorted(off[i : j + 1] - lo, s, "right") - 1 + i
+        h = hashed(LOWERED[piece] if lower else piece, s, e)
+        d = np.searchsorted(off, s + lo, "right") - 1
         parts.append((s + lo, e + lo, d.astype(np.int32), h))
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-_GRAM = [pow(0xC2B2AE3D27D4EB4F, k + 1, 1 << 64) for k in range(64)]
-
-
-def grams(h: np.ndarray, size: int) -> np.ndarray:
+def grams(h: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     """Fingerprints of `size` words in a row, from every word where they fit (documents may be crossed)."""
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, _U(salt), np.uint64)
     for k in range(size):
-        out += h[k : k + n] * _U(_GRAM[k])
+        out += h[k : k + n] * _U(pow(0xC2B2AE3D27D4EB4F + 2 * salt, k + 1, 1 << 64))
     return mix(out)
 
 

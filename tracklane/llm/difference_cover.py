@@ -6,7 +6,8 @@ modulo the period lies in a difference cover are hashed at first, over
 `window - period + 1` words: wherever two documents share a whole window, some
 offset below the period puts both on a cover position, so they share that
 shorter anchor. Anchors found in two documents are then extended: the full
-windows around them are hashed and the smallest document id of each decides.
+windows around them are hashed (96 bits) and the smallest document id of each
+decides.
 
 Edge cases: a null text has no words; a document shorter than a window loses
 nothing; rows of one id are judged as one document and never remove from each
@@ -25,7 +26,7 @@ from . import _blocks as B, _text as X
 
 _ANCHOR = {"key": np.uint32, "doc": np.uint32, "pos": np.uint32}
 _SPOT = {"doc": np.uint32, "pos": np.uint32}
-_WINDOW = {"key": np.uint64, "id": np.int64, "doc": np.uint32, "pos": np.uint32}
+_WINDOW = {"key": np.uint64, "more": np.uint32, "id": np.int64, "doc": np.uint32, "pos": np.uint32}
 _MARK = np.uint32(0xFFFFFFFF)
 
 
@@ -48,7 +49,7 @@ def remove_repeated_windows(documents: DataFrame, window: int = 13, period: int
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space), then the carried columns."""
     if not 1 <= period <= window:
         raise ValueError("the period must be from 1 to the window")
-    groups, cover, size = B.count_of(documents), np.array(difference_cover(period)), window - period + 1
+    groups, cover, size = B.count_of(documents, text_col), np.array(difference_cover(period)), window - period + 1
     homed = B.homed(documents, groups, id_col, text_col, carry)
     by_home = lambda: homed.groupBy("home")
 
@@ -96,28 +97,29 @@ def remove_repeated_windows(documents: DataFrame, window: int = 13, period: int
         mark = np.zeros(len(h) + 1, np.int64)
         mark[first[s["doc"]] + s["pos"]] = 1
         sums = np.r_[0, np.cumsum(mark)]
-        key = X.grams(h, window)
+        key, more = X.grams(h, window), X.grams(h, window, 1).astype(np.uint32)
         at = np.arange(len(key))
         at = at[(sums[np.minimum(at + period, len(mark))] > sums[at]) & (at + window <= first[doc[: len(key)] + 1])]
-        key, doc = key[at], doc[at].astype(np.uint32)
+        key, more, doc = key[at], more[at], doc[at].astype(np.uint32)
         pos, ids = (at - first[doc]).astype(np.uint32), B.ids_of(table)[doc]
-        order = np.argsort(key, kind="stable")
-        start, n = B.runs(key[order])
+        order = np.lexsort((more, key))
+        start, n = B.runs(key[order], more[order])
         least = np.zeros(len(key), np.int64)
         if len(start):
             least[order] = np.repeat(np.minimum.reduceat(ids[order], start), n)
         out = []
         for k, kind in ((ids == least, 0), (ids > least, 1)):
             target = B.bucket_of(key[k], groups) if kind == 0 else np.full(int(k.sum()), home % groups, np.int32)
-            out.append(B.pack("bucket", target, home, {"key": key[k] if kind == 0 else np.zeros(int(k.sum()), np.uint64), "id": ids[k] if kind == 0 else np.zeros(int(k.sum()), np.int64), "doc": doc[k], "pos": pos[k]}, kind))
+            known = {"key": key[k], "more": more[k], "id": ids[k]}
+            out.append(B.pack("bucket", target, home, (known if kind == 0 else {f: np.zeros_like(v) for f, v in known.items()}) | {"doc": doc[k], "pos": pos[k]}, kind))
         return pa.concat_tables(out)
 
     def later_windows(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         kinds = table["kind"].to_numpy()
         e = B.unpack(table.filter(pa.array(kinds == 0)), _WINDOW, "home")
-        order = np.argsort(e["key"], kind="stable")
-        start, n = B.runs(e["key"][order])
+        order = np.lexsort((e["more"], e["key"]))
+        start, n = B.runs(e["key"][order], e["more"][order])
         found = np.zeros(len(order), bool)
         if len(start):
             ids = e["id"][order]
@@ -154,6 +156,5 @@ def remove_repeated_windows(documents: DataFrame, window: int = 13, period: int
     second = first.groupBy("bucket").applyInArrow(shared_anchors, B.schema("home", _SPOT))
     third = by_home().cogroup(second.groupBy("home")).applyInArrow(windows, B.schema("bucket", _WINDOW))
     fourth = third.groupBy("bucket").applyInArrow(later_windows, B.schema("home", _SPOT))
-    extra = "".join(f", {n} {homed.schema[n].dataType.simpleString()}" for n in carry_names)
-    out = by_home().cogroup(fourth.groupBy("home")).applyInArrow(kept, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string" + extra)
+    out = by_home().cogroup(fourth.groupBy("home")).applyInArrow(kept, B.carried("doc_id bigint, n_words bigint, n_removed bigint, kept_text string", homed, carry_names))
     return out.withColumnsRenamed(dict(zip(carry_names, carry, strict=True)))

@@ -16,8 +16,11 @@ longer string; positions whose rank is unique drop out. Rounds:
    half-length ranks at p and p + length / 2 is the rank of the whole length,
    which passes the threshold; ranks held twice are repeats.
 
-A rank is a 64-bit fingerprint of the string. Spark shuffles positions by rank,
-tasks sort those of one bucket.
+A rank is a fingerprint of the string: of 64 bits, or 96 where a removal rests on
+it, made by doubling (the mix of the ranks of two parts). Spark shuffles positions
+by rank, tasks sort those of one bucket. A plain loop over all positions from
+single bytes on would shuffle each byte's rank and address eight times; README
+says what that costs.
 
 Edge cases: null text is empty; texts shorter than `length` keep everything;
 repeats within one document count, overlapping ones too; repeated rows repeat
@@ -34,7 +37,7 @@ from . import _blocks as B, _text as X
 
 _RUN = {"key": np.uint32, "ctx": np.uint64, "doc": np.uint32, "lo": np.uint32, "n": np.uint8, "flag": np.uint8}
 _STATE = {"doc": np.uint32, "lo": np.uint32, "n": np.uint8, "flag": np.uint8}
-_WINDOW = {"key": np.uint64, "doc": np.uint32, "lo": np.uint32, "n": np.uint8, "flag": np.uint8}
+_WINDOW = {"key": np.uint64, "more": np.uint32, "doc": np.uint32, "lo": np.uint32, "n": np.uint8, "flag": np.uint8}
 _SPAN = {"doc": np.uint32, "lo": np.uint32, "n": np.uint8}
 _MARK, _DONE, _OPEN = np.uint8(128), np.uint8(1), np.uint8(2)
 SPANS = "array<struct<start:bigint,end:bigint>>"
@@ -51,44 +54,82 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+def _stretches(off: np.ndarray, length: int):
+    """(first document, document behind the last, first and last + 1 byte at which windows start): about STEP bytes each, also within one long text."""
+    n, i = len(off) - 1, 0
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + X.STEP, "right")) - 1))
+        lo = int(off[i])
+        while j == i + 1 and off[j] - lo > 2 * X.STEP:
+            back = yield i, j, lo, lo + X.STEP
+            lo = back or lo + X.STEP
+        yield i, j, lo, int(off[j])
+        i = j
+
+
 def _ranked(data: np.ndarray, off: np.ndarray, length: int):
     """Runs of windows that choose one position: (rank, rank of the surroundings, document, first window, windows - 1)."""
     half, parts = length // 2, []
-    for i, j in X.ranges(off):
-        lo, hi = int(off[i]), int(off[j])
-        if hi - lo < length:
+    stretches, back = _stretches(off, length), None
+    while True:
+        try:
+            i, j, lo, hi = stretches.send(back)
+        except StopIteration:
+            break
+        back = None
+        low, high = max(int(off[i]), lo - half), min(int(off[j]), hi + 2 * length)
+        rank = X.window_hash(data[low:high], half)
+        if high - low < length:
             continue
-        sums = X.prefix_sums(data[lo:hi])
-        rank = X.window_hash(sums, half)
         mask = np.uint64((1 << int(len(rank)).bit_length()) - 1)
         chosen = (_least(rank & ~mask | np.arange(len(rank), dtype=np.uint64), length - half + 1) & mask).astype(np.int64)
-        bounds = off[i : j + 1] - lo
+        bounds = np.clip(off[i : j + 1] - low, 0, high - low)
         lasts = bounds[1:] - length
         opens = np.zeros(len(chosen) + 1, np.int64)
         fits = lasts >= bounds[:-1]
         np.add.at(opens, bounds[:-1][fits], 1)
         np.add.at(opens, lasts[fits] + 1, -1)
         p = np.flatnonzero(np.cumsum(opens[:-1]) > 0)
+        p = p[(p >= lo - low) & (p < hi - low)]
         if not len(p):
             continue
         a = chosen[p]
         cut = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
         last = np.r_[cut[1:], len(p)] - 1
+        if hi < off[j]:  # the text goes on: its last run may too, and is taken up again
+            back = low + int(p[cut[-1]])
+            cut, last = cut[:-1], last[:-1]
         a, first, n = a[cut], p[cut], p[last] - p[cut]
         d = np.searchsorted(bounds, first, "right") - 1
         left, right = np.maximum(bounds[d], a - half), np.minimum(bounds[d + 1], a + length)
-        ctx = X.combine(X.span_hash(sums, left, right), (a - left).astype(np.uint64))
-        parts.append((rank[a], ctx, (d + i).astype(np.uint32), (first - bounds[d]).astype(np.uint32), n.astype(np.uint8)))
+        ctx = X.combine(X.combine(X.combine(rank[left], rank[a]), rank[right - half]), ((a - left) << 32 | right - left).astype(np.uint64))
+        parts.append((rank[a], ctx, (d + i).astype(np.uint32), (first + low - off[d + i]).astype(np.uint32), n.astype(np.uint8)))
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _whole(data: np.ndarray, off: np.ndarray, length: int, doc: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks (96 bits) of the given windows, sorted by document and start: of each, the pair of its halves' ranks."""
+    half, at = length // 2, off[doc] + lo
+    key, more = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint32)
+    for _, j, begin, end in _stretches(off, length):
+        a, b = np.searchsorted(at, (begin, end))
+        if a == b:
+            continue
+        piece, p = data[begin : min(end + length, int(off[j]))], at[a:b] - begin
+        h = X.window_hash(piece, half)
+        key[a:b] = X.combine(h[p], h[p + half])
+        h = X.window_hash(piece, half, 1)
+        more[a:b] = X.combine(h[p], h[p + half]).astype(np.uint32)
+    return key, more
+
+
 def remove_repeated_bytes(documents: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed runs [start, end), maximal and in order), kept (remaining bytes), then the carried columns."""
     if length % 2 or not 2 <= length <= 400:
         raise ValueError("the length must be even, from 2 to 400")
-    groups, half = B.count_of(documents), length // 2
+    groups = B.count_of(documents, text_col)
     homed = B.homed(documents, groups, id_col, text_col, carry)
     by_home = lambda: homed.groupBy("home")
     carry_names = [f"_carry_{i}" for i in range(len(carry))]
@@ -156,37 +197,30 @@ def remove_repeated_bytes(documents: DataFrame, length: int = 200, id_col: str =
         to = (s["flag"] & _OPEN) > 0
         data, off = X.buffers(B.ordered(table)["text"])
         doc, lo, n = s["doc"][to], s["lo"][to].astype(np.int64), s["n"][to].astype(np.int64) + 1
-        keys = []
-        at = np.searchsorted(doc, np.arange(len(off)))
-        for i, j in X.ranges(off):
-            a, b = at[i], at[j]
-            if a == b:
-                continue
-            h = X.window_hash(X.prefix_sums(data[off[i] : off[j]]), half)
-            p = np.repeat(off[doc[a:b]] - off[i] + lo[a:b], n[a:b]) + np.arange(n[a:b].sum()) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
-            keys.append(X.combine(h[p], h[p + half]))
-        key = np.concatenate([np.zeros(0, np.uint64), *keys])
+        at = np.repeat(np.cumsum(n) - n, n)
         wdoc = np.repeat(doc, n)
-        wlo = (np.repeat(lo, n) + np.arange(len(wdoc)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint32)
-        order = np.argsort(key, kind="stable")
-        start, size = B.runs(key[order])
+        wlo = np.repeat(lo, n) + np.arange(len(wdoc)) - at
+        key, more = _whole(data, off, length, wdoc, wlo)
+        wlo = wlo.astype(np.uint32)
+        order = np.lexsort((more, key))
+        start, size = B.runs(key[order], more[order])
         local = np.zeros(len(key), bool)
         local[order] = np.repeat(size > 1, size)
         mark = order[start[size > 1]]
         settled.append({"doc": wdoc[local], "lo": wlo[local], "n": np.zeros(int(local.sum()), np.uint8)})
         one = np.sort(np.r_[np.flatnonzero(~local), mark])
-        sent = {"key": key[one], "doc": wdoc[one], "lo": wlo[one], "n": np.zeros(len(one), np.uint8), "flag": np.where(local[one], _MARK, 0).astype(np.uint8)}
+        sent = {"key": key[one], "more": more[one], "doc": wdoc[one], "lo": wlo[one], "n": np.zeros(len(one), np.uint8), "flag": np.where(local[one], _MARK, 0).astype(np.uint8)}
         own = {k: np.concatenate([x[k] for x in settled]) for k in _SPAN}
         m = len(own["doc"])
-        own |= {"key": np.zeros(m, np.uint64), "flag": np.zeros(m, np.uint8)}
+        own |= {"key": np.zeros(m, np.uint64), "more": np.zeros(m, np.uint32), "flag": np.zeros(m, np.uint8)}
         return pa.concat_tables([B.pack("bucket", B.bucket_of(sent["key"], groups), home, sent), B.pack("bucket", np.full(m, home % groups, np.int32), home, {k: own[k] for k in _WINDOW}, kind=1)])
 
     def held_twice(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         kinds = table["kind"].to_numpy()
         e = B.unpack(table.filter(pa.array(kinds == 0)), _WINDOW, "home")
-        order = np.argsort(e["key"], kind="stable")
-        start, size = B.runs(e["key"][order])
+        order = np.lexsort((e["more"], e["key"]))
+        start, size = B.runs(e["key"][order], e["more"][order])
         found = np.zeros(len(order), bool)
         found[order] = np.repeat(size > 1, size)
         found &= e["flag"] != _MARK
@@ -226,6 +260,5 @@ def remove_repeated_bytes(documents: DataFrame, length: int = 200, id_col: str =
     second = first.groupBy("bucket").applyInArrow(rerank, B.schema("home", _STATE))
     third = by_home().cogroup(second.groupBy("home")).applyInArrow(whole_ranks, B.schema("bucket", _WINDOW))
     fourth = third.groupBy("bucket").applyInArrow(held_twice, B.schema("home", _SPAN))
-    extra = "".join(f", {n} {homed.schema[n].dataType.simpleString()}" for n in carry_names)
-    out = by_home().cogroup(fourth.groupBy("home")).applyInArrow(kept, f"doc_id bigint, n_bytes bigint, n_removed bigint, spans {SPANS}, kept binary" + extra)
+    out = by_home().cogroup(fourth.groupBy("home")).applyInArrow(kept, B.carried(f"doc_id bigint, n_bytes bigint, n_removed bigint, spans {SPANS}, kept binary", homed, carry_names))
     return out.withColumnsRenamed(dict(zip(carry_names, carry, strict=True)))
