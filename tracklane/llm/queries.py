@@ -27,7 +27,7 @@ def quality(spark, sf_dir):
 
 
 def jaccard(spark, sf_dir):
-    return set_relations.similar_components(_read(spark, sf_dir, "documents"))
+    return set_relations.similar_components(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def neighbours(spark, sf_dir):

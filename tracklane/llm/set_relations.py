@@ -2,26 +2,30 @@
 
 Sets of shingles are compared through an inverted index of their prefixes: in
 one order of all shingles, rare before frequent, two sets of similarity 0.8 must
-share one of the first fifth of each. Index lists are sorted by set size and
-keep each shingle's position, so runs of a list that size or position rule out
-are skipped. Two relations between sets save the rest of the work:
-
-* texts alike are one set, and large lists are not paired off: each set is
-  compared with the heads of its size block and with its neighbour. Heads are the
-  sets that hold the list's shingle first, so have the fewest rare ones: of many
-  near copies those nearest to all others;
+share one of the first fifth of each. Index lists keep each set's size and the
+shingle's position in it. A list is parted into size blocks, each in the order of
+positions, and those into skip blocks of `SKIP` entries whose sizes and least
+position bound what any of their sets can share with a probe; blocks ruled out
+are skipped whole. Two relations between sets save the rest of the work:
+
+* texts alike are one set: only the first row of equal texts is compared. Large
+  lists are not paired off: each set is compared with the heads of its size block
+  and with its neighbour. Heads are the sets that hold the list's shingle first,
+  so have the fewest rare ones: of many near copies those nearest to all others;
 * a set's answers follow from those of a similar set that has answered. Sets
   already in one component need no comparison, and for B and C compared with the
   same A, |B and C| <= min(|A and B|, |A and C|) + min(|B - A|, |C - A|), so only
   pairs of different components that this bound leaves open are compared.
 
 Every link between different components is found, so components are exact; links
-within a component are not all listed. Candidates are verified on the whole sets
-(48 bits of each fingerprint).
+within a component are not all listed. Candidates are verified on whole sets.
 
-The order uses a count of shingles in `2**SKETCH_BITS` counters over all texts
-(fixed size, 4 MB when broadcast); any order is exact, this one keeps common
-passages out of prefixes.
+Lists of shingles that the counts below call frequent are dealt to several tasks,
+and the heads of their parts are compared in a further tier, part by part again
+where there are many. Open pairs of a list are dealt by pairs of its blocks.
+Shingles are counted in `2**SKETCH_BITS` counters over all texts (fixed size, 4
+MB when broadcast); any order is exact, this one keeps common passages out of
+prefixes.
 
 Edge cases: texts of fewer words than a shingle have one shingle, of all their
 words; texts without words, null ones too, have none and link with nothing; a
@@ -31,7 +35,6 @@ rows each get a result; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 
 import numpy as np
@@ -46,13 +49,20 @@ _PARTS = 64
 SHORT = 8
 #: Sets of a size block with which all others of a large list are compared.
 HEADS = 3
-_ENTRY = {"key": np.uint32, "doc": np.uint32, "n": np.uint32, "pos": np.uint32}
+#: Entries of a list that one bound lets pass or skips.
+SKIP = 64
+#: Binary logarithm of the entries from which on a list is dealt to several tasks.
+HOT_LOG = 12
+#: Entries of a list in one side of a task of open pairs.
+OPEN_BLOCK = 1024
+_ENTRY = {"key": np.uint64, "node": np.int64, "n": np.uint32, "pos": np.uint32, "hot": np.uint8}
 _ASK = {"doc": np.uint32, "home2": np.uint32, "doc2": np.uint32}
 _LONG = {"lkey": np.uint64, "lnode": np.int64, "ln": np.uint32, "lpos": np.uint32}
-_ASK_SCHEMA = "home int, bucket int, kind int, " + ", ".join(f"{k} binary" for k in (*_ASK, *_LONG))
+_FIELDS = [*_ASK, *_LONG, *_ENTRY]
+_MIXED = "home int, bucket int, kind int, " + ", ".join(f"{k} binary" for k in _FIELDS)
 _SENT = "home int, kind int, src bigint, n bigint, words binary, targets binary, " + ", ".join(f"{k} binary" for k in _LONG)
 _OUT = "kind int, a bigint, b bigint, na bigint, nb bigint, overlap bigint"
-DOCUMENT, PAIR, LISTED = 0, 1, 2
+DOCUMENT, PAIR, LISTED, HEAD = 0, 1, 2, 3
 
 
 def shingle_sets(texts, size: int) -> list[np.ndarray]:
@@ -77,11 +87,9 @@ def frequency_classes(documents: DataFrame, size: int, text_col: str = "text") -
 
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in batches:
-            data, off = X.buffers(batch["text"])
-            for i, j in X.ranges(off, 4 * X.STEP):
-                _, _, _, h = X.words(data[off[i] : off[j]], off[i : j + 1] - off[i], lower=True)
-                np.add(total, np.bincount((X.grams(h, size) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS), out=total, casting="unsafe")
+        for part in X.slices(batches, 4 * X.STEP):
+            _, _, _, h = X.words(*X.buffers(part["text"]), lower=True)
+            np.add(total, np.bincount((X.grams(h, size) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS), out=total, casting="unsafe")
         parts = np.minimum(total, 65535).astype("<u2").reshape(_PARTS, -1)
         keep = np.flatnonzero(parts.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([zlib.compress(parts[k].tobytes(), 1) for k in keep], pa.binary())], ["part", "counts"])
@@ -97,121 +105,123 @@ def frequency_classes(documents: DataFrame, size: int, text_col: str = "text") -
     return out.tobytes()
 
 
-def _distinct_texts(documents: DataFrame, groups: int, id_col: str, text_col: str) -> DataFrame:
-    """home, doc_id, digest, text: the text only in a partition's first row of equal texts."""
-
-    def once(batches):
-        seen = set()
-        for batch in batches:
-            digests, keep = [], []
-            for t in batch["text"].to_pylist():
-                d = hashlib.blake2b((t or "").encode(), digest_size=16).digest()
-                digests.append(d)
-                keep.append(d not in seen)
-                seen.add(d)
-            home = [int.from_bytes(d[:6], "little") % groups for d in digests]
-            text = pa.array([t if k else None for t, k in zip(batch["text"].to_pylist(), keep, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), batch["doc_id"], pa.array(digests, pa.binary()), text], ["home", "doc_id", "digest", "text"])
-
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(once, "home int, doc_id bigint, digest binary, text string")
-
-
-def _group(table: pa.Table):
-    """Distinct texts in the order of their digests, and each row's place among them."""
-    digests, texts = table["digest"].to_pylist(), table["text"].to_pylist()
-    best = {}
-    for d, t in zip(digests, texts, strict=True):
-        if t or d not in best:
-            best[d] = t
-    order = sorted(best)
-    place = {d: i for i, d in enumerate(order)}
-    return pa.array([best[d] for d in order], pa.string()), np.array([place[d] for d in digests], np.int64)
-
-
-def _fill(table: pa.Table, names) -> pa.Table:
-    for n in names:
+def _fill(table: pa.Table) -> pa.Table:
+    for n in _FIELDS:
         if n not in table.column_names:
             table = table.append_column(n, pa.array([b""] * len(table), pa.binary()))
-    return table
+    return table.select(["home", "bucket", "kind", *_FIELDS])
 
 
 def _possible(ni, pi, nj, pj):
     """Sizes and positions (of a shared shingle) leave a similarity of 0.8 possible; ni <= nj."""
-    ni, pi, nj, pj = (x.astype(np.int64) for x in (ni, pi, nj, pj))
+    ni, pi, nj, pj = (np.asarray(x).astype(np.int64) for x in (ni, pi, nj, pj))
     return (5 * ni >= 4 * nj) & (9 * (1 + np.minimum(ni - 1 - pi, nj - 1 - pj)) >= 4 * (ni + nj))
 
 
+def _passing(n: np.ndarray, pos: np.ndarray, head: int) -> np.ndarray:
+    """Entries (in the order of positions) that may be similar to the entry `head`: skip blocks first, then their entries."""
+    starts = np.arange(0, len(n), SKIP)
+    low, high, least = np.minimum.reduceat(n, starts).astype(np.int64), np.maximum.reduceat(n, starts).astype(np.int64), pos[starts].astype(np.int64)
+    nh, ph = int(n[head]), int(pos[head])
+    blocks = np.flatnonzero((9 * (1 + np.minimum(nh - 1 - ph, high - 1 - least)) >= 4 * (nh + low)) & (4 * low <= 5 * nh) & (5 * high >= 4 * nh))
+    at = (blocks[:, None] * SKIP + np.arange(SKIP)).ravel()
+    at = at[(at < len(n)) & (at != head)]
+    swap = n[at] > nh
+    return at[_possible(np.where(swap, nh, n[at]), np.where(swap, ph, pos[at]), np.where(swap, n[at], nh), np.where(swap, pos[at], ph))]
+
+
+def _list_pairs(key, n, pos):
+    """(first, second) indexes to compare, and which are heads, of entries sorted by key and size."""
+    start, count = B.runs(key)
+    end = np.repeat(start + count, count)
+    short = np.repeat(count <= SHORT, count)
+    at = np.arange(len(key))
+    first, second, heads = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(1, SHORT):
+        i = at[: max(0, len(at) - k)]
+        i = i[(i + k < end[i]) & (short[i] | (k == 1))]
+        i = i[_possible(n[i], pos[i], n[i + k], pos[i + k])]
+        first.append(i)
+        second.append(i + k)
+    for a, c in zip(start[count > SHORT].tolist(), count[count > SHORT].tolist(), strict=True):
+        low = a
+        while low < a + c:  # a size block: as far as the least size allows
+            stop = max(low + 1, a + int(np.searchsorted(n[a : a + c], int(n[low]) * 5 // 4, "right")))
+            block = low + np.argsort(pos[low:stop], kind="stable")
+            for head in range(min(HEADS, len(block))):
+                fits = block[_passing(n[block], pos[block], head)]
+                first.append(np.full(len(fits), block[head]))
+                second.append(fits)
+            heads.append(block[:HEADS])
+            low = stop
+    return np.concatenate(first), np.concatenate(second), np.concatenate(heads), ~short
+
+
 def similar_components(documents: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable over links of similarity 0.8 or more)."""
-    groups = B.count_of(documents)
+    """doc_id, n_shingles, component_id (least doc_id reachable over links of similarity 0.8 or more), rid (a hash of id and text), stays (in one row's id and text of each component)."""
+    groups = B.count_of(documents, text_col)
     spark = documents.sparkSession
-    classes = spark.sparkContext.broadcast(frequency_classes(documents, size, text_col))
-    texts = _distinct_texts(documents, groups, id_col, text_col)
-    by_home = lambda: texts.groupBy("home")
-
-    def prefixes(table: pa.Table) -> pa.Table:
-        home = table["home"][0].as_py()
-        known = np.frombuffer(classes.value, np.uint8)
+    counted = frequency_classes(documents, size, text_col)
+    classes, hottest = spark.sparkContext.broadcast(counted), max(counted)
+    homed = B.homed(documents, groups, id_col, text_col)
+    by_home = lambda: homed.groupBy("home")
+    keyed = homed.select("doc_id", "rid", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"))
+    # of equal texts the row that is compared: any one; least id for the component's name
+    named = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
+    reps = _graph.checkpoint(keyed.groupBy("digest").agg(F.min("rid").alias("first"), F.min(named).alias("name"), F.count("*").alias("n")).withColumn("home", F.pmod("first", F.lit(groups)).cast("int")))
+    here = reps.select("home", "first")
+
+    def prefixes(table: pa.Table, firsts: pa.Table) -> pa.Table:
         cols = {k: [] for k in _ENTRY}
-        for i, s in enumerate(shingle_sets(_group(table)[0], size)):
-            n = len(s)
-            if not n:
-                continue
-            order = known[s & np.uint64((1 << SKETCH_BITS) - 1)].astype(np.uint64) << np.uint64(58) | s >> np.uint64(6)
-            p = n - (4 * n + 4) // 5 + 1
-            top = s[np.argsort(order, kind="stable")[:p]]
-            cols["key"].append(top)
-            cols["doc"].append(np.full(p, i, np.uint32))
-            cols["n"].append(np.full(p, n, np.uint32))
-            cols["pos"].append(np.arange(p, dtype=np.uint32))
+        if len(table) and len(firsts):
+            home = table["home"][0].as_py()
+            table = B.ordered(table)
+            rows = np.searchsorted(table["rid"].to_numpy(), np.sort(firsts["first"].to_numpy()))
+            known = np.frombuffer(classes.value, np.uint8)
+            for i, s in zip(rows.tolist(), shingle_sets(table["text"].take(pa.array(rows)), size), strict=True):
+                n = len(s)
+                if not n:
+                    continue
+                order = known[s & np.uint64((1 << SKETCH_BITS) - 1)].astype(np.uint64) << np.uint64(58) | s >> np.uint64(6)
+                p = n - (4 * n + 4) // 5 + 1
+                top = s[np.argsort(order, kind="stable")[:p]]
+                cols["key"].append(top)
+                cols["node"].append(np.full(p, home << 32 | i, np.int64))
+                cols["n"].append(np.full(p, n, np.uint32))
+                cols["pos"].append(np.arange(p, dtype=np.uint32))
+                cols["hot"].append(known[top & np.uint64((1 << SKETCH_BITS) - 1)])
         if not cols["key"]:
             return B.empty("bucket", _ENTRY)
         e = {k: np.concatenate(v) for k, v in cols.items()}
-        bucket = B.bucket_of(e["key"], groups)
-        e["key"] = e["key"].astype(np.uint32)
-        return B.pack("bucket", bucket, home, e)
+        return B.pack("bucket", parts_of(e["key"], e["node"], e["hot"]), home, e)
+
+    def parts_of(key, node, hot) -> np.ndarray:
+        """The task of each entry: one for a list, or by its set as well where the list is frequent."""
+        parts = np.uint64(1) << np.maximum(hot.astype(np.int64) + 1 - HOT_LOG, 0).astype(np.uint64)
+        return B.bucket_of(X.mix(key + X.mix(node.astype(np.uint64)) % parts), groups)
 
     def candidates(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
-        e = B.unpack(table, _ENTRY, "home")
-        order = np.lexsort((e["doc"], e["home"], e["n"], e["key"]))
+        e = B.unpack(table, _ENTRY)
+        order = np.lexsort((e["node"], e["n"], e["key"]))
         start, count = B.runs(e["key"][order])
-        many = count > 1
-        keep = np.repeat(many, count)
-        order, start, count = order[keep], (np.cumsum(count[many]) - count[many]), count[many]
-        key, doc, n, pos, home = (e[k][order] for k in ("key", "doc", "n", "pos", "home"))
-        end = np.repeat(start + count, count)
-        short = np.repeat(count <= SHORT, count)
-        at = np.arange(len(order))
-        first, second = [], []
-        for k in range(1, SHORT):
-            i = at[: max(0, len(at) - k)]
-            i = i[(i + k < end[i]) & (short[i] | (k == 1))]
-            i = i[_possible(n[i], pos[i], n[i + k], pos[i + k])]
-            first.append(i)
-            second.append(i + k)
-        for a, c in zip(start[count > SHORT].tolist(), count[count > SHORT].tolist(), strict=True):
-            low = a
-            while low < a + c:  # a size block: as far as the least size allows
-                stop = max(low + 1, a + int(np.searchsorted(n[a : a + c], n[low] * 5 // 4, "right")))
-                block = np.arange(low, stop)
-                for head in low + np.argsort(pos[low:stop], kind="stable")[:HEADS]:
-                    lo, hi = np.minimum(block, head), np.maximum(block, head)
-                    fits = (block != head) & _possible(n[lo], pos[lo], n[hi], pos[hi])
-                    first.append(np.full(int(fits.sum()), head))
-                    second.append(block[fits])
-                low = stop
-        i, j = np.concatenate(first), np.concatenate(second)
-        pair = np.unique(np.stack([home[i].astype(np.int64) << 32 | doc[i], home[j].astype(np.int64) << 32 | doc[j]], 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
-        pair = pair[pair[:, 0] != pair[:, 1]]
-        ask = {"doc": (pair[:, 0] & 0xFFFFFFFF).astype(np.uint32), "home2": (pair[:, 1] >> 32).astype(np.uint32), "doc2": (pair[:, 1] & 0xFFFFFFFF).astype(np.uint32)}
-        out = B.pack("home", (pair[:, 0] >> 32).astype(np.int32), bucket, ask)
-        big = at[~short]
-        listed = {"lkey": np.uint64(bucket) << np.uint64(32) | key[big].astype(np.uint64), "lnode": home[big].astype(np.int64) << 32 | doc[big], "ln": n[big], "lpos": pos[big]}
-        long = B.pack("home", home[big].astype(np.int32), bucket, listed, kind=LISTED)
-        names = [*_ASK, *_LONG]
-        both = [_fill(t, names).select(["home", "bucket", "kind", *names]) for t in (out, long)]
-        return pa.concat_tables(both)
+        order = order[np.repeat(count > 1, count) | (e["hot"][order] >= HOT_LOG)]
+        key, node, n, pos, hot = (e[k][order] for k in _ENTRY)
+        i, j, heads, big = _list_pairs(key, n, pos)
+        pair = np.stack([node[i], node[j]], 1)
+        pair = np.unique(pair[pair[:, 0] != pair[:, 1]], axis=0)
+        alone = np.repeat(B.runs(key)[1], B.runs(key)[1]) <= SHORT
+        up = np.union1d(heads, np.flatnonzero(alone))  # what stands for a part of a frequent list
+        up = up[hot[up] >= HOT_LOG]
+        out = [_fill(_asked(pair[:, 0], pair[:, 1], bucket))]
+        big |= hot >= HOT_LOG
+        listed = {"lkey": key[big], "lnode": node[big], "ln": n[big], "lpos": pos[big]}
+        out.append(_fill(B.pack("home", (node[big] >> 32).astype(np.int32), bucket, listed, kind=LISTED)))
+        if len(up):
+            less = np.maximum(hot[up].astype(np.int64) - HOT_LOG + 4, 0).astype(np.uint8)  # some heads of each part are left
+            e = {"key": key[up], "node": node[up], "n": n[up], "pos": pos[up], "hot": less}
+            out.append(_fill(B.pack("bucket", parts_of(e["key"], e["node"], less), bucket, e, kind=HEAD)))
+        return pa.concat_tables(out)
 
     def send(table: pa.Table, asked: pa.Table) -> pa.Table:
         rows = {k: [] for k in ("home", "kind", "src", "n", "words", "targets", *_LONG)}
@@ -221,119 +231,132 @@ def similar_components(documents: DataFrame, size: int = 5, id_col: str = "doc_i
             q = B.unpack(asked.filter(pa.array(kinds == 0)), _ASK)
             trip = np.unique(np.stack([q["doc"], q["home2"], q["doc2"]], 1), axis=0) if len(q["doc"]) else np.zeros((0, 3), np.uint32)
             needed, back = np.unique(trip[:, 0], return_inverse=True)
-            sets = shingle_sets(_group(table)[0].take(pa.array(needed)), size) if len(needed) else []
+            sets = shingle_sets(B.ordered(table)["text"].take(pa.array(needed)), size) if len(needed) else []
             cut = np.flatnonzero(np.r_[True, (trip[1:, :2] != trip[:-1, :2]).any(1)]) if len(trip) else np.zeros(0, np.int64)
             for a, b in zip(cut.tolist(), np.r_[cut[1:], len(trip)].tolist(), strict=True) if len(cut) else ():
-                s = sets[back[a]] >> np.uint64(16)
+                s = sets[back[a]]
                 rows["home"].append(int(trip[a, 1]))
                 rows["kind"].append(PAIR)
                 rows["src"].append(home << 32 | int(trip[a, 0]))
                 rows["n"].append(len(s))
-                rows["words"].append(np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+                rows["words"].append(s.tobytes())
                 rows["targets"].append(trip[a:b, 2].tobytes())
                 for k in _LONG:
                     rows[k].append(b"")
             for r in asked.filter(pa.array(kinds == LISTED)).to_pylist():
-                rows["home"].append(home)
-                rows["kind"].append(LISTED)
-                rows["src"].append(0)
-                rows["n"].append(0)
-                rows["words"].append(b"")
-                rows["targets"].append(b"")
-                for k in _LONG:
-                    rows[k].append(r[k])
+                for k, v in (("home", home), ("kind", LISTED), ("src", 0), ("n", 0), ("words", b""), ("targets", b""), *((k, r[k]) for k in _LONG)):
+                    rows[k].append(v)
         kinds_of = {"home": pa.int32(), "kind": pa.int32(), "src": pa.int64(), "n": pa.int64()}
         return pa.table({k: pa.array(v, kinds_of.get(k, pa.binary())) for k, v in rows.items()})
 
-    def verify(table: pa.Table, sent: pa.Table, all_documents: bool) -> pa.Table:
+    def verify(table: pa.Table, sent: pa.Table) -> pa.Table:
         out = {k: [] for k in ("kind", "a", "b", "na", "nb", "overlap")}
 
         def add(kind, a, b, na=0, nb=0, overlap=0):
-            m = len(a)
             for k, v in (("kind", kind), ("a", a), ("b", b), ("na", na), ("nb", nb), ("overlap", overlap)):
-                out[k].append(np.broadcast_to(np.asarray(v, np.int64), m))
+                out[k].append(np.broadcast_to(np.asarray(v, np.int64), len(a)))
 
-        ids = np.zeros(0, np.int64)
-        if len(table):
+        if len(table) and len(sent):
             home = table["home"][0].as_py()
-            distinct, place = _group(table)
-            is_pair = sent["kind"].to_numpy() == PAIR if len(sent) else np.zeros(0, bool)
-            pairs = sent.filter(pa.array(is_pair))
-            if all_documents:
-                sets = dict(enumerate(shingle_sets(distinct, size)))
-                ids = B.ids_of(table)
-                add(DOCUMENT, ids, home << 32 | place, np.array([len(sets[p]) for p in place.tolist()], np.int64))
-            else:
-                need = np.unique(np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(t, np.uint32) for t in pairs["targets"].to_pylist())]))
-                sets = dict(zip(need.tolist(), shingle_sets(distinct.take(pa.array(need)), size), strict=True))
+            table = B.ordered(table)
+            kinds = sent["kind"].to_numpy()
+            pairs = sent.filter(pa.array(kinds == PAIR))
+            firsts = np.sort(sent.filter(pa.array(kinds == DOCUMENT))["src"].to_numpy())
+            rows = np.searchsorted(table["rid"].to_numpy(), firsts)
+            need = np.unique(np.concatenate([rows, *(np.frombuffer(t, np.uint32) for t in pairs["targets"].to_pylist())]).astype(np.int64))
+            sets = dict(zip(need.tolist(), shingle_sets(table["text"].take(pa.array(need)), size), strict=True))
+            add(DOCUMENT, firsts, home << 32 | rows, np.array([len(sets[p]) for p in rows.tolist()], np.int64))
             for src, n, raw, targets in zip(pairs["src"].to_pylist(), pairs["n"].to_pylist(), pairs["words"].to_pylist(), pairs["targets"].to_pylist(), strict=True):
-                x = np.zeros((n, 8), np.uint8)
-                x[:, :6] = np.frombuffer(raw, np.uint8).reshape(n, 6)
-                x = x.view(np.uint64).ravel()
+                x = np.frombuffer(raw, np.uint64)
                 for t in np.frombuffer(targets, np.uint32).tolist():
-                    y = sets[t] >> np.uint64(16)
+                    y = sets[t]
                     found = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
                     add(PAIR, [src], [home << 32 | t], n, len(y), int(found.sum()))
-            if len(sent):
-                e = B.unpack(sent.filter(pa.array(~is_pair)), _LONG)
-                add(LISTED, e["lnode"], e["lkey"].astype(np.int64), e["ln"], e["lpos"])
+            e = B.unpack(sent.filter(pa.array(kinds == LISTED)), _LONG)
+            add(LISTED, e["lnode"], e["lkey"].astype(np.int64), e["ln"], e["lpos"])
         cols = {k: np.concatenate([np.zeros(0, np.int64), *v]) for k, v in out.items()}
-        a = pa.array(cols["a"], mask=(cols["kind"] == DOCUMENT) & (cols["a"] == np.iinfo(np.int64).max))
-        return pa.table({"kind": pa.array(cols["kind"], pa.int32()), "a": a} | {k: pa.array(cols[k]) for k in ("b", "na", "nb", "overlap")})
+        return pa.table({"kind": pa.array(cols.pop("kind"), pa.int32())} | {k: pa.array(v) for k, v in cols.items()})
 
-    def asked_of(table: pa.Table) -> pa.Table:
-        a, b = table["a"].to_numpy(), table["b"].to_numpy()
-        ask = {"doc": (a & 0xFFFFFFFF).astype(np.uint32), "home2": (b >> 32).astype(np.uint32), "doc2": (b & 0xFFFFFFFF).astype(np.uint32)}
-        return _fill(B.pack("home", (a >> 32).astype(np.int32), 0, ask), _LONG).select(["home", "bucket", "kind", *_ASK, *_LONG])
-
-    def compared(asked: DataFrame, all_documents: bool) -> DataFrame:
+    def compared(asked: DataFrame, firsts: DataFrame | None) -> DataFrame:
         sent = by_home().cogroup(asked.groupBy("home")).applyInArrow(send, _SENT)
-        return by_home().cogroup(sent.groupBy("home")).applyInArrow(lambda t, s: verify(t, s, all_documents), _OUT)
-
-    lists = by_home().applyInArrow(prefixes, B.schema("bucket", _ENTRY))
-    asked = lists.groupBy("bucket").applyInArrow(candidates, _ASK_SCHEMA)
-    found = _graph.checkpoint(compared(asked, True))
+        if firsts is not None:
+            blank = [F.lit(b"").alias(k) for k in ("words", "targets", *_LONG)]
+            sent = sent.unionByName(firsts.select("home", F.lit(DOCUMENT).alias("kind"), F.col("first").alias("src"), F.lit(0).cast("long").alias("n"), *blank))
+        return by_home().cogroup(sent.groupBy("home")).applyInArrow(verify, _OUT)
+
+    tier = by_home().cogroup(here.groupBy("home")).applyInArrow(prefixes, B.schema("bucket", _ENTRY))
+    asked, hot = None, hottest
+    while True:
+        found = tier.groupBy("bucket").applyInArrow(candidates, _MIXED)
+        if hot >= HOT_LOG:
+            found = _graph.checkpoint(found)
+        new = found.filter(F.col("kind") != HEAD)
+        new = new if asked is None else new.filter(F.col("kind") == 0)  # listed once, in the first tier
+        asked = new if asked is None else asked.unionByName(new)
+        if hot < HOT_LOG:
+            break
+        tier = found.filter(F.col("kind") == HEAD).select("bucket", "home", "kind", *_ENTRY)
+        hot = hot - HOT_LOG + 4
+    found = _graph.checkpoint(compared(asked, here))
     pairs = found.filter(F.col("kind") == PAIR)
     linked = lambda p: p.filter("9 * overlap >= 4 * (na + nb)").select("a", "b")
     groups_of = _graph.components(linked(pairs))
     more = _open_pairs(found.filter(F.col("kind") == LISTED), pairs, groups_of)
     if more is not None:
-        later = compared(more.withColumn("home", F.shiftright("a", 32).cast("int")).groupBy("home").applyInArrow(asked_of, _ASK_SCHEMA), False)
-        later = linked(later.filter(F.col("kind") == PAIR))
-        groups_of = _graph.components(linked(pairs).unionByName(later))
-    docs = found.filter(F.col("kind") == DOCUMENT).select(F.col("a").alias("doc_id"), F.when(F.col("na") > 0, F.col("b")).alias("node"), F.col("na").alias("n_shingles"))
-    docs = docs.join(groups_of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = docs.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return docs.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        later = compared(more.withColumn("home", F.shiftright("a", 32).cast("int")).groupBy("home").applyInArrow(lambda t: _fill(_asked(t["a"].to_numpy(), t["b"].to_numpy(), 0)), _MIXED), None)
+        groups_of = _graph.extended(groups_of, linked(later.filter(F.col("kind") == PAIR)))
+    docs = found.filter(F.col("kind") == DOCUMENT).select(F.col("a").alias("first"), F.when(F.col("na") > 0, F.col("b")).alias("node"), F.col("na").alias("n_shingles"))
+    docs = docs.join(groups_of, "node", "left").select("first", "n_shingles", F.coalesce("component", "node").alias("component"))
+    texts = reps.join(docs, "first").select("digest", "name", "n", "n_shingles", "component")
+    sizes = texts.filter("component is not null").groupBy("component").agg(F.min("name").alias("least"), F.count("*").alias("m"))
+    texts = _graph.checkpoint(_graph.spread_join(texts, sizes.drop("m"), "component", _graph.hot_values(sizes, "component", "m"), "digest"))
+    rows = keyed.select("doc_id", "rid", "digest")
+    rows = _graph.spread_join(rows, texts.select("digest", "n_shingles", "least"), "digest", _graph.hot_values(texts, "digest"), "rid")
+    least = F.coalesce("least", F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))
+    return rows.select("doc_id", "n_shingles", least["doc_id"].alias("component_id"), "rid", (F.col("rid") == least["rid"]).alias("stays"))
+
+
+def _asked(a: np.ndarray, b: np.ndarray, bucket: int) -> pa.Table:
+    ask = {"doc": (a & 0xFFFFFFFF).astype(np.uint32), "home2": (b >> 32).astype(np.uint32), "doc2": (b & 0xFFFFFFFF).astype(np.uint32)}
+    return B.pack("home", (a >> 32).astype(np.int32), bucket, ask)
 
 
 def _open_pairs(listed: DataFrame, pairs: DataFrame, groups_of: DataFrame) -> DataFrame | None:
     """(a, b) of large lists that neither components nor the bound by a common compared set settle."""
     entries = listed.select(F.col("a").alias("node"), F.col("b").alias("key"), F.col("na").alias("n"), F.col("nb").alias("pos"))
     entries = entries.join(groups_of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = entries.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    asked = pairs.groupBy("a").agg(F.count("*").alias("times"))
-    best = pairs.join(asked, "a").groupBy(F.col("b").alias("node")).agg(F.max(F.struct("times", "a", "overlap")).alias("m")).select("node", F.col("m.a").alias("head"), F.col("m.overlap").alias("shared"))
-    entries = _graph.checkpoint(entries.join(mixed, "key", "left_semi").join(best, "node", "left").na.fill({"head": -1, "shared": 0}))
+    entries = _graph.checkpoint(entries)
+    sizes = entries.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
+    hot = _graph.hot_values(sizes, "key", "m")
+    mixed = sizes.filter("lo <> hi").select("key", F.ceil(F.col("m") / OPEN_BLOCK).cast("int").alias("blocks"))
+    entries = _graph.spread_join(entries, mixed, "key", hot, "node", "inner")
+    times = pairs.groupBy("a").agg(F.count("*").alias("m"))
+    best = _graph.spread_join(pairs, times, "a", _graph.hot_values(times, "a", "m"), "b", "inner").groupBy(F.col("b").alias("node")).agg(F.max(F.struct("m", "a", "overlap")).alias("m")).select("node", F.col("m.a").alias("head"), F.col("m.overlap").alias("shared"))
+    entries = entries.join(best, "node", "left").na.fill({"head": -1, "shared": 0})
+    entries = _graph.checkpoint(entries.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     if entries.isEmpty():
         return None
+    # block pairs of a list: each entry meets every block, once
+    met = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
 
     def open_(table: pa.Table) -> pa.Table:
-        t = {k: table[k].to_numpy() for k in ("node", "n", "pos", "component", "head", "shared")}
+        t = {k: table[k].to_numpy() for k in ("node", "n", "pos", "component", "head", "shared", "side")}
         order = np.lexsort((t["node"], t["n"]))
         t = {k: v[order] for k, v in t.items()}
-        a, b = [], []
+        across = table["lo"][0].as_py() != table["hi"][0].as_py()
+        ends = np.searchsorted(t["n"], t["n"] * 5 // 4, "right")
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(len(order)):
-            j = np.arange(i + 1, int(np.searchsorted(t["n"], t["n"][i] * 5 // 4, "right")))
-            j = j[t["component"][j] != t["component"][i]]
-            j = j[_possible(np.full(len(j), t["n"][i]), np.full(len(j), t["pos"][i]), t["n"][j], t["pos"][j])]
+            j = np.arange(i + 1, ends[i])
+            j = j[(t["component"][j] != t["component"][i]) & ((t["side"][j] != t["side"][i]) | (not across))]
+            j = j[_possible(t["n"][i], t["pos"][i], t["n"][j], t["pos"][j])]
             most = np.minimum(t["shared"][i], t["shared"][j]) + np.minimum(t["n"][i] - t["shared"][i], t["n"][j] - t["shared"][j])
             j = j[(t["head"][j] != t["head"][i]) | (t["head"][i] < 0) | (9 * most >= 4 * (t["n"][i] + t["n"][j]))]
             a.append(np.full(len(j), t["node"][i]))
             b.append(t["node"][j])
         return pa.table({"a": np.concatenate(a).astype(np.int64), "b": np.concatenate(b).astype(np.int64)})
 
-    pairs_left = entries.groupBy("key").applyInArrow(open_, "a bigint, b bigint").distinct()
+    pairs_left = met.groupBy("key", "lo", "hi").applyInArrow(open_, "a bigint, b bigint").distinct()
     done = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     more = _graph.checkpoint(pairs_left.join(done, ["a", "b"], "left_anti"))
     return None if more.isEmpty() else more
