@@ -11,7 +11,8 @@ range are numbered together. A source with most of the rows is spread over all
 its hash ranges. Built-in functions only.
 
 Edge cases: a null source is a source of its own; rows alike in everything are
-interchangeable; an empty table gives no rows; other columns are ignored.
+interchangeable; an empty table gives no rows; other columns are kept, but for
+earlier ones named shard or slot, which the new ones replace.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def interleave(rows: DataFrame, shards: int, stratum: str | Column = "source", k
     """`rows` with shard (0 to shards - 1) and slot (from 0 in each shard); counts of shards differ by one at most."""
     bits, n_ranges = range_bits, 1 << range_bits
     stratum = F.col(stratum) if isinstance(stratum, str) else stratum
-    named = rows.select(F.struct(*[F.col(c) for c in rows.columns]).alias("_row"), F.coalesce(F.concat(F.lit("="), stratum.cast("string")), F.lit("-")).alias("_stratum"), F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]).alias("_hash"))
+    named = rows.select(F.struct(*[F.col(c) for c in rows.columns if c.lower() not in ("shard", "slot") or c in keys]).alias("_row"), F.coalesce(F.concat(F.lit("="), stratum.cast("string")), F.lit("-")).alias("_stratum"), F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]).alias("_hash"))
     named = named.withColumn("_range", F.shiftright("_hash", 64 - bits))
     counts = named.groupBy("_stratum", "_range").agg(F.count("*").alias("_n"))
     before = W.partitionBy("_stratum").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
@@ -42,4 +43,5 @@ def interleave(rows: DataFrame, shards: int, stratum: str | Column = "source", k
     place = F.row_number().over(W.partitionBy("_range").orderBy("_at", "_stratum"))
     placed = ranked.withColumn("_place", place).join(firsts, "_range")
     placed = placed.withColumn("_place", F.col("_first") + F.col("_place") - 1).withColumn("_shard", F.expr(f"(_place * {shards}L) div _of"))
-    return placed.select("_row.*", F.col("_shard").cast("int").alias("shard"), (F.col("_place") - F.expr(f"(_shard * _of + {shards - 1}L) div {shards}L")).alias("slot"))
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in rows.columns if c.lower() not in ("shard", "slot")]
+    return placed.select(*kept, F.col("_shard").cast("int").alias("shard"), (F.col("_place") - F.expr(f"(_shard * _of + {shards - 1}L) div {shards}L")).alias("slot"))
