@@ -1,10 +1,158 @@
 """Cases in which an operator once did less than its whole job."""
 
+import collections
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from tracklane.llm import best_fit_packing, redirect_rules
+from tracklane.llm import _text as X, best_fit_packing, difference_cover, factorisation_machine as fm, prefix_doubling, prefix_forest, redirect_rules, set_relations, stratified_shards
+
+
+def _thue_morse(n: int, first: str = "a", second: str = "b") -> str:
+    return "".join((first, second)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_structured_words(spark):
+    """Words and their complements, which polynomials modulo a power of two do not tell apart."""
+    sizes = (4, 8, 64, 128, 512, 1024, 4096)
+    both = [(_thue_morse(n), _thue_morse(n, "b", "a")) for n in sizes]
+    h = X.words(*X.buffers(pa.array([" ".join(w) for w in both])))[3]
+    assert len(np.unique(h)) == len(h)
+    rows = []
+    for k, (x, y) in enumerate(both):
+        tail = " ".join(f"w{k}x{i}" for i in range(12))
+        rows += [(2 * k, f"{x} {tail}"), (2 * k + 1, f"{y} {tail}"), (100 + 2 * k, " ".join([x] + [f"u{k}y{i}" for i in range(4)])), (101 + 2 * k, " ".join([y] + [f"u{k}y{i}" for i in range(4)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["n_removed"] for r in difference_cover.remove_repeated_windows(df).collect()} == {0}
+    assert all(r["component_id"] == r["doc_id"] for r in set_relations.similar_components(df.filter("doc_id >= 100")).collect())
+    data = np.frombuffer((_thue_morse(4096) + _thue_morse(4096, "b", "a")).encode(), np.uint8)
+    for size in (5, 8, 12, 100, 200):
+        seen = collections.defaultdict(set)
+        for p, v in enumerate(X.window_hash(data, size).tolist()):
+            seen[v].add(data[p : p + size].tobytes())
+        assert max(map(len, seen.values())) == 1 and len(seen) == len({b for v in seen.values() for b in v})
+
+
+def test_long_texts(spark, monkeypatch):
+    """Texts far longer than a step, worked through in pieces."""
+    monkeypatch.setattr(X, "STEP", 5000)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9)))
+    long = [" ".join(word() for _ in range(n)) for n in (9000, 30, 4000)] + ["z" * 30_000, "", "q" * 4999 + " " + "r" * 5001]
+    long.append(long[0][7000:31_000] + long[2] + long[0][:900])
+    texts = [t.encode() for t in long]
+    data, off = X.buffers(pa.array(long))
+    start, end, doc, h = X.words(data, off)
+    want = [(i, m) for i, t in enumerate(texts) for m in t.split()]
+    assert [(int(d), data[a:b].tobytes()) for a, b, d in zip(start, end, doc)] == want
+    assert (X.words(*X.buffers(pa.array([m.decode() for _, m in want])))[3] == h).all()
+    L = 200
+    rank, ctx, d, lo, n = prefix_doubling._ranked(data, off, L)
+    cover = collections.Counter((i, p + k) for i, p, m in zip(d.tolist(), lo.tolist(), n.tolist()) for k in range(m + 1))
+    assert cover == {(i, p): 1 for i, t in enumerate(texts) for p in range(len(t) - L + 1)}
+    wd = np.repeat(d, n.astype(int) + 1).astype(np.int64)
+    wl = np.concatenate([np.arange(a, a + m + 1) for a, m in zip(lo.astype(int), n.astype(int))])
+    key, more = prefix_doubling._whole(data, off, L, wd, wl)
+    strings = [texts[a][b : b + L] for a, b in zip(wd, wl)]
+    assert len(set(strings)) == len(set(key.tolist())) == len(set(zip(strings, key.tolist(), more.tolist())))
+    groups = collections.defaultdict(set)
+    for r, c, i, p, m in zip(rank.tolist(), ctx.tolist(), d.tolist(), lo.tolist(), n.tolist()):
+        groups[r, c].add(texts[i][p : p + m + L])
+    assert max(map(len, groups.values())) == 1
+
+
+def test_long_texts_end_to_end(spark):
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(90_000)}" for _ in range(400_000))  # some 2.6 MB
+    rows = [(1, long), (2, long[1_000_000:1_400_000] + " end"), (3, "short"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = {r["doc_id"]: r["n_removed"] for r in prefix_doubling.remove_repeated_bytes(df).collect()}
+    assert cut == {1: 400_000, 2: 400_000, 3: 0, 4: 0}
+    words = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in difference_cover.remove_repeated_windows(df).collect()}
+    n = len(rows[1][1].split())
+    assert words[1] == (400_000, 0) and words[2][0] == n and n - 4 <= words[2][1] < n
+    assert {r["doc_id"]: r["component_id"] for r in set_relations.similar_components(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    m = fm.Machine(0.1, np.zeros(fm.SIZE), np.ones((fm.SIZE, 2)) * 0.1)
+    assert all(0 <= r["score"] <= 1 for r in fm.score(df, m).collect())
+
+
+def test_many_copies_and_dissimilar_sets_of_one_list(spark, monkeypatch):
+    monkeypatch.setattr(set_relations, "HOT_LOG", 6)
+    monkeypatch.setattr(set_relations, "OPEN_BLOCK", 100)
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join(base)) for i in range(5000)]  # copies
+    rows += [(10_000 + i, " ".join(base[:i % 50] + [f"n{i}"] + base[i % 50 + 1:])) for i in range(300)]  # near copies
+    common = "c1 c2 c3 c4 c5"
+    for i in range(700):  # texts that share one shingle of two each
+        own = [f"d{i}x{k}" for k in range(rng.randint(1, 2) if i % 3 else 0)]
+        rows.append((20_000 + i, " ".join([common, *own])))
+    rows += [(30_000 + i, None if i % 2 else "c1 c2") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets.setdefault(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset(), []).append(i)
+    kinds = list(sets)
+    index = collections.defaultdict(list)
+    for k, s in enumerate(kinds):
+        for g in s:
+            index[g].append(k)
+    up = list(range(len(kinds)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, s in enumerate(kinds):
+        for o, c in collections.Counter(o for g in s for o in index[g]).items():
+            if o != k and 100 * c >= 80 * (len(s) + len(kinds[o]) - c):
+                up[top(k)] = top(o)
+    least = {}
+    for k, s in enumerate(kinds):
+        least[top(k)] = min([least.get(top(k), 10**9), *sets[s]])
+    want = {i: (len(s), least[top(k)] if s else i) for k, s in enumerate(kinds) for i in sets[s]}
+    got = set_relations.similar_components(df).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want and len(got) == len(rows)
+    assert sum(r["stays"] for r in got) == len({c for _, c in want.values()})
+
+
+def test_vectors_of_any_size(spark):
+    rows = [(0, [1e200, 2e200]), (1, [1e-200, 2e-200]), (2, [2.0, 1.0]), (3, [-1.0, 0.0]), (50, [1.0, 2.0, 3.0]), (51, [1.0, 2.0, 3.5]), (100, [5e-324, 0.0]), (100, [5e-324, 0.0]), (100, [0.0, 1.0])]
+    df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "vec_id long, embedding array<double>, row string, d double")
+    got = collections.defaultdict(list)
+    for r in prefix_forest.nearest(df, F.col("vec_id") % 50 == 0, k=2).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], round(r["score"], 9)))
+    assert got[0] == [(1, 1.0), (100, round(2 / 5**0.5, 9))] and got[50] == [(51, round(15.5 / (14 * 17.25) ** 0.5, 9))]
+    assert len(got[100]) == 4 and (1, round(2 / 5**0.5, 9)) in got[100]  # two rows of one id, each a query
+
+
+def test_shards_of_tied_rows_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a", "x", 9, 8)] * 40 + [(None, None, None, None, None)] * 9, "doc_id long, source string, _row string, shard int, SLOT int")
+    got = stratified_shards.interleave(df, 4).collect()
+    assert list(got[0].asDict()) == ["doc_id", "source", "_row", "shard", "slot"]
+    sizes = collections.Counter(r["shard"] for r in got)
+    assert sum(sizes.values()) == 49 and max(sizes.values()) - min(sizes.values()) <= 1
+    for s in sizes:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sizes[s]))
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from tracklane.llm import _graph
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        _graph.checkpoint_dir(Session)
 
 
 def test_relative_links_stay_on_their_hosts(spark):

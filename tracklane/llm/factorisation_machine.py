@@ -23,9 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import _text as X
+from . import _blocks as B, _text as X
 
 WORD_BITS = 14
+#: Words summed at a time.
+STEP = 1 << 16
 #: Bins of each structure statistic, by their edges.
 _SHARE = (0.0, 0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.07, 0.1, 0.13, 0.17, 0.22, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.97, 1.0)
 EDGES = {
@@ -101,11 +103,15 @@ class Machine:
         out = self.bias + self.linear[bins].sum(1)
         rows = self.factors[bins]
         s, q = rows.sum(1), (rows**2).sum(1)
-        sums = lambda v: np.diff(np.concatenate([np.zeros((1, *v.shape[1:])), np.cumsum(v, 0)])[first], axis=0)
-        out += sums(self.linear[words]) / many
-        v = self.factors[words]
-        s += sums(v) / many[:, None]
-        q += sums(v**2) / many[:, None] ** 2
+        doc = np.repeat(np.arange(len(many)), np.diff(first))
+        for lo in range(0, len(words), STEP):  # bounds the temporaries of a long text
+            d, w = doc[lo : lo + STEP], words[lo : lo + STEP]
+            add = lambda v: np.bincount(d, v, len(many))  # noqa: E731, B023
+            out += add(self.linear[w]) / many
+            for f in range(s.shape[1]):
+                v = self.factors[w, f]
+                s[:, f] += add(v) / many
+                q[:, f] += add(v**2) / many**2
         return out + 0.5 * (s**2 - q).sum(1)
 
     def score(self, words, first, bins) -> np.ndarray:
@@ -167,14 +173,12 @@ def train(documents: DataFrame, labels: DataFrame, use: Column, max_rows: int =
     rows = _inputs(documents, id_col, text_col, chars_col, []).join(F.broadcast(chosen), "doc_id")  # max_rows ids
 
     def extract(batches):
-        for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.slice(lo, 500)
-                words, first, bins = features(part["text"], _chars(part))
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], part["label"], pa.array([words[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()), pa.array([b.tobytes() for b in bins], pa.binary())],
-                    ["doc_id", "label", "words", "bins"],
-                )
+        for part in X.slices(batches):
+            words, first, bins = features(part["text"], _chars(part))
+            yield pa.RecordBatch.from_arrays(
+                [part["doc_id"], part["label"], pa.array([words[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()), pa.array([b.tobytes() for b in bins], pa.binary())],
+                ["doc_id", "label", "words", "bins"],
+            )
 
     got = rows.mapInArrow(extract, "doc_id bigint, label int, words binary, bins binary").toArrow().sort_by("doc_id")
     data = [(np.frombuffer(w, np.int32), np.frombuffer(b, np.int32)) for w, b in zip(got["words"].to_pylist(), got["bins"].to_pylist(), strict=True)]
@@ -188,11 +192,8 @@ def score(documents: DataFrame, machine: Machine, id_col: str = "doc_id", text_c
     rows = _inputs(documents, id_col, text_col, chars_col, [F.col(c).alias(n) for n, c in zip(names, carry, strict=True)])
 
     def judge(batches):
-        for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                part = batch.slice(lo, 1000)
-                s = held.value.score(*features(part["text"], _chars(part)))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(s, pa.float64()), *(part[n] for n in names)], ["doc_id", "score", *names])
-
-    extra = "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in names)
-    return rows.mapInArrow(judge, "doc_id bigint, score double" + extra).withColumnsRenamed(dict(zip(names, carry, strict=True)))
+        for part in X.slices(batches):
+            s = held.value.score(*features(part["text"], _chars(part)))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(s, pa.float64()), *(part[n] for n in names)], ["doc_id", "score", *names])
+
+    return rows.mapInArrow(judge, B.carried("doc_id bigint, score double", rows, names)).withColumnsRenamed(dict(zip(names, carry, strict=True)))
