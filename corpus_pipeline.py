@@ -9,43 +9,65 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracklane.llm import best_fit_packing, difference_cover, factorisation_machine, positional_index, set_relations
-from tracklane.llm._graph import checkpoint_dir
+from tracklane.llm._graph import checkpoint, checkpoint_dir
 from tracklane.llm.queries import GOOD, _fold
 
 
-def _others(docs: DataFrame) -> tuple[str, ...]:
-    return tuple(c for c in docs.columns if c != "doc_id")
+def _free(name: str, docs: DataFrame) -> str:
+    """`name`, or the first with further underscores that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def _bundled(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with all their columns in one more, so that no name of an operator's result meets one of theirs."""
+    name = _free("_document", docs)
+    return docs.withColumn(name, F.struct(*_columns(docs))), name
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine predicts good stay."""
     machine = factorisation_machine.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~_fold(0))
-    return factorisation_machine.score(docs, machine, carry=_others(docs)).filter(F.col("score") >= GOOD).select(docs.columns)
+    rows, name = _bundled(docs)
+    return factorisation_machine.score(rows, machine, carry=(name,)).filter(F.col("score") >= GOOD).select(f"{name}.*")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the least id stays; rows without an id stay."""
-    gone = set_relations.similar_components(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each component of near copies the document with the least id stays; of rows alike in id and text one; documents without words stay."""
+    staying = checkpoint(set_relations.similar_components(docs).filter("stays").groupBy("rid").agg(F.count("*").alias("n")))
+    name = _free("_rid", docs)
+    rows = docs.withColumn(name, F.xxhash64("doc_id", "text")).join(staying.select(F.col("rid").alias(name)), name, "left_semi")
+    again = staying.filter("n > 1").select(F.col("rid").alias(name))
+    if not again.isEmpty():
+        rows = rows.join(again, name, "left_anti").unionByName(rows.join(again, name, "left_semi").dropDuplicates([name]))
+    return rows.select(*_columns(docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words inside windows that an earlier document has go; other texts stay as they are."""
-    kept = difference_cover.remove_repeated_windows(docs, carry=_others(docs))
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
-    changed = {"text": text}
+    rows, name = _bundled(docs)
+    kept = difference_cover.remove_repeated_windows(rows, carry=(name,))
+    changed = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept_text")).cast(docs.schema["n_chars"].dataType)
-    return kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+        changed["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    old = lambda c: F.col(f"{name}.`{c}`")
+    return kept.select(*[F.when(F.col("n_removed") == 0, old(c)).otherwise(changed[c]).alias(c) if c in changed else old(c).alias(c) for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words a twentieth or more stand in benchmark windows go."""
-    hit = positional_index.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select("rid").distinct()
-    return docs.withColumn("rid", F.xxhash64("doc_id", "text")).join(hit, "rid", "left_anti").select(docs.columns)
+    name = _free("_rid", docs)
+    hit = positional_index.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select(F.col("rid").alias(name)).distinct()
+    return docs.withColumn(name, F.xxhash64("doc_id", "text")).join(hit, name, "left_anti").select(*_columns(docs))
 
 
 def best_fit_packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +83,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing_stage),
 ]
 
-#: The classifier and the tokenizer have no SQL; tests hold run() against brute force.
+#: The classifier and the tokenizer have no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
