@@ -1,7 +1,7 @@
 """All queries over the driver's tables, with their SQL.
 
-The driver has no tracking data: `tracks` projects its events onto tracks, in
-Spark and, as the CTE `t`, in SQL.
+The driver has no tracking data: `tracks` projects its events onto tracks of games
+of a hundred frames, in Spark and, as the CTE `t`, in SQL.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ from .sources import tables
 from .streaming import folds, movers
 
 _WIDTH = 2000.0
-_T = """t AS (SELECT event_id // 15 + 1 AS frame, user_id % 20 + 1 AS id, value * 10.0 AS x, CAST(props->>'k' AS DOUBLE) * 5 AS y,
+_T = """t AS (SELECT (event_id // 15 + 1) // 100 AS game, event_id // 15 + 1 AS frame, user_id % 20 + 1 AS id, value * 10.0 AS x, CAST(props->>'k' AS DOUBLE) * 5 AS y,
   20.0 + event_id % 17 AS w, 40.0 + event_id % 23 AS h, (event_id % 100) / 100.0 AS score, event_type AS label, CAST(props->>'k' AS INT) AS number, event_id AS row_ord
   FROM events QUALIFY row_number() OVER (PARTITION BY event_id // 15, user_id % 20 ORDER BY event_id DESC) = 1)"""
-_V = _T + f""", l AS (SELECT *, lag(frame) OVER o AS pf, lag(x + w / 2) OVER o AS px, lag(y + y / 2) OVER o AS py FROM t WINDOW o AS (PARTITION BY id ORDER BY frame, row_ord)),
-v AS (SELECT frame, id, sqrt(((x + w / 2 - px) / {_WIDTH}) * ((x + w / 2 - px) / {_WIDTH}) + ((y + y / 2 - py) / {_WIDTH}) * ((y + y / 2 - py) / {_WIDTH})) AS v FROM l WHERE frame - pf BETWEEN 1 AND 2)"""
+_V = _T + f""", l AS (SELECT *, lag(frame) OVER o AS pf, lag(x + w / 2) OVER o AS px, lag(y + y / 2) OVER o AS py FROM t WINDOW o AS (PARTITION BY game, id ORDER BY frame, row_ord)),
+v AS (SELECT game, frame, id, sqrt(((x + w / 2 - px) / {_WIDTH}) * ((x + w / 2 - px) / {_WIDTH}) + ((y + y / 2 - py) / {_WIDTH}) * ((y + y / 2 - py) / {_WIDTH})) AS v FROM l WHERE frame - pf BETWEEN 1 AND 2)"""
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(20.0) + F.col("event_id") % 17).alias("w"), (F.lit(40.0) + F.col("event_id") % 23).alias("h"), ((F.col("event_id") % 100) / 100.0).alias("score"),
         F.col("event_type").alias("label"), k.cast("int").alias("number"), F.col("event_id").alias("row_ord"),
     )
-    return frames.last_of(rows, ("frame", "id"), "row_ord")
+    return frames.last_of(rows, ("frame", "id"), "row_ord").withColumn("game", F.expr("frame div 100"))
 
 
 QUERIES: dict = {}
@@ -50,26 +50,33 @@ def _r(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-_SLOW = _V + ", s AS (SELECT frame, count(*) AS n, count(*) FILTER (WHERE v < 0.05) AS slow FROM v GROUP BY 1 HAVING count(*) >= 4 AND count(*) FILTER (WHERE v < 0.05) / count(*) >= 0.6)"
-_LOW = _SLOW + """, k AS (SELECT frame, sum(CASE WHEN frame - lag <= 2 THEN 0 ELSE 1 END) OVER (ORDER BY frame) AS k FROM (SELECT frame, lag(frame) OVER (ORDER BY frame) AS lag FROM s)),
-low AS (SELECT min(frame) AS "start", max(frame) AS "end" FROM k GROUP BY k.k HAVING max(frame) - min(frame) + 1 >= 3)"""
+#: Velocities below this many image widths are slow; a frame of 4 tracks or more is slow where half of them are.
+_BAR, _SHARE = 0.2, 0.5
+_GAME = ("game",)
+_SLOW = _V + f", s AS (SELECT game, frame, count(*) AS n, count(*) FILTER (WHERE v < {_BAR}) AS slow FROM v GROUP BY 1, 2 HAVING count(*) >= 4 AND count(*) FILTER (WHERE v < {_BAR}) / count(*) >= {_SHARE})"
+_LOW = _SLOW + """, k AS (SELECT game, frame, sum(CASE WHEN frame - lag <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY game ORDER BY frame) AS k FROM (SELECT game, frame, lag(frame) OVER (PARTITION BY game ORDER BY frame) AS lag FROM s)),
+low AS (SELECT game, min(frame) AS "start", max(frame) AS "end" FROM k GROUP BY game, k.k HAVING max(frame) - min(frame) + 1 >= 3)"""
 
 
 def _breaks(gap: float) -> str:
-    return _LOW + f""", i AS (SELECT "start" / 30.0 AS s, ("end" - "start") / 30.0 AS d FROM low),
-m AS (SELECT s, s + d AS e, max(s + d) OVER (ORDER BY s, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe, d FROM i),
-g AS (SELECT s, e, sum(CASE WHEN s <= pe + {gap} THEN 0 ELSE 1 END) OVER (ORDER BY s, d) AS g FROM m)
-SELECT round(min(s), 6) AS start_s, round(max(e) - min(s), 6) AS duration_s FROM g GROUP BY g.g"""
+    return _LOW + f""", i AS (SELECT game, "start" / 30.0 AS s, ("end" - "start") / 30.0 AS d FROM low),
+m AS (SELECT game, s, s + d AS e, max(s + d) OVER (PARTITION BY game ORDER BY s, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe, d FROM i),
+g AS (SELECT game, s, e, sum(CASE WHEN s <= pe + {gap} THEN 0 ELSE 1 END) OVER (PARTITION BY game ORDER BY s, d) AS g FROM m)
+SELECT game, round(min(s), 6) AS start_s, round(max(e) - min(s), 6) AS duration_s FROM g GROUP BY game, g.g"""
+
+
+def _velocity(t: DataFrame) -> DataFrame:
+    return intervals.track_velocity(t, _WIDTH, game=_GAME)
 
 
 def _low(t: DataFrame) -> DataFrame:
-    return intervals.low_activity(intervals.track_velocity(t, _WIDTH), 0.05, 0.6, 4, 3)
+    return intervals.low_activity(_velocity(t), _BAR, _SHARE, 4, 3, game=_GAME)
 
 
 def _break_rows(t: DataFrame, gap: float) -> DataFrame:
     start, duration = text.frame_seconds(F.col("start"), F.col("end"), 30.0)
-    merged = intervals.merge_intervals(_low(t).select(start.alias("start"), duration.alias("duration")), gap)
-    return _r(merged.select(F.col("start").alias("start_s"), F.col("duration").alias("duration_s")), "start_s", "duration_s")
+    merged = intervals.merge_intervals(_low(t).select("game", start.alias("start"), duration.alias("duration")), gap, _GAME)
+    return _r(merged.select("game", F.col("start").alias("start_s"), F.col("duration").alias("duration_s")), "start_s", "duration_s")
 
 
 @query("WITH " + _breaks(0.3))
@@ -77,22 +84,22 @@ def period_breaks(t):
     return _break_rows(t, 0.3)
 
 
-@query("WITH " + _breaks(0.1))
+@query("WITH " + _breaks(0.15))
 def faceoff_breaks(t):
-    return _break_rows(t, 0.1)
+    return _break_rows(t, 0.15)
 
 
-@query("WITH " + _V + " SELECT frame, id, round(v, 6) AS v FROM v")
+@query("WITH " + _V + " SELECT game, frame, id, round(v, 9) AS v FROM v")
 def track_velocity(t):
-    return _r(intervals.track_velocity(t, _WIDTH), "v")
+    return _r(_velocity(t), "v", digits=9)
 
 
-@query("WITH " + _SLOW + " SELECT frame, n, slow FROM s")
+@query("WITH " + _SLOW + " SELECT game, frame, n, slow FROM s")
 def slow_frames(t):
-    return intervals.slow_frames(intervals.track_velocity(t, _WIDTH), 0.05, 0.6, 4)
+    return intervals.slow_frames(_velocity(t), _BAR, _SHARE, 4, _GAME)
 
 
-@query("WITH " + _LOW + ' SELECT "start", "end" FROM low')
+@query("WITH " + _LOW + ' SELECT game, "start", "end" FROM low')
 def low_velocity_ranges(t):
     return _low(t)
 
@@ -102,15 +109,30 @@ def frame_occupancy(t):
     return t.groupBy("frame").agg(F.count_distinct("id").alias("n"))
 
 
-@query()
+@query("WITH RECURSIVE " + _T + """, z AS (SELECT game, max(frame % 100) + 1 AS size FROM t GROUP BY 1), f AS (SELECT game, i, size FROM z, range(100) q(i) WHERE i < size),
+c AS (SELECT f.game, f.i, size, count(DISTINCT id) AS n FROM f LEFT JOIN t ON t.game = f.game AND t.frame % 100 = f.i GROUP BY 1, 2, 3),
+p AS (SELECT game, i + 1 AS i, size, sum((n >= 10)::INT) OVER o AS s, sum(n) OVER o AS total FROM c WINDOW o AS (PARTITION BY game ORDER BY i) UNION ALL SELECT game, 0, size, 0, 0 FROM z),
+e AS (SELECT a.game, a.i, a.size, a.total AS t0, min(b.i) - 1 AS stop, max((b.i = a.i + 6 AND (b.s - a.s) / 6 >= 0.75)::INT) AS good FROM p a JOIN p b ON a.game = b.game AND b.i >= a.i + 6
+  WHERE a.i < a.size - 6 AND (b.i = a.i + 6 OR b.i = b.size OR (b.s - a.s) / (b.i - a.i) < 0.75) GROUP BY 1, 2, 3, 4),
+n AS (SELECT e.game, e.i, good, CASE WHEN good = 1 THEN (SELECT min(b.i) - 1 FROM p b, p a WHERE b.game = e.game AND a.game = e.game AND a.i = e.i AND b.i > e.i + 6 AND (b.i = b.size OR (b.s - a.s) / (b.i - a.i) < 0.75)) ELSE e.i + 1 END AS nxt FROM e),
+r AS (SELECT game, 0::BIGINT AS i FROM z UNION ALL SELECT r.game, n.nxt::BIGINT FROM r JOIN n ON n.game = r.game AND n.i = r.i)
+SELECT n.game, round(n.i / 30.0, 9) AS start_s, round(nxt / 30.0, 9) AS end_s, round((b.total - a.total) / (nxt - n.i), 9) AS tracks FROM r JOIN n ON n.game = r.game AND n.i = r.i AND n.good = 1 JOIN p a ON a.game = n.game AND a.i = n.i JOIN p b ON b.game = n.game AND b.i = nxt""")
 def crowded_periods(t):
-    return intervals.crowded_periods(t.groupBy("frame").agg(F.count("*").alias("n")).withColumn("game", F.lit(1)), 10, 4, 0.8)
+    counts = t.groupBy("game", (F.col("frame") % 100).alias("frame")).agg(F.count_distinct("id").alias("n"))
+    return _r(intervals.crowded_periods(counts, 30.0, 10, 0.2, 0.75), "start_s", "end_s", "tracks", digits=9)
+
+
+_INTERVALS = _T + """, i AS (SELECT game, row_number() OVER o AS interval, s, lead(s) OVER o - 1 - s AS z FROM (SELECT DISTINCT game, (frame // 20) * 20 + 1 AS s FROM t) WINDOW o AS (PARTITION BY game ORDER BY s)),
+a AS (SELECT DISTINCT game, interval, s, frame, id, number FROM t JOIN i USING (game) WHERE z IS NULL OR frame BETWEEN s + 0.1 * z AND s + z - 0.1 * z)"""
 
 
-@query("WITH " + _T + """, i AS (SELECT row_number() OVER (ORDER BY s) AS interval, s, lead(s) OVER (ORDER BY s) - 1 - s AS z FROM (SELECT DISTINCT (frame // 100) * 100 + 1 AS s FROM t))
-SELECT DISTINCT interval, frame, id FROM t JOIN i ON z IS NULL OR frame BETWEEN s + 0.1 * z AND s + z - 0.1 * z""")
+def _starts(t: DataFrame) -> DataFrame:
+    return t.select("game", F.expr("(frame div 20) * 20 + 1").alias("start")).distinct()
+
+
+@query("WITH " + _INTERVALS + " SELECT DISTINCT game, interval, frame, id FROM a")
 def interval_assign(t):
-    return intervals.assign_intervals(t.select("frame", "id"), t.select(F.expr("(frame div 100) * 100 + 1").alias("start")).distinct())
+    return intervals.assign_intervals(t.select("game", "frame", "id"), _starts(t), game=_GAME)
 
 
 _OBS = _T + ", o AS (SELECT * FROM t WHERE number > 0 AND number < 100), r AS (SELECT DISTINCT number FROM o WHERE number % 3 = 0)"
@@ -157,15 +179,24 @@ def roster_resolve(t):
     return jerseys.resolved(_obs(t), _roster(t), 0.9)
 
 
-@query("WITH " + _OBS + """, d AS (SELECT DISTINCT number, frame FROM o), k AS (SELECT number, frame, sum(CASE WHEN frame - p <= 20 THEN 0 ELSE 1 END) OVER (PARTITION BY number ORDER BY frame) AS k FROM (SELECT *, lag(frame) OVER (PARTITION BY number ORDER BY frame) AS p FROM d))
-SELECT number, min(frame) AS "start", max(frame) AS "end", count(*) AS n FROM k GROUP BY number, k.k""")
+@query("WITH RECURSIVE " + _INTERVALS + """, n AS (SELECT DISTINCT game, number, interval, s FROM a WHERE number > 0 AND number < 100), e AS (SELECT n.*, coalesce((SELECT min(i.s) FROM i WHERE i.game = n.game AND i.s > n.s), 1e9) AS e FROM n),
+k AS (SELECT *, sum(CASE WHEN interval - p = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY game, number ORDER BY interval) AS k FROM (SELECT *, lag(interval) OVER (PARTITION BY game, number ORDER BY interval) AS p FROM e)),
+g AS (SELECT game, number, (min(s) - 1 - 100 * game) / 20.0 AS s, CASE WHEN max(e) = 1e9 THEN 1e9 ELSE (max(e) - 1 - 100 * game) / 20.0 END AS e, row_number() OVER (PARTITION BY game, number ORDER BY min(s)) AS j FROM k GROUP BY game, number, k.k),
+r AS (SELECT game, number, j, s, e, 0 AS shift FROM g WHERE j = 1 UNION ALL SELECT g.game, g.number, g.j, CASE WHEN r.e - r.s = g.s THEN r.s ELSE g.s END, g.e, CASE WHEN r.e - r.s = g.s THEN r.shift ELSE r.shift + 1 END FROM r JOIN g ON g.game = r.game AND g.number = r.number AND g.j = r.j + 1)
+SELECT game, number, shift, max(s) AS start, round(CASE WHEN max(e) = 1e9 THEN -1 ELSE max(e) - max(s) END, 6) AS duration FROM r GROUP BY 1, 2, 3""")
 def shift_intervals(t):
-    return jerseys.shifts(_obs(t), 20)
-
-
-@query("WITH " + _OBS + """, g AS (SELECT DISTINCT a.frame, a.id FROM o a), e AS (SELECT g.frame, g.id, b.number, sum(b.score * pow(0.9, g.frame - b.frame) * CASE WHEN b.number >= 10 THEN 0.61 ELSE 0.39 END) AS votes
-FROM g JOIN o b ON b.id = g.id AND b.frame BETWEEN g.frame - 30 AND g.frame GROUP BY 1, 2, 3)
-SELECT frame, id, number, round(votes, 6) AS votes FROM e QUALIFY row_number() OVER (PARTITION BY frame, id ORDER BY round(votes, 9) DESC, number) = 1""")
+    starts = _starts(t)
+    seconds = lambda d: d.withColumn("start", (F.col("start") - 1 - 100 * F.col("game")) / 20.0)
+    w = W.partitionBy("game").orderBy("start")
+    seen = intervals.assign_intervals(t.select("game", "frame", "id"), starts, game=_GAME).join(starts.withColumn("interval", F.row_number().over(w)), ["game", "interval"])
+    seen = seen.join(_obs(t).select("game", "frame", "id", "number"), ["game", "frame", "id"])
+    out = jerseys.shifts(seconds(seen.select("game", "start", "number")), seconds(starts))
+    return out.withColumns({"duration": F.round(F.when(F.col("duration") == float("inf"), -1.0).otherwise(F.col("duration")), 6), "shift": F.col("shift").cast("int")})
+
+
+@query("WITH " + _OBS + """, g AS (SELECT DISTINCT a.game, a.frame, a.id FROM o a), e AS (SELECT g.game, g.frame, g.id, b.number, sum(b.score * pow(0.9, g.frame - b.frame) * CASE WHEN b.number >= 10 THEN 0.61 ELSE 0.39 END) AS votes
+FROM g JOIN o b ON b.game = g.game AND b.id = g.id AND b.frame BETWEEN g.frame - 30 AND g.frame GROUP BY 1, 2, 3, 4)
+SELECT game, frame, id, number, round(votes, 6) AS votes FROM e QUALIFY row_number() OVER (PARTITION BY game, frame, id ORDER BY round(votes, 9) DESC, number) = 1""")
 def decayed_votes(t):
     return _r(jerseys.decayed_votes(_obs(t), 30, 0.9), "votes")
 
@@ -274,10 +305,12 @@ def hms_format(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.format_hms(F.col("value") * 37).alias("clock"))
 
 
-@query("SELECT event_id, (event_id % 3) * 3600.0 + (event_id % 60) * 60.0 + user_id % 60 AS seconds, 30000 / 1001.0 AS fps FROM events")
+@query("SELECT event_id, (event_id % 3) * 3600.0 + (event_id % 60) * 60.0 + user_id % 60 AS seconds, CASE event_id % 4 WHEN 0 THEN 30000 / 1001.0 WHEN 1 THEN 25 WHEN 2 THEN 0 ELSE 59.94 END AS fps, CASE event_id % 4 WHEN 3 THEN NULL ELSE (event_id % 3) * 60.0 + user_id % 60 END AS short FROM events")
 def hms_parse(spark, sf_dir):
     clock = F.concat_ws(":", F.col("event_id") % 3, F.col("event_id") % 60, F.col("user_id") % 60)
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.parse_hms(clock).alias("seconds"), text.parse_rate(F.lit("30000/1001")).alias("fps"))
+    rate = F.element_at(F.array(*map(F.lit, ("30000/1001", "25", "1/0", "59.94"))), (F.col("event_id") % 4 + 1).cast("int"))
+    short = F.when(F.col("event_id") % 4 == 3, "1:x").otherwise(F.concat_ws(":", F.col("event_id") % 3, F.col("user_id") % 60))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.parse_hms(clock).alias("seconds"), text.parse_rate(rate).alias("fps"), text.parse_hms(short).alias("short"))
 
 
 _VX = _T + ", g AS (SELECT frame, x + w / 2 AS cx, x - lag(x) OVER (PARTITION BY id ORDER BY frame) AS vx FROM t), f AS (SELECT * FROM g WHERE vx IS NOT NULL)"
@@ -302,15 +335,15 @@ def group_velocity_native(t):
     return frames.group_velocity(_speeds(t), 300.0, 0.5, 4, False)
 
 
-@query("WITH " + _T + ', c AS (SELECT frame, avg(x) AS x FROM t GROUP BY 1) SELECT frame, round(x - lag(x) OVER (ORDER BY frame), 6) AS d1, round(x - 2 * lag(x) OVER (ORDER BY frame) + lag(x, 2) OVER (ORDER BY frame), 6) AS d2 FROM c')
+@query("WITH " + _T + ', c AS (SELECT game, frame, avg(x) AS x FROM t GROUP BY 1, 2) SELECT game, frame, round(x - lag(x) OVER o, 9) AS d1, round(x - 2 * lag(x) OVER o + lag(x, 2) OVER o, 9) AS d2 FROM c WINDOW o AS (PARTITION BY game ORDER BY frame)')
 def diff1_diff2(t):
-    return _r(intervals.differences(t.groupBy("frame").agg(F.avg("x").alias("x")), "x", "frame"), "d1", "d2").drop("x")
+    return _r(intervals.differences(t.groupBy("game", "frame").agg(F.avg("x").alias("x")), "x", "frame", _GAME), "d1", "d2", digits=9).drop("x")
 
 
-@query("WITH " + _T + ", c AS (SELECT frame, count(*) AS n FROM t GROUP BY 1) SELECT frame, array_to_string(list(n) OVER o, ',') AS window_n FROM c WINDOW o AS (ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) QUALIFY count(*) OVER o = 4")
+@query("WITH " + _T + ", c AS (SELECT game, frame, count(*) AS n FROM t GROUP BY 1, 2) SELECT game, frame, array_to_string(list(n) OVER o, ',') AS window_n FROM c WINDOW o AS (PARTITION BY game ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) QUALIFY count(*) OVER o = 4")
 def sliding_sequences(t):
-    rows = intervals.sequences(t.groupBy("frame").agg(F.count("*").alias("n")), F.col("n"), "frame", 4)
-    return rows.select("frame", F.concat_ws(",", F.transform("window", lambda n: n.cast("string"))).alias("window_n"))
+    rows = intervals.sequences(t.groupBy("game", "frame").agg(F.count("*").alias("n")), F.col("n"), "frame", 4, _GAME)
+    return rows.select("game", "frame", F.concat_ws(",", F.transform("window", lambda n: n.cast("string"))).alias("window_n"))
 
 
 @query("WITH " + _T + " SELECT id, max(frame) AS frame, arg_max(label, frame) AS label FROM t GROUP BY 1")
@@ -389,10 +422,12 @@ def event_windows(spark, sf_dir):
     return _r(folds.event_windows(spark.read.parquet(f"{sf_dir}/events.parquet"), "1 hour"), "total")
 
 
-@query("SELECT label, count(*) AS n, round(avg(list_sum(embedding)), 4) AS mean_sum FROM embeddings GROUP BY 1")
+@query("WITH b AS (SELECT label, vec_id // 16 AS batch, count(*) AS n, avg(list_sum(embedding)) AS m FROM embeddings GROUP BY 1, 2) SELECT label, sum(n) AS n, round(sum(m * n) / sum(n), 4) AS mean_sum FROM b GROUP BY 1")
 def batch_means(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return _r(e.groupBy("label").agg(F.count("*").alias("n"), F.avg(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)).alias("mean_sum")), "mean_sum", digits=4)
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    batches = e.groupBy("label", F.expr("vec_id div 16").alias("batch")).agg(F.count("*").alias("n"), F.avg(total).alias("mean_sum"))
+    return _r(frames.weighted_means(batches, ("label",), "n", ("mean_sum",)), "mean_sum", digits=4)
 
 
 @query("SELECT a.n_name AS a, b.n_name AS b, round(1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)), 6) AS similarity FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
@@ -402,10 +437,10 @@ def edit_similarity(spark, sf_dir):
     return _r(both.select("a", "b", text.edit_similarity(F.col("a"), F.col("b")).alias("similarity")), "similarity")
 
 
-@query("WITH " + _T + """, r AS (SELECT id, frame, x, row_number() OVER (PARTITION BY id ORDER BY frame) AS k FROM t)
-SELECT a.id, a.frame, round(sum(b.x * CASE WHEN b.k = 1 THEN pow(2 / 3, a.k - 1) ELSE pow(2 / 3, a.k - b.k) / 3 END), 6) AS ema FROM r a JOIN r b ON a.id = b.id AND b.k <= a.k GROUP BY 1, 2""")
+@query("WITH " + _T + """, r AS (SELECT game, id, frame, x, row_number() OVER (PARTITION BY game, id ORDER BY frame) AS k FROM t)
+SELECT a.game, a.id, a.frame, round(sum(b.x * CASE WHEN b.k = 1 THEN pow(2 / 3, a.k - 1) ELSE pow(2 / 3, a.k - b.k) / 3 END), 6) AS ema FROM r a JOIN r b ON a.game = b.game AND a.id = b.id AND b.k <= a.k GROUP BY 1, 2, 3""")
 def ema_anchor(t):
-    return _r(intervals.ema(t, "x", "frame", 1 / 3, ("id",)), "ema")
+    return _r(intervals.ema(t, "x", "frame", 1 / 3, ("game", "id")), "ema")
 
 
 @query("WITH " + _T + """, m AS (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY id ORDER BY frame) = 1 THEN 0 ELSE 1 END AS fresh FROM t), r AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY frame) AS run FROM m),
@@ -417,18 +452,22 @@ def rolling_speed(t):
 
 @query()
 def evidence_voter(t):
-    return folds.fold(_obs(t).withColumn("score", F.col("score").cast("double")), folds.EvidenceVoter(), "id")
+    rows = _obs(t).select((F.col("game") * 100 + F.col("id")).alias("track"), "frame", "number", F.col("score").cast("double").alias("score"))
+    return folds.fold(rows, folds.EvidenceVoter(), "track")
 
 
-@query()
+@query("WITH RECURSIVE " + _T + """, c AS (SELECT game, frame, avg(x + w / 2) AS cx, row_number() OVER (PARTITION BY game ORDER BY frame) AS k FROM t GROUP BY 1, 2),
+z AS (SELECT game, frame, k, CASE WHEN cx < 400 THEN 'left' WHEN cx > 600 THEN 'right' ELSE 'middle' END AS zone FROM c WHERE k = 1 UNION ALL
+SELECT c.game, c.frame, c.k, CASE WHEN z.zone = 'left' AND cx <= 450 OR z.zone = 'right' AND cx >= 550 THEN z.zone WHEN cx < 400 THEN 'left' WHEN cx > 600 THEN 'right' ELSE 'middle' END FROM z JOIN c ON c.game = z.game AND c.k = z.k + 1)
+SELECT game, frame, zone FROM z""")
 def zone_state(t):
-    cx = t.groupBy("frame").agg(F.avg(F.col("x") + F.col("w") / 2).alias("cx")).withColumn("game", F.lit(1))
+    cx = t.groupBy("game", "frame").agg(F.avg(F.col("x") + F.col("w") / 2).alias("cx"))
     return folds.fold(cx, folds.Zones(400.0, 450.0, 550.0, 600.0), "game")
 
 
 @query()
 def association_tracker(t):
-    rows = t.select((F.col("id") % 4).alias("game"), "frame", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"), F.length("label").cast("long").alias("label"), F.col("score").cast("double").alias("score"))
+    rows = t.select("game", "frame", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"), F.length("label").cast("long").alias("label"), F.col("score").cast("double").alias("score"))
     return folds.fold(rows, folds.Associations(), "game")
 
 
@@ -478,11 +517,11 @@ def player_layout(t):
     return _r(rows.withColumn("pos", F.col("pos").cast("long")), "v")
 
 
-_CAM = ", c AS (SELECT frame // 100 AS game, frame, avg(x) AS x, avg(y) AS y, avg(w) AS w, avg(h) AS h FROM t GROUP BY 1, 2)"
+_CAM = ", c AS (SELECT game, frame, avg(x) AS x, avg(y) AS y, avg(w) AS w, avg(h) AS h FROM t GROUP BY 1, 2)"
 
 
 def _camera(t):
-    return t.groupBy(F.expr("frame div 100").alias("game"), "frame").agg(*[F.avg(c).alias(c) for c in "xywh"])
+    return t.groupBy("game", "frame").agg(*[F.avg(c).alias(c) for c in "xywh"])
 
 
 @query("WITH " + _T + _CAM + " SELECT game, frame, " + ", ".join(f"round(lag({c}, 1, {d}) OVER o, 9) AS p{c}" for c, d in zip("xywh", "0011", strict=True)) + " FROM c WINDOW o AS (PARTITION BY game ORDER BY frame)")
@@ -553,7 +592,7 @@ def box_fits(t):
 def camera_box(t):
     arena = (0.0, 0.0, 6000.0, 700.0)
     slow = movers.CameraBox(arena, movers.Limits(120.0, 12.0, brake=6, cancel=True, cooldown=4, arrive=3), aspect=16 / 9, sticky=10.0, bands=(0.1, 0.1, 0.1, 0.1))
-    return movers.play(t.withColumn("game", F.expr("frame div 100")), [movers.CameraBox(arena, movers.Limits(300.0, 60.0)), slow], scale=1.2).withColumnsRenamed({"x": "l", "y": "t"})
+    return movers.play(t, [movers.CameraBox(arena, movers.Limits(300.0, 60.0)), slow], scale=1.2).withColumnsRenamed({"x": "l", "y": "t"})
 
 
 @query("""WITH k AS (SELECT *, sum(CASE WHEN ts < p + INTERVAL '2705 seconds' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events))

@@ -148,3 +148,8 @@ def fingerprint(rows: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...]
     """keys, hash: SHA-256 of the rows' values, in the order of the values."""
     line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
     return rows.groupBy(*keys).agg(F.sha2(F.concat_ws(";", F.array_sort(F.collect_list(line))).cast("binary"), 256).alias("hash"))
+
+
+def weighted_means(batches: DataFrame, keys: tuple[str, ...], n: str, metrics: tuple[str, ...]) -> DataFrame:
+    """keys, n and each metric's mean over batches, weighted by their rows."""
+    return batches.groupBy(*keys).agg(F.sum(n).alias(n), *[F.try_divide(F.sum(F.col(m) * F.col(n)), F.sum(n)).alias(m) for m in metrics])

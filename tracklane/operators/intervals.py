@@ -50,42 +50,58 @@ def merge_intervals(rows: DataFrame, gap: float, keys: tuple[str, ...] = (), sta
 
 
 def assign_intervals(frames: DataFrame, starts: DataFrame, trim: float = 0.1, game: tuple[str, ...] = ()) -> DataFrame:
-    """interval, frame, id for rows inside each interval less the trimmed share of its ends; the last holds every frame.
+    """interval, frame, id for rows inside each interval less the trimmed share of its ends; a game's last interval holds every frame.
 
-    `starts` holds a few intervals a game; a game's are gathered in one array and looked up from each of its frames.
+    Intervals follow each other, so a frame's interval is that of the last start at or before it: starts and frames are
+    ordered together, once, and each frame looks at one interval. Only the last ones, one a game, are joined to all frames.
     """
     w = W.partitionBy(*game).orderBy("start")
     size = F.lead("start").over(w) - 1 - F.col("start")
-    bounds = starts.withColumns({"interval": F.row_number().over(w), "_size": size})
-    bounds = bounds.select(*game, F.struct("interval", (F.col("start") + trim * F.col("_size")).alias("lo"), (F.col("start") + F.col("_size") - trim * F.col("_size")).alias("hi"), F.col("_size").isNull().alias("last")).alias("b"))
-    held = bounds.groupBy(*game).agg(F.collect_list("b").alias("_b"))
-    joined = frames.join(held, list(game)) if game else frames.crossJoin(F.broadcast(held))  # one row
-    inside = F.filter("_b", lambda b: b["last"] | F.col("frame").between(b["lo"], b["hi"]))
-    return joined.withColumn("_i", F.explode(inside)).select(*game, F.col("_i.interval").alias("interval"), "frame", "id").distinct()
-
-
-def crowded_periods(occupancy: DataFrame, min_players: int, min_frames: int, ratio: float, game: str = "game") -> DataFrame:
-    """game, start, end of greedy windows in which at least the ratio of frames hold `min_players`; prefix sums make each test constant."""
+    bounds = starts.select(*game, "start").distinct().withColumns({"interval": F.row_number().over(w), "_size": size})
+    b = F.struct("interval", (F.col("start") + trim * F.col("_size")).alias("lo"), (F.col("start") + F.col("_size") - trim * F.col("_size")).alias("hi"))
+    inner = bounds.filter("_size is not null").select(*game, F.col("start").cast("double").alias("_at"), F.lit(0).alias("_k"), F.lit(None).cast("bigint").alias("frame"), F.lit(None).cast("bigint").alias("id"), b.alias("_b"))
+    rows = frames.select(*game, F.col("frame").cast("bigint").alias("frame"), F.col("id").cast("bigint").alias("id")).distinct()
+    both = inner.unionByName(rows.withColumns({"_at": F.col("frame").cast("double"), "_k": F.lit(1), "_b": F.lit(None).cast(inner.schema["_b"].dataType)}))
+    found = both.withColumn("_b", F.last("_b", ignorenulls=True).over(W.partitionBy(*game).orderBy("_at", "_k"))).filter("_k = 1").filter(F.col("frame").between(F.col("_b.lo"), F.col("_b.hi")))
+    last = bounds.filter("_size is null").select(*game, "interval")
+    every = rows.join(F.broadcast(last), list(game)) if game else rows.crossJoin(F.broadcast(last))  # one row a game
+    return found.select(*game, F.col("_b.interval").alias("interval"), "frame", "id").unionByName(every.select(*game, "interval", "frame", "id"))
+
+
+def crowded_periods(occupancy: DataFrame, fps: float, min_tracks: int, min_duration: float, ratio: float = 0.9, game: str = "game") -> DataFrame:
+    """game, start_s, end_s, tracks: greedy periods, the ratio of whose frames hold `min_tracks` or more, with their mean count.
+
+    Frames count from 0 to a game's last, missing ones hold none. A period starts as long as `min_duration`, grows while
+    the ratio holds, ends one frame earlier, and the next is sought from there. Prefix sums make each test constant; a
+    game's frames are one group.
+    """
+    least = int(min_duration * fps)
+    if least <= 0:
+        raise ValueError("a period needs at least one frame")
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        frames, full = pdf["frame"].tolist(), (pdf["n"] >= min_players).tolist()
-        sums = [0]
-        for f in full:
-            sums.append(sums[-1] + f)
-        out, i, n = [], 0, len(frames)
-        while i + min_frames <= n:
-            j = i + min_frames
-            if sums[j] - sums[i] < ratio * (j - i):
-                i += 1
+        n = int(pdf["frame"].max()) + 1
+        counts = [0] * n
+        for f, c in zip(pdf["frame"].tolist(), pdf["n"].tolist(), strict=True):
+            counts[f] = c
+        full, total = [0], [0]
+        for c in counts:
+            full.append(full[-1] + (c >= min_tracks))
+            total.append(total[-1] + c)
+        out, at = [], 0
+        while at < n - least:
+            end = at + least
+            if (full[end] - full[at]) / least < ratio:
+                at += 1
                 continue
-            while j < n and sums[j + 1] - sums[i] >= ratio * (j + 1 - i):
-                j += 1
-            out.append((pdf[game].iloc[0], frames[i], frames[j - 1]))
-            i = j
-        return pd.DataFrame(out, columns=[game, "start", "end"])
+            while end < n and (full[end] - full[at]) / (end - at) >= ratio:
+                end += 1
+            end -= 1
+            out.append((pdf[game].iloc[0], at / fps, end / fps, (total[end] - total[at]) / (end - at)))
+            at = end
+        return pd.DataFrame(out, columns=[game, "start_s", "end_s", "tracks"])
 
-    return occupancy.select(game, "frame", "n").groupBy(game).applyInPandas(scan, f"{game} {occupancy.schema[game].dataType.simpleString()}, start bigint, end bigint")
+    return occupancy.select(game, "frame", "n").groupBy(game).applyInPandas(scan, f"{game} {occupancy.schema[game].dataType.simpleString()}, start_s double, end_s double, tracks double")
 
 
 def busy_time(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -118,9 +134,57 @@ def rolling_speed(tracks: DataFrame, depth: int = 25, game: tuple[str, ...] = ()
 
 
 def ema(rows: DataFrame, value: str, order: str, alpha: float, keys: tuple[str, ...]) -> DataFrame:
-    """keys, order, ema: exponential average from the first value on, for bounded series (a key's values form an array)."""
-    arrays = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("s"))
-    step = lambda acc, x: F.concat(acc, F.array(F.struct(x["o"].alias("o"), F.when(F.size(acc) == 0, x["v"]).otherwise(alpha * x["v"] + (1 - alpha) * F.element_at(acc, -1)["v"]).alias("v"))))
-    kind = rows.schema[order].dataType.simpleString()
-    folded = F.aggregate("s", F.array().cast(f"array<struct<o:{kind},v:double>>"), step)
-    return arrays.withColumn("_e", F.explode(folded)).select(*keys, F.col("_e.o").alias(order), F.col("_e.v").alias("ema"))
+    """keys, order, ema: exponential average from the first value on, down each key's order."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        return pdf[[*keys, order]].assign(ema=pdf[value].astype(float).ewm(alpha=alpha, adjust=False).mean())
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*keys, order))
+    return rows.select(*keys, order, value).groupBy(*keys).applyInPandas(run, f"{kinds}, ema double")
+
+
+def mean_step(tracks: DataFrame, depth: int = 10, least: int = 2, keys: tuple[str, ...] = ("game", "id")) -> DataFrame:
+    """keys, frame, vx, vy: mean movement of the foot point over the last `depth` steps of an unbroken run of frames; 0 with fewer than `least`."""
+    w = W.partitionBy(*keys).orderBy("frame")
+    run = tracks.withColumn("_new", F.when(F.col("frame") - F.lag("frame").over(w) == 1, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    inner = W.partitionBy(*keys, "_run").orderBy("frame")
+    px, py = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h")
+    last = inner.rowsBetween(1 - depth, 0)
+    run = run.withColumns({"_dx": px - F.lag(px).over(inner), "_dy": py - F.lag(py).over(inner)})
+    run = run.withColumns({"_n": F.count("_dx").over(last), "_x": F.avg("_dx").over(last), "_y": F.avg("_dy").over(last)})
+    enough = lambda c: F.when(F.col("_n") >= least, F.col(c)).otherwise(F.lit(0.0))
+    return run.select(*keys, "frame", enough("_x").alias("vx"), enough("_y").alias("vy"))
+
+
+def history_speed(tracks: DataFrame, depth: int = 25, x_depth: int = 10, keys: tuple[str, ...] = ("game", "id")) -> DataFrame:
+    """keys, frame, speed, x_speed: mean change of the whole box (left, top, width, height) between the rows kept, at most
+    `depth` - 1, and the left edge's over the last `x_depth`; a track that misses a frame starts anew."""
+    w = W.partitionBy(*keys).orderBy("frame")
+    run = tracks.withColumn("_new", F.when(F.col("frame") - F.lag("frame").over(w) == 1, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    inner = W.partitionBy(*keys, "_run").orderBy("frame")
+    step = F.sqrt(sum((F.col(c) - F.lag(c).over(inner)) * (F.col(c) - F.lag(c).over(inner)) for c in "xywh"))
+    run = run.withColumns({"_step": step, "_k": F.row_number().over(inner), "_before": F.lag("x", x_depth - 1).over(inner)})
+    speed = F.coalesce(F.avg("_step").over(inner.rowsBetween(3 - depth, 0)), F.lit(0.0))
+    x_speed = F.when(F.col("_k") >= x_depth, (F.col("x") - F.col("_before")) / x_depth).otherwise(F.lit(0.0))
+    return run.select(*keys, "frame", speed.alias("speed"), x_speed.alias("x_speed"))
+
+
+def stale(tracks: DataFrame, now: DataFrame, most: int = 30, keys: tuple[str, ...] = ("game", "id")) -> DataFrame:
+    """keys, age: tracks last seen `most` or more frames before their game's `now` (game, now)."""
+    seen = tracks.groupBy(*keys).agg(F.max("frame").alias("_last"))
+    return seen.join(F.broadcast(now), list(keys[:-1])).withColumn("age", F.col("now") - F.col("_last")).filter(F.col("age") >= most).select(*keys, "age")
+
+
+def contiguous(frames: DataFrame, batch: int, keys: tuple[str, ...] = ("game",)) -> DataFrame:
+    """keys, frame, before: batches' first frames that do not follow the one before by the batch's size."""
+    w = W.partitionBy(*keys).orderBy("frame")
+    return frames.select(*keys, "frame").distinct().withColumn("before", F.lag("frame").over(w)).filter(F.col("frame") - F.col("before") != batch)
+
+
+def subsequence(rows: DataFrame, length: int, seed: int, keys: tuple[str, ...] = ("game",)) -> DataFrame:
+    """Rows of one run of `length` rows of each key, from a start that a seeded hash of the key chooses evenly; shorter keys stay whole."""
+    w = W.partitionBy(*keys)
+    ranked = rows.withColumns({"_k": F.row_number().over(w.orderBy("frame")) - 1, "_n": F.count("*").over(w)})
+    first = F.pmod(F.xxhash64(F.lit(seed), *keys), F.greatest(F.col("_n") - length + 1, F.lit(1)))
+    return ranked.filter((F.col("_k") >= first) & (F.col("_k") < first + length)).drop("_k", "_n")

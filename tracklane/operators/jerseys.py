@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .intervals import islands
-
 
 def last_number(observations: DataFrame) -> DataFrame:
     """id, frame, number: the last observation of a track in a frame."""
@@ -45,16 +43,52 @@ def split_tracks(found: DataFrame) -> DataFrame:
     return found.select(track.alias("track"), "number", "first_frame")
 
 
-def decayed_votes(observations: DataFrame, window: int, decay: float, two_digit: float = 0.61, one_digit: float = 0.39) -> DataFrame:
-    """frame, id, number, votes: the number with most decayed votes of a track's last `window` frames."""
-    w = W.partitionBy("id").orderBy("frame").rangeBetween(-window, 0)
-    gathered = observations.select("frame", "id", F.collect_list(F.struct("frame", "number", "score")).over(w).alias("g")).distinct()
-    each = gathered.select("frame", "id", F.explode("g").alias("o"))
-    bias = F.when(F.col("o.number") >= 10, two_digit).otherwise(one_digit)
-    votes = each.groupBy("frame", "id", F.col("o.number").alias("number")).agg(F.sum(F.col("o.score") * F.pow(F.lit(decay), F.col("frame") - F.col("o.frame")) * bias).alias("votes"))
-    return votes.withColumn("_r", F.row_number().over(W.partitionBy("frame", "id").orderBy(F.desc("votes"), "number"))).filter("_r = 1").drop("_r")
+def decayed_votes(observations: DataFrame, window: int, decay: float, two_digit: float = 0.61, one_digit: float = 0.39, keys: tuple[str, ...] = ("game", "id")) -> DataFrame:
+    """keys, frame, number, votes: the number with most decayed votes of a track's last `window` frames.
+
+    Frames meet observations in blocks of `window` frames, their own and the one before.
+    """
+    block = lambda c: F.floor(c / window)
+    asked = observations.select(*keys, F.col("frame").alias("_at")).distinct().withColumn("_b", F.explode(F.array(block(F.col("_at")), block(F.col("_at")) - 1)))
+    each = asked.join(observations.withColumn("_b", block(F.col("frame"))), [*keys, "_b"]).filter(F.col("frame").between(F.col("_at") - window, F.col("_at")))
+    bias = F.when(F.col("number") >= 10, two_digit).otherwise(one_digit)
+    votes = each.groupBy(*keys, "_at", "number").agg(F.sum(F.col("score") * F.pow(F.lit(decay), F.col("_at") - F.col("frame")) * bias).alias("votes"))
+    rank = F.row_number().over(W.partitionBy(*keys, "_at").orderBy(F.desc(F.round("votes", 9)), "number"))
+    return votes.withColumn("_r", rank).filter("_r = 1").select(*keys, F.col("_at").alias("frame"), "number", "votes")
+
+
+def shifts(seen: DataFrame, starts: DataFrame, game: tuple[str, ...] = ("game",)) -> DataFrame:
+    """game, number, shift, start, duration: a number's time on, from the intervals in which it was seen.
+
+    `starts` holds each game's intervals (start in seconds); an interval lasts to the next start, the last one without
+    end. `seen` holds (game, start, number). Neighbouring intervals join. A shift whose start equals the *duration* of
+    the one before joins that too, as in the analytics being rebuilt.
+    """
+    w = W.partitionBy(*game).orderBy("start")
+    spans = starts.select(*game, "start").distinct().withColumns({"_k": F.row_number().over(w), "_end": F.coalesce(F.lead("start").over(w).cast("double"), F.lit(float("inf")))})
+    rows = seen.select(*game, "start", "number").distinct().join(spans, [*game, "start"])
+    by = W.partitionBy(*game, "number").orderBy("_k")
+    runs = rows.withColumn("_run", F.sum(F.when(F.col("_k") - F.lag("_k").over(by) == 1, 0).otherwise(1)).over(by))
+    runs = runs.groupBy(*game, "number", "_run").agg(F.min("start").cast("double").alias("s"), F.max("_end").alias("e"))
+    lists = runs.groupBy(*game, "number").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_l"))
+    none = F.array().cast("array<struct<start:double,duration:double>>")
+
+    def join(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        alone = F.concat(acc, F.array(F.struct(x["s"].alias("start"), (x["e"] - x["s"]).alias("duration"))))
+        longer = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), (x["e"] - last["start"]).alias("duration"))))
+        return F.when(last["duration"] == x["s"], longer).otherwise(alone)
+
+    return lists.select(*game, "number", F.posexplode(F.aggregate("_l", none, join)).alias("shift", "_s")).select(*game, "number", "shift", "_s.start", "_s.duration")
+
+
+def best_reading(readings: DataFrame, keys: tuple[str, ...] = ("frame", "id")) -> DataFrame:
+    """keys, number, vote: of text readings (number, score, width, roi_width) the one with the largest score times share of its region's width."""
+    vote = F.col("score") * F.col("width") / F.col("roi_width")
+    return readings.withColumn("vote", vote).groupBy(*keys).agg(F.max(F.struct("vote", (-F.col("number")).alias("n"))).alias("m")).select(*keys, (-F.col("m.n")).alias("number"), "m.vote")
 
 
-def shifts(sightings: DataFrame, gap: int) -> DataFrame:
-    """number, start, end, n of runs of frames in which a number is seen."""
-    return islands(sightings.select("number", "frame").distinct(), "frame", gap, ("number",))
+def readable(text: Column, detected: Column, recognised: Column, least_detected: float = 0.5, least_recognised: float = 0.8) -> Column:
+    """The number of a text reading that is sure enough, all digits and below 100; else null."""
+    value = F.when(text.rlike(r"^[0-9]{1,9}$"), text.cast("int"))
+    return F.when((detected >= least_detected) & (recognised >= least_recognised) & (value < 100), value)

@@ -15,7 +15,7 @@ class EvidenceVoter:
     output = "frame bigint, number int"
     columns = ("frame", "number", "score")
 
-    def __init__(self, decay: float = 0.95, least: float = 1.0, over_current: float = 1.35, over_second: float = 1.05):
+    def __init__(self, decay: float = 0.92, least: float = 1.0, over_current: float = 1.35, over_second: float = 1.05):
         self.decay, self.least, self.over_current, self.over_second = decay, least, over_current, over_second
 
     def start(self) -> dict:
@@ -30,7 +30,9 @@ class EvidenceVoter:
             current, ranked = s["current"], sorted(scores.items(), key=lambda x: (-x[1], x[0] != str(s["current"]), int(x[0])))
             best, top = int(ranked[0][0]), ranked[0][1]
             second = ranked[1][1] if len(ranked) > 1 else 0.0
-            if best != current and top >= self.least and top >= self.over_second * second and (current < 0 or top >= self.over_current * scores.get(str(current), 0.0)):
+            if current < 0:  # the first number needs only enough evidence
+                current = best if top >= self.least else current
+            elif best != current and top >= self.least and top >= self.over_second * second and top >= self.over_current * scores.get(str(current), 0.0):
                 current = best
             s = {"scores": scores, "current": current, "last": frame}
         return s, [(frame, s["current"])]
