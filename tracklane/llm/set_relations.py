@@ -288,8 +288,6 @@ def similar_components(documents: DataFrame, size: int = 5, id_col: str = "doc_i
     asked, hot = None, hottest
     while True:
         found = tier.groupBy("bucket").applyInArrow(candidates, _MIXED)
-        if hot >= HOT_LOG:
-            found = _graph.checkpoint(found)
         new = found.filter(F.col("kind") != HEAD)
         new = new if asked is None else new.filter(F.col("kind") == 0)  # listed once, in the first tier
         asked = new if asked is None else asked.unionByName(new)
