@@ -78,3 +78,117 @@ def expand_hosts(df, column: str):
     lo, hi = F.split("_part", "-")[0], F.element_at(F.split("_part", "-"), -1)
     numbers = F.transform(F.sequence(lo.try_cast("int"), hi.try_cast("int")), lambda n: F.lpad(n.cast("string"), F.greatest(F.length(lo), F.length(n.cast("string"))), "0"))
     return rows.withColumn("host", F.explode(F.when(F.col("_part") == "", F.array(F.lit(""))).otherwise(numbers))).withColumn("host", F.concat("_name", "host")).drop("_name", "_part")
+
+
+def time_frame(text: Column, fps) -> Column:
+    """The frame of a clock text, cut to a whole number."""
+    return F.floor(parse_hms(text) * fps).cast("long")
+
+
+def parse_clock(text: Column) -> Column:
+    """Whole seconds of 1 to 3 whole fields; null for anything else."""
+    return F.when(text.rlike(r"^\s*-?\d+(\s*:\s*-?\d+){0,2}\s*$"), parse_hms(F.regexp_replace(text, r"\s", ""))).cast("long")
+
+
+def parse_intervals(text: Column) -> Column:
+    """Array of (start, stop) seconds of texts `a-b`, parted by commas."""
+    return F.transform(F.split(text, ","), lambda t: F.struct(parse_clock(F.split(t, "-")[0]).alias("start"), parse_clock(F.split(t, "-")[1]).alias("stop")))
+
+
+def in_intervals(seconds: Column, intervals: Column) -> Column:
+    return F.exists(intervals, lambda i: seconds.between(i["start"], i["stop"]))
+
+
+def clock_of(seconds: Column) -> Column:
+    """H:MM:SS or MM:SS of whole seconds."""
+    h, m, s = F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60
+    return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).otherwise(F.format_string("%02d:%02d", m, s))
+
+
+def file_safe(text: Column) -> Column:
+    """Trimmed, with runs of path separators as one underscore; empty for null."""
+    return F.coalesce(F.regexp_replace(F.trim(text), r"[\\/]+", "_"), F.lit(""))
+
+
+def _split_name(path: Column) -> tuple[Column, Column, Column]:
+    """Folder with its separator, stem and extension with its dot."""
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    dotted = F.regexp_extract(name, r"^.+(\.[^.]*)$", 1)
+    return F.regexp_extract(path, r"^(.*/)[^/]*$", 1), F.left(name, F.length(name) - F.length(dotted)), dotted
+
+
+def with_suffix(path: Column, suffix: Column) -> Column:
+    folder, stem, dotted = _split_name(path)
+    return F.concat(folder, stem, suffix, dotted)
+
+
+def with_prefix(path: Column, prefix: Column, between: str = "_") -> Column:
+    """The file's name led by the prefix, unless it is already, or the prefix is blank."""
+    p = F.trim(F.coalesce(prefix, F.lit("")))
+    folder, stem, dotted = _split_name(path)
+    name = F.concat(stem, dotted)
+    then = F.substr(name, F.length(p) + 1, F.lit(1))
+    has = name.startswith(p) & ((name == p) | then.isin("_", "-") | F.substr(name, F.length(p) + 1).startswith(between))
+    return F.when((p == "") | has, path).otherwise(F.concat(folder, p, F.when(p.rlike("[_-]$"), F.lit("")).otherwise(F.lit(between)), name))
+
+
+def token_map(line: Column) -> Column:
+    """Map of a line's tokens: their leading letters to what follows; the last of equals."""
+    tokens = F.filter(F.split(line, " "), lambda t: t != "")
+    pairs = F.transform(tokens, lambda t: F.struct(F.regexp_extract(t, r"^([A-Za-z]*)", 1).alias("k"), F.regexp_replace(t, r"^[A-Za-z]*", "").alias("v")))
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    last = lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]
+    return F.map_from_arrays(keys, F.transform(keys, last))
+
+
+def game_line(line: Column) -> Column:
+    """Struct (id, path, side, label, metadata) of `path[:HOME|:AWAY][:k=v]|k=v...` or `t2s=<id>[:HOME|:AWAY][:label]|k=v...`.
+
+    The first of equal keys before a bar wins over those in the path; of equal keys behind bars the last.
+    """
+    parts = F.filter(F.transform(F.split(line, r"\|"), lambda p: F.trim(p)), lambda p: p != "")
+    token = F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit(""))
+    pair = lambda s: F.struct(F.trim(F.regexp_extract(s, r"^([^=]*)=", 1)).alias("key"), F.trim(F.regexp_extract(s, r"^[^=]*=(.*)$", 1)).alias("value"))
+    fine = lambda p: (p["key"] != "") & (p["value"] != "")
+    barred = F.filter(F.transform(F.filter(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda s: s.contains("=")), pair), fine)
+    known = token.rlike(r"(?i)^t2s\s*=\s*\d+")
+    rest = F.regexp_replace(F.trim(F.regexp_extract(token, r"(?i)^t2s\s*=\s*\d+(.*)$", 1)), "^:", "")
+    first, more = F.trim(F.regexp_extract(rest, r"^([^:]*)", 1)), F.trim(F.regexp_extract(rest, r"^[^:]*:(.*)$", 1))
+    t_side = F.when(F.upper(first).isin("HOME", "AWAY"), F.upper(first))
+    label = F.nullif(F.when(t_side.isNotNull(), more).otherwise(rest), F.lit(""))
+    fields = F.split(token, ":")
+    # trailing k=v fields of a path
+    tail = F.aggregate(F.reverse(F.slice(fields, 2, F.greatest(F.size(fields), F.lit(1)))), F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), lambda a, f: F.struct((a["on"] & f.contains("=")).alias("on"), (a["n"] + F.when(a["on"] & f.contains("="), 1).otherwise(0)).alias("n")))["n"]
+    body = F.slice(fields, 1, F.size(fields) - tail)
+    inline = F.filter(F.transform(F.reverse(F.slice(fields, F.size(fields) - tail + 1, F.greatest(tail, F.lit(0)))), pair), fine)
+    last = F.element_at(body, -1)
+    sided = (F.size(body) > 1) & F.upper(last).isin("HOME", "AWAY")
+    path = F.array_join(F.when(sided, F.slice(body, 1, F.size(body) - 1)).otherwise(body), ":")
+    whole = F.when(known, F.reverse(barred)).otherwise(F.concat(F.reverse(barred), inline))
+    keys = F.array_sort(F.array_distinct(F.transform(whole, lambda p: p["key"])))
+    meta = F.map_from_arrays(keys, F.transform(keys, lambda k: F.filter(whole, lambda p: p["key"] == k)[0]["value"]))
+    return F.struct(
+        F.when(known, F.regexp_extract(token, r"(?i)^t2s\s*=\s*(\d+)", 1).cast("long")).alias("id"), F.when(~known, path).alias("path"),
+        F.when(known, t_side).when(sided, F.upper(last)).alias("side"), F.when(known, label).alias("label"), meta.alias("metadata"),
+    )
+
+
+def normal_label(text: Column, charset: str, most: int) -> Column:
+    """A label without white space and, its accents apart, in ASCII; null if longer than `most` before, or empty after, folding it to the charset.
+
+    Letters decompose by a fixed list of Latin ones, which covers the labels of this kind.
+    """
+    plain = F.translate(F.regexp_replace(text, r"\s+", ""), _ACCENTED, _BARE)
+    plain = F.regexp_replace(plain, r"[^\x00-\x7F]", "")
+    return F.nullif(F.when(F.length(plain) <= most, clean_label(plain, charset, most)), F.lit(""))
+
+
+#: Letters with accents and the letters they decompose to.
+_ACCENTED, _BARE = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+
+def interval_frames(total: Column, fps: Column, start: Column, duration: Column, start_frame: Column, duration_frames: Column) -> tuple[Column, Column]:
+    """(first, last) frame of a cut: frame arguments override clock arguments; the end is part of it and capped."""
+    first = F.coalesce(F.greatest(start_frame, F.lit(0)), F.greatest(time_frame(start, fps), F.lit(0)), F.lit(0))
+    counted = F.coalesce(duration_frames, F.greatest(time_frame(duration, fps), F.lit(0)))
+    return first, F.coalesce(F.least(total - 1, first + counted - 1), total - 1)

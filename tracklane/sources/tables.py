@@ -98,9 +98,24 @@ def read_mot(spark: SparkSession, path: str, truth: bool = False) -> DataFrame:
     return (rows.filter("score <> 0 and label = 1") if truth else rows).drop("label")
 
 
-def write_mot(rows: DataFrame, path: str) -> None:
-    line = F.format_string("%d,%d,%.6f,%.6f,%.6f,%.6f,%.6f,-1,-1,-1", "frame", "id", "x", "y", "w", "h", "score")
-    rows.filter("id >= 0").select(line).write.mode("overwrite").text(path)
+def mot_line():
+    """A row's line of MOT text; null for ids below 0."""
+    return F.when(F.col("id") >= 0, F.format_string("%d,%d,%.6f,%.6f,%.6f,%.6f,%.6f,-1,-1,-1", "frame", "id", "x", "y", "w", "h", "score"))
+
+
+def kitti_line():
+    """A row's line of KITTI text: frames from 0, edges for sizes; null for ids below 0."""
+    form = "%d %d pedestrian 0 0 -10 %.6f %.6f %.6f %.6f -10 -10 -10 -1000 -1000 -1000 -10"
+    return F.when(F.col("id") >= 0, F.format_string(form, F.col("frame") - 1, "id", "x", "y", F.col("x") + F.col("w"), F.col("y") + F.col("h")))
+
+
+def write_mot(rows: DataFrame, path: str, kitti: bool = False) -> None:
+    line = (kitti_line() if kitti else mot_line()).alias("value")
+    rows.select(line).filter("value is not null").write.mode("overwrite").text(path)
+
+
+def write_points(rows: DataFrame, path: str) -> None:
+    rows.select("x", "y").write.mode("overwrite").csv(path, header=True)
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
