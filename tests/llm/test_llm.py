@@ -123,12 +123,20 @@ def test_positional_index(spark, docs):
                     hit |= set(range(k, k + n))
                     found |= wins[tuple(w[k : k + n])]
         want[i, len(w), len(hit), tuple(sorted(found)), bool(hit) and 20 * len(hit) >= len(w)] += 1
-    for more in ({}, {"block_bytes": 40}):
+    for more in ({}, {"block": 3, "term_bytes": 200, "few": 0}):
         assert _grouped(positional_index.contamination(docs, bench, **more).drop("rid").collect()) == want
     assert positional_index.contamination(docs.limit(0), bench).count() == 0
     assert positional_index.contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
     near = positional_index.matches(spark.createDataFrame([(1, "qq and zz")], "doc_id long, text string"), bench, slop=2).filter("start is not null")
     assert [r["items"] for r in near.collect()] == [["5"]]
+    words = positional_index.windows(bench, 13).select(F.explode("window").alias("term")).distinct()
+    index = positional_index.build_index(docs, words)
+    assert _grouped(positional_index.contamination(docs, bench, index=index).drop("rid").collect()) == want
+    posted = collections.Counter((r["term"], r["pos"]) for r in index.filter("term <> ''").collect())
+    terms = {r["term"] for r in words.collect()}
+    assert posted == collections.Counter((w.decode(), p) for _, t in _rows() for p, w in enumerate(PLAIN.findall((t or "").encode().translate(LOW))) if w.decode() in terms)
+    far = positional_index.matches(spark.createDataFrame([(1, "zz m n o p r s t qq"), (2, "qq x zz"), (3, "zz zz")], "doc_id long, text string"), bench, slop=1).filter("start is not null")
+    assert far.count() == 1
 
 
 def test_stratified_shards(docs):

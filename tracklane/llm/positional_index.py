@@ -1,15 +1,18 @@
-"""Benchmark decontamination with a positional index, in built-in functions only.
-
-Postings (term, document, position) are made for the terms that anchor the test
-windows: of every window its term with the fewest occurrences in the corpus,
-counted first. An anchor's position less its offset in the window is where the
-window would begin; there the words of the window, all their offsets adjusted
-likewise, have to stand in the document (`phrases`), or near it in any order
-(`proximity`). Postings meet the windows in the stage that reads the text, so
-only matches are shuffled.
-
-The windows are broadcast in blocks whose text is measured: items beyond
-`block_bytes` of text go to further blocks, each against all documents.
+"""Benchmark decontamination with a stored positional index, in built-in functions only.
+
+`build_index` stores postings (term, document, position) of all terms that occur
+in test items, as a Parquet table in the shared folder; it can be kept and used
+again. Of every test window (`size` words of an item) the `LISTS` terms with the
+fewest postings are its anchors. Their posting lists, each position less the
+term's offset in the window, are intersected: where all lists name one document
+and start, the window may begin. Frequent terms' lists are never intersected. An
+exact check of the whole window against the document's words follows, for
+candidates only. For proximity, the two rarest terms' lists are intersected
+within the window's length and the slop, and the check asks for all words there.
+
+Test terms are broadcast in parts of `TERM_BYTES`, windows' anchors in blocks of
+`BLOCK` windows; both are measured, and one large item is split like many small
+ones. Postings are written where the text is read, without a shuffle.
 
 Edge cases: a null or empty text has no words; an item without words has no
 window; equal rows give equal results; null ids are kept; other columns are
@@ -18,14 +21,24 @@ ignored.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ._graph import checkpoint, checkpoint_dir
 
 #: All ASCII but digits and lower-case letters parts words.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BLOCK_BYTES = 8 << 20
+#: Rarest terms of a window whose lists are intersected.
+LISTS = 3
+#: Windows whose anchors are broadcast at a time: some 60 bytes for each of LISTS.
+BLOCK = 100_000
+#: Bytes of test terms broadcast at a time.
+TERM_BYTES = 16 << 20
+#: Candidates that are broadcast to the texts; more are joined.
+FEW = 500_000
 
 
 def words(text: Column) -> Column:
@@ -42,56 +55,80 @@ def windows(items: DataFrame, size: int, id_col: str = "item_id", text_col: str
     return found.select("item", "w", at.alias("i")).groupBy(F.expr(f"slice(w, i, {size})").alias("window")).agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
-    total = items.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0)).alias("n")).first()["n"]
-    n = max(1, -(-int(total) // block_bytes))
-    return [items.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)) == k) if n > 1 else items for k in range(n)]
-
-
-def term_counts(documents: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, count) of the given distinct terms over all texts."""
-    seen = documents.select(F.explode(words(F.col(text_col))).alias("term")).join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
-    return terms.join(seen, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("count"))
+def build_index(documents: DataFrame, terms: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", term_bytes: int = TERM_BYTES) -> DataFrame:
+    """The stored postings (term, rid, doc_id, pos) of the given distinct terms; the empty term stands once behind each row's words, so its position is their number.
 
-
-def anchors(documents: DataFrame, items: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(term, offset, window, items): each window's rarest term; the first of equals."""
-    wins = windows(items, size, id_col, text_col)
-    parts = wins.select("window", "items", F.posexplode("window").alias("offset", "term"))
-    counts = term_counts(documents, parts.select("term").distinct(), text_col)
-    return parts.join(F.broadcast(counts), "term").groupBy("window", "items").agg(F.min(F.struct("count", "offset", "term")).alias("a")).select("a.term", "a.offset", "window", "items")
-
-
-def matches(documents: DataFrame, items: DataFrame, size: int = 13, slop: int | None = None, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    rid is a hash of id and text. doc_id is null but for the empty term. With too many terms to broadcast, a part of them
+    is posted at a time, each reading the texts.
+    """
+    path = path or f"{checkpoint_dir(documents.sparkSession)}/postings-{uuid.uuid4()}"
+    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, -(-int(size) // term_bytes))
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), words(F.col(text_col)).alias("w"))
+    posted = rows.select("doc_id", "rid", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "term"))
+    for k in range(parts):
+        wanted = terms.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == k) if parts > 1 else terms
+        if k == 0:
+            wanted = wanted.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))
+        found = posted.join(F.broadcast(wanted), "term").select("term", "rid", F.when(F.col("term") == "", F.col("doc_id")).alias("doc_id"), "pos")
+        found.write.mode("append").parquet(path)
+    return documents.sparkSession.read.parquet(path)
+
+
+def anchors(index: DataFrame, wins: DataFrame, lists: int) -> DataFrame:
+    """(wid, need, term, offset, length): the rarest terms of each window, all of whose terms have postings; a term's first offset."""
+    parts = wins.select("wid", F.size("window").alias("length"), F.posexplode("window").alias("offset", "term")).groupBy("wid", "length", "term").agg(F.min("offset").alias("offset"))
+    counts = index.filter("term <> ''").groupBy("term").agg(F.count("*").alias("n"))
+    by = W.partitionBy("wid")
+    parts = parts.join(counts, "term", "left").withColumn("_least", F.min(F.coalesce("n", F.lit(0))).over(by)).filter("_least > 0")
+    parts = parts.withColumn("_k", F.row_number().over(by.orderBy("n", "offset"))).filter(F.col("_k") <= lists)
+    return parts.withColumn("need", F.count("*").over(by)).select("wid", "need", "term", "offset", "length", F.col("_k").alias("k"))
+
+
+def _candidates(index: DataFrame, chosen: DataFrame, slop: int | None) -> DataFrame:
+    """(wid, rid, start) where the offset-adjusted lists of a window's anchors meet."""
+    hits = index.filter("term <> ''").join(F.broadcast(chosen), "term").select("wid", "need", "rid", "k", "length", (F.col("pos") - F.col("offset")).alias("start"), "pos")
+    if slop is None:
+        return hits.filter("start >= 0").groupBy("wid", "rid", "start").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n = need").select("wid", "rid", "start")
+    second = hits.filter("k = 2").select("wid", "rid", F.col("pos").alias("_pos"))
+    near = hits.filter("k = 1 and need > 1").join(second, ["wid", "rid"]).filter(F.abs(F.col("pos") - F.col("_pos")) < F.col("length") + 2 * slop)
+    return hits.filter("k = 1 and need = 1").select("wid", "rid", "start").unionByName(near.select("wid", "rid", "start").distinct())
+
+
+def matches(documents: DataFrame, items: DataFrame, size: int = 13, slop: int | None = None, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", index: DataFrame | None = None, block: int = BLOCK, few: int = FEW, **building) -> DataFrame:
     """(doc_id, rid, n_words, start, length, items): one row for each match, and one without start for each document row.
 
     Without slop, matches are exact phrases. With it, all the window's words
     stand, in any order, within its length plus slop around its anchor's place.
+    `index` is one built before over the same documents, for all terms of the items.
     """
-    base = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), words(F.col(text_col)).alias("w"))
-    parts = []
-    for k, block in enumerate(_blocks(items, item_id, item_text, block_bytes)):
-        index = anchors(documents.select(F.col(text_col).alias("text")), block.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")), size, "item_id", "text")
-        if k == 0:  # the empty term, which ends every document, brings a row for each
-            none = index.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).alias("offset"), F.array().cast("array<string>").alias("window"), F.array().cast("array<string>").alias("items"))
-            index = index.unionByName(none)
-        posted = base.select("doc_id", "rid", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "term"))
-        found = posted.join(F.broadcast(index), "term").withColumn("start", F.col("pos") - F.col("offset"))
-        if slop is None:
-            here = F.when((F.col("start") >= 0) & (F.col("term") != ""), F.slice("w", F.greatest(F.col("start"), F.lit(0)) + 1, F.greatest(F.size("window"), F.lit(1))) == F.col("window"))
-        else:
-            near = F.slice("w", F.greatest(F.col("start") - slop, F.lit(0)) + 1, F.size("window") + 2 * slop)
-            here = F.when(F.col("term") != "", F.forall("window", lambda x: F.array_contains(near, x)))
-        found = found.filter((F.col("term") == "") | here)
-        is_match = F.col("term") != ""
-        parts.append(found.select("doc_id", "rid", F.when(~is_match, F.size("w")).alias("n_words"), F.when(is_match, F.col("start")).alias("start"), F.when(is_match, F.size("window")).alias("length"), "items"))
-    return reduce(DataFrame.unionByName, parts)
+    wins = checkpoint(windows(items, size, item_id, item_text).withColumn("wid", F.xxhash64("window")))
+    if index is None:
+        index = build_index(documents, wins.select(F.explode("window").alias("term")).distinct(), None, id_col, text_col, **building)
+    blocks = max(1, -(-wins.count() // block))
+    lists = LISTS if slop is None else 2
+    parts = [wins.filter(F.pmod("wid", F.lit(blocks)) == k) if blocks > 1 else wins for k in range(blocks)]
+    found = checkpoint(reduce(DataFrame.unionByName, [_candidates(index, anchors(index, part, lists), slop) for part in parts]))
+    # the exact check: a document's candidates with their windows, beside its words
+    asked = found.join(wins, "wid").groupBy("rid").agg(F.collect_list(F.struct("start", "window", "items")).alias("c"))
+    texts = documents.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).alias("text"))
+    beside = texts.join(F.broadcast(asked) if found.count() <= few else asked, "rid").select("rid", words(F.col("text")).alias("w"), "c").select("rid", "w", F.explode("c").alias("c"))
+    start, window = F.col("c.start"), F.col("c.window")
+    if slop is None:
+        here = F.slice("w", start + 1, F.size(window)) == window
+    else:
+        near = F.slice("w", F.greatest(start - slop, F.lit(0)) + 1, F.size(window) + 2 * slop)
+        here = F.forall(window, lambda x: F.array_contains(near, x))
+    hits = beside.filter(here).select(F.lit(None).cast("long").alias("doc_id"), "rid", F.lit(None).cast("int").alias("n_words"), start.alias("start"), F.size(window).alias("length"), F.col("c.items").alias("items"))
+    rows = index.filter("term = ''").select("doc_id", "rid", F.col("pos").alias("n_words"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("length"), F.array().cast("array<string>").alias("items"))
+    return rows.unionByName(hits)
 
 
 def contamination(documents: DataFrame, items: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """doc_id, rid, n_words, n_hit (words inside matches), items (ids as strings, sorted), contaminated (a twentieth of the words are hit)."""
     found = matches(documents, items, size, None, id_col, text_col, **more)
-    per = found.groupBy("doc_id", "rid").agg(
+    per = found.groupBy("rid").agg(
+        F.max("doc_id").alias("doc_id"),
         F.max("n_words").cast("long").alias("n_words"),
         F.count_if(F.col("start").isNull()).alias("_rows"),
         F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "length")))).alias("_at"),
