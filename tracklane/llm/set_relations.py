@@ -302,7 +302,7 @@ def similar_components(documents: DataFrame, size: int = 5, id_col: str = "doc_i
     more = _open_pairs(found.filter(F.col("kind") == LISTED), pairs, groups_of)
     if more is not None:
         later = compared(more.withColumn("home", F.shiftright("a", 32).cast("int")).groupBy("home").applyInArrow(lambda t: _fill(_asked(t["a"].to_numpy(), t["b"].to_numpy(), 0)), _MIXED), None)
-        groups_of = _graph.extended(groups_of, linked(later.filter(F.col("kind") == PAIR)))
+        groups_of = _graph.extended(groups_of, _graph.checkpoint(linked(later.filter(F.col("kind") == PAIR))))
     docs = found.filter(F.col("kind") == DOCUMENT).select(F.col("a").alias("first"), F.when(F.col("na") > 0, F.col("b")).alias("node"), F.col("na").alias("n_shingles"))
     docs = docs.join(groups_of, "node", "left").select("first", "n_shingles", F.coalesce("component", "node").alias("component"))
     texts = reps.join(docs, "first").select("digest", "name", "n", "n_shingles", "component")
