@@ -37,7 +37,7 @@ LISTS = 3
 BLOCK = 100_000
 #: Bytes of test terms broadcast at a time.
 TERM_BYTES = 16 << 20
-#: Candidates that are broadcast to the texts; more are joined.
+#: Hashes of candidate documents that are broadcast to the texts (8 bytes each); more are joined.
 FEW = 500_000
 
 
@@ -112,7 +112,9 @@ def matches(documents: DataFrame, items: DataFrame, size: int = 13, slop: int |
     # the exact check: a document's candidates with their windows, beside its words
     asked = found.join(wins, "wid").groupBy("rid").agg(F.collect_list(F.struct("start", "window", "items")).alias("c"))
     texts = documents.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).alias("text"))
-    beside = texts.join(F.broadcast(asked) if found.count() <= few else asked, "rid").select("rid", words(F.col("text")).alias("w"), "c").select("rid", "w", F.explode("c").alias("c"))
+    rids = found.select("rid").distinct()
+    texts = texts.join(F.broadcast(rids) if rids.count() <= few else rids, "rid", "left_semi")
+    beside = texts.join(asked, "rid").select("rid", words(F.col("text")).alias("w"), "c").select("rid", "w", F.explode("c").alias("c"))
     start, window = F.col("c.start"), F.col("c.window")
     if slop is None:
         here = F.slice("w", start + 1, F.size(window)) == window
