@@ -54,7 +54,7 @@ SKIP = 64
 #: Binary logarithm of the entries from which on a list is dealt to several tasks.
 HOT_LOG = 12
 #: Entries of a list in one side of a task of open pairs.
-OPEN_BLOCK = 1024
+OPEN_BLOCK = 128
 _ENTRY = {"key": np.uint64, "node": np.int64, "n": np.uint32, "pos": np.uint32, "hot": np.uint8}
 _ASK = {"doc": np.uint32, "home2": np.uint32, "doc2": np.uint32}
 _LONG = {"lkey": np.uint64, "lnode": np.int64, "ln": np.uint32, "lpos": np.uint32}
