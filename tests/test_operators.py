@@ -50,7 +50,7 @@ def test_valid_boxes(spark):
 
 
 def test_evidence_voter():
-    m = folds.EvidenceVoter(over_current=1.4)
+    m = folds.EvidenceVoter(decay=0.95, over_current=1.4)
     s, seen = m.start(), []
     for frame, (number, score) in enumerate([(12, 0.9), (12, 0.9), (7, 0.1), (7, 1.0), (7, 1.0), (7, 1.0)]):
         s, out = m.step(s, (frame, number, score))

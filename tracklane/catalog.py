@@ -471,9 +471,9 @@ def association_tracker(t):
     return folds.fold(rows, folds.Associations(), "game")
 
 
-@query("SELECT track, number, first_frame FROM (SELECT id + sub / 10.0 AS track, number, first_frame FROM (" + ORACLE_SQL["roster_resolve"] + "))")
+@query("SELECT track, number, first_frame FROM (SELECT id + sub / 10.0 AS track, number, first_frame FROM (" + ORACLE_SQL["roster_resolve"] + ") WHERE sub < 10)")
 def track_split(t):
-    return jerseys.split_tracks(jerseys.resolved(_obs(t), _roster(t), 0.9))
+    return jerseys.split_tracks(jerseys.resolved(_obs(t), _roster(t), 0.9).filter("sub < 10"))
 
 
 @query("""WITH i AS (SELECT user_id % 10 AS game, event_id / 4.0 AS s, value / 100.0 AS d FROM events), m AS (SELECT *, max(s + d) OVER (PARTITION BY game ORDER BY s, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM i),
@@ -600,3 +600,28 @@ SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, CAST(floor(epo
 def event_sessions(spark, sf_dir):
     rows = folds.event_sessions(spark.read.parquet(f"{sf_dir}/events.parquet"), "2705 seconds", "user_id")
     return _r(rows.select("user_id", F.unix_timestamp("start").alias("start_s"), F.unix_timestamp("last").alias("last_s"), "n", "total"), "total")
+
+
+@query()
+def optimal_tracker(t):
+    rows = t.select("game", "frame", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"), F.lit(0).cast("long").alias("label"), F.col("score").cast("double").alias("score"))
+    return folds.padded(folds.fold(rows, folds.Associations(assignment="optimal", user_ids=True), "game"), 8)
+
+
+@query()
+def center_tracker(t):
+    rows = t.select("game", "frame", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w") * 10).alias("x2"), (F.col("y") + F.col("h") * 5).alias("y2"), F.lit(0).cast("long").alias("label"), F.col("score").cast("double").alias("score"))
+    return folds.fold(rows, folds.CenterPoints(), "game")
+
+
+@query("WITH " + _OBS + """, e AS (SELECT a.game * 100 + a.id AS track, a.frame, b.number, sum(b.score * pow(0.9, a.frame - b.frame) * CASE WHEN b.number >= 10 THEN 0.61 ELSE 0.39 END) AS votes FROM o a JOIN o b ON b.game = a.game AND b.id = a.id AND b.frame BETWEEN a.frame - 30 AND a.frame GROUP BY 1, 2, 3)
+SELECT track, frame, number, round(votes, 6) AS votes FROM e QUALIFY row_number() OVER (PARTITION BY track, frame ORDER BY round(votes, 9) DESC, number) = 1""")
+def recent_votes(t):
+    rows = _obs(t).select((F.col("game") * 100 + F.col("id")).alias("track"), "frame", "number", F.col("score").cast("double").alias("score"))
+    return _r(folds.fold(rows, folds.RecentVotes(), "track"), "votes")
+
+
+@query("WITH " + _T + _CAM + """, g AS (SELECT game, frame, greatest(w, h * 16 / 9.0) AS w, greatest(h, w / (16 / 9.0)) AS h, x + w / 2 AS cx, y + h / 2 AS cy FROM c), k AS (SELECT *, least(1, 4000 / w, 400 / h) AS k FROM g)
+SELECT game, frame, CAST(round(round(greatest(least(cx, 4000 - w * k / 2), w * k / 2) - w * k / 2, 6)) AS INT) AS l, CAST(round(round(greatest(least(cy, 400 - h * k / 2), h * k / 2) - h * k / 2, 6)) AS INT) AS t, CAST(round(round(w * k, 6)) AS INT) AS cw, CAST(round(round(h * k, 6)) AS INT) AS ch FROM k""")
+def camera_crop(t):
+    return training.crop(_camera(t), 4000, 400, 16 / 9).select("game", "frame", "l", "t", "cw", "ch")

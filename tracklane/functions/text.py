@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 
 def format_hms(seconds: Column, decimals: int = 0) -> Column:
@@ -192,3 +193,12 @@ def interval_frames(total: Column, fps: Column, start: Column, duration: Column,
     first = F.coalesce(F.greatest(start_frame, F.lit(0)), F.greatest(time_frame(start, fps), F.lit(0)), F.lit(0))
     counted = F.coalesce(duration_frames, F.greatest(time_frame(duration, fps), F.lit(0)))
     return first, F.coalesce(F.least(total - 1, first + counted - 1), total - 1)
+
+
+@F.pandas_udf(T.StringType())
+def best_rational(rates: pd.Series) -> pd.Series:
+    """The fraction nearest to a rate with a denominator up to 1001, as n/d."""
+    from fractions import Fraction
+
+    show = lambda f: f"{f.numerator}/{f.denominator}"
+    return rates.map(lambda r: None if pd.isna(r) else show(Fraction(r).limit_denominator(1001)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 
 def last_number(observations: DataFrame) -> DataFrame:
@@ -92,3 +92,12 @@ def readable(text: Column, detected: Column, recognised: Column, least_detected:
     """The number of a text reading that is sure enough, all digits and below 100; else null."""
     value = F.when(text.rlike(r"^[0-9]{1,9}$"), text.cast("int"))
     return F.when((detected >= least_detected) & (recognised >= least_recognised) & (value < 100), value)
+
+
+@F.udtf(returnType=T.StructType([T.StructField("track", T.DoubleType()), T.StructField("number", T.IntegerType()), T.StructField("first_frame", T.LongType())]))
+class SplitTrack:
+    """A track's id and its resolved numbers (arrays of numbers and first frames) as sub-tracks, for SQL: register it as a table function."""
+
+    def eval(self, track: int, numbers: list, first_frames: list):
+        for k, (number, frame) in enumerate(sorted(zip(numbers, first_frames), key=lambda x: (x[1], x[0]))):
+            yield track + k / 10, number, frame

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions import boxes
 
@@ -78,3 +78,31 @@ def top_classes(scores: DataFrame, k: int, floor: float, keys: tuple[str, ...] =
     best = scores.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
     out = best.groupBy(*keys).agg(F.min_by("label", "_r").alias("label"), F.max("score").alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("_r", "label"))), lambda s: s["label"]).alias("labels"))
     return out.filter(F.col("score") >= floor)
+
+
+def with_model(rows: DataFrame, window: str, model, schema: str) -> DataFrame:
+    """Rows with what `model(array of shape (n, length, features))` gives for their windows (arrays of arrays): one array of numbers each, as struct columns of `schema`."""
+    import numpy as np
+    import pandas as pd
+
+    out = rows.schema
+    made = T.StructType.fromDDL(schema)
+
+    def run(batches):
+        for pdf in batches:
+            values = np.asarray(model(np.array([np.stack(w) for w in pdf[window]], float))) if len(pdf) else np.zeros((0, len(made)))
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(values, columns=made.names)], axis=1)
+
+    return rows.mapInPandas(run, T.StructType(out.fields + made.fields))
+
+
+def transformed(rows: DataFrame, change, schema: T.StructType | None = None) -> DataFrame:
+    """Rows through a function of pandas batches."""
+    return rows.mapInPandas(lambda batches: (change(b) for b in batches), schema or rows.schema)
+
+
+def crop(camera: DataFrame, width: int, height: int, aspect: float) -> DataFrame:
+    """l, t, w, h of the picture that a camera box (TLWH) shows: grown to the aspect, fitted into and moved inside the frame, in whole pixels."""
+    wide = boxes.with_aspect(boxes.tlwh_to_tlbr(boxes.cols(*"xywh")), aspect)
+    inside = boxes.tlbr_to_tlwh(boxes.fit_inside(wide, F.lit(float(width)), F.lit(float(height))))
+    return camera.withColumns({n: F.round(F.round(v, 6)).cast("int") for n, v in zip(("l", "t", "cw", "ch"), inside, strict=True)})

@@ -151,8 +151,8 @@ class Rows(DataSource):
     def name(cls) -> str:
         return cls.__name__.lower()
 
-    def schema(self) -> T.StructType:
-        return T.StructType.fromDDL(f"part int, batch bigint, {self.columns}")
+    def schema(self) -> str:
+        return f"part int, batch bigint, {self.columns}"
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _RowsReader(self, schema)

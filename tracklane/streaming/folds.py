@@ -1,4 +1,4 @@
-"""State machines over ordered rows of a key: one pure step each, for batches (applyInPandas) and streams (transformWithState)."""
+"""State machines over ordered rows of a key: one pure step each, for batches (applyInPandas) and streams (applyInPandasWithState, the state as JSON)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 
 class EvidenceVoter:
@@ -68,17 +68,86 @@ def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
 
 
+def greedy_pairs(cost: np.ndarray, most: float) -> list[tuple[int, int]]:
+    """Pairs by the least remaining cost up to `most`, the first of equals in the order of rows."""
+    cost, out = cost.astype(float).copy(), []
+    while cost.size:
+        i, j = np.unravel_index(np.argmin(cost), cost.shape)
+        if not cost[i, j] <= most:
+            break
+        out.append((int(i), int(j)))
+        cost[i, :], cost[:, j] = np.inf, np.inf
+    return out
+
+
+def optimal_pairs(cost: np.ndarray, most: float) -> list[tuple[int, int]]:
+    """One-to-one pairs, each of cost up to `most`, that leave the least sum where a row or column left alone costs half of `most`.
+
+    Shortest augmenting paths over the matrix grown by a partner of its own for each row and column.
+    """
+    n, m = cost.shape
+    if not n or not m:
+        return []
+    size = n + m
+    full = np.full((size, size), most / 2)
+    full[:n, :m] = np.minimum(cost, 1e12)
+    full[n:, m:] = 0.0
+    u, v = np.zeros(size + 1), np.zeros(size + 1)
+    row_of, way = np.zeros(size + 1, int), np.zeros(size + 1, int)
+    for i in range(1, size + 1):
+        row_of[0], j0 = i, 0
+        least, used = np.full(size + 1, np.inf), np.zeros(size + 1, bool)
+        while True:
+            used[j0] = True
+            i0 = row_of[j0]
+            open_ = ~used[1:]
+            slack = full[i0 - 1] - u[i0] - v[1:]
+            better = open_ & (slack < least[1:])
+            least[1:][better] = slack[better]
+            way[1:][better] = j0
+            j1 = int(np.argmin(np.where(open_, least[1:], np.inf))) + 1
+            delta = least[j1]
+            u[row_of[used]] += delta
+            v[used] -= delta
+            least[1:][open_] -= delta
+            j0 = j1
+            if row_of[j0] == 0:
+                break
+        while j0:
+            j1 = way[j0]
+            row_of[j0] = row_of[j1]
+            j0 = j1
+    found = [(row_of[j] - 1, j - 1) for j in range(1, size + 1)]
+    return sorted((int(i), int(j)) for i, j in found if i < n and j < m and cost[i, j] <= most)
+
+
+_MOTION = np.eye(8) + np.eye(8, k=4)
+
+
+def gating_distance(mean: np.ndarray, cov: np.ndarray, measured: np.ndarray) -> np.ndarray:
+    """Squared Mahalanobis distance of measurements (centre x, y, aspect, height) from a track's predicted one."""
+    h = mean[3]
+    s = cov[:4, :4] + np.diag(np.square([h / 20, h / 20, 1e-1, h / 20]))
+    d = measured - mean[:4]
+    return np.einsum("ni,ij,nj->n", d, np.linalg.inv(s), d)
+
+
 class Associations:
-    """Track ids of boxes frame by frame: confident boxes first, then tentative tracks, then weak boxes; motion at constant velocity."""
+    """Track ids of boxes frame by frame: confident boxes first, then tentative tracks, then weak boxes; motion at constant velocity.
+
+    `assignment` is greedy or optimal. With `user_ids`, tracks that were never confirmed stay hidden and the others are
+    numbered from 1 in the order of their confirmation; frame 0 starts anew.
+    """
 
     output = "frame bigint, id bigint, x1 double, y1 double, x2 double, y2 double, label bigint, score double"
     columns = ("frame", "x1", "y1", "x2", "y2", "label", "score")
 
-    def __init__(self, init: float = 0.7, low: float = 0.1, high: float = 0.6, iou_high: float = 0.1, iou_low: float = 0.5, iou_tentative: float = 0.3, keep: int = 30, confirm: int = 3):
+    def __init__(self, init: float = 0.7, low: float = 0.1, high: float = 0.6, iou_high: float = 0.1, iou_low: float = 0.5, iou_tentative: float = 0.3, keep: int = 30, confirm: int = 3, assignment: str = "greedy", user_ids: bool = False):
+        self.pairs, self.user_ids = {"greedy": greedy_pairs, "optimal": optimal_pairs}[assignment], user_ids
         self.init, self.low, self.high, self.ious, self.keep, self.confirm = init, low, high, (iou_high, iou_tentative, iou_low), keep, confirm
 
     def start(self) -> dict:
-        return {"next": 0, "tracks": []}
+        return {"next": 0, "tracks": [], "names": {}, "named": 0}
 
     def _born(self, s: dict, d: tuple, frame: int, state: str) -> dict:
         box = np.array(d[:4])
@@ -89,31 +158,33 @@ class Associations:
         return {"id": s["next"] - 1, "state": state, "label": d[4], "last": frame, "hits": 1, "mean": mean, "cov": np.diag(np.square(std)).tolist()}
 
     @staticmethod
-    def _predict(t: dict, frame: int) -> None:
-        m, p = np.array(t["mean"]), np.array(t["cov"])
-        if t["state"] != "tentative" and t["last"] < frame - 1:
-            m[7] /= 2
-        f = np.eye(8) + np.eye(8, k=4)
-        h = m[3]
-        q = np.diag(np.square([h / 20, h / 20, 1e-2, h / 20, h / 160, h / 160, 1e-5, h / 160]))
-        t["mean"], t["cov"] = (f @ m).tolist(), (f @ p @ f.T + q).tolist()
+    def _predict(tracks: list[dict], frame: int) -> None:
+        """All tracks of a frame at once; a confirmed one that missed the frame before loses half its growth."""
+        m, p = np.array([t["mean"] for t in tracks]), np.array([t["cov"] for t in tracks])
+        missed = np.array([t["state"] != "tentative" and t["last"] < frame - 1 for t in tracks])
+        m[missed, 7] /= 2
+        h = m[:, 3]
+        q = np.square(np.stack([h / 20, h / 20, np.full_like(h, 1e-2), h / 20, h / 160, h / 160, np.full_like(h, 1e-5), h / 160], 1))
+        m, p = m @ _MOTION.T, _MOTION @ p @ _MOTION.T
+        p[:, range(8), range(8)] += q
+        for t, mean, cov in zip(tracks, m, p, strict=True):
+            t["mean"], t["cov"] = mean, cov
 
     def _update(self, t: dict, d: tuple, frame: int) -> None:
-        m, p = np.array(t["mean"]), np.array(t["cov"])
+        m, p = np.asarray(t["mean"]), np.asarray(t["cov"])
         h = m[3]
         r = np.diag(np.square([h / 20, h / 20, 1e-1, h / 20]))
         s = p[:4, :4] + r
         gain = np.linalg.solve(s, p[:4, :]).T
         z = np.array([(d[0] + d[2]) / 2, (d[1] + d[3]) / 2, (d[2] - d[0]) / (d[3] - d[1]) if d[3] > d[1] else 0.0, d[3] - d[1]])
-        t["mean"], t["cov"] = (m + gain @ (z - m[:4])).tolist(), (p - gain @ s @ gain.T).tolist()
+        t["mean"], t["cov"] = m + gain @ (z - m[:4]), p - gain @ s @ gain.T
         t["hits"] += 1
         t["last"] = frame
         if t["state"] == "lost" or (t["state"] == "tentative" and t["hits"] >= self.confirm):
             t["state"] = "tracking"
 
-    @staticmethod
-    def _match(tracks: list[dict], found: list[tuple], least: float, weigh: bool) -> list[tuple[int, int]]:
-        """Pairs by the greatest remaining overlap, of one label each; the first of equals."""
+    def _match(self, tracks: list[dict], found: list[tuple], least: float, weigh: bool) -> list[tuple[int, int]]:
+        """Pairs of an overlap of `least` or more, of one label each."""
         if not tracks or not found:
             return []
         m = np.array([t["mean"][:4] for t in tracks])
@@ -122,18 +193,14 @@ class Associations:
         o = _iou(boxes, np.array([d[:4] for d in found]))
         if weigh:
             o = o * np.array([d[5] for d in found])
-        o[np.array([[t["label"] != d[4] for d in found] for t in tracks])] = -1
-        out = []
-        while True:
-            i, j = np.unravel_index(np.argmax(o), o.shape)
-            if o[i, j] < least or o[i, j] < 0:
-                return out
-            out.append((int(i), int(j)))
-            o[i, :], o[:, j] = -1, -1
+        other = np.array([t["label"] for t in tracks])[:, None] != np.array([d[4] for d in found])[None]
+        return self.pairs(1 - o + 1e6 * other, 1 - least)
 
     def step(self, s: dict, frame: int, found: list[tuple]) -> tuple[dict, list[tuple]]:
         """found: (x1, y1, x2, y2, label, score) of one frame."""
-        s = {"next": s["next"], "tracks": [dict(t) for t in s["tracks"]]}
+        if self.user_ids and frame == 0:
+            s = self.start()
+        s = s | {"tracks": [dict(t) for t in s["tracks"]], "names": dict(s["names"])}
         tracks, out = s["tracks"], []
         if not tracks:
             for d in found:
@@ -142,8 +209,7 @@ class Associations:
                     out.append((tracks[-1]["id"], d))
         elif found:
             first, second = [d for d in found if d[5] > self.high], [d for d in found if self.low < d[5] <= self.high]
-            for t in tracks:
-                self._predict(t, frame)
+            self._predict(tracks, frame)
             sure, new = [t for t in tracks if t["state"] != "tentative"], [t for t in tracks if t["state"] == "tentative"]
             for pool, least, weigh in ((sure, self.ious[0], True), (new, self.ious[1], True)):
                 pairs = self._match(pool, first, least, weigh)
@@ -163,9 +229,83 @@ class Associations:
             if t["state"] == "tracking" and t["last"] < frame:
                 t["state"] = "lost"
         s["tracks"] = [t for t in tracks if not (t["state"] == "lost" and frame - t["last"] >= self.keep) and not (t["state"] == "tentative" and t["last"] < frame)]
+        if self.user_ids:
+            for t in tracks:  # a confirmed track keeps its number for as long as it lives
+                if t["state"] == "tracking" and str(t["id"]) not in s["names"]:
+                    s["named"] += 1
+                    s["names"][str(t["id"])] = s["named"]
+            alive = {str(t["id"]) for t in s["tracks"]}
+            out = [(s["names"][str(i)], d) for i, d in out if str(i) in s["names"]]
+            s["names"] = {k: v for k, v in s["names"].items() if k in alive}
         return s, [(frame, i, *d) for i, d in out]
 
 
+class CenterPoints(Associations):
+    """Track ids by the overlap of boxes whose corner moves at constant velocity: each frame the best pairs, one after another; a track unmatched for more than `keep` frames ends."""
+
+    def __init__(self, least: float = 0.3, keep: int = 30):
+        self.least, self.keep = least, keep
+
+    def start(self) -> dict:
+        return {"next": 0, "tracks": []}
+
+    def step(self, s: dict, frame: int, found: list[tuple]) -> tuple[dict, list[tuple]]:
+        f = np.eye(4) + np.eye(4, k=2)
+        tracks, out = [], []
+        for t in s["tracks"]:
+            x, p, b = f @ np.asarray(t["x"]), f @ np.asarray(t["p"]) @ f.T + 0.01 * np.eye(4), t["box"]
+            w, h = (b[2] - b[0]) / 2, (b[3] - b[1]) / 2
+            tracks.append(t | {"x": x, "p": p, "box": [x[0] - w, x[1] - h, x[0] + w, x[1] + h], "missed": t["missed"] + 1})
+        o = _iou(np.array([t["box"] for t in tracks]).reshape(-1, 4), np.array([d[:4] for d in found]).reshape(-1, 4))
+        pairs = greedy_pairs(1 - o, 1 - self.least)
+        for i, j in pairs:
+            t, d = tracks[i], found[j]
+            gain = t["p"][:, :2] @ np.linalg.inv(t["p"][:2, :2] + 0.1 * np.eye(2))
+            x = t["x"] + gain @ (np.array(d[:2]) - t["x"][:2])
+            w, h = (d[2] - d[0]) / 2, (d[3] - d[1]) / 2
+            tracks[i] = t | {"x": x, "p": t["p"] - gain @ t["p"][:2], "box": [x[0] - w, x[1] - h, x[0] + w, x[1] + h], "missed": 0}
+            out.append((t["id"], d))
+        taken = {j for _, j in pairs}
+        for j, d in enumerate(found):
+            if j not in taken:
+                tracks.append({"id": s["next"], "x": np.array([d[0], d[1], 0.0, 0.0]), "p": 1000.0 * np.eye(4), "box": list(d[:4]), "missed": 0})
+                out.append((s["next"], d))
+                s = s | {"next": s["next"] + 1}
+        return {"next": s["next"], "tracks": [t for t in tracks if t["missed"] <= self.keep]}, [(frame, i, *d) for i, d in out]
+
+
+class RecentVotes:
+    """A track's number by decayed votes over the last `window` frames; older votes leave the state."""
+
+    output = "frame bigint, number int, votes double"
+    columns = ("frame", "number", "score")
+
+    def __init__(self, window: int = 30, decay: float = 0.9, two_digit: float = 0.61, one_digit: float = 0.39):
+        self.window, self.decay, self.biases = window, decay, (one_digit, two_digit)
+
+    def start(self) -> dict:
+        return {"votes": []}
+
+    def step(self, s: dict, row: tuple) -> tuple[dict, list[tuple]]:
+        frame, number, score = row
+        votes = [v for v in s["votes"] if frame - v[0] <= self.window] + [[int(frame), int(number), float(score)]]
+        sums: dict[int, float] = {}
+        for f, n, v in votes:
+            sums[n] = sums.get(n, 0.0) + v * self.decay ** (frame - f) * self.biases[n >= 10]
+        best = min(sums, key=lambda n: (-round(sums[n], 9), n))
+        return {"votes": votes}, [(frame, best, sums[best])]
+
+
+def padded(rows: DataFrame, slots: int, keys: tuple[str, ...] = ("game", "frame")) -> DataFrame:
+    """keys, slot, id, x1, y1, x2, y2, valid, num_tracks: a frame's first tracks by id in a fixed number of slots, empty ones with id -1."""
+    w = W.partitionBy(*keys)
+    ranked = rows.withColumns({"slot": F.row_number().over(w.orderBy("id")) - 1, "num_tracks": F.least(F.count("*").over(w), F.lit(slots))}).filter(F.col("slot") < slots)
+    every = rows.select(*keys).distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    box = ["x1", "y1", "x2", "y2"]
+    found = every.join(ranked.select(*keys, "slot", "id", *box), [*keys, "slot"], "left").join(ranked.select(*keys, "num_tracks").distinct(), list(keys))
+    return found.select(*keys, "slot", F.coalesce("id", F.lit(-1)).alias("id"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in box], F.col("id").isNotNull().alias("valid"), "num_tracks")
+
+
 def _fold(machine, state: dict, pdf: pd.DataFrame) -> tuple[dict, list[tuple]]:
     out: list[tuple] = []
     pdf = pdf.sort_values("frame", kind="stable")
@@ -198,20 +338,25 @@ def fold(rows: DataFrame, machine, key: str) -> DataFrame:
     return rows.select(key, *machine.columns).groupBy(key).applyInPandas(run, f"{key} {kind}, {machine.output}")
 
 
-def fold_stream(rows: DataFrame, machine, key: str) -> DataFrame:
-    """The same over a stream whose batches bring a key's frames in order; the state is kept as JSON."""
+def fold_stream(rows: DataFrame, machine, key: str, idle_ms: int | None = None) -> DataFrame:
+    """The same over a stream whose batches bring a key's frames in order. A key without rows for `idle_ms` milliseconds loses its state."""
 
     def run(k, parts, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         s = json.loads(state.get[0]) if state.exists else machine.start()
         pdf = pd.concat(list(parts))
         s, out = _fold(machine, s, pdf)
-        state.update((json.dumps(s),))
+        state.update((json.dumps(s, default=lambda a: a.tolist()),))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         made = pd.DataFrame(out, columns=_names(machine))
         made.insert(0, key, k[0])
         yield made
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, *machine.columns).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {machine.output}", "state string", "append", "NoTimeout")
+    return rows.select(key, *machine.columns).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {machine.output}", "state string", "append", "ProcessingTimeTimeout" if idle_ms else "NoTimeout")
 
 
 def event_windows(rows: DataFrame, width: str, watermark: str | None = None) -> DataFrame:
