@@ -1,34 +1,38 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Tokens are lower-cased words and one end for each text. The frequent words (at
-most `MAX_CLASSES`, so that their tables have a fixed size) are classes of their
-own, all others share one class. Three kinds of Chinese restaurants:
-
-* one for each context, the class before, which serves classes;
-* their common parent, which serves one customer for each table below it, over a
-  uniform base;
-* one for the rare class, which serves its words over a uniform base of all
-  known words and one unknown.
+Tokens are lower-cased words and one end for each text; every word is itself,
+whatever their number. Restaurants: one for each context (the word before, or the
+end at a text's start), which serves words, and their common parent, which serves
+one customer for each table below it, over a uniform base of all known words and
+one unknown.
 
 Gibbs sweeps reseat all customers: every dish's customers sit down again one
 after another, given the other dishes' tables and the parent's predictions of
-the sweep before (many at once for frequent dishes), which gives new table
-counts to the parent. The probability of a token averages the predictions of the
-kept sweeps.
-
-Counts of words and of pairs of classes, over the whole training part, are
-shuffled in packed blocks by key; texts are read three times, for words, pairs
-and scores. Scores of the most frequent pairs are computed where the text is
-read, the others where their counts are, and summed by document, so no key
-gathers an entry from every document.
-
-Edge cases: null and empty texts are one end; words unseen in training go to the
-rare class as its unknown word; without training texts every probability is
-uniform; repeated rows each get a result; a null id counts as its empty text.
+the sweep before (many at once for frequent dishes), which gives the parent its
+customers, who are reseated likewise. The table counts of the kept sweeps are
+stored beside the counts, and a token's probability is the mean of their
+predictions: after any context these sum to 1 over all words and the unknown.
+
+Counts of pairs are dealt to buckets by context, so a restaurant stands in one
+place, however frequent; its entries are distinct words, summed before they are
+sent. The parent's counts are dealt by word. Each sweep sends, for each bucket
+of contexts, its distinct words with their tables to the parents and their
+parents' masses back. Scores are summed by document in two steps, where the
+pairs and where the words lie. Two tables of fixed size are broadcast as caches
+(the most frequent words' counts and pairs' scores): they hold the very values
+that the buckets hold, and spare the shuffle of the most frequent tokens.
+
+Edge cases: null and empty texts are one end; words unseen in training have the
+unknown word's probability, contexts unseen the parent's; without training texts
+every probability is that of the unknown word; repeated rows each get a result; a
+null id counts as its empty text; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -37,98 +41,88 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import _blocks as B, _text as X
 from ._graph import checkpoint
 
-MAX_CLASSES = 65_535
-HOT_PAIRS = 150_000
+#: Entries of the two caches.
+COMMON_WORDS, COMMON_PAIRS = 65_536, 150_000
 _END = np.uint64(0xA24BAED4963EE407)
 _BINS = 1024
 _FLUSH = 3_000_000
-_COUNT = {"key": np.uint64, "n": np.uint32}
-_PAIRS = {"key": np.uint32, "n": np.uint32}
-_HITS = {"key": np.uint32, "doc": np.uint64}
-_RARE = {"word": np.uint64, "doc": np.uint64}
-_ROWS = {"doc": np.uint64, "id": np.int64, "null": np.uint8, "held": np.uint8, "tokens": np.uint32, "known": np.uint32, "base": np.float64, "own": np.float64}
-_NAMES = ("key", "doc", "word", "id", "null", "held", "tokens", "known", "base", "own", "n")
-_MIXED = "bucket int, home int, kind int, " + ", ".join(f"{k} binary" for k in _NAMES)
-_BACK = "home int, bucket int, kind int, " + ", ".join(f"{k} binary" for k in _NAMES)
-HITS, RARE, ROWS, PAIRS, WORDS = range(5)
+_ROW = "bucket int, kind int, data binary"
+PAIRS, STATE, ASK, TABLES, MASS, ROOT, TOTAL, SEEN, ANY, FORWARD, RARE, SUMS, ROWS = range(13)
 
 
-def _tokens(texts):
-    """(fingerprint of every token, first token of each text)."""
-    data, off = X.buffers(texts)
-    _, _, doc, h = X.words(data, off, lower=True)
-    n = len(off) - 1
-    ends = X.starts_of(doc, n)[1:]
-    out = np.insert(h, ends, _END)
-    return out, np.r_[0, ends + np.arange(1, n + 1)]
+def _dump(**arrays: np.ndarray) -> bytes:
+    """Arrays as bytes by significance; counts compressed."""
+    return pickle.dumps({k: (v.dtype.str, zlib.compress(B._coded(v, k), 1) if k in ("n", "t", "c") else B._coded(v, k)) for k, v in arrays.items()})
 
 
-def _slices(batches, size: int = 1000):
-    for batch in batches:
-        for lo in range(0, len(batch), size):
-            yield batch.slice(lo, size)
+def _load(raw: bytes) -> dict[str, np.ndarray]:
+    return {k: B._decoded(zlib.decompress(v) if k in ("n", "t", "c") else v, k, np.dtype(d)) for k, (d, v) in pickle.loads(raw).items()}
 
 
-def _bin(n: np.ndarray) -> np.ndarray:
-    """Bins of counts: their own up to 511, then 32 for each power of two."""
-    n = np.asarray(n, np.float64)
-    return np.where(n < 512, n, np.minimum(512 + (np.log2(np.maximum(n, 512)) - 9) * 32, _BINS - 1)).astype(np.int64)
+def _joined(parts: list[bytes], names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    loaded = [_load(p) for p in parts]
+    return {k: np.concatenate([x[k] for x in loaded]) if loaded else np.zeros(0, np.uint64) for k in names}
 
 
-def _least_within(histogram: np.ndarray, most: int) -> int:
-    """The first bin from which on at most `most` keys lie."""
-    above = np.cumsum(histogram[::-1])[::-1]
-    return int(np.flatnonzero(above <= most)[0]) if above[-1] <= most else _BINS
+def _table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    b, k, d = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table({"bucket": pa.array(b, pa.int32()), "kind": pa.array(k, pa.int32()), "data": pa.array(d, pa.binary())})
 
 
-def _merged(table: pa.Table, fields) -> tuple[np.ndarray, np.ndarray]:
-    e = B.unpack(table, fields)
-    order = np.argsort(e["key"], kind="stable")
-    start, _ = B.runs(e["key"][order])
-    return e["key"][order][start], (np.add.reduceat(e["n"][order].astype(np.int64), start) if len(start) else np.zeros(0, np.int64))
+def _by_kind(table: pa.Table) -> dict[int, list[bytes]]:
+    out: dict[int, list[bytes]] = {}
+    for k, d in zip(table["kind"].to_pylist(), table["data"].to_pylist(), strict=True):
+        out.setdefault(k, []).append(d)
+    return out
 
 
-def _counts(keys: DataFrame, fields) -> DataFrame:
-    """Of blocks (bucket, key, n): one row for each bucket with its keys, counts and their histogram."""
+def _dealt(target: np.ndarray, kind: int, **fields: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """One row for each target with its entries, in their order."""
+    order = np.argsort(target, kind="stable")
+    first, size = B.runs(target[order])
+    return [(int(target[order[a]]), kind, _dump(**{k: v[order[a : a + n]] for k, v in fields.items()})) for a, n in zip(first.tolist(), size.tolist(), strict=True)]
 
-    def add(table: pa.Table) -> pa.Table:
-        key, n = _merged(table, fields)
-        hist = np.bincount(_bin(n), minlength=_BINS).astype(np.int64)
-        packed = B.pack("bucket", np.full(len(key), table["bucket"][0].as_py(), np.int32), 0, {"key": key, "n": np.minimum(n, 2**32 - 1).astype(np.uint32)})
-        return packed.append_column("total", pa.array([int(n.sum())] * len(packed), pa.int64())).append_column("kinds", pa.array([len(key)] * len(packed), pa.int64())).append_column("hist", pa.array([hist.tobytes()] * len(packed), pa.binary()))
 
-    return keys.groupBy("bucket").applyInArrow(add, B.schema("bucket", fields) + ", total bigint, kinds bigint, hist binary")
+def _place(keys: np.ndarray, groups: int) -> np.ndarray:
+    return (keys % np.uint64(groups)).astype(np.int32)
 
 
-def _summary(counts: DataFrame) -> tuple[int, int, np.ndarray]:
-    """Total, number of keys, histogram: a row of fixed size for each bucket, added up in parts."""
+def _find(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of keys in sorted ones."""
+    if not len(sorted_):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_, keys), len(sorted_) - 1)
+    return at, sorted_[at] == keys
 
-    def add(batches):
-        total, kinds, hist = 0, 0, np.zeros(_BINS, np.int64)
-        for b in batches:
-            total, kinds = total + sum(b["total"].to_pylist()), kinds + sum(b["kinds"].to_pylist())
-            for h in b["hist"].to_pylist():
-                hist += np.frombuffer(h, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([kinds], pa.int64()), pa.array([hist.tobytes()], pa.binary())], ["total", "kinds", "hist"])
 
-    rows = counts.select("total", "kinds", "hist").mapInArrow(add, "total bigint, kinds bigint, hist binary").collect()
-    return sum(r["total"] for r in rows), sum(r["kinds"] for r in rows), sum((np.frombuffer(r["hist"], np.int64) for r in rows), np.zeros(_BINS, np.int64))
+def _tokens(texts):
+    """(fingerprint of every token, that of the token before, first token of each text)."""
+    data, off = X.buffers(texts)
+    _, _, doc, h = X.words(data, off, lower=True)
+    n = len(off) - 1
+    ends = X.starts_of(doc, n)[1:]
+    w = np.insert(h, ends, _END)
+    first = np.r_[0, ends + np.arange(1, n + 1)]
+    v = np.r_[_END, w[:-1]] if len(w) else w
+    v[first[:-1]] = _END
+    return w, v, first
 
 
-def _above(counts: DataFrame, fields, least: int):
-    """Keys and counts in the bins from `least` on, of which there are few."""
+def _bin(n: np.ndarray) -> np.ndarray:
+    """Bins of counts: their own up to 511, then 32 for each power of two."""
+    n = np.asarray(n, np.float64)
+    return np.where(n < 512, n, np.minimum(512 + (np.log2(np.maximum(n, 512)) - 9) * 32, _BINS - 1)).astype(np.int64)
 
-    def keep(batches):
-        for b in batches:
-            e = B.unpack(pa.Table.from_batches([b]), fields)
-            k = _bin(e["n"]) >= least
-            yield pa.RecordBatch.from_arrays([pa.array([e["key"][k].tobytes()], pa.binary()), pa.array([e["n"][k].tobytes()], pa.binary())], ["key", "n"])
 
-    rows = counts.select("key", "n").mapInArrow(keep, "key binary, n binary").collect()
-    key = np.concatenate([np.zeros(0, fields["key"]), *(np.frombuffer(r["key"], fields["key"]) for r in rows)])
-    n = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(r["n"], np.uint32) for r in rows)])
-    order = np.argsort(key)
-    return key[order], n[order].astype(np.int64)
+def _least_within(histogram: np.ndarray, most: int) -> int:
+    """The first bin from which on at most `most` keys lie."""
+    above = np.cumsum(histogram[::-1])[::-1]
+    fits = np.flatnonzero(above <= most)
+    return int(fits[0]) if len(fits) else _BINS
+
+
+def _discount(once: float, twice: float) -> float:
+    return float(np.clip(once / max(1.0, once + 2 * twice), 0.05, 0.95))
 
 
 def seat(c: np.ndarray, fresh: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
@@ -146,243 +140,344 @@ def seat(c: np.ndarray, fresh: np.ndarray, d: float, rng: np.random.Generator) -
     return t
 
 
-class Restaurants:
-    """What fixed-size tables hold: class counts and, for each kept sweep, tables by context and the parent's predictions."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray):
-        self.words, self.counts = words, counts
-        self.rare = len(words)
-        self.strength, self.d = 1.0, 0.5
-        self.customers = np.zeros(self.rare + 1)
-        self.sweeps: list[tuple[int, np.ndarray, np.ndarray]] = []
-
-    def classes(self, h: np.ndarray) -> np.ndarray:
-        if not self.rare:
-            return np.zeros(len(h), np.uint32)
-        at = np.minimum(np.searchsorted(self.words, h), self.rare - 1)
-        return np.where(self.words[at] == h, at, self.rare).astype(np.uint32)
-
-    def unseen(self, key: np.ndarray) -> np.ndarray:
-        u, w = key >> np.uint32(16), key & np.uint32(0xFFFF)
-        return sum(fresh[u] * parent[w] for _, fresh, parent in self.sweeps) / len(self.sweeps) / (self.strength + self.customers[u])
-
-    def seen(self, key: np.ndarray, n: np.ndarray, bucket: int) -> np.ndarray:
-        u, w, n = key >> np.uint32(16), key & np.uint32(0xFFFF), n.astype(np.int64)
-        out = self.unseen(key)
-        for sweep, fresh, parent in self.sweeps:
-            t = seat(n, fresh[u] * parent[w], self.d, np.random.default_rng((sweep, bucket)))
-            out += (n - self.d * t) / (self.strength + self.customers[u]) / len(self.sweeps)
-        return out
+class Totals:
+    """What is known of the whole: tokens, words, discounts, strengths, and of each sweep the parent's customers and tables."""
 
+    def __init__(self, tokens: int, words: int, d: float, strength: float):
+        self.tokens, self.words, self.d, self.strength = tokens, words, d, strength
+        self.root_d, self.sweeps = 0.5, []
 
-def _bucket_of_pairs(key: np.ndarray, groups: int) -> np.ndarray:
-    return (X.mix(key.astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
+    def parent(self, c: np.ndarray, t: np.ndarray, sweep: int) -> np.ndarray:
+        """The parent's predictions of words with c customers at t tables."""
+        customers, tables = self.sweeps[sweep]
+        return (c - self.root_d * t + (self.strength + self.root_d * tables) / (self.words + 1)) / (self.strength + customers)
 
 
-def _discount(histogram: np.ndarray) -> float:
-    return float(np.clip(histogram[1] / max(1, histogram[1] + 2 * histogram[2]), 0.05, 0.95))
+def _pairs_of(rows: dict[int, list[bytes]]):
+    """(pair's context index, contexts, words, counts, sorted distinct words, each pair's place among them) of a bucket."""
+    p = _load(rows[PAIRS][0])
+    ctx = np.repeat(np.arange(len(p["v"])), p["len"].astype(np.int64))
+    words, back = np.unique(p["w"], return_inverse=True)
+    return ctx, p["v"], p["w"], p["n"].astype(np.int64), words, back
 
 
-def _sweep(pairs: DataFrame, held, number: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tables by context and by class after one reseating of all pairs."""
+def _answers(rows: list[dict], words: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parents' customers and tables, in the order of the words."""
+    c, t = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    place = _place(words, groups)
+    for a in rows:
+        at = np.flatnonzero(place == a["from"][0])
+        c[at], t[at] = a["c"], a["t"]
+    return c, t
 
-    def reseat(batches):
-        model = held.value
-        by_u, by_w = np.zeros(size), np.zeros(size)
-        _, fresh, parent = model.sweeps[-1]
-        for b in batches:
-            for i in range(len(b)):
-                e = B.unpack(pa.Table.from_batches([b.slice(i, 1)]), _PAIRS)
-                u, w = e["key"] >> np.uint32(16), e["key"] & np.uint32(0xFFFF)
-                t = seat(e["n"].astype(np.int64), fresh[u] * parent[w], model.d, np.random.default_rng((number, b["bucket"][i].as_py())))
-                by_u += np.bincount(u, t, size)
-                by_w += np.bincount(w, t, size)
-        both = np.stack([by_u, by_w], 1)
-        for k, part in enumerate(np.array_split(both, 16)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "tables"])
 
-    def add(table: pa.Table) -> pa.Table:
-        return pa.table({"part": table["part"][:1], "tables": pa.array([sum(np.frombuffer(x) for x in table["tables"].to_pylist()).tobytes()], pa.binary())})
+class Model:
+    """A fitted model: checkpointed rows (bucket, kind, data) of pairs, kept tables and parents' masses, and the totals."""
 
-    rows = pairs.select("bucket", "key", "n").mapInArrow(reseat, "part int, tables binary").groupBy("part").applyInArrow(add, "part int, tables binary").collect()
-    both = np.concatenate([np.frombuffer(r["tables"]).reshape(-1, 2) for r in sorted(rows, key=lambda r: r["part"])]) if rows else np.zeros((size, 2))
-    return both[:, 0], both[:, 1]
+    def __init__(self, groups: int, totals: Totals, pairs: DataFrame, kept: list[tuple[DataFrame, DataFrame]], word_counts: DataFrame):
+        self.groups, self.totals, self.pairs, self.kept, self.word_counts = groups, totals, pairs, kept, word_counts
 
+    def seatings(self) -> DataFrame:
+        """sweep, v, w, n, tables of every context's dishes (words as fingerprints)."""
+        def show(batches):
+            for b in batches:
+                for raw in b["data"].to_pylist():
+                    x = _load(raw)
+                    n = len(x["w"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x["v"], x["len"].astype(np.int64)).astype(np.int64)), pa.array(x["w"].astype(np.int64)), pa.array(x["n"].astype(np.int64)), pa.array(x["t"].astype(np.int64)) if "t" in x else pa.array(np.ones(n, np.int64))], ["v", "w", "n", "tables"])
+
+        out = None
+        for k, (state, _) in enumerate(self.kept):
+            def both(table: pa.Table) -> pa.Table:
+                r = _by_kind(table)
+                return _table([(table["bucket"][0].as_py(), PAIRS, _dump(**_load(r[PAIRS][0]), t=_load(r[STATE][0])["t"]))] if PAIRS in r else [])
+
+            one = self.pairs.unionByName(state.filter(F.col("kind") == STATE)).groupBy("bucket").applyInArrow(both, _ROW).mapInArrow(show, "v bigint, w bigint, n bigint, tables bigint").withColumn("sweep", F.lit(k))
+            out = one if out is None else out.unionByName(one)
+        return out
 
-def perplexity_scores(documents: DataFrame, held_out: Column, burn_in: int = 1, samples: int = 3, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity; `held_out` is a condition on doc_id."""
-    spark = documents.sparkSession
-    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held"))
-    taught = rows.filter(~F.col("held")).select("text")
 
-    def flushed(held: list, fields, bucket) -> pa.RecordBatch:
-        key, n = np.unique(np.concatenate(held), return_counts=True)
-        t = B.pack("bucket", bucket(key), 0, {"key": key, "n": n.astype(np.uint32)})
-        return t.combine_chunks().to_batches()
+def fit(texts: DataFrame, groups: int, burn_in: int = 1, samples: int = 2, strength: float = 1.0, seed: int = 17) -> Model:
+    """A model of the column `text`."""
 
-    def tally(batches, keys, fields, bucket):
+    def tally(batches):
         held, size = [], 0
-        for part in _slices(batches):
-            held.append(keys(part["text"]))
-            size += len(held[-1])
+        for part in X.slices(batches):
+            w, v, _ = _tokens(part["text"])
+            held.append((v, w))
+            size += len(w)
             if size >= _FLUSH:
-                yield from flushed(held, fields, bucket)
+                yield from flushed(held)
                 held, size = [], 0
         if held:
-            yield from flushed(held, fields, bucket)
-
-    word_counts = taught.mapInArrow(lambda it: tally(it, lambda t: _tokens(t)[0], _COUNT, lambda k: B.bucket_of(k, groups)), B.schema("bucket", _COUNT))
-    word_counts = checkpoint(_counts(word_counts, _COUNT))
-    total, kinds, hist = _summary(word_counts)
-    least = _least_within(hist, MAX_CLASSES)
-    model = Restaurants(*_above(word_counts, _COUNT, least))
-    size = model.rare + 1
-    classes = spark.sparkContext.broadcast(model)
-
-    def pair_keys(h, first):
-        w = classes.value.classes(h)
-        u = np.r_[classes.value.classes(np.array([_END])), w[:-1]]
-        u[first[:-1]] = u[0]
-        return u << np.uint32(16) | w
-
-    def train_pairs(texts):
-        h, first = _tokens(texts)
-        return pair_keys(h, first)
-
-    pairs = taught.mapInArrow(lambda it: tally(it, train_pairs, _PAIRS, lambda k: _bucket_of_pairs(k, groups)), B.schema("bucket", _PAIRS))
-    pairs = checkpoint(_counts(pairs, _PAIRS))
-    _, pair_kinds, pair_hist = _summary(pairs)
-    frequent = model.counts.sum()
-    model.customers = np.r_[model.counts, total - frequent].astype(float)  # every token is the context of one
-    model.d = _discount(pair_hist)
-    parent = (model.customers + 1 / size) / (total + 1)
-    fresh = model.strength + model.d * np.minimum(model.customers, size)
-    model.sweeps = [(0, fresh, parent)]
-    rng = np.random.default_rng(seed)
-    kept = []
-    for sweep in range(burn_in + samples if total else 0):
-        by_u, by_w = _sweep(pairs, spark.sparkContext.broadcast(model), seed + sweep, size)
-        hist0 = np.bincount(np.minimum(by_w, 3).astype(int), minlength=4)
-        d0 = _discount(np.r_[hist0, 0])
-        own = by_w > 0
-        t0 = np.zeros(size)
-        opened = 1.0 + d0 * own.sum()
-        t0[own] = seat(by_w[own].astype(np.int64), np.full(int(own.sum()), opened / size), d0, rng)
-        parent = (by_w - d0 * t0 + (1.0 + d0 * t0.sum()) / size) / (1.0 + by_w.sum())
-        model.sweeps = [(seed + sweep + 1, model.strength + model.d * by_u, parent)]
-        if sweep >= burn_in:
-            kept += model.sweeps
-    model.sweeps = kept or model.sweeps
-    model.hot = _above(pairs, _PAIRS, _least_within(pair_hist, HOT_PAIRS))
-    bucket = _bucket_of_pairs(model.hot[0], groups)
-    # a frequent pair's seating is drawn with its bucket's in scoring; here from a stream of its own
-    model.hot_log = np.log10(model.seen(model.hot[0], model.hot[1], groups + 1)) if len(bucket) else np.zeros(0)
-    rare_kinds, rare_total = kinds - model.rare, total - int(frequent)
-    rare_d = _discount(hist)
-    held = spark.sparkContext.broadcast(model)
+            yield from flushed(held)
+
+    def flushed(held):
+        v, w = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((w, v))
+        v, w = v[order], w[order]
+        first, n = B.runs(v, w)
+        yield from _table(_dealt(_place(v[first], groups), PAIRS, v=v[first], w=w[first], n=n.astype(np.uint64))).combine_chunks().to_batches()
+
+    def merged(table: pa.Table) -> pa.Table:
+        e = _joined(table["data"].to_pylist(), ("v", "w", "n"))
+        order = np.lexsort((e["w"], e["v"]))
+        v, w, n = e["v"][order], e["w"][order], e["n"][order]
+        first, _ = B.runs(v, w)
+        v, w, n = v[first], w[first], np.add.reduceat(n, first)
+        at, size = B.runs(v)
+        hist = np.bincount(_bin(n), minlength=_BINS)
+        bucket = table["bucket"][0].as_py()
+        return _table([(bucket, PAIRS, _dump(v=v[at], len=size.astype(np.uint32), w=w, n=n)), (0, TOTAL, _dump(hist=hist, sums=np.array([n.sum(), len(n)], np.int64)))])
+
+    counted = checkpoint(texts.select("text").mapInArrow(tally, _ROW).groupBy("bucket").applyInArrow(merged, _ROW))
+    pairs = counted.filter(F.col("kind") == PAIRS)
+    hist, sums = _sum(counted, ("hist", "sums"), (_BINS, 2))
+
+    def told(words: np.ndarray, back: np.ndarray, t: np.ndarray, bucket: int, **more: np.ndarray) -> list:
+        """Rows for the parents: a bucket's tables of each of its words; with more fields, the words too."""
+        tables, place = np.bincount(back, t, len(words)).astype(np.uint64), _place(words, groups)
+        own = {"from": np.array([bucket], np.int64)}
+        out = [(b, k, _dump(**_load(d), **own)) for b, k, d in _dealt(place, TABLES, t=tables)]
+        return out + ([(b, k, _dump(**_load(d), **own)) for b, k, d in _dealt(place, ASK, w=words, **more)] if more else [])
+
+    def begun(table: pa.Table) -> pa.Table:
+        rows, bucket = _by_kind(table), table["bucket"][0].as_py()
+        _, _, _, n, words, back = _pairs_of(rows)
+        t = np.ones(len(n), np.int64)
+        return _table([(bucket, STATE, _dump(t=t.astype(np.uint64))), *told(words, back, t, bucket, n=np.bincount(back, n, len(words)).astype(np.uint64))])
+
+    totals = Totals(int(sums[0]), 0, _discount(hist[1], hist[2]), strength)
+
+    def parents(rows: DataFrame, sweep: int) -> DataFrame:
+        held = rows.sparkSession.sparkContext.broadcast(totals)  # a few numbers
+
+        def run(table: pa.Table) -> pa.Table:
+            m = held.value
+            r = _by_kind(table)
+            tables = {int(x["from"][0]): x["t"] for x in map(_load, r[TABLES])}
+            parts = [_load(d) for d in r[ASK]]
+            words, back = np.unique(np.concatenate([p["w"] for p in parts]), return_inverse=True)
+            c = np.bincount(back, np.concatenate([tables[int(p["from"][0])] for p in parts])).astype(np.int64)
+            n = np.bincount(back, np.concatenate([p["n"] for p in parts])).astype(np.uint64)
+            bucket = table["bucket"][0].as_py()
+            if sweep:
+                t = seat(c, np.full(len(c), (m.strength + m.root_d * m.sweeps[-1][1]) / (m.words + 1)), m.root_d, np.random.default_rng((seed + sweep, bucket, 1)))
+            else:
+                t = np.ones(len(c), np.int64)
+            both = {"c": c.astype(np.uint64), "t": t.astype(np.uint64)}
+            out = [(bucket, ROOT, _dump(w=words, n=n, **both)), (0, TOTAL, _dump(sums=np.array([c.sum(), t.sum(), len(c), (c == 1).sum(), (c == 2).sum()], np.int64), hist=np.bincount(_bin(n), minlength=_BINS)))]
+            lo = 0
+            for p in parts:
+                at = back[lo : lo + len(p["w"])]
+                out.append((int(p["from"][0]), MASS, _dump(**{k: v[at] for k, v in both.items()}, **{"from": np.array([bucket], np.int64)})))
+                lo += len(p["w"])
+            return _table(out)
+
+        return checkpoint(asked.unionByName(rows.filter(F.col("kind") == TABLES)).groupBy("bucket").applyInArrow(run, _ROW))
+
+    def sweep_of(state: DataFrame, above: DataFrame, number: int) -> DataFrame:
+        held = state.sparkSession.sparkContext.broadcast(totals)
+
+        def run(table: pa.Table) -> pa.Table:
+            rows, bucket, m = _by_kind(table), table["bucket"][0].as_py(), held.value
+            ctx, contexts, _, n, words, back = _pairs_of(rows)
+            before = np.bincount(ctx, _load(rows[STATE][0])["t"], len(contexts))
+            parent = m.parent(*_answers([_load(d) for d in rows[MASS]], words, groups), -1)[back]
+            t = seat(n, (m.strength + m.d * before[ctx]) * parent, m.d, np.random.default_rng((seed + number, bucket)))
+            return _table([(bucket, STATE, _dump(t=t.astype(np.uint64))), *told(words, back, t, bucket)])
+
+        rows = pairs.unionByName(state.filter(F.col("kind") == STATE)).unionByName(above.filter(F.col("kind") == MASS))
+        return checkpoint(rows.groupBy("bucket").applyInArrow(run, _ROW))
+
+    state = checkpoint(pairs.groupBy("bucket").applyInArrow(begun, _ROW))
+    asked = state.filter(F.col("kind") == ASK)
+    above = parents(state, 0)
+    _, s = _sum(above, ("hist", "sums"), (_BINS, 5))
+    totals.words, totals.root_d = int(s[2]), _discount(s[3], s[4])
+    totals.sweeps.append((int(s[0]), int(s[1])))
+    kept, kept_totals = [], []
+    for k in range(1, burn_in + samples + 1 if totals.tokens else 1):
+        state = sweep_of(state, above, k)
+        above = parents(state, k)
+        _, s = _sum(above, ("hist", "sums"), (_BINS, 5))
+        totals.sweeps.append((int(s[0]), int(s[1])))
+        if k > burn_in:
+            kept.append((state, above))
+            kept_totals.append(totals.sweeps[-1])
+    totals.sweeps = kept_totals or totals.sweeps[-1:]
+    kept = kept or [(state, above)]
+    return Model(groups, totals, pairs, kept, kept[-1][1].filter(F.col("kind") == ROOT))
+
+
+def _sum(rows: DataFrame, names: tuple[str, ...], sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """Sums of the total rows' arrays, added up by part first, so that the driver gets one row for each of few parts."""
+
+    def add(table: pa.Table) -> pa.Table:
+        parts = [_load(d) for d in table["data"].to_pylist()]
+        return pa.table({"data": pa.array([_dump(**{k: sum(p[k] for p in parts) for k in names})], pa.binary())})
+
+    parts = rows.filter(F.col("kind") == TOTAL).select("data", F.pmod(F.hash("data"), F.lit(64)).alias("p")).groupBy("p").applyInArrow(add, "data binary").collect()
+    loaded = [_load(r["data"]) for r in parts]
+    return [sum((p[k] for p in loaded), np.zeros(s, np.int64)) for k, s in zip(names, sizes, strict=True)]
+
+
+def _most_frequent(rows: DataFrame, kind: int, least: int, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of the bins from `least` on, of which there are few."""
+
+    def keep(batches):
+        for b in batches:
+            for raw in b["data"].to_pylist():
+                x = _load(raw)
+                k = _bin(x["n"]) >= least
+                yield _table([(0, kind, _dump(**{key: x[key][k], value: x[value][k]}))]).to_batches()[0]
+
+    got = rows.filter(F.col("kind") == kind).mapInArrow(keep, _ROW).select("data").collect()
+    e = [_load(r["data"]) for r in got]
+    k = np.concatenate([np.zeros(0, np.uint64), *(x[key] for x in e)])
+    v = np.concatenate([np.zeros(0), *(x[value].astype(np.float64) for x in e)])
+    order = np.argsort(k)
+    return k[order], v[order]
+
+
+def perplexity_scores(documents: DataFrame, held_out: Column, burn_in: int = 1, samples: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity; `held_out` is a condition on doc_id."""
+    groups = B.count_of(documents, text_col)
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held"))
+    return scores(fit(rows.filter(~F.col("held")), groups, burn_in, samples, seed=seed), rows)
+
+
+def scores(model: Model, rows: DataFrame) -> DataFrame:
+    """The columns of perplexity_scores for (doc_id, text, held); texts not held must be those that the model was fitted to."""
+    groups, totals, spark = model.groups, model.totals, rows.sparkSession
+    total, kinds = totals.tokens, totals.words
     norm = np.log10(total + 0.5 * (kinds + 1))
+    whole = spark.sparkContext.broadcast(totals)
+    n_kept = len(model.kept)
+
+    def scored(table: pa.Table) -> pa.Table:
+        """A bucket's pairs with the logarithm of their mean prediction, and its contexts with what they leave to the parent, in each sweep."""
+        r, bucket, m = _by_kind(table), table["bucket"][0].as_py(), whole.value
+        ctx, contexts, w, n, words, back = _pairs_of(r)
+        customers = m.strength + np.bincount(ctx, n, len(contexts))
+        left, p = np.zeros((n_kept, len(contexts))), np.zeros(len(n))
+        states, answers = ({k: [x for x in map(_load, r[kind]) if x["sweep"][0] == k] for k in range(n_kept)} for kind in (STATE, MASS))
+        for s in range(n_kept):
+            t = states[s][0]["t"]
+            left[s] = (m.strength + m.d * np.bincount(ctx, t, len(contexts))) / customers
+            p += ((n - m.d * t) / customers[ctx] + left[s][ctx] * m.parent(*_answers(answers[s], words, groups), s)[back]) / n_kept
+        key = X.combine(contexts[ctx], w)
+        order = np.argsort(key)
+        return _table([(bucket, PAIRS, _dump(key=key[order], log=np.log10(p[order]), n=n[order].astype(np.uint64), v=contexts, left=left.ravel()))])
+
+    def numbered(df: DataFrame, kind: int, sweep: int) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                data = [_dump(**_load(d), sweep=np.array([sweep], np.int64)) for d in b["data"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([b["bucket"], b["kind"], pa.array(data, pa.binary())], ["bucket", "kind", "data"])
+
+        return df.filter(F.col("kind") == kind).mapInArrow(run, _ROW)
+
+    mixed, roots = model.pairs, None
+    for s, (state, above) in enumerate(model.kept):
+        mixed = mixed.unionByName(numbered(state, STATE, s)).unionByName(numbered(above, MASS, s))
+        root = numbered(above, ROOT, s)
+        roots = root if roots is None else roots.unionByName(root)
+    tables = checkpoint(mixed.groupBy("bucket").applyInArrow(scored, _ROW))
+
+    def histogram(df: DataFrame, kind: int) -> np.ndarray:
+        def run(batches):
+            for b in batches:
+                for raw in b["data"].to_pylist():
+                    yield _table([(0, TOTAL, _dump(hist=np.bincount(_bin(_load(raw)["n"]), minlength=_BINS)))]).to_batches()[0]
+
+        return _sum(df.filter(F.col("kind") == kind).mapInArrow(run, _ROW), ("hist",), (_BINS,))[0]
+
+    hot_pairs = _most_frequent(tables, PAIRS, _least_within(histogram(tables, PAIRS), COMMON_PAIRS), "key", "log")
+    hot_words = _most_frequent(model.word_counts, ROOT, _least_within(histogram(model.word_counts, ROOT), COMMON_WORDS), "w", "n")
+    caches = spark.sparkContext.broadcast((hot_pairs, hot_words))
 
     def spread(batches):
-        m = held.value
+        (pair_keys, pair_logs), (common, counts) = caches.value
+        log_counts = np.log10(counts + 0.5) - norm
         number = TaskContext.get().partitionId() << 40
-        log_counts = np.log10(np.r_[m.counts, 0] + 0.5) - norm
-        for part in _slices(batches, 4000):
-            h, first = _tokens(part["text"])
+        for part in X.slices(batches, 4 * X.STEP):
+            w, v, first = _tokens(part["text"])
             n = len(part)
             doc = np.repeat(np.arange(n), np.diff(first))
-            w = m.classes(h)
-            u = np.r_[m.classes(np.array([_END])), w[:-1]]
-            u[first[:-1]] = u[0]
-            key = u << np.uint32(16) | w
-            rare = w == m.rare
-            at = np.minimum(np.searchsorted(m.hot[0], key), max(len(m.hot[0]) - 1, 0))
-            hot = m.hot[0][at] == key if len(m.hot[0]) else np.zeros(len(key), bool)
-            own = np.bincount(doc[hot], m.hot_log[at[hot]], n) if len(m.hot[0]) else np.zeros(n)
-            base = np.bincount(doc[~rare], log_counts[w[~rare]], n)
-            ids = part["doc_id"]
+            held = part["held"].to_numpy(zero_copy_only=False).astype(bool)
             address = np.arange(number, number + n, dtype=np.uint64)
             number += n
-            cold = ~hot
-            made = [
-                (HITS, _bucket_of_pairs(key[cold], groups), {"key": key[cold], "doc": address[doc[cold]]}),
-                (RARE, B.bucket_of(h[rare], groups), {"word": h[rare], "doc": address[doc[rare]]}),
-                (ROWS, (address % np.uint64(groups)).astype(np.int32), {"doc": address, "id": ids.fill_null(0).to_numpy(), "null": ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), "held": part["held"].to_numpy(zero_copy_only=False).astype(np.uint8), "tokens": np.diff(first).astype(np.uint32), "known": np.bincount(doc[~rare], minlength=n).astype(np.uint32), "base": base, "own": own}),
-            ]
-            for kind, bucket, fields in made:
-                yield from _wide(B.pack("bucket", bucket, 0, fields, kind), "bucket", "home").combine_chunks().to_batches()
-
-    def looked_up(table: pa.Table) -> pa.Table:
-        m, bucket = held.value, table["bucket"][0].as_py()
-        kind = table["kind"].to_numpy()
-        part = lambda k, fields: B.unpack(table.filter(pa.array(kind == k)), fields)
-        sums_doc, sums, known, base = [], [], [], []
-        e = part(HITS, _HITS)
-        if len(e["key"]):
-            p = part(PAIRS, _PAIRS)
-            at = np.minimum(np.searchsorted(p["key"], e["key"]), max(len(p["key"]) - 1, 0))
-            hit = p["key"][at] == e["key"] if len(p["key"]) else np.zeros(len(e["key"]), bool)
-            prob = m.unseen(e["key"])
-            if hit.any():
-                prob[hit] = m.seen(p["key"], p["n"], bucket)[at[hit]]
-            sums_doc.append(e["doc"])
-            sums.append(np.log10(prob))
-            known.append(np.zeros(len(prob), np.uint32))
-            base.append(np.zeros(len(prob)))
-        e = part(RARE, _RARE)
-        if len(e["word"]):
-            p = part(WORDS, _COUNT)
-            at = np.minimum(np.searchsorted(p["key"], e["word"]), max(len(p["key"]) - 1, 0))
-            c = np.where(p["key"][at] == e["word"], p["n"][at], 0) if len(p["key"]) else np.zeros(len(e["word"]), np.int64)
-            opened = (1.0 + rare_d * rare_kinds) / (kinds + 1)
-            t = seat(p["n"].astype(np.int64), np.full(len(p["n"]), opened), rare_d, np.random.default_rng((seed, bucket)))
-            mass = np.where(c > 0, c - rare_d * t[at], 0) if len(p["key"]) else np.zeros(len(c))
-            sums_doc.append(e["doc"])
-            sums.append(np.log10((mass + opened) / (1.0 + rare_total)))
-            known.append((c > 0).astype(np.uint32))
-            base.append(np.log10(c + 0.5) - norm)
-        doc = np.concatenate([np.zeros(0, np.uint64), *sums_doc])
+            key = X.combine(v, w)
+            at, hot = _find(pair_keys, key)
+            own = np.bincount(doc[hot], pair_logs[at[hot]], n) if hot.any() else np.zeros(n)
+            at, often = _find(common, w)
+            base = np.bincount(doc[often], log_counts[at[often]], n) if often.any() else np.zeros(n)
+            seen, other = ~hot & ~held[doc], ~hot & held[doc]
+            ids = part["doc_id"]
+            out = _dealt(_place(v[seen], groups), SEEN, key=key[seen], doc=address[doc[seen]])
+            out += _dealt(_place(v[other], groups), ANY, v=v[other], w=w[other], doc=address[doc[other]])
+            out += _dealt(_place(w[~often], groups), RARE, w=w[~often], doc=address[doc[~often]])
+            out += _dealt(_place(address, groups), ROWS, doc=address, id=ids.fill_null(0).to_numpy(), null=ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), held=held.astype(np.uint8), tokens=np.diff(first).astype(np.uint32), known=np.bincount(doc[often], minlength=n).astype(np.uint32), base=base, own=own)
+            yield from _table(out).combine_chunks().to_batches()
+
+    def summed(doc, own, known, base) -> list:
         order = np.argsort(doc, kind="stable")
         start, _ = B.runs(doc[order])
-        add = lambda v, kind: np.add.reduceat(np.concatenate(v)[order], start) if len(start) else np.zeros(0, kind)
-        found = {"doc": doc[order][start], "own": add(sums, np.float64), "known": add(known, np.uint32).astype(np.uint32), "base": add(base, np.float64)}
-        back = _wide(B.pack("home", (found["doc"] % np.uint64(groups)).astype(np.int32), bucket, found, HITS), "home", "bucket")
-        passed = table.filter(pa.array(kind == ROWS))
-        passed = passed.set_column(passed.column_names.index("home"), "home", passed["bucket"]).select(back.column_names)
-        return pa.concat_tables([back, passed])
-
-    def summed(table: pa.Table) -> pa.Table:
-        kind = table["kind"].to_numpy()
-        r = B.unpack(table.filter(pa.array(kind == ROWS)), _ROWS)
-        s = B.unpack(table.filter(pa.array(kind == HITS)), {"doc": np.uint64, "own": np.float64, "known": np.uint32, "base": np.float64})
+        if not len(start):
+            return []
+        add = lambda x: np.add.reduceat(x[order], start)
+        d = doc[order][start]
+        return _dealt(_place(d, groups), SUMS, doc=d, own=add(own), known=add(known.astype(np.int64)), base=add(base))
+
+    def at_pairs(table: pa.Table) -> pa.Table:
+        r = _by_kind(table)
+        p = _load(r[PAIRS][0]) if PAIRS in r else {"key": np.zeros(0, np.uint64), "log": np.zeros(0), "v": np.zeros(0, np.uint64), "left": np.zeros(0)}
+        left = p["left"].reshape(n_kept, -1)
+        e, a = _joined(r.get(SEEN, []), ("key", "doc")), _joined(r.get(ANY, []), ("v", "w", "doc"))
+        key = np.concatenate([e["key"], X.combine(a["v"], a["w"])]).astype(np.uint64)
+        doc = np.concatenate([e["doc"], a["doc"]]).astype(np.uint64)
+        at, found = _find(p["key"], key)
+        zero = np.zeros(int(found.sum()))
+        out = summed(doc[found], p["log"][at[found]] if found.any() else zero, zero, zero)
+        miss = ~found[len(e["key"]) :]
+        v, w, d = a["v"][miss], a["w"][miss], a["doc"][miss]
+        c, known = _find(p["v"], v)
+        share = {f"left{s}": np.where(known, left[s][c], 1.0) if len(p["v"]) else np.ones(len(v)) for s in range(n_kept)}
+        passed = [(table["bucket"][0].as_py(), k, x) for k in (RARE, ROWS) for x in r.get(k, [])]
+        return _table(out + passed + _dealt(_place(w, groups), FORWARD, w=w, doc=d, **share))
+
+    def at_words(table: pa.Table) -> pa.Table:
+        r, m = _by_kind(table), whole.value
+        roots_ = {int(x["sweep"][0]): x for x in map(_load, r.get(ROOT, []))}
+        words = roots_[0]["w"] if roots_ else np.zeros(0, np.uint64)
+        f, e = _joined(r.get(FORWARD, []), ("w", "doc", *(f"left{s}" for s in range(n_kept)))), _joined(r.get(RARE, []), ("w", "doc"))
+        at, found = _find(words, f["w"])
+        p = np.zeros(len(at))
+        for s in range(n_kept):
+            c, t = (np.where(found, roots_[s][x][at], 0).astype(float) if len(words) else np.zeros(len(at)) for x in "ct")
+            p += f[f"left{s}"] * m.parent(c, t, s) / n_kept
+        at, found = _find(words, e["w"])
+        c = np.where(found, roots_[0]["n"][at].astype(np.float64), 0.0) if len(words) else np.zeros(len(at))
+        none = np.zeros(len(p))
+        return _table(summed(np.concatenate([f["doc"], e["doc"]]).astype(np.uint64), np.concatenate([np.log10(p), np.zeros(len(c))]), np.concatenate([none, c > 0]), np.concatenate([none, np.log10(c + 0.5) - norm])))
+
+    def result(table: pa.Table) -> pa.Table:
+        k = _by_kind(table)
+        r = _joined(k.get(ROWS, []), ("doc", "id", "null", "held", "tokens", "known", "base", "own"))
+        s = _joined(k.get(SUMS, []), ("doc", "own", "known", "base"))
         order = np.argsort(r["doc"])
-        at = np.searchsorted(r["doc"][order], s["doc"])
-        n = len(order)
-        tokens = r["tokens"][order].astype(np.int64)
-        score = r["own"][order] + np.bincount(at, s["own"], n)
-        known = r["known"][order] + np.bincount(at, s["known"], n).astype(np.int64)
-        base = r["base"][order] + np.bincount(at, s["base"], n)
+        at, n = np.searchsorted(r["doc"][order], s["doc"]), len(order)
+        add = lambda x: r[x][order] + (np.bincount(at, s[x], n) if len(at) else np.zeros(n))
+        tokens, score = r["tokens"][order].astype(np.int64), add("own")
         return pa.table({
-            "doc_id": pa.array(r["id"][order], pa.int64(), mask=r["null"][order] > 0),
-            "held_out": pa.array(r["held"][order] > 0),
-            "n_tokens": pa.array(tokens),
-            "n_known": pa.array(known, pa.int64()),
-            "train_tokens": pa.array(np.full(n, total), pa.int64()),
-            "base_score": pa.array(base),
-            "score": pa.array(score),
-            "perplexity": pa.array(10 ** (-score / tokens)),
+            "doc_id": pa.array(r["id"][order].astype(np.int64), mask=r["null"][order] > 0), "held_out": pa.array(r["held"][order] > 0), "n_tokens": pa.array(tokens), "n_known": pa.array(add("known").astype(np.int64)),
+            "train_tokens": pa.array(np.full(n, total), pa.int64()), "base_score": pa.array(add("base")), "score": pa.array(score), "perplexity": pa.array(10 ** (-score / tokens)),
         })
 
-    blank = lambda have: [F.lit(b"").alias(k) if k not in have else F.col(k) for k in _NAMES]
-    tables = [c.select("bucket", F.lit(0).alias("home"), F.lit(k).alias("kind"), *blank(("key", "n"))) for k, c in ((PAIRS, pairs), (WORDS, word_counts))]
-    mixed = rows.mapInArrow(spread, _MIXED).unionByName(tables[0]).unionByName(tables[1])
-    back = mixed.groupBy("bucket").applyInArrow(looked_up, _BACK)
-    return back.groupBy("home").applyInArrow(summed, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
-
-
-def _wide(table: pa.Table, to: str, other: str) -> pa.Table:
-    for k in _NAMES:
-        if k not in table.column_names:
-            table = table.append_column(k, pa.array([b""] * len(table), pa.binary()))
-    return table.select([to, other, "kind", *_NAMES])
+    sent = rows.mapInArrow(spread, _ROW)
+    first = sent.unionByName(tables).groupBy("bucket").applyInArrow(at_pairs, _ROW)
+    second = first.filter(F.col("kind").isin(FORWARD, RARE)).unionByName(roots).groupBy("bucket").applyInArrow(at_words, _ROW)
+    sums = first.filter(F.col("kind").isin(SUMS, ROWS)).unionByName(second)
+    return sums.groupBy("bucket").applyInArrow(result, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
