@@ -10,14 +10,14 @@ Gibbs sweeps reseat all customers: every dish's customers sit down again one
 after another, given the other dishes' tables and the parent's predictions of
 the sweep before (many at once for frequent dishes), which gives the parent its
 customers, who are reseated likewise. The table counts of the kept sweeps are
-stored beside the counts, and a token's probability is the mean of their
+stored (a dish of one customer has one), and a token's probability is the mean of their
 predictions: after any context these sum to 1 over all words and the unknown.
 
 Counts of pairs are dealt to buckets by context, so a restaurant stands in one
 place, however frequent; its entries are distinct words, summed before they are
 sent. The parent's counts are dealt by word. Each sweep sends, for each bucket
-of contexts, its distinct words with their tables to the parents and their
-parents' masses back. Scores are summed by document in two steps, where the
+of contexts, the tables of its words with several customers to the parents and
+the parents' answers back. Scores are summed by document in two steps, where the
 pairs and where the words lie. Two tables of fixed size are broadcast as caches
 (the most frequent words' counts and pairs' scores): they hold the very values
 that the buckets hold, and spare the shuffle of the most frequent tokens.
@@ -47,16 +47,21 @@ _END = np.uint64(0xA24BAED4963EE407)
 _BINS = 1024
 _FLUSH = 3_000_000
 _ROW = "bucket int, kind int, data binary"
-PAIRS, STATE, ASK, TABLES, MASS, ROOT, TOTAL, SEEN, ANY, FORWARD, RARE, SUMS, ROWS = range(13)
+PAIRS, REPEATED, STATE, ASK, ASK_REPEATED, TABLES, MASS, ROOT, TOTAL, SEEN, ANY, FORWARD, RARE, SUMS, ROWS = range(15)
+
+
+_SORTED, _COUNTS = ("v", "key", "doc"), ("n", "t", "c")
 
 
 def _dump(**arrays: np.ndarray) -> bytes:
-    """Arrays as bytes by significance; counts compressed."""
-    return pickle.dumps({k: (v.dtype.str, zlib.compress(B._coded(v, k), 1) if k in ("n", "t", "c") else B._coded(v, k)) for k, v in arrays.items()})
+    """Arrays as bytes by significance; keys as differences, counts compressed."""
+    code = lambda k, v: B._coded(v, "doc" if k in _SORTED else k)
+    return pickle.dumps({k: (v.dtype.str, zlib.compress(code(k, v), 1) if k in _COUNTS else code(k, v)) for k, v in arrays.items()})
 
 
 def _load(raw: bytes) -> dict[str, np.ndarray]:
-    return {k: B._decoded(zlib.decompress(v) if k in ("n", "t", "c") else v, k, np.dtype(d)) for k, (d, v) in pickle.loads(raw).items()}
+    decode = lambda k, v, d: B._decoded(zlib.decompress(v) if k in _COUNTS else v, "doc" if k in _SORTED else k, np.dtype(d))
+    return {k: decode(k, v, d) for k, (d, v) in pickle.loads(raw).items()}
 
 
 def _joined(parts: list[bytes], names: tuple[str, ...]) -> dict[str, np.ndarray]:
@@ -153,9 +158,8 @@ class Totals:
         return (c - self.root_d * t + (self.strength + self.root_d * tables) / (self.words + 1)) / (self.strength + customers)
 
 
-def _pairs_of(rows: dict[int, list[bytes]]):
+def _pairs_of(p: dict[str, np.ndarray]):
     """(pair's context index, contexts, words, counts, sorted distinct words, each pair's place among them) of a bucket."""
-    p = _load(rows[PAIRS][0])
     ctx = np.repeat(np.arange(len(p["v"])), p["len"].astype(np.int64))
     words, back = np.unique(p["w"], return_inverse=True)
     return ctx, p["v"], p["w"], p["n"].astype(np.int64), words, back
@@ -171,11 +175,18 @@ def _answers(rows: list[dict], words: np.ndarray, groups: int) -> tuple[np.ndarr
     return c, t
 
 
+def _all_tables(n: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    """Tables of all dishes: one customer has one table, the others those that are stored."""
+    t = np.ones(len(n), np.uint64)
+    t[n > 1] = repeated
+    return t
+
+
 class Model:
     """A fitted model: checkpointed rows (bucket, kind, data) of pairs, kept tables and parents' masses, and the totals."""
 
-    def __init__(self, groups: int, totals: Totals, pairs: DataFrame, kept: list[tuple[DataFrame, DataFrame]], word_counts: DataFrame):
-        self.groups, self.totals, self.pairs, self.kept, self.word_counts = groups, totals, pairs, kept, word_counts
+    def __init__(self, groups: int, totals: Totals, pairs: DataFrame, kept: list[tuple[DataFrame, DataFrame]], asked: DataFrame):
+        self.groups, self.totals, self.pairs, self.kept, self.asked = groups, totals, pairs, kept, asked
 
     def seatings(self) -> DataFrame:
         """sweep, v, w, n, tables of every context's dishes (words as fingerprints)."""
@@ -183,14 +194,16 @@ class Model:
             for b in batches:
                 for raw in b["data"].to_pylist():
                     x = _load(raw)
-                    n = len(x["w"])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x["v"], x["len"].astype(np.int64)).astype(np.int64)), pa.array(x["w"].astype(np.int64)), pa.array(x["n"].astype(np.int64)), pa.array(x["t"].astype(np.int64)) if "t" in x else pa.array(np.ones(n, np.int64))], ["v", "w", "n", "tables"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x["v"], x["len"].astype(np.int64)).astype(np.int64)), pa.array(x["w"].astype(np.int64)), pa.array(x["n"].astype(np.int64)), pa.array(x["t"].astype(np.int64))], ["v", "w", "n", "tables"])
 
         out = None
         for k, (state, _) in enumerate(self.kept):
             def both(table: pa.Table) -> pa.Table:
                 r = _by_kind(table)
-                return _table([(table["bucket"][0].as_py(), PAIRS, _dump(**_load(r[PAIRS][0]), t=_load(r[STATE][0])["t"]))] if PAIRS in r else [])
+                if PAIRS not in r:
+                    return _table([])
+                p = _load(r[PAIRS][0])
+                return _table([(table["bucket"][0].as_py(), PAIRS, _dump(**p, t=_all_tables(p["n"], _load(r[STATE][0])["t"])))])
 
             one = self.pairs.unionByName(state.filter(F.col("kind") == STATE)).groupBy("bucket").applyInArrow(both, _ROW).mapInArrow(show, "v bigint, w bigint, n bigint, tables bigint").withColumn("sweep", F.lit(k))
             out = one if out is None else out.unionByName(one)
@@ -234,18 +247,23 @@ def fit(texts: DataFrame, groups: int, burn_in: int = 1, samples: int = 2, stren
     pairs = counted.filter(F.col("kind") == PAIRS)
     hist, sums = _sum(counted, ("hist", "sums"), (_BINS, 2))
 
-    def told(words: np.ndarray, back: np.ndarray, t: np.ndarray, bucket: int, **more: np.ndarray) -> list:
-        """Rows for the parents: a bucket's tables of each of its words; with more fields, the words too."""
-        tables, place = np.bincount(back, t, len(words)).astype(np.uint64), _place(words, groups)
-        own = {"from": np.array([bucket], np.int64)}
-        out = [(b, k, _dump(**_load(d), **own)) for b, k, d in _dealt(place, TABLES, t=tables)]
-        return out + ([(b, k, _dump(**_load(d), **own)) for b, k, d in _dealt(place, ASK, w=words, **more)] if more else [])
+    def told(words: np.ndarray, bucket: int, kind: int, **fields: np.ndarray) -> list:
+        """Rows for the parents of words: a bucket's fields of each."""
+        return [(b, k, _dump(**_load(d), **{"from": np.array([bucket], np.int64)})) for b, k, d in _dealt(_place(words, groups), kind, **fields)]
 
     def begun(table: pa.Table) -> pa.Table:
-        rows, bucket = _by_kind(table), table["bucket"][0].as_py()
-        _, _, _, n, words, back = _pairs_of(rows)
-        t = np.ones(len(n), np.int64)
-        return _table([(bucket, STATE, _dump(t=t.astype(np.uint64))), *told(words, back, t, bucket, n=np.bincount(back, n, len(words)).astype(np.uint64))])
+        """What sweeps change: dishes of several customers, beside how many others their context has; and what parents need of the rest."""
+        bucket = table["bucket"][0].as_py()
+        ctx, contexts, w, n, words, back = _pairs_of(_load(_by_kind(table)[PAIRS][0]))
+        many = n > 1
+        once = np.bincount(back[~many], minlength=len(words)).astype(np.uint64)
+        out = told(words, bucket, ASK, w=words, n=np.bincount(back, n, len(words)).astype(np.uint64), c=np.bincount(back, minlength=len(words)).astype(np.uint64), t=once)
+        at, size = B.runs(ctx[many])
+        own, single = ctx[many][at], np.bincount(ctx[~many], minlength=len(contexts)).astype(np.uint64)
+        out.append((bucket, REPEATED, _dump(v=contexts[own], len=size.astype(np.uint32), w=w[many], n=n[many].astype(np.uint64), t=single[own])))
+        out.append((bucket, STATE, _dump(t=np.ones(int(many.sum()), np.uint64))))
+        again = np.unique(w[many])
+        return _table(out + told(again, bucket, ASK_REPEATED, w=again))
 
     totals = Totals(int(sums[0]), 0, _discount(hist[1], hist[2]), strength)
 
@@ -255,51 +273,58 @@ def fit(texts: DataFrame, groups: int, burn_in: int = 1, samples: int = 2, stren
         def run(table: pa.Table) -> pa.Table:
             m = held.value
             r = _by_kind(table)
-            tables = {int(x["from"][0]): x["t"] for x in map(_load, r[TABLES])}
-            parts = [_load(d) for d in r[ASK]]
-            words, back = np.unique(np.concatenate([p["w"] for p in parts]), return_inverse=True)
-            c = np.bincount(back, np.concatenate([tables[int(p["from"][0])] for p in parts])).astype(np.int64)
-            n = np.bincount(back, np.concatenate([p["n"] for p in parts])).astype(np.uint64)
+            again = [_load(d) for d in r.get(ASK_REPEATED, [])]
+            if sweep:
+                x = _load(r[ROOT][0])
+                words, n, once = x["w"], x["n"], x["once"]
+                c = once.astype(np.int64)
+                tables = {int(y["from"][0]): y["t"] for y in map(_load, r.get(TABLES, []))}
+                for p in again:
+                    c[np.searchsorted(words, p["w"])] += tables[int(p["from"][0])].astype(np.int64)
+            else:
+                parts = [_load(d) for d in r[ASK]]
+                words, back = np.unique(np.concatenate([p["w"] for p in parts]), return_inverse=True)
+                n, c, once = (np.bincount(back, np.concatenate([p[k] for p in parts])).astype(np.uint64) for k in ("n", "c", "t"))
+                c = c.astype(np.int64)
             bucket = table["bucket"][0].as_py()
             if sweep:
                 t = seat(c, np.full(len(c), (m.strength + m.root_d * m.sweeps[-1][1]) / (m.words + 1)), m.root_d, np.random.default_rng((seed + sweep, bucket, 1)))
             else:
                 t = np.ones(len(c), np.int64)
             both = {"c": c.astype(np.uint64), "t": t.astype(np.uint64)}
-            out = [(bucket, ROOT, _dump(w=words, n=n, **both)), (0, TOTAL, _dump(sums=np.array([c.sum(), t.sum(), len(c), (c == 1).sum(), (c == 2).sum()], np.int64), hist=np.bincount(_bin(n), minlength=_BINS)))]
-            lo = 0
-            for p in parts:
-                at = back[lo : lo + len(p["w"])]
+            out = [(bucket, ROOT, _dump(w=words, n=n, once=once, **both)), (0, TOTAL, _dump(sums=np.array([c.sum(), t.sum(), len(c), (c == 1).sum(), (c == 2).sum()], np.int64), hist=np.bincount(_bin(n), minlength=_BINS)))]
+            for p in again:
+                at = np.searchsorted(words, p["w"])
                 out.append((int(p["from"][0]), MASS, _dump(**{k: v[at] for k, v in both.items()}, **{"from": np.array([bucket], np.int64)})))
-                lo += len(p["w"])
             return _table(out)
 
-        return checkpoint(asked.unionByName(rows.filter(F.col("kind") == TABLES)).groupBy("bucket").applyInArrow(run, _ROW))
+        return checkpoint(rows.groupBy("bucket").applyInArrow(run, _ROW))
 
     def sweep_of(state: DataFrame, above: DataFrame, number: int) -> DataFrame:
         held = state.sparkSession.sparkContext.broadcast(totals)
 
         def run(table: pa.Table) -> pa.Table:
             rows, bucket, m = _by_kind(table), table["bucket"][0].as_py(), held.value
-            ctx, contexts, _, n, words, back = _pairs_of(rows)
-            before = np.bincount(ctx, _load(rows[STATE][0])["t"], len(contexts))
-            parent = m.parent(*_answers([_load(d) for d in rows[MASS]], words, groups), -1)[back]
+            p = _load(rows[REPEATED][0])
+            ctx, contexts, _, n, words, back = _pairs_of(p)
+            before = p["t"] + np.bincount(ctx, _load(rows[STATE][0])["t"], len(contexts))
+            parent = m.parent(*_answers([_load(d) for d in rows.get(MASS, [])], words, groups), -1)[back]
             t = seat(n, (m.strength + m.d * before[ctx]) * parent, m.d, np.random.default_rng((seed + number, bucket)))
-            return _table([(bucket, STATE, _dump(t=t.astype(np.uint64))), *told(words, back, t, bucket)])
+            return _table([(bucket, STATE, _dump(t=t.astype(np.uint64))), *told(words, bucket, TABLES, t=np.bincount(back, t, len(words)).astype(np.uint64))])
 
-        rows = pairs.unionByName(state.filter(F.col("kind") == STATE)).unionByName(above.filter(F.col("kind") == MASS))
+        rows = begin.filter(F.col("kind") == REPEATED).unionByName(state.filter(F.col("kind") == STATE)).unionByName(above.filter(F.col("kind") == MASS))
         return checkpoint(rows.groupBy("bucket").applyInArrow(run, _ROW))
 
-    state = checkpoint(pairs.groupBy("bucket").applyInArrow(begun, _ROW))
-    asked = state.filter(F.col("kind") == ASK)
-    above = parents(state, 0)
+    state = begin = checkpoint(pairs.groupBy("bucket").applyInArrow(begun, _ROW))
+    again = begin.filter(F.col("kind") == ASK_REPEATED)
+    above = root = parents(begin.filter(F.col("kind") == ASK).unionByName(again), 0)
     _, s = _sum(above, ("hist", "sums"), (_BINS, 5))
     totals.words, totals.root_d = int(s[2]), _discount(s[3], s[4])
     totals.sweeps.append((int(s[0]), int(s[1])))
     kept, kept_totals = [], []
     for k in range(1, burn_in + samples + 1 if totals.tokens else 1):
         state = sweep_of(state, above, k)
-        above = parents(state, k)
+        above = parents(root.filter(F.col("kind") == ROOT).unionByName(again).unionByName(state.filter(F.col("kind") == TABLES)), k)
         _, s = _sum(above, ("hist", "sums"), (_BINS, 5))
         totals.sweeps.append((int(s[0]), int(s[1])))
         if k > burn_in:
@@ -307,7 +332,7 @@ def fit(texts: DataFrame, groups: int, burn_in: int = 1, samples: int = 2, stren
             kept_totals.append(totals.sweeps[-1])
     totals.sweeps = kept_totals or totals.sweeps[-1:]
     kept = kept or [(state, above)]
-    return Model(groups, totals, pairs, kept, kept[-1][1].filter(F.col("kind") == ROOT))
+    return Model(groups, totals, pairs, kept, begin.filter(F.col("kind") == ASK))
 
 
 def _sum(rows: DataFrame, names: tuple[str, ...], sizes: tuple[int, ...]) -> list[np.ndarray]:
@@ -359,12 +384,12 @@ def scores(model: Model, rows: DataFrame) -> DataFrame:
     def scored(table: pa.Table) -> pa.Table:
         """A bucket's pairs with the logarithm of their mean prediction, and its contexts with what they leave to the parent, in each sweep."""
         r, bucket, m = _by_kind(table), table["bucket"][0].as_py(), whole.value
-        ctx, contexts, w, n, words, back = _pairs_of(r)
+        ctx, contexts, w, n, words, back = _pairs_of(_load(r[PAIRS][0]))
         customers = m.strength + np.bincount(ctx, n, len(contexts))
         left, p = np.zeros((n_kept, len(contexts))), np.zeros(len(n))
         states, answers = ({k: [x for x in map(_load, r[kind]) if x["sweep"][0] == k] for k in range(n_kept)} for kind in (STATE, MASS))
         for s in range(n_kept):
-            t = states[s][0]["t"]
+            t = _all_tables(n, states[s][0]["t"])
             left[s] = (m.strength + m.d * np.bincount(ctx, t, len(contexts))) / customers
             p += ((n - m.d * t) / customers[ctx] + left[s][ctx] * m.parent(*_answers(answers[s], words, groups), s)[back]) / n_kept
         key = X.combine(contexts[ctx], w)
@@ -379,11 +404,22 @@ def scores(model: Model, rows: DataFrame) -> DataFrame:
 
         return df.filter(F.col("kind") == kind).mapInArrow(run, _ROW)
 
+    def answered(table: pa.Table) -> pa.Table:
+        """To each bucket of contexts its words' customers and tables at the parents, in each kept sweep."""
+        r, bucket = _by_kind(table), table["bucket"][0].as_py()
+        found, out = [_load(d) for d in r.get(ROOT, [])], []
+        for p in map(_load, r.get(ASK, [])):
+            for x in found:
+                at = np.searchsorted(x["w"], p["w"])
+                out.append((int(p["from"][0]), MASS, _dump(c=x["c"][at], t=x["t"][at], sweep=x["sweep"], **{"from": np.array([bucket], np.int64)})))
+        return _table(out)
+
     mixed, roots = model.pairs, None
     for s, (state, above) in enumerate(model.kept):
-        mixed = mixed.unionByName(numbered(state, STATE, s)).unionByName(numbered(above, MASS, s))
+        mixed = mixed.unionByName(numbered(state, STATE, s))
         root = numbered(above, ROOT, s)
         roots = root if roots is None else roots.unionByName(root)
+    mixed = mixed.unionByName(model.asked.unionByName(roots).groupBy("bucket").applyInArrow(answered, _ROW))
     tables = checkpoint(mixed.groupBy("bucket").applyInArrow(scored, _ROW))
 
     def histogram(df: DataFrame, kind: int) -> np.ndarray:
@@ -394,8 +430,9 @@ def scores(model: Model, rows: DataFrame) -> DataFrame:
 
         return _sum(df.filter(F.col("kind") == kind).mapInArrow(run, _ROW), ("hist",), (_BINS,))[0]
 
+    word_counts = model.kept[-1][1].filter(F.col("kind") == ROOT)
     hot_pairs = _most_frequent(tables, PAIRS, _least_within(histogram(tables, PAIRS), COMMON_PAIRS), "key", "log")
-    hot_words = _most_frequent(model.word_counts, ROOT, _least_within(histogram(model.word_counts, ROOT), COMMON_WORDS), "w", "n")
+    hot_words = _most_frequent(word_counts, ROOT, _least_within(histogram(word_counts, ROOT), COMMON_WORDS), "w", "n")
     caches = spark.sparkContext.broadcast((hot_pairs, hot_words))
 
     def spread(batches):
