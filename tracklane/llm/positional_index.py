@@ -33,8 +33,8 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rarest terms of a window whose lists are intersected.
 LISTS = 3
-#: Windows whose anchors are broadcast at a time: some 60 bytes for each of LISTS.
-BLOCK = 100_000
+#: Windows whose anchors and terms' counts are broadcast at a time: some 60 bytes for each of LISTS, at most 13 terms of some 40.
+BLOCK = 50_000
 #: Bytes of test terms broadcast at a time.
 TERM_BYTES = 16 << 20
 #: Hashes of candidate documents that are broadcast to the texts (8 bytes each); more are joined.
@@ -78,9 +78,10 @@ def build_index(documents: DataFrame, terms: DataFrame, path: str | None = None,
 def anchors(index: DataFrame, wins: DataFrame, lists: int) -> DataFrame:
     """(wid, need, term, offset, length): the rarest terms of each window, all of whose terms have postings; a term's first offset."""
     parts = wins.select("wid", F.size("window").alias("length"), F.posexplode("window").alias("offset", "term")).groupBy("wid", "length", "term").agg(F.min("offset").alias("offset"))
-    counts = index.filter("term <> ''").groupBy("term").agg(F.count("*").alias("n"))
+    mine = parts.select("term").distinct()  # at most the terms of a block of windows
+    counts = index.join(F.broadcast(mine), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     by = W.partitionBy("wid")
-    parts = parts.join(counts, "term", "left").withColumn("_least", F.min(F.coalesce("n", F.lit(0))).over(by)).filter("_least > 0")
+    parts = parts.join(F.broadcast(counts), "term", "left").withColumn("_least", F.min(F.coalesce("n", F.lit(0))).over(by)).filter("_least > 0")
     parts = parts.withColumn("_k", F.row_number().over(by.orderBy("n", "offset"))).filter(F.col("_k") <= lists)
     return parts.withColumn("need", F.count("*").over(by)).select("wid", "need", "term", "offset", "length", F.col("_k").alias("k"))
 
