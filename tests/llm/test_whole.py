@@ -196,3 +196,51 @@ def test_no_exchange_is_left():
         if len(bins) > -(-sum(lengths) // 100):
             pairs = [(a, b) for a in range(len(bins)) for b in range(len(bins)) if a != b and fill[a] < fill[b] < 100]
             assert not any(best_fit_packing._exchange(bins[a], bins[b], 100 - fill[b], lengths) for a, b in pairs)
+
+
+def test_other_tokenizers_go_the_long_way():
+    from tokenizers import Tokenizer
+
+    other = best_fit_packing.default_tokenizer().replace("word_bpe_49k", "byte_bpe_50k")
+    ids, whole = best_fit_packing.WordIds(other), Tokenizer.from_file(other)
+    assert not ids.by_words and best_fit_packing.WordIds(best_fit_packing.default_tokenizer()).by_words
+    for t in ("Hello  World it's 12", "", "x\n\ny"):
+        assert ids.of(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_pages_with_clashing_names_repeats_and_none(spark):
+    link = '<link rel=canonical href="http://k.com/en/1">'
+    rows = [(1, "http://a.io/", link, 1, "x", "y", "z")] * 3 + [(2, None, link, 1, "x", "y", "z"), (None, "http://a.io/", None, 1, "x", "y", "z"), (3, "http://a.io/", None, 1, "x", "y", "z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _node int, host string, rule string, alias_verdict string")
+    got = collections.Counter(tuple(r)[:5] for r in redirect_rules.judge(df).collect())
+    page = lambda i: (i, "a.io", "/", None, "block")
+    assert got == {page(1): 3, page(None): 1, page(3): 1, (2, "", "", None, "allow"): 1}
+    assert redirect_rules.judge(df.limit(0)).count() == 0
+
+
+def test_query_columns_of_scores_and_shards(spark, tmp_path):
+    import zlib
+
+    from tracklane.llm import queries
+
+    rows = [(i, None if i == 3 else "" if i == 4 else f"text é {i % 7}", "en", None if i % 5 else "s", i) for i in range(80)] + [(None, "x", "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 7 > 2), 0) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for r in queries.quality(spark, str(tmp_path)).collect():
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1
+    got = queries.shards(spark, str(tmp_path)).collect()
+    texts = {i: (t or "").encode() for i, t, *_ in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(texts[r["doc_id"]]) + 8, zlib.crc32(texts[r["doc_id"]]), "rows", None)
+    sizes = collections.Counter(r["shard"] for r in got)
+    assert set(sizes) == set(range(24)) and max(sizes.values()) - min(sizes.values()) <= 1
+    # the assignment itself: fractional ranks within each source, in the order of the seeded hash
+    hashed = {r["doc_id"]: r["h"] for r in spark.createDataFrame([(i, zlib.crc32(texts[i])) for i in texts], "doc_id long, c long").select("doc_id", F.xxhash64(F.lit(7), "doc_id", "c").alias("h")).collect()}
+    by = collections.defaultdict(list)
+    for i, _, _, s, _ in rows:
+        by["=" + s if s else "-"].append(i)
+    ranked = sorted(((2 * k + 1) / (2 * len(ids)), s, i) for s, ids in by.items() for k, i in enumerate(sorted(ids, key=hashed.get)))
+    place = {i: k for k, (_, _, i) in enumerate(ranked)}
+    assert {r["doc_id"]: r["shard"] for r in got} == {i: k * 24 // len(rows) for i, k in place.items()}

@@ -18,6 +18,7 @@ from __future__ import annotations
 import bisect
 import gc
 import heapq
+import json
 import re
 import struct
 import zlib
@@ -58,8 +59,8 @@ class WordIds(dict):
     """Ids of a lowered word, as little-endian bytes, by the tokenizer's own steps.
 
     A text is lowered and parted at white space. A new word is parted into runs of letters, digits or signs, and only
-    new runs are encoded. A text with any unusual character goes through the
-    whole tokenizer.
+    new runs are encoded. A text with any unusual character, and any text with a
+    tokenizer of other steps, goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -67,6 +68,14 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)
+        parts = steps.get("pre_tokenizer") or {}
+        self.by_words = (
+            [n.get("type") for n in (steps.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+            and [(n.get("type"), (n.get("pattern") or {}).get("Regex"), n.get("add_prefix_space")) for n in parts.get("pretokenizers", [])] == [("Split", _RUNS.pattern, None), ("ByteLevel", None, False)]
+            and steps["model"].get("end_of_word_suffix") == "</w>"
+        )
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
@@ -82,7 +91,7 @@ class WordIds(dict):
         return out
 
     def of(self, text: str) -> bytes:
-        if _UNUSUAL.search(text) or "<|" in text:
+        if not self.by_words or _UNUSUAL.search(text) or "<|" in text:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, text.lower().split()))
 

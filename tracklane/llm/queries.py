@@ -101,6 +101,19 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT a AS doc_id, a AS c FROM (SELECT DISTINCT a FROM l) UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) m USING (doc_id)""",
+    "op4_prefix_doubling": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT k, unnest(range(0, CAST(length(h) // 2 AS BIGINT) - 199)) AS p, h FROM d WHERE length(h) >= 400),
+f AS (SELECT k, p, md5_number(substring(h, CAST(2 * p + 1 AS BIGINT), 400)) AS m FROM w),
+s AS (SELECT k, p FROM f QUALIFY count(*) OVER (PARTITION BY m) > 1),
+g AS (SELECT *, max(p + 200) OVER (PARTITION BY k ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM s),
+i AS (SELECT *, sum(CASE WHEN p <= e THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY p) AS i FROM g),
+r AS (SELECT k, i, min(p) AS a, max(p + 200) AS b FROM i GROUP BY 1, 2),
+b AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS c FROM r),
+t AS (SELECT k, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last FROM b GROUP BY 1),
+x AS (SELECT k, string_agg(substring(d.h, CAST(2 * c + 1 AS BIGINT), CAST(2 * (a - c) AS BIGINT)), '' ORDER BY a) AS kept FROM b JOIN d USING (k) GROUP BY 1)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(CAST(n_removed AS BIGINT), 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept || substring(h, CAST(2 * last + 1 AS BIGINT)), h))) AS kept_sha256
+FROM d LEFT JOIN t USING (k) LEFT JOIN x USING (k)""",
     "op6_positional_index": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
