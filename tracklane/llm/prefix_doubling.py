@@ -40,6 +40,8 @@ _STATE = {"doc": np.uint32, "lo": np.uint32, "n": np.uint8, "flag": np.uint8}
 _WINDOW = {"key": np.uint64, "more": np.uint32, "doc": np.uint32, "lo": np.uint32, "n": np.uint8, "flag": np.uint8}
 _SPAN = {"doc": np.uint32, "lo": np.uint32, "n": np.uint8}
 _MARK, _DONE, _OPEN = np.uint8(128), np.uint8(1), np.uint8(2)
+#: Windows further apart are hashed apart.
+_NEAR = 1024
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
@@ -113,15 +115,16 @@ def _whole(data: np.ndarray, off: np.ndarray, length: int, doc: np.ndarray, lo:
     """Ranks (96 bits) of the given windows, sorted by document and start: of each, the pair of its halves' ranks."""
     half, at = length // 2, off[doc] + lo
     key, more = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint32)
-    for _, j, begin, end in _stretches(off, length):
-        a, b = np.searchsorted(at, (begin, end))
-        if a == b:
-            continue
-        piece, p = data[begin : min(end + length, int(off[j]))], at[a:b] - begin
-        h = X.window_hash(piece, half)
-        key[a:b] = X.combine(h[p], h[p + half])
-        h = X.window_hash(piece, half, 1)
-        more[a:b] = X.combine(h[p], h[p + half]).astype(np.uint32)
+    ends = off[np.asarray(doc, np.int64) + 1] if len(at) else at
+    first = np.flatnonzero(np.r_[True, (np.diff(at) > _NEAR) | (np.diff(doc) != 0)]) if len(at) else at
+    for a, b in zip(first.tolist(), np.r_[first[1:], len(at)].tolist(), strict=True) if len(at) else ():
+        for i in range(a, b, X.STEP):  # of one text, near each other
+            j, begin = min(b, i + X.STEP), int(at[i])
+            piece, p = data[begin : min(int(at[j - 1]) + length, int(ends[i]))], at[i:j] - begin
+            h = X.window_hash(piece, half)
+            key[i:j] = X.combine(h[p], h[p + half])
+            h = X.window_hash(piece, half, 1)
+            more[i:j] = X.combine(h[p], h[p + half]).astype(np.uint32)
     return key, more
 
 
