@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from .catalog import ORACLE_SQL, _INTERVALS, _T, _obs, _r, _starts, query
-from .functions import boxes, text
-from .operators import intervals, jerseys, masks, poses, reports
+from .functions import text
+from .operators import intervals, jerseys, poses, reports
 from .sources import alignment, records, tables
 
 
