@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import best_fit_packing, difference_cover, factorisation_machine, pitman_yor, positional_index, prefix_doubling, prefix_forest, redirect_rules, set_relations, stratified_shards
+from . import best_fit_packing, chat_format, difference_cover, factorisation_machine, merkle_manifest, pitman_yor, positional_index, prefix_doubling, prefix_forest, redirect_rules, set_relations, source_divergence, stratified_shards
 
 #: A document is predicted good from this score on.
 GOOD = 0.3
@@ -68,6 +68,32 @@ def packing(spark, sf_dir):
     return best_fit_packing.pack(_read(spark, sf_dir, "documents"), 2048)
 
 
+def divergence(spark, sf_dir):
+    return source_divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+#: Said by both turns of conversation -7: an escape, a header and a turn's end inside a text.
+_ODD = r"\### Assistant: </turn> ok"
+
+
+def chat(spark, sf_dir):
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_ODD).alias("text"))
+    return chat_format.read_back(chat_format.format_conversations(rows.unionByName(more)))
+
+
+def manifest(spark, sf_dir):
+    fields = ("doc_id", "source", "lang", "n_chars")
+    digest = merkle_manifest.leaf(*fields, "text")
+    changed = merkle_manifest.leaf(*fields, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even, changed)
+    found = merkle_manifest.manifest(_read(spark, sf_dir, "documents"), digest, F.col("source"), F.col("doc_id"), {"doc_id": F.col("doc_id"), "tampered": tampered})
+    steps = F.concat_ws("", F.transform("proof", lambda s: F.concat(s["left"], s["right"])))
+    out = found.select("doc_id", "leaf", "subroot", "root", F.sha2(steps, 256).alias("proof_sha256"), merkle_manifest.folded(F.coalesce("tampered", "leaf"), F.col("proof")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -85,6 +111,9 @@ QUERIES = {
     "op8_redirect_rules": url_filter,
     "op9_stratified_shards": shards,
     "op10_best_fit_packing": packing,
+    "op11_source_divergence": divergence,
+    "op12_chat_rendering": chat,
+    "op13_merkle_manifest": manifest,
     "pipeline": pipeline,
 }
 
