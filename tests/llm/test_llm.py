@@ -236,50 +236,49 @@ def test_pitman_yor(docs, monkeypatch):
     assert sum(r["score"] for r in got if not r["held_out"]) > sum(r["base_score"] for r in got if not r["held_out"])
     again = {(r["doc_id"], r["n_tokens"]): r["score"] for r in pitman_yor.perplexity_scores(docs, held).collect()}
     assert all(abs(again[r["doc_id"], r["n_tokens"]] - r["score"]) < 1e-9 for r in got)
-    # the model's own seatings, by the formulas, with and without the caches
+    # the model's own seatings, by the formulas, with few and many hot contexts and chunks
     rows = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held"))
-    model = pitman_yor.fit(rows.filter("not held"), 5)
-    m, kept = model.totals, len(model.kept)
     h = lambda w: int(pitman_yor._END) if w == 0 else int(X.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[3][0])
     signed = lambda x: x - 2**64 if x >= 2**63 else x
-    seats = [collections.defaultdict(dict) for _ in range(kept)]
-    for r in model.seatings().collect():
-        seats[r["sweep"]][r["v"]][r["w"]] = (r["n"], r["tables"])
-    roots = []
-    for k, (_, above) in enumerate(model.kept):
-        found = {}
-        for r in above.filter(F.col("kind") == pitman_yor.ROOT).collect():
-            x = pitman_yor._load(r["data"])
-            found |= {signed(int(w)): (int(c), int(t)) for w, c, t in zip(x["w"], x["c"], x["t"])}
-        roots.append(found)
-        below = collections.Counter()
-        for dishes in seats[k].values():
-            for w, (n, t) in dishes.items():
-                assert 1 <= t <= n
-                below[w] += t
-        assert {w: c for w, (c, _) in found.items()} == below and len(found) == m.words
-
-    def probability(v, w):
-        total = 0.0
+    for groups, chunk in ((5, pitman_yor.CHUNK), (60, 500)):
+        monkeypatch.setattr(pitman_yor, "CHUNK", chunk)
+        model = pitman_yor.fit(rows, groups)
+        m, kept = model.totals, len(model.kept)
+        numbers = {r["word"]: r["number"] for r in model.words().collect()}
+        assert len(set(numbers.values())) == len(numbers) == m.words == len(c)
+        assert {r["number"]: r["n"] for r in model.words().collect()} == {numbers[signed(h(w))]: k for w, k in c.items()}
+        seats = [collections.defaultdict(dict) for _ in range(kept)]
+        for r in model.seatings().collect():
+            seats[r["sweep"]][r["v"]][r["w"]] = (r["n"], r["tables"])
+        roots = [{} for _ in range(kept)]
+        for r in model.parents().collect():
+            roots[r["sweep"]][r["w"]] = (r["customers"], r["tables"])
         for k in range(kept):
-            customers, tables = m.sweeps[k]
-            c0, t0 = roots[k].get(w, (0, 0))
-            parent = (c0 - m.root_d * t0 + (m.strength + m.root_d * tables) / (m.words + 1)) / (m.strength + customers)
-            dishes = seats[k].get(v, {})
-            c, t = dishes.get(w, (0, 0))
-            total += (c - m.d * t + (m.strength + m.d * sum(x for _, x in dishes.values())) * parent) / (m.strength + sum(x for x, _ in dishes.values()))
-        return total / kept
-
-    for v in [*list(seats[0])[:20], 12345]:
-        assert abs(sum(probability(v, w) for w in roots[0]) + probability(v, 999) - 1) < 1e-9
-    want = collections.Counter()
-    for i, ws in texts:
-        ids = [signed(h(w)) for w in ws]
-        want[i, round(sum(np.log10(probability(v, w)) for v, w in zip([signed(h(0)), *ids], ids)), 6)] += 1
-    for words, pairs in ((pitman_yor.COMMON_WORDS, pitman_yor.COMMON_PAIRS), (3, 4)):
-        monkeypatch.setattr(pitman_yor, "COMMON_WORDS", words)
-        monkeypatch.setattr(pitman_yor, "COMMON_PAIRS", pairs)
-        assert collections.Counter((r["doc_id"], round(r["score"], 6)) for r in pitman_yor.scores(model, rows).collect()) == want
+            below = collections.Counter()
+            for dishes in seats[k].values():
+                for w, (n, t) in dishes.items():
+                    assert 1 <= t <= n
+                    below[w] += t
+            assert {w: x for w, (x, _) in roots[k].items()} == below and len(roots[k]) == m.words
+
+        def probability(v, w):
+            total = 0.0
+            for k in range(kept):
+                customers, tables = m.sweeps[k]
+                c0, t0 = roots[k].get(w, (0, 0))
+                parent = (c0 - m.root_d * t0 + (m.strength + m.root_d * tables) / (m.words + 1)) / (m.strength + customers)
+                dishes = seats[k].get(v, {})
+                x, t = dishes.get(w, (0, 0))
+                total += (x - m.d * t + (m.strength + m.d * sum(y for _, y in dishes.values())) * parent) / (m.strength + sum(y for y, _ in dishes.values()))
+            return total / kept
+
+        for v in [*list(seats[0])[:20], 0]:
+            assert abs(sum(probability(v, w) for w in roots[0]) + probability(v, 0) - 1) < 1e-9
+        want = collections.Counter()
+        for i, ws in texts:
+            ids = [numbers.get(signed(h(w)), 0) for w in ws]
+            want[i, round(sum(np.log10(probability(v, w)) for v, w in zip([numbers[signed(h(0))], *ids], ids)), 6)] += 1
+        assert collections.Counter((r["doc_id"], round(r["score"], 6)) for r in pitman_yor.scores(model).collect()) == want
     untaught = pitman_yor.perplexity_scores(docs, F.lit(True)).collect()
     assert {r["train_tokens"] for r in untaught} == {0} and {r["n_known"] for r in untaught} == {0} and len(untaught) == len(texts)
     assert pitman_yor.perplexity_scores(docs.limit(0), held).count() == 0

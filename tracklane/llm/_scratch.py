@@ -15,8 +15,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder = spark, f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4()}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.folder}/{name}")
+    def keep(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """df as it stands in a table, in folders by the columns `by`, which can be dropped one by one."""
+        df.write.partitionBy(*by).parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, *names: str) -> None:

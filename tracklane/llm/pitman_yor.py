@@ -13,14 +13,18 @@ customers, who are reseated likewise. The table counts of the kept sweeps are
 stored (a dish of one customer has one), and a token's probability is the mean of their
 predictions: after any context these sum to 1 over all words and the unknown.
 
-Counts of pairs are dealt to buckets by context, so a restaurant stands in one
-place, however frequent; its entries are distinct words, summed before they are
-sent. The parent's counts are dealt by word. Each sweep sends, for each bucket
-of contexts, the tables of its words with several customers to the parents and
-the parents' answers back. Scores are summed by document in two steps, where the
-pairs and where the words lie. Two tables of fixed size are broadcast as caches
-(the most frequent words' counts and pairs' scores): they hold the very values
-that the buckets hold, and spare the shuffle of the most frequent tokens.
+A chunk is some megabytes of text. It is read once: its words' fingerprints are sent to the
+words' buckets, which number words by frequency and answer with numbers; from then
+on only numbers travel. A chunk sends each distinct pair of words once to the pair's
+bucket, with how often it occurs in training texts (or not at all), and keeps each document's
+places in its list of pairs. A bucket counts, seats, and at the end answers every
+chunk with one array of logarithms in the order of its pairs, which the chunk sums
+by document. A context stands in one bucket unless it has more customers than half an
+average bucket: then its pairs are dealt by both words, and its number of tables is
+summed where its word lies and told to all its parts.
+
+Every stage is written as Parquet under the checkpoint folder and dropped when no later one
+reads it. Seeds, numbers and orders follow from the counts, not from tasks.
 
 Edge cases: null and empty texts are one end; words unseen in training have the
 unknown word's probability, contexts unseen the parent's; without training texts
@@ -35,43 +39,71 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import _blocks as B, _text as X
-from ._graph import checkpoint
+from ._scratch import Scratch
 
-#: Entries of the two caches.
-COMMON_WORDS, COMMON_PAIRS = 65_536, 150_000
+#: Bytes of text in a chunk.
+CHUNK = 16 << 20
 _END = np.uint64(0xA24BAED4963EE407)
-_BINS = 1024
-_FLUSH = 3_000_000
-_ROW = "bucket int, kind int, data binary"
-PAIRS, REPEATED, STATE, ASK, ASK_REPEATED, TABLES, MASS, ROOT, TOTAL, SEEN, ANY, FORWARD, RARE, SUMS, ROWS = range(15)
+_U = np.uint64
+_ROW = "key bigint, kind int, sweep int, data binary"
+CHUNKS, WORDS, IDS, PAIRS, TOKENS, MERGED, AT, ASK, AGAIN, REPEATED, STATE, HOT, TABLES, HOT_TABLES, MASS, HOT_MASS, ROOT, LOGS, TOTAL = range(19)
 
 
-_SORTED, _COUNTS = ("v", "key", "doc"), ("n", "t", "c")
+def _coded(v: np.ndarray) -> tuple:
+    """An array of whole numbers from 0 on, in the fewest bytes, ascending ones as differences; or of floats."""
+    if v.dtype.kind == "f":
+        return v.dtype.str, False, False, B._coded(v, "")
+    v = v.astype(np.uint64)
+    up = len(v) > 1 and bool((v[1:] >= v[:-1]).all())
+    if up:
+        v = np.r_[v[:1], v[1:] - v[:-1]]
+    v = v.astype(np.min_scalar_type(int(v.max())) if len(v) else np.uint8)
+    return v.dtype.str, True, up, zlib.compress(B._coded(v, ""), 1)
 
 
-def _dump(**arrays: np.ndarray) -> bytes:
-    """Arrays as bytes by significance; keys as differences, counts compressed."""
-    code = lambda k, v: B._coded(v, "doc" if k in _SORTED else k)
-    return pickle.dumps({k: (v.dtype.str, zlib.compress(code(k, v), 1) if k in _COUNTS else code(k, v)) for k, v in arrays.items()})
+def _put(**arrays: np.ndarray) -> bytes:
+    return pickle.dumps({k: _coded(np.asarray(v)) for k, v in arrays.items()})
 
 
-def _load(raw: bytes) -> dict[str, np.ndarray]:
-    decode = lambda k, v, d: B._decoded(zlib.decompress(v) if k in _COUNTS else v, "doc" if k in _SORTED else k, np.dtype(d))
-    return {k: decode(k, v, d) for k, (d, v) in pickle.loads(raw).items()}
+def _get(raw: bytes) -> dict[str, np.ndarray]:
+    out = {}
+    for k, (kind, packed, up, data) in pickle.loads(raw).items():
+        v = B._decoded(zlib.decompress(data) if packed else data, "", np.dtype(kind))
+        out[k] = v if not packed else np.cumsum(v, dtype=np.uint64) if up else v.astype(np.uint64)
+    return out
+
+
+def _falling(w: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Numbers that ascend within runs of these sizes, as differences."""
+    d = w.astype(np.uint64)
+    d[1:] -= w[:-1].astype(np.uint64)
+    first = np.cumsum(sizes, dtype=np.int64) - np.asarray(sizes, np.int64)
+    first = first[np.asarray(sizes) > 0]
+    d[first] = w[first]
+    return d
 
 
-def _joined(parts: list[bytes], names: tuple[str, ...]) -> dict[str, np.ndarray]:
-    loaded = [_load(p) for p in parts]
-    return {k: np.concatenate([x[k] for x in loaded]) if loaded else np.zeros(0, np.uint64) for k in names}
+def _rising(d: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    sizes = np.asarray(sizes, np.int64)
+    sizes = sizes[sizes > 0]
+    if not len(sizes):
+        return d
+    c, first = np.cumsum(d, dtype=np.uint64), np.cumsum(sizes) - sizes
+    return c - np.repeat(c[first] - d[first], sizes)
 
 
 def _table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     b, k, d = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.table({"bucket": pa.array(b, pa.int32()), "kind": pa.array(k, pa.int32()), "data": pa.array(d, pa.binary())})
+    return pa.table({"key": pa.array(b, pa.int64()), "kind": pa.array(k, pa.int32()), "sweep": pa.array([0] * len(b), pa.int32()), "data": pa.array(d, pa.binary())})
+
+
+def _batches(rows: list):
+    yield from _table(rows).combine_chunks().to_batches()
 
 
 def _by_kind(table: pa.Table) -> dict[int, list[bytes]]:
@@ -81,49 +113,52 @@ def _by_kind(table: pa.Table) -> dict[int, list[bytes]]:
     return out
 
 
-def _dealt(target: np.ndarray, kind: int, **fields: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """One row for each target with its entries, in their order."""
+def _of(rows: dict[int, list[bytes]], kind: int) -> list[dict[str, np.ndarray]]:
+    return [_get(d) for d in rows.get(kind, [])]
+
+
+def _key(table: pa.Table) -> int:
+    return table["key"][0].as_py()
+
+
+def _one(v: int) -> np.ndarray:
+    return np.array([v], np.uint64)
+
+
+def _dealt(target: np.ndarray, kind: int, sender: int, **fields: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """One row for each target with its entries, in their order, and who sends them."""
     order = np.argsort(target, kind="stable")
     first, size = B.runs(target[order])
-    return [(int(target[order[a]]), kind, _dump(**{k: v[order[a : a + n]] for k, v in fields.items()})) for a, n in zip(first.tolist(), size.tolist(), strict=True)]
+    return [(int(target[order[a]]), kind, _put(**{k: v[order[a : a + n]] for k, v in fields.items()}, sender=_one(sender))) for a, n in zip(first.tolist(), size.tolist(), strict=True)]
+
 
+def _answered(target: np.ndarray, rows: list[dict], *names: str) -> list[np.ndarray]:
+    """What the targets answered to entries that were dealt so."""
+    order = np.argsort(target, kind="stable")
+    out = [np.zeros(len(target), np.uint64) for _ in names]
+    starts = np.searchsorted(target[order], np.array([int(r["sender"][0]) for r in rows], np.int64)) if rows else []
+    for r, a in zip(rows, starts, strict=True):
+        for o, k in zip(out, names, strict=True):
+            o[order[a : a + len(r[k])]] = r[k]
+    return out
 
-def _place(keys: np.ndarray, groups: int) -> np.ndarray:
-    return (keys % np.uint64(groups)).astype(np.int32)
 
+def _bucket(numbers: np.ndarray, groups: int) -> np.ndarray:
+    """Where a word of a number above 0 lies; its place there is the rest of its number."""
+    return ((numbers - _U(1)) % _U(groups)).astype(np.int64)
 
-def _find(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, whether it is there) of keys in sorted ones."""
-    if not len(sorted_):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(sorted_, keys), len(sorted_) - 1)
-    return at, sorted_[at] == keys
+
+def _place(numbers: np.ndarray, groups: int) -> np.ndarray:
+    return (numbers - _U(1)) // _U(groups)
 
 
 def _tokens(texts):
-    """(fingerprint of every token, that of the token before, first token of each text)."""
+    """(fingerprint of every token, first token of each text)."""
     data, off = X.buffers(texts)
     _, _, doc, h = X.words(data, off, lower=True)
     n = len(off) - 1
     ends = X.starts_of(doc, n)[1:]
-    w = np.insert(h, ends, _END)
-    first = np.r_[0, ends + np.arange(1, n + 1)]
-    v = np.r_[_END, w[:-1]] if len(w) else w
-    v[first[:-1]] = _END
-    return w, v, first
-
-
-def _bin(n: np.ndarray) -> np.ndarray:
-    """Bins of counts: their own up to 511, then 32 for each power of two."""
-    n = np.asarray(n, np.float64)
-    return np.where(n < 512, n, np.minimum(512 + (np.log2(np.maximum(n, 512)) - 9) * 32, _BINS - 1)).astype(np.int64)
-
-
-def _least_within(histogram: np.ndarray, most: int) -> int:
-    """The first bin from which on at most `most` keys lie."""
-    above = np.cumsum(histogram[::-1])[::-1]
-    fits = np.flatnonzero(above <= most)
-    return int(fits[0]) if len(fits) else _BINS
+    return np.insert(h, ends, _END), np.r_[0, ends + np.arange(1, n + 1)]
 
 
 def _discount(once: float, twice: float) -> float:
@@ -131,7 +166,10 @@ def _discount(once: float, twice: float) -> float:
 
 
 def seat(c: np.ndarray, fresh: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with c customers; `fresh` is (strength + discount * tables of the restaurant) * the parent's prediction."""
+    """Tables of dishes with c customers; `fresh` is (strength + discount * tables of the restaurant) * the parent's prediction.
+
+    Customers sit down one by one up to the 64th of a dish, then a sixteenth of those seated at a time.
+    """
     t = np.ones(len(c), np.int64)
     at, step = 1, 1
     active = np.flatnonzero(c > 1)
@@ -140,17 +178,17 @@ def seat(c: np.ndarray, fresh: np.ndarray, d: float, rng: np.random.Generator) -
         new = fresh[active] / (at + (m - 1) / 2 - d * t[active] + fresh[active])
         t[active] += rng.binomial(m, np.clip(new, 0, 1))
         at += step
-        step = 1 if at < 16 else at // 4
+        step = 1 if at < 64 else at // 16
         active = active[c[active] > at]
     return t
 
 
 class Totals:
-    """What is known of the whole: tokens, words, discounts, strengths, and of each sweep the parent's customers and tables."""
+    """What is known of the whole: tokens, words, discounts, strengths, and of each kept sweep the parent's customers and tables."""
 
-    def __init__(self, tokens: int, words: int, d: float, strength: float):
-        self.tokens, self.words, self.d, self.strength = tokens, words, d, strength
-        self.root_d, self.sweeps = 0.5, []
+    def __init__(self, tokens: int, words: int, strength: float):
+        self.tokens, self.words, self.strength = tokens, words, strength
+        self.d, self.root_d, self.sweeps = 0.5, 0.5, []
 
     def parent(self, c: np.ndarray, t: np.ndarray, sweep: int) -> np.ndarray:
         """The parent's predictions of words with c customers at t tables."""
@@ -158,211 +196,299 @@ class Totals:
         return (c - self.root_d * t + (self.strength + self.root_d * tables) / (self.words + 1)) / (self.strength + customers)
 
 
-def _pairs_of(p: dict[str, np.ndarray]):
-    """(pair's context index, contexts, words, counts, sorted distinct words, each pair's place among them) of a bucket."""
-    ctx = np.repeat(np.arange(len(p["v"])), p["len"].astype(np.int64))
-    words, back = np.unique(p["w"], return_inverse=True)
-    return ctx, p["v"], p["w"], p["n"].astype(np.int64), words, back
+def _sum(rows: DataFrame, sizes: dict[str, int]) -> dict[str, np.ndarray]:
+    """Sums of the total rows' arrays, added up by part first, so that the driver gets one row for each of few parts."""
 
+    def add(table: pa.Table) -> pa.Table:
+        parts = [_get(d) for d in table["data"].to_pylist()]
+        return pa.table({"data": pa.array([_put(**{k: np.sum([p[k] for p in parts], axis=0) for k in sizes})], pa.binary())})
 
-def _answers(rows: list[dict], words: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """The parents' customers and tables, in the order of the words."""
-    c, t = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-    place = _place(words, groups)
-    for a in rows:
-        at = np.flatnonzero(place == a["from"][0])
-        c[at], t[at] = a["c"], a["t"]
-    return c, t
+    parts = rows.filter(F.col("kind") == TOTAL).select("data", F.pmod(F.hash("data"), F.lit(64)).alias("p")).groupBy("p").applyInArrow(add, "data binary").collect()
+    loaded = [_get(r["data"]) for r in parts]
+    return {k: sum((p[k].astype(np.int64) for p in loaded), np.zeros(n, np.int64)) for k, n in sizes.items()}
 
 
-def _all_tables(n: np.ndarray, repeated: np.ndarray) -> np.ndarray:
-    """Tables of all dishes: one customer has one table, the others those that are stored."""
-    t = np.ones(len(n), np.uint64)
-    t[n > 1] = repeated
-    return t
+class Model:
+    """A fitted model and the numbered texts it was fitted among: tables of rows (key, kind, sweep, data), and the totals."""
 
+    def __init__(self, scratch: Scratch, groups: int, totals: Totals, named: DataFrame, paired: DataFrame, merged: DataFrame, kept: list[tuple[DataFrame, DataFrame]]):
+        self.scratch, self.groups, self.totals, self.named, self.paired, self.merged, self.kept = scratch, groups, totals, named, paired, merged, kept
 
-class Model:
-    """A fitted model: checkpointed rows (bucket, kind, data) of pairs, kept tables and parents' masses, and the totals."""
+    def words(self) -> DataFrame:
+        """number, word (its fingerprint), n."""
+        groups = self.groups
 
-    def __init__(self, groups: int, totals: Totals, pairs: DataFrame, kept: list[tuple[DataFrame, DataFrame]], asked: DataFrame):
-        self.groups, self.totals, self.pairs, self.kept, self.asked = groups, totals, pairs, kept, asked
+        def show(batches):
+            for b in batches:
+                for key, raw in zip(b["key"].to_pylist(), b["data"].to_pylist(), strict=True):
+                    x = _get(raw)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x["w"])) * groups + key + 1), pa.array(x["w"].view(np.int64)), pa.array(x["n"].astype(np.int64))], ["number", "word", "n"])
+
+        return self.named.filter(F.col("kind") == WORDS).mapInArrow(show, "number bigint, word bigint, n bigint")
 
     def seatings(self) -> DataFrame:
-        """sweep, v, w, n, tables of every context's dishes (words as fingerprints)."""
+        """sweep, v, w, n, tables of every context's dishes, words by number."""
+
+        def run(table: pa.Table) -> pa.Table:
+            p = _get(table.filter(pc.equal(table["kind"], MERGED))["data"][0].as_py())
+            v, w, n, _ = _pairs(p)
+            own, cols = n > 0, []
+            for s, raw in zip(table["sweep"].to_pylist(), table["data"].to_pylist(), strict=True):
+                x = _get(raw)
+                if "t" in x:
+                    t = np.ones(len(n), np.uint64)
+                    t[n > 1] = x["t"]
+                    cols.append((np.full(int(own.sum()), s), v[own], w[own], n[own], t[own]))
+            cols = [np.concatenate(c) for c in zip(*cols, strict=True)]
+            return pa.table(dict(zip(("sweep", "v", "w", "n", "tables"), (pa.array(c.astype(np.int64)) for c in cols), strict=True)))
+
+        out = self.merged.filter(F.col("kind") == MERGED)
+        for k, (state, _) in enumerate(self.kept):
+            out = out.unionByName(state.filter(F.col("kind") == STATE).withColumn("sweep", F.lit(k)))
+        return out.groupBy("key").applyInArrow(run, "sweep bigint, v bigint, w bigint, n bigint, tables bigint")
+
+    def parents(self) -> DataFrame:
+        """sweep, w, customers, tables of the parent's dishes, words by number."""
+        groups, out = self.groups, None
+
         def show(batches):
             for b in batches:
-                for raw in b["data"].to_pylist():
-                    x = _load(raw)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x["v"], x["len"].astype(np.int64)).astype(np.int64)), pa.array(x["w"].astype(np.int64)), pa.array(x["n"].astype(np.int64)), pa.array(x["t"].astype(np.int64))], ["v", "w", "n", "tables"])
+                for key, s, raw in zip(*(b[c].to_pylist() for c in ("key", "sweep", "data")), strict=True):
+                    x = _get(raw)
+                    cols = np.full(len(x["c"]), s), np.arange(len(x["c"])) * groups + key + 1, x["c"], x["t"]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["sweep", "w", "customers", "tables"])
 
-        out = None
-        for k, (state, _) in enumerate(self.kept):
-            def both(table: pa.Table) -> pa.Table:
-                r = _by_kind(table)
-                if PAIRS not in r:
-                    return _table([])
-                p = _load(r[PAIRS][0])
-                return _table([(table["bucket"][0].as_py(), PAIRS, _dump(**p, t=_all_tables(p["n"], _load(r[STATE][0])["t"])))])
-
-            one = self.pairs.unionByName(state.filter(F.col("kind") == STATE)).groupBy("bucket").applyInArrow(both, _ROW).mapInArrow(show, "v bigint, w bigint, n bigint, tables bigint").withColumn("sweep", F.lit(k))
+        for k, (_, above) in enumerate(self.kept):
+            one = above.filter(F.col("kind") == ROOT).withColumn("sweep", F.lit(k))
             out = one if out is None else out.unionByName(one)
-        return out
+        return out.mapInArrow(show, "sweep bigint, w bigint, customers bigint, tables bigint")
+
+
+def _pairs(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word, count, context's index) of every pair of a packed list."""
+    at = np.repeat(np.arange(len(p["v"])), p["len"].astype(np.int64))
+    return p["v"][at], _rising(p["w"], p["len"]), p["n"].astype(np.int64), at
+
+
+def _pack_pairs(v: np.ndarray, w: np.ndarray, n: np.ndarray, hot: np.ndarray) -> dict[str, np.ndarray]:
+    first, size = B.runs(v)
+    return {"v": v[first], "len": size, "w": _falling(w, size), "n": n, "hot": hot[first]}
 
 
-def fit(texts: DataFrame, groups: int, burn_in: int = 1, samples: int = 2, strength: float = 1.0, seed: int = 17) -> Model:
-    """A model of the column `text`."""
+def _read(batches):
+    """Chunks: distinct words, tokens as places among them, and the documents."""
+    part, k = TaskContext.get().partitionId(), 0
+    for rows in X.slices(batches, CHUNK):
+        w, first = _tokens(rows["text"])
+        words, tok = np.unique(w, return_inverse=True)
+        sizes, ids = np.diff(first), rows["doc_id"]
+        held = rows["held"].to_numpy(zero_copy_only=False).astype(bool)
+        n = np.bincount(tok[~np.repeat(held, sizes)], minlength=len(words))
+        data = _put(words=words, tok=tok, n=n, sizes=sizes, held=held, ids=ids.fill_null(0).to_numpy().view(np.uint64), null=ids.is_null().to_numpy(zero_copy_only=False))
+        yield from _batches([((part << 32) + k, CHUNKS, data)])
+        k += 1
 
-    def tally(batches):
-        held, size = [], 0
-        for part in X.slices(batches):
-            w, v, _ = _tokens(part["text"])
-            held.append((v, w))
-            size += len(w)
-            if size >= _FLUSH:
-                yield from flushed(held)
-                held, size = [], 0
-        if held:
-            yield from flushed(held)
 
-    def flushed(held):
-        v, w = (np.concatenate(x) for x in zip(*held, strict=True))
+def fit(rows: DataFrame, groups: int, burn_in: int = 1, samples: int = 2, strength: float = 1.0, seed: int = 17) -> Model:
+    """A model of the texts of (doc_id, text, held) that are not held; those held are numbered and paired with it."""
+    scratch = Scratch(rows.sparkSession, "pitman-yor")
+    keep = lambda df, name: scratch.keep(df, name, "kind")
+    kind = lambda df, *k: df.filter(F.col("kind").isin(*k))
+
+    def offer(batches):
+        for b in batches:
+            for key, raw in zip(b["key"].to_pylist(), b["data"].to_pylist(), strict=True):
+                x = _get(raw)
+                yield from _batches(_dealt((x["words"] % _U(groups)).astype(np.int64), WORDS, key, w=x["words"], n=x["n"]))
+
+    def number(table: pa.Table) -> pa.Table:
+        """Numbers a bucket's words by frequency; words of held texts alone are 0."""
+        parts, bucket = [_get(d) for d in table["data"].to_pylist()], _key(table)
+        words, back = np.unique(np.concatenate([p["w"] for p in parts]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([p["n"] for p in parts]), len(words)).astype(np.uint64)
+        known = np.flatnonzero(n)
+        known = known[np.lexsort((words[known], -n[known].astype(np.int64)))]
+        rank = np.zeros(len(words), np.uint64)
+        rank[known] = np.arange(1, len(known) + 1)
+        out = [(bucket, WORDS, _put(w=words[known], n=n[known])), (0, TOTAL, _put(sums=np.array([n.sum(), len(known)])))]
+        lo = 0
+        for p in parts:
+            at = back[lo : lo + len(p["w"])]
+            out.append((int(p["sender"][0]), IDS, _put(r=rank[at], n=n[at], sender=_one(bucket))))
+            lo += len(at)
+        return _table(out)
+
+    chunks = keep(rows.select("doc_id", "text", "held").mapInArrow(_read, _ROW), "chunks")
+    named = keep(chunks.mapInArrow(offer, _ROW).groupBy("key").applyInArrow(number, _ROW), "named")
+    tokens, kinds = (int(v) for v in _sum(named, {"sums": 2})["sums"])
+    totals = Totals(tokens, kinds, strength)
+    norm = np.log10(tokens + 0.5 * (kinds + 1))
+
+    def pair(table: pa.Table) -> pa.Table:
+        """A chunk's distinct pairs to their buckets, and each document's places among them."""
+        r, chunk = _by_kind(table), _key(table)
+        x = _get(r[CHUNKS][0])
+        at = (x["words"] % _U(groups)).astype(np.int64)
+        rank, n = _answered(at, _of(r, IDS), "r", "n")
+        numbers = np.where(rank > 0, (rank - np.minimum(rank, _U(1))) * _U(groups) + at.astype(np.uint64) + _U(1), _U(0))
+        u, code = np.unique(numbers, return_inverse=True)
+        count = np.zeros(len(u), np.int64)
+        count[code] = n
+        w, sizes = code[x["tok"].astype(np.int64)], x["sizes"].astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        v = np.r_[0, w[:-1]]
+        v[first] = code[np.searchsorted(x["words"], _END)]
+        pairs, back = np.unique(v * len(u) + w, return_inverse=True)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        held = x["held"] > 0
+        times = np.bincount(back[~held[doc]], minlength=len(pairs))
+        pv, pw = pairs // len(u), pairs % len(u)
+        hot = count[pv] * 2 * groups > tokens
+        bucket = (np.where(hot, X.combine(u[pv], u[pw]), X.mix(u[pv])) % _U(groups)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        mine = np.sort(doc * len(pairs) + place[back]) - doc * len(pairs)
+        often = np.log10(count + 0.5) - norm
+        out = [(chunk, TOKENS, _put(at=_falling(mine, sizes), sizes=sizes, ids=x["ids"], null=x["null"], held=x["held"], known=np.bincount(doc, count[w] > 0, len(sizes)), base=np.bincount(doc, often[w], len(sizes))))]
+        starts, size = B.runs(bucket[order])
+        for a, m in zip(starts.tolist(), size.tolist(), strict=True):
+            o = order[a : a + m]
+            out.append((int(bucket[o[0]]), PAIRS, _put(**_pack_pairs(u[pv[o]], u[pw[o]], times[o], hot[o]), sender=_one(chunk))))
+        return _table(out)
+
+    paired = keep(chunks.unionByName(kind(named, IDS)).groupBy("key").applyInArrow(pair, _ROW), "paired")
+    scratch.drop("chunks", f"named/kind={IDS}")
+
+    def told(numbers: np.ndarray, bucket: int, what: int, **fields: np.ndarray) -> list:
+        """Rows for where words lie, by their places there."""
+        real = numbers > 0
+        fields = {k: v[real] for k, v in fields.items()}
+        return _dealt(_bucket(numbers[real], groups), what, bucket, r=_place(numbers[real], groups), **fields)
+
+    def merge(table: pa.Table) -> pa.Table:
+        """A bucket's pairs, where each chunk's stand among them, and what sweeps and parents need of them."""
+        parts, bucket = [_get(d) for d in table["data"].to_pylist()], _key(table)
+        lists = [_pairs(p) for p in parts]
+        v, w, n = (np.concatenate([x[k] for x in lists]) for k in range(3))
+        hot = np.concatenate([p["hot"][x[3]] for p, x in zip(parts, lists, strict=True)])
         order = np.lexsort((w, v))
-        v, w = v[order], w[order]
-        first, n = B.runs(v, w)
-        yield from _table(_dealt(_place(v[first], groups), PAIRS, v=v[first], w=w[first], n=n.astype(np.uint64))).combine_chunks().to_batches()
-
-    def merged(table: pa.Table) -> pa.Table:
-        e = _joined(table["data"].to_pylist(), ("v", "w", "n"))
-        order = np.lexsort((e["w"], e["v"]))
-        v, w, n = e["v"][order], e["w"][order], e["n"][order]
-        first, _ = B.runs(v, w)
-        v, w, n = v[first], w[first], np.add.reduceat(n, first)
-        at, size = B.runs(v)
-        hist = np.bincount(_bin(n), minlength=_BINS)
-        bucket = table["bucket"][0].as_py()
-        return _table([(bucket, PAIRS, _dump(v=v[at], len=size.astype(np.uint32), w=w, n=n)), (0, TOTAL, _dump(hist=hist, sums=np.array([n.sum(), len(n)], np.int64)))])
-
-    counted = checkpoint(texts.select("text").mapInArrow(tally, _ROW).groupBy("bucket").applyInArrow(merged, _ROW))
-    pairs = counted.filter(F.col("kind") == PAIRS)
-    hist, sums = _sum(counted, ("hist", "sums"), (_BINS, 2))
-
-    def told(words: np.ndarray, bucket: int, kind: int, **fields: np.ndarray) -> list:
-        """Rows for the parents of words: a bucket's fields of each."""
-        return [(b, k, _dump(**_load(d), **{"from": np.array([bucket], np.int64)})) for b, k, d in _dealt(_place(words, groups), kind, **fields)]
-
-    def begun(table: pa.Table) -> pa.Table:
-        """What sweeps change: dishes of several customers, beside how many others their context has; and what parents need of the rest."""
-        bucket = table["bucket"][0].as_py()
-        ctx, contexts, w, n, words, back = _pairs_of(_load(_by_kind(table)[PAIRS][0]))
+        first, size = B.runs(v[order], w[order])
+        back = np.empty(len(order), np.int64)
+        back[order] = np.repeat(np.arange(len(first)), size)
+        n = np.add.reduceat(n[order], first)
+        v, w, hot = (a[order[first]] for a in (v, w, hot))
+        packed = _pack_pairs(v, w, n, hot)
+        out, lo = [(bucket, MERGED, _put(**packed))], 0
+        for p, x in zip(parts, lists, strict=True):
+            out.append((bucket, AT, _put(at=back[lo : lo + len(x[0])], sender=p["sender"])))
+            lo += len(x[0])
+        words, at = np.unique(w, return_inverse=True)
+        sum_by = lambda a, k: np.bincount(a, k, len(words))
+        out += told(words, bucket, ASK, c=sum_by(at, n > 0), once=sum_by(at, n == 1))
+        out += told(np.unique(w[n > 1]), bucket, AGAIN)
+        contexts, ctx = packed["v"], np.repeat(np.arange(len(packed["v"])), packed["len"])
+        dishes, single = (np.bincount(ctx, k, len(contexts)) for k in (n > 0, n == 1))
+        is_hot = packed["hot"] > 0
+        out += told(contexts[is_hot], bucket, HOT, t=dishes[is_hot])
         many = n > 1
-        once = np.bincount(back[~many], minlength=len(words)).astype(np.uint64)
-        out = told(words, bucket, ASK, w=words, n=np.bincount(back, n, len(words)).astype(np.uint64), c=np.bincount(back, minlength=len(words)).astype(np.uint64), t=once)
-        at, size = B.runs(ctx[many])
-        own, single = ctx[many][at], np.bincount(ctx[~many], minlength=len(contexts)).astype(np.uint64)
-        out.append((bucket, REPEATED, _dump(v=contexts[own], len=size.astype(np.uint32), w=w[many], n=n[many].astype(np.uint64), t=single[own])))
-        out.append((bucket, STATE, _dump(t=np.ones(int(many.sum()), np.uint64))))
-        again = np.unique(w[many])
-        return _table(out + told(again, bucket, ASK_REPEATED, w=again))
+        again = _pack_pairs(v[many], w[many], n[many], hot[many])
+        out.append((bucket, REPEATED, _put(**again, single=single[np.searchsorted(contexts, again["v"])], hot_v=contexts[is_hot], hot_single=single[is_hot])))
+        out.append((bucket, STATE, _put(t=np.ones(int(many.sum()), np.uint64))))
+        out.append((0, TOTAL, _put(sums=np.array([(n == 1).sum(), (n == 2).sum()]))))
+        return _table(out)
 
-    totals = Totals(int(sums[0]), 0, _discount(hist[1], hist[2]), strength)
+    merged = keep(kind(paired, PAIRS).groupBy("key").applyInArrow(merge, _ROW), "merged")
+    scratch.drop(f"paired/kind={PAIRS}")
+    totals.d = _discount(*_sum(merged, {"sums": 2})["sums"])
 
-    def parents(rows: DataFrame, sweep: int) -> DataFrame:
-        held = rows.sparkSession.sparkContext.broadcast(totals)  # a few numbers
+    def parents(inputs: DataFrame, sweep: int, name: str) -> DataFrame:
+        held = inputs.sparkSession.sparkContext.broadcast(totals)  # a few numbers
 
         def run(table: pa.Table) -> pa.Table:
-            m = held.value
-            r = _by_kind(table)
-            again = [_load(d) for d in r.get(ASK_REPEATED, [])]
+            m, r, bucket = held.value, _by_kind(table), _key(table)
+            again, hot = _of(r, AGAIN), _of(r, HOT)
+            hot_tables = {int(y["sender"][0]): y["t"] for y in (_of(r, HOT_TABLES) if sweep else hot)}
             if sweep:
-                x = _load(r[ROOT][0])
-                words, n, once = x["w"], x["n"], x["once"]
+                ((n, once),) = ((x["n"], x["once"]) for x in _of(r, ROOT))
                 c = once.astype(np.int64)
-                tables = {int(y["from"][0]): y["t"] for y in map(_load, r.get(TABLES, []))}
+                tables = {int(y["sender"][0]): y["t"] for y in _of(r, TABLES)}
                 for p in again:
-                    c[np.searchsorted(words, p["w"])] += tables[int(p["from"][0])].astype(np.int64)
-            else:
-                parts = [_load(d) for d in r[ASK]]
-                words, back = np.unique(np.concatenate([p["w"] for p in parts]), return_inverse=True)
-                n, c, once = (np.bincount(back, np.concatenate([p[k] for p in parts])).astype(np.uint64) for k in ("n", "c", "t"))
-                c = c.astype(np.int64)
-            bucket = table["bucket"][0].as_py()
-            if sweep:
+                    c[p["r"].astype(np.int64)] += tables[int(p["sender"][0])].astype(np.int64)
                 t = seat(c, np.full(len(c), (m.strength + m.root_d * m.sweeps[-1][1]) / (m.words + 1)), m.root_d, np.random.default_rng((seed + sweep, bucket, 1)))
             else:
+                n = _get(r[WORDS][0])["n"] if WORDS in r else np.zeros(0, np.uint64)
+                c, once = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+                for p in _of(r, ASK):
+                    at = p["r"].astype(np.int64)
+                    c[at] += p["c"].astype(np.int64)
+                    once[at] += p["once"].astype(np.int64)
                 t = np.ones(len(c), np.int64)
-            both = {"c": c.astype(np.uint64), "t": t.astype(np.uint64)}
-            out = [(bucket, ROOT, _dump(w=words, n=n, once=once, **both)), (0, TOTAL, _dump(sums=np.array([c.sum(), t.sum(), len(c), (c == 1).sum(), (c == 2).sum()], np.int64), hist=np.bincount(_bin(n), minlength=_BINS)))]
+            out = [(bucket, ROOT, _put(n=n, once=once, c=c, t=t)), (0, TOTAL, _put(sums=np.array([c.sum(), t.sum(), (c == 1).sum(), (c == 2).sum()])))]
             for p in again:
-                at = np.searchsorted(words, p["w"])
-                out.append((int(p["from"][0]), MASS, _dump(**{k: v[at] for k, v in both.items()}, **{"from": np.array([bucket], np.int64)})))
+                at = p["r"].astype(np.int64)
+                out.append((int(p["sender"][0]), MASS, _put(c=c[at], t=t[at], sender=_one(bucket))))
+            total = np.zeros(len(n), np.int64)
+            for p in hot:
+                total[p["r"].astype(np.int64)] += hot_tables[int(p["sender"][0])].astype(np.int64)
+            for p in hot:
+                at = p["r"].astype(np.int64)
+                out.append((int(p["sender"][0]), HOT_MASS, _put(t=total[at], n=n[at], sender=_one(bucket))))
             return _table(out)
 
-        return checkpoint(rows.groupBy("bucket").applyInArrow(run, _ROW))
+        return keep(inputs.groupBy("key").applyInArrow(run, _ROW), name)
 
     def sweep_of(state: DataFrame, above: DataFrame, number: int) -> DataFrame:
         held = state.sparkSession.sparkContext.broadcast(totals)
 
         def run(table: pa.Table) -> pa.Table:
-            rows, bucket, m = _by_kind(table), table["bucket"][0].as_py(), held.value
-            p = _load(rows[REPEATED][0])
-            ctx, contexts, _, n, words, back = _pairs_of(p)
-            before = p["t"] + np.bincount(ctx, _load(rows[STATE][0])["t"], len(contexts))
-            parent = m.parent(*_answers([_load(d) for d in rows.get(MASS, [])], words, groups), -1)[back]
+            r, bucket, m = _by_kind(table), _key(table), held.value
+            p = _get(r[REPEATED][0])
+            _, w, n, ctx = _pairs(p)
+            before = p["single"] + np.bincount(ctx, _get(r[STATE][0])["t"], len(p["v"]))
+            known, tables = _hot(p["hot_v"], _of(r, HOT_MASS), groups)
+            before = np.where(p["hot"] > 0, _found(known, tables, p["v"], before), before)
+            words, back = np.unique(w, return_inverse=True)
+            parent = m.parent(*(a.astype(np.float64) for a in _answered(_bucket(words, groups), _of(r, MASS), "c", "t")), -1)[back]
             t = seat(n, (m.strength + m.d * before[ctx]) * parent, m.d, np.random.default_rng((seed + number, bucket)))
-            return _table([(bucket, STATE, _dump(t=t.astype(np.uint64))), *told(words, bucket, TABLES, t=np.bincount(back, t, len(words)).astype(np.uint64))])
+            out = [(bucket, STATE, _put(t=t)), *told(words, bucket, TABLES, t=np.bincount(back, t, len(words)))]
+            own = p["hot_single"] + _found(p["v"], np.bincount(ctx, t, len(p["v"])), p["hot_v"], np.zeros(len(p["hot_v"])))
+            return _table(out + told(p["hot_v"], bucket, HOT_TABLES, t=own))
 
-        rows = begin.filter(F.col("kind") == REPEATED).unionByName(state.filter(F.col("kind") == STATE)).unionByName(above.filter(F.col("kind") == MASS))
-        return checkpoint(rows.groupBy("bucket").applyInArrow(run, _ROW))
+        return keep(kind(merged, REPEATED).unionByName(kind(state, STATE)).unionByName(kind(above, MASS, HOT_MASS)).groupBy("key").applyInArrow(run, _ROW), f"sweep{number}")
 
-    state = begin = checkpoint(pairs.groupBy("bucket").applyInArrow(begun, _ROW))
-    again = begin.filter(F.col("kind") == ASK_REPEATED)
-    above = root = parents(begin.filter(F.col("kind") == ASK).unionByName(again), 0)
-    _, s = _sum(above, ("hist", "sums"), (_BINS, 5))
-    totals.words, totals.root_d = int(s[2]), _discount(s[3], s[4])
+    state = merged
+    above = root = parents(kind(named, WORDS).unionByName(kind(merged, ASK, AGAIN, HOT)), 0, "above0")
+    s = _sum(above, {"sums": 4})["sums"]
+    totals.root_d = _discount(s[2], s[3])
     totals.sweeps.append((int(s[0]), int(s[1])))
     kept, kept_totals = [], []
-    for k in range(1, burn_in + samples + 1 if totals.tokens else 1):
+    for k in range(1, burn_in + samples + 1 if tokens else 1):
+        last = k - 1
         state = sweep_of(state, above, k)
-        above = parents(root.filter(F.col("kind") == ROOT).unionByName(again).unionByName(state.filter(F.col("kind") == TABLES)), k)
-        _, s = _sum(above, ("hist", "sums"), (_BINS, 5))
+        above = parents(kind(root, ROOT).unionByName(kind(merged, AGAIN, HOT)).unionByName(kind(state, TABLES, HOT_TABLES)), k, f"above{k}")
+        s = _sum(above, {"sums": 4})["sums"]
         totals.sweeps.append((int(s[0]), int(s[1])))
+        if 0 < last <= burn_in:
+            scratch.drop(f"sweep{last}", f"above{last}")
         if k > burn_in:
             kept.append((state, above))
             kept_totals.append(totals.sweeps[-1])
     totals.sweeps = kept_totals or totals.sweeps[-1:]
-    kept = kept or [(state, above)]
-    return Model(groups, totals, pairs, kept, begin.filter(F.col("kind") == ASK))
-
-
-def _sum(rows: DataFrame, names: tuple[str, ...], sizes: tuple[int, ...]) -> list[np.ndarray]:
-    """Sums of the total rows' arrays, added up by part first, so that the driver gets one row for each of few parts."""
+    return Model(scratch, groups, totals, named, paired, merged, kept or [(state, above)])
 
-    def add(table: pa.Table) -> pa.Table:
-        parts = [_load(d) for d in table["data"].to_pylist()]
-        return pa.table({"data": pa.array([_dump(**{k: sum(p[k] for p in parts) for k in names})], pa.binary())})
-
-    parts = rows.filter(F.col("kind") == TOTAL).select("data", F.pmod(F.hash("data"), F.lit(64)).alias("p")).groupBy("p").applyInArrow(add, "data binary").collect()
-    loaded = [_load(r["data"]) for r in parts]
-    return [sum((p[k] for p in loaded), np.zeros(s, np.int64)) for k, s in zip(names, sizes, strict=True)]
 
+def _found(known: np.ndarray, values: np.ndarray, keys: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+    """The values of keys in sorted known ones."""
+    if not len(known):
+        return otherwise
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, values[at], otherwise)
 
-def _most_frequent(rows: DataFrame, kind: int, least: int, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and values of the bins from `least` on, of which there are few."""
-
-    def keep(batches):
-        for b in batches:
-            for raw in b["data"].to_pylist():
-                x = _load(raw)
-                k = _bin(x["n"]) >= least
-                yield _table([(0, kind, _dump(**{key: x[key][k], value: x[value][k]}))]).to_batches()[0]
 
-    got = rows.filter(F.col("kind") == kind).mapInArrow(keep, _ROW).select("data").collect()
-    e = [_load(r["data"]) for r in got]
-    k = np.concatenate([np.zeros(0, np.uint64), *(x[key] for x in e)])
-    v = np.concatenate([np.zeros(0), *(x[value].astype(np.float64) for x in e)])
-    order = np.argsort(k)
-    return k[order], v[order]
+def _hot(contexts: np.ndarray, rows: list[dict], groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket's hot contexts and all their tables."""
+    return contexts, _answered(_bucket(contexts, groups), rows, "t")[0]
 
 
 def perplexity_scores(documents: DataFrame, held_out: Column, burn_in: int = 1, samples: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
@@ -370,151 +496,75 @@ def perplexity_scores(documents: DataFrame, held_out: Column, burn_in: int = 1,
     groups = B.count_of(documents, text_col)
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held"))
-    return scores(fit(rows.filter(~F.col("held")), groups, burn_in, samples, seed=seed), rows)
-
-
-def scores(model: Model, rows: DataFrame) -> DataFrame:
-    """The columns of perplexity_scores for (doc_id, text, held); texts not held must be those that the model was fitted to."""
-    groups, totals, spark = model.groups, model.totals, rows.sparkSession
-    total, kinds = totals.tokens, totals.words
-    norm = np.log10(total + 0.5 * (kinds + 1))
-    whole = spark.sparkContext.broadcast(totals)
-    n_kept = len(model.kept)
-
-    def scored(table: pa.Table) -> pa.Table:
-        """A bucket's pairs with the logarithm of their mean prediction, and its contexts with what they leave to the parent, in each sweep."""
-        r, bucket, m = _by_kind(table), table["bucket"][0].as_py(), whole.value
-        ctx, contexts, w, n, words, back = _pairs_of(_load(r[PAIRS][0]))
-        customers = m.strength + np.bincount(ctx, n, len(contexts))
-        left, p = np.zeros((n_kept, len(contexts))), np.zeros(len(n))
-        states, answers = ({k: [x for x in map(_load, r[kind]) if x["sweep"][0] == k] for k in range(n_kept)} for kind in (STATE, MASS))
-        for s in range(n_kept):
-            t = _all_tables(n, states[s][0]["t"])
-            left[s] = (m.strength + m.d * np.bincount(ctx, t, len(contexts))) / customers
-            p += ((n - m.d * t) / customers[ctx] + left[s][ctx] * m.parent(*_answers(answers[s], words, groups), s)[back]) / n_kept
-        key = X.combine(contexts[ctx], w)
-        order = np.argsort(key)
-        return _table([(bucket, PAIRS, _dump(key=key[order], log=np.log10(p[order]), n=n[order].astype(np.uint64), v=contexts, left=left.ravel()))])
-
-    def numbered(df: DataFrame, kind: int, sweep: int) -> DataFrame:
-        def run(batches):
-            for b in batches:
-                data = [_dump(**_load(d), sweep=np.array([sweep], np.int64)) for d in b["data"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([b["bucket"], b["kind"], pa.array(data, pa.binary())], ["bucket", "kind", "data"])
-
-        return df.filter(F.col("kind") == kind).mapInArrow(run, _ROW)
-
-    def answered(table: pa.Table) -> pa.Table:
-        """To each bucket of contexts its words' customers and tables at the parents, in each kept sweep."""
-        r, bucket = _by_kind(table), table["bucket"][0].as_py()
-        found, out = [_load(d) for d in r.get(ROOT, [])], []
-        for p in map(_load, r.get(ASK, [])):
-            for x in found:
-                at = np.searchsorted(x["w"], p["w"])
-                out.append((int(p["from"][0]), MASS, _dump(c=x["c"][at], t=x["t"][at], sweep=x["sweep"], **{"from": np.array([bucket], np.int64)})))
-        return _table(out)
+    return scores(fit(rows, groups, burn_in, samples, seed=seed))
 
-    mixed, roots = model.pairs, None
-    for s, (state, above) in enumerate(model.kept):
-        mixed = mixed.unionByName(numbered(state, STATE, s))
-        root = numbered(above, ROOT, s)
-        roots = root if roots is None else roots.unionByName(root)
-    mixed = mixed.unionByName(model.asked.unionByName(roots).groupBy("bucket").applyInArrow(answered, _ROW))
-    tables = checkpoint(mixed.groupBy("bucket").applyInArrow(scored, _ROW))
-
-    def histogram(df: DataFrame, kind: int) -> np.ndarray:
-        def run(batches):
-            for b in batches:
-                for raw in b["data"].to_pylist():
-                    yield _table([(0, TOTAL, _dump(hist=np.bincount(_bin(_load(raw)["n"]), minlength=_BINS)))]).to_batches()[0]
-
-        return _sum(df.filter(F.col("kind") == kind).mapInArrow(run, _ROW), ("hist",), (_BINS,))[0]
-
-    word_counts = model.kept[-1][1].filter(F.col("kind") == ROOT)
-    hot_pairs = _most_frequent(tables, PAIRS, _least_within(histogram(tables, PAIRS), COMMON_PAIRS), "key", "log")
-    hot_words = _most_frequent(word_counts, ROOT, _least_within(histogram(word_counts, ROOT), COMMON_WORDS), "w", "n")
-    caches = spark.sparkContext.broadcast((hot_pairs, hot_words))
-
-    def spread(batches):
-        (pair_keys, pair_logs), (common, counts) = caches.value
-        log_counts = np.log10(counts + 0.5) - norm
-        number = TaskContext.get().partitionId() << 40
-        for part in X.slices(batches, 4 * X.STEP):
-            w, v, first = _tokens(part["text"])
-            n = len(part)
-            doc = np.repeat(np.arange(n), np.diff(first))
-            held = part["held"].to_numpy(zero_copy_only=False).astype(bool)
-            address = np.arange(number, number + n, dtype=np.uint64)
-            number += n
-            key = X.combine(v, w)
-            at, hot = _find(pair_keys, key)
-            own = np.bincount(doc[hot], pair_logs[at[hot]], n) if hot.any() else np.zeros(n)
-            at, often = _find(common, w)
-            base = np.bincount(doc[often], log_counts[at[often]], n) if often.any() else np.zeros(n)
-            seen, other = ~hot & ~held[doc], ~hot & held[doc]
-            ids = part["doc_id"]
-            out = _dealt(_place(v[seen], groups), SEEN, key=key[seen], doc=address[doc[seen]])
-            out += _dealt(_place(v[other], groups), ANY, v=v[other], w=w[other], doc=address[doc[other]])
-            out += _dealt(_place(w[~often], groups), RARE, w=w[~often], doc=address[doc[~often]])
-            out += _dealt(_place(address, groups), ROWS, doc=address, id=ids.fill_null(0).to_numpy(), null=ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), held=held.astype(np.uint8), tokens=np.diff(first).astype(np.uint32), known=np.bincount(doc[often], minlength=n).astype(np.uint32), base=base, own=own)
-            yield from _table(out).combine_chunks().to_batches()
-
-    def summed(doc, own, known, base) -> list:
-        order = np.argsort(doc, kind="stable")
-        start, _ = B.runs(doc[order])
-        if not len(start):
-            return []
-        add = lambda x: np.add.reduceat(x[order], start)
-        d = doc[order][start]
-        return _dealt(_place(d, groups), SUMS, doc=d, own=add(own), known=add(known.astype(np.int64)), base=add(base))
-
-    def at_pairs(table: pa.Table) -> pa.Table:
-        r = _by_kind(table)
-        p = _load(r[PAIRS][0]) if PAIRS in r else {"key": np.zeros(0, np.uint64), "log": np.zeros(0), "v": np.zeros(0, np.uint64), "left": np.zeros(0)}
-        left = p["left"].reshape(n_kept, -1)
-        e, a = _joined(r.get(SEEN, []), ("key", "doc")), _joined(r.get(ANY, []), ("v", "w", "doc"))
-        key = np.concatenate([e["key"], X.combine(a["v"], a["w"])]).astype(np.uint64)
-        doc = np.concatenate([e["doc"], a["doc"]]).astype(np.uint64)
-        at, found = _find(p["key"], key)
-        zero = np.zeros(int(found.sum()))
-        out = summed(doc[found], p["log"][at[found]] if found.any() else zero, zero, zero)
-        miss = ~found[len(e["key"]) :]
-        v, w, d = a["v"][miss], a["w"][miss], a["doc"][miss]
-        c, known = _find(p["v"], v)
-        share = {f"left{s}": np.where(known, left[s][c], 1.0) if len(p["v"]) else np.ones(len(v)) for s in range(n_kept)}
-        passed = [(table["bucket"][0].as_py(), k, x) for k in (RARE, ROWS) for x in r.get(k, [])]
-        return _table(out + passed + _dealt(_place(w, groups), FORWARD, w=w, doc=d, **share))
-
-    def at_words(table: pa.Table) -> pa.Table:
-        r, m = _by_kind(table), whole.value
-        roots_ = {int(x["sweep"][0]): x for x in map(_load, r.get(ROOT, []))}
-        words = roots_[0]["w"] if roots_ else np.zeros(0, np.uint64)
-        f, e = _joined(r.get(FORWARD, []), ("w", "doc", *(f"left{s}" for s in range(n_kept)))), _joined(r.get(RARE, []), ("w", "doc"))
-        at, found = _find(words, f["w"])
-        p = np.zeros(len(at))
+
+def scores(model: Model) -> DataFrame:
+    """The columns of perplexity_scores for the texts that the model was fitted among."""
+    groups, totals = model.groups, model.totals
+    whole = model.merged.sparkSession.sparkContext.broadcast(totals)
+    n_kept, total = len(model.kept), totals.tokens
+    kind = lambda df, *k: df.filter(F.col("kind").isin(*k))
+
+    def split(table: pa.Table, *kinds: int) -> dict[tuple[int, int], list[dict]]:
+        out: dict[tuple[int, int], list[dict]] = {}
+        for k, s, d in zip(*(table[c].to_pylist() for c in ("kind", "sweep", "data")), strict=True):
+            if k in kinds:
+                out.setdefault((k, s), []).append(_get(d))
+        return out
+
+    def answer(table: pa.Table) -> pa.Table:
+        """To each bucket its words' customers and tables at the parents, in each kept sweep."""
+        r, bucket, out, sweeps = split(table, ROOT, ASK), _key(table), [], []
+        for p in r.get((ASK, 0), []):
+            at = p["r"].astype(np.int64)
+            for s in range(n_kept):
+                x = r[ROOT, s][0]
+                out.append((int(p["sender"][0]), MASS, _put(c=x["c"][at], t=x["t"][at], sender=_one(bucket))))
+                sweeps.append(s)
+        made = _table(out)
+        return made.set_column(2, "sweep", pa.array(sweeps, pa.int32()))
+
+    def score(table: pa.Table) -> pa.Table:
+        """The logarithm of every pair's mean prediction, to each chunk in the order of its pairs."""
+        r, bucket, m = split(table, MERGED, AT, STATE, MASS, HOT_MASS), _key(table), whole.value
+        p = r[MERGED, 0][0]
+        _, w, n, ctx = _pairs(p)
+        contexts, many, is_hot = p["v"], n > 1, p["hot"] > 0
+        words, back = np.unique(w, return_inverse=True)
+        real = words > 0
+        mean = np.zeros(len(n))
         for s in range(n_kept):
-            c, t = (np.where(found, roots_[s][x][at], 0).astype(float) if len(words) else np.zeros(len(at)) for x in "ct")
-            p += f[f"left{s}"] * m.parent(c, t, s) / n_kept
-        at, found = _find(words, e["w"])
-        c = np.where(found, roots_[0]["n"][at].astype(np.float64), 0.0) if len(words) else np.zeros(len(at))
-        none = np.zeros(len(p))
-        return _table(summed(np.concatenate([f["doc"], e["doc"]]).astype(np.uint64), np.concatenate([np.log10(p), np.zeros(len(c))]), np.concatenate([none, c > 0]), np.concatenate([none, np.log10(c + 0.5) - norm])))
+            t = (n > 0).astype(np.int64)
+            t[many] = r[STATE, s][0]["t"]
+            customers, tables = np.bincount(ctx, n, len(contexts)), np.bincount(ctx, t, len(contexts))
+            if is_hot.any():
+                all_t, all_n = _answered(_bucket(contexts[is_hot], groups), r.get((HOT_MASS, s), []), "t", "n")
+                customers[is_hot], tables[is_hot] = all_n, all_t
+            c, above = np.zeros(len(words)), np.zeros(len(words))
+            c[real], above[real] = _answered(_bucket(words[real], groups), r.get((MASS, s), []), "c", "t")
+            seated = (m.strength + customers)[ctx]
+            mean += ((n - m.d * t) + (m.strength + m.d * tables)[ctx] * m.parent(c, above, s)[back]) / seated / n_kept
+        logs = np.log10(mean)
+        return _table([(int(x["sender"][0]), LOGS, _put(log=logs[x["at"].astype(np.int64)], sender=_one(bucket))) for x in r[AT, 0]])
 
     def result(table: pa.Table) -> pa.Table:
-        k = _by_kind(table)
-        r = _joined(k.get(ROWS, []), ("doc", "id", "null", "held", "tokens", "known", "base", "own"))
-        s = _joined(k.get(SUMS, []), ("doc", "own", "known", "base"))
-        order = np.argsort(r["doc"])
-        at, n = np.searchsorted(r["doc"][order], s["doc"]), len(order)
-        add = lambda x: r[x][order] + (np.bincount(at, s[x], n) if len(at) else np.zeros(n))
-        tokens, score = r["tokens"][order].astype(np.int64), add("own")
+        r = _by_kind(table)
+        x = _get(r[TOKENS][0])
+        logs = np.concatenate([y["log"] for y in sorted(_of(r, LOGS), key=lambda y: int(y["sender"][0]))])
+        sizes = x["sizes"].astype(np.int64)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        score_ = np.bincount(doc, logs[_rising(x["at"], sizes).astype(np.int64)], len(sizes))
         return pa.table({
-            "doc_id": pa.array(r["id"][order].astype(np.int64), mask=r["null"][order] > 0), "held_out": pa.array(r["held"][order] > 0), "n_tokens": pa.array(tokens), "n_known": pa.array(add("known").astype(np.int64)),
-            "train_tokens": pa.array(np.full(n, total), pa.int64()), "base_score": pa.array(add("base")), "score": pa.array(score), "perplexity": pa.array(10 ** (-score / tokens)),
+            "doc_id": pa.array(x["ids"].view(np.int64), mask=x["null"] > 0), "held_out": pa.array(x["held"] > 0), "n_tokens": pa.array(sizes), "n_known": pa.array(x["known"].astype(np.int64)),
+            "train_tokens": pa.array(np.full(len(sizes), total), pa.int64()), "base_score": pa.array(x["base"]), "score": pa.array(score_), "perplexity": pa.array(10 ** (-score_ / sizes)),
         })
 
-    sent = rows.mapInArrow(spread, _ROW)
-    first = sent.unionByName(tables).groupBy("bucket").applyInArrow(at_pairs, _ROW)
-    second = first.filter(F.col("kind").isin(FORWARD, RARE)).unionByName(roots).groupBy("bucket").applyInArrow(at_words, _ROW)
-    sums = first.filter(F.col("kind").isin(SUMS, ROWS)).unionByName(second)
-    return sums.groupBy("bucket").applyInArrow(result, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
+    asked, mixed = kind(model.merged, ASK), kind(model.merged, MERGED, AT)
+    for s, (state, above) in enumerate(model.kept):
+        at = lambda df, s=s: df.withColumn("sweep", F.lit(s))
+        asked = asked.unionByName(at(kind(above, ROOT)))
+        mixed = mixed.unionByName(at(kind(state, STATE))).unionByName(at(kind(above, HOT_MASS)))
+    mixed = mixed.unionByName(asked.groupBy("key").applyInArrow(answer, _ROW))
+    logs = mixed.groupBy("key").applyInArrow(score, _ROW)
+    return kind(model.paired, TOKENS).unionByName(logs).groupBy("key").applyInArrow(result, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
