@@ -169,4 +169,37 @@ WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([
 r(v, h, t) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 m AS (SELECT page_id, max_by(h || t, length(h || t)) AS rule, max_by(v, length(h || t)) AS v FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, t) GROUP BY 1)
 SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.v, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)""",
+    "op11_source_divergence": r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY 1, 2 HAVING count(*) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT lang, source, coalesce(n, 0) AS n, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY 1, 2) USING (lang, source) LEFT JOIN (SELECT lang, count(*) AS v FROM k GROUP BY 1) USING (lang)),
+p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT // (g.n + g.v)::HUGEINT AS BIGINT) AS p FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + CAST(1000000000 * (t.n + 1)::HUGEINT // (a.n + a.v)::HUGEINT AS BIGINT) AS q FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY 1, 2) t JOIN (SELECT lang, sum(n) AS n, max(v) AS v FROM g GROUP BY 1) a USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INT) AS rank FROM o QUALIFY part = 'pair' OR rank <= 200""",
+    "op12_chat_rendering": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) t(k)),
+f AS (SELECT *, 14 + length(role) + length(text) + len(regexp_extract_all(role, '[\\:]')) + len(regexp_extract_all(text, '\\|</turn>')) + CASE WHEN contains(text, '###') THEN len(list_filter(range(1, length(text)), lambda i: substr(text, i, 3) = '###')) ELSE 0 END AS size FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, encode(role), encode(text))) AS turns_sha256, coalesce(CAST(sum(length(text)) FILTER (WHERE role = 'assistant') AS BIGINT), 0) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, encode(text)) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(size) AS BIGINT) AS formatted_chars FROM f GROUP BY 1""",
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE e AS (SELECT doc_id, source, list_reduce([CAST(4294967295 AS BIGINT)] || flatten([[CAST(ascii(x) AS BIGINT)] || repeat([CAST(-1 AS BIGINT)], 8) for x in string_split(CAST(doc_id AS VARCHAR), '')]),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END) AS crc,
+  CAST(octet_length(encode(CAST(doc_id AS VARCHAR))) AS VARCHAR) || ':' || doc_id || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS h,
+  text, replace(text, chr(10), '') AS flat FROM documents),
+l AS (SELECT *, sha256(h || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf, CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN sha256(h || coalesce(octet_length(encode(flat)) || ':' || flat, '-')) END AS other, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM e),
+t AS (SELECT source, 0 AS level, i, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM l
+  UNION ALL SELECT source, level + 1, i, h, count(*) OVER (PARTITION BY source) FROM (SELECT source, level, i // 3 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM t WHERE n > 1 GROUP BY source, level, i // 3)),
+r AS (SELECT source, h AS subroot, level AS top, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS i FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, i, subroot AS h, count(*) OVER () AS n FROM r UNION ALL SELECT level + 1, i, h, count(*) OVER () FROM (SELECT level, i // 3 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM u WHERE n > 1 GROUP BY level, i // 3)),
+s AS (SELECT a.source, level, a.i, string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i) AS lo, string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i) AS hi FROM t a JOIN t b USING (level) WHERE a.source IS NOT DISTINCT FROM b.source AND a.i // 3 = b.i // 3 AND a.n > 1 GROUP BY 1, 2, 3),
+w AS (SELECT level, a.i, string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i) AS lo, string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i) AS hi FROM u a JOIN u b USING (level) WHERE a.i // 3 = b.i // 3 AND a.n > 1 GROUP BY 1, 2),
+f AS (SELECT doc_id, leaf, subroot, 0 AS level, top, l.i, r.i AS j, l.source, coalesce(other, leaf) AS h, '' AS proof FROM l JOIN r ON l.source IS NOT DISTINCT FROM r.source
+  UNION ALL SELECT doc_id, leaf, subroot, f.level + 1, top, CASE WHEN f.level < top THEN f.i // 3 ELSE 0 END, CASE WHEN f.level < top THEN j ELSE j // 3 END, f.source, sha256(coalesce(s.lo, w.lo, '') || f.h || coalesce(s.hi, w.hi, '')), proof || coalesce(s.lo, w.lo, '') || coalesce(s.hi, w.hi, '')
+  FROM f LEFT JOIN s ON f.level < top AND s.source IS NOT DISTINCT FROM f.source AND s.level = f.level AND s.i = f.i LEFT JOIN w ON f.level >= top AND w.level = f.level - top AND w.i = f.j WHERE f.level < top + (SELECT max(level) FROM u)),
+z AS (SELECT h AS root, level FROM u WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified FROM f, z WHERE f.level = top + z.level""",
 }
