@@ -210,7 +210,7 @@ def audit(documents: DataFrame, least_docs: int = 3, top: int = 200, seats: int
     most = groups.agg(F.max("sources").alias("sources"), F.max(F.col("kinds") * F.ceil(F.col("sources") / seats)).alias("cells")).first()
     seats = max(2, min(seats, -(-(most["sources"] or 0) // 2) * 2))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(-(-parts // 4), -(-(most["cells"] or 0) // SEAT_CELLS))
+    slices = max(-(-parts // 16), -(-(most["cells"] or 0) // SEAT_CELLS))
     cut = lambda c: F.pmod(F.xxhash64(c), F.lit(slices)).cast("int")
     seat = F.pmod(F.col("number"), F.lit(seats)).cast("int")
     sizes = entries.filter("one").groupBy("lang", cut("term").alias("slice")).agg(F.count("*").alias("size"))
