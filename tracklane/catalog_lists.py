@@ -131,13 +131,13 @@ def align_rates(t):
     return alignment.align_rates(f, f, rates)
 
 
-@query("""WITH e AS (SELECT event_id AS e, user_id % 4 AS k, 'g' || (event_id // 40) AS g FROM events WHERE event_id < 2000),
+@query("""WITH e AS (SELECT event_id AS e, user_id % 4 AS k, 'g' || (event_id // 40) AS g FROM events),
 p AS (SELECT e, g, k, (e // 40) % 2 = 0 AS cams, lpad(CAST(e % 7 AS VARCHAR), 2, '0') AS ch, lpad(CAST(e % 5 AS VARCHAR), 4, '0') AS vid FROM e),
 f AS (SELECT e, g, CASE WHEN cams AND k < 2 THEN 'cam' || (k + 1) END AS cam, CASE WHEN k = 1 THEN 'left' END AS lr, vid, CAST(ch AS INT) AS ch, CASE WHEN cams AND k < 2 THEN g || '/cam' || (k + 1) ELSE g END || '/' || CASE WHEN k = 1 THEN 'left-' || e || '.mp4' WHEN k = 3 THEN 'notes.txt' ELSE 'GX' || ch || vid || '.MP4' END AS path, cams, k FROM p),
 v AS (SELECT * FROM f WHERE k <> 3 AND (NOT cams OR cam IS NOT NULL)), d AS (SELECT DISTINCT g, cam, lr, vid, ch, path, e FROM v)
 SELECT g AS game, coalesce(cam, CASE WHEN lr IS NULL THEN CAST(CAST(vid AS INT) AS VARCHAR) END, lr) AS camera, CAST(CASE WHEN cam IS NOT NULL THEN row_number() OVER (PARTITION BY g, cam ORDER BY CASE WHEN lr IS NULL THEN vid ELSE '' END, CASE WHEN lr IS NULL THEN ch ELSE e END, path) WHEN lr IS NOT NULL THEN e ELSE ch END AS INT) AS chapter, path FROM d""")
 def video_chapters(spark, sf_dir):
-    e = _events(spark, sf_dir).filter("event_id < 2000").select(F.col("event_id").alias("e"), (F.col("user_id") % 4).alias("k"))
+    e = _events(spark, sf_dir).select(F.col("event_id").alias("e"), (F.col("user_id") % 4).alias("k"))
     g = F.concat(F.lit("g"), F.expr("e div 40").cast("string"))
     cams = F.expr("(e div 40) % 2 = 0")
     ch, vid = F.lpad((F.col("e") % 7).cast("string"), 2, "0"), F.lpad((F.col("e") % 5).cast("string"), 4, "0")
@@ -316,9 +316,11 @@ def fan_out_actions(t):
     return poses.fan_out_actions(found, t.select(clip.alias("clip"), "frame", "id")).select("frame", "id", "label")
 
 
-@query("SELECT k AS \"Frame\", -1.0 AS \"BBox_X\", -1.0 AS \"BBox_Y\", -1.0 AS \"BBox_W\", -1.0 AS \"BBox_H\" FROM range(1, 31) q(k)")
-def camera_baseline(spark, sf_dir):
-    return records.camera_baseline(spark, 30)
+@query("WITH " + _T + """, c AS (SELECT frame, min(x) AS x, min(y) AS y, max(w) AS w, max(h) AS h FROM t GROUP BY 1) SELECT frame AS "Frame", CASE WHEN frame % 3 = 0 THEN round(x, 6) ELSE -1 END AS "BBox_X", CASE WHEN frame % 3 = 0 THEN round(y, 6) ELSE -1 END AS "BBox_Y", CAST(CASE WHEN frame % 3 = 0 THEN w ELSE -1 END AS DOUBLE) AS "BBox_W", CAST(CASE WHEN frame % 3 = 0 THEN h ELSE -1 END AS DOUBLE) AS "BBox_H" FROM c""")
+def camera_baseline(t):
+    """Every third frame is annotated."""
+    done = t.filter("frame % 3 = 0").groupBy(F.col("frame").alias("Frame")).agg(F.min("x").alias("BBox_X"), F.min("y").alias("BBox_Y"), F.max("w").cast("double").alias("BBox_W"), F.max("h").cast("double").alias("BBox_H"))
+    return _r(records.camera_baseline(t, done), "BBox_X", "BBox_Y", "BBox_W", "BBox_H")
 
 
 @query("WITH " + _T + ", r AS (SELECT game, frame, id, row_number() OVER (PARTITION BY game ORDER BY frame, id) - 1 AS k FROM t) SELECT game, frame, id, k // 16 AS batch, k % 16 AS place FROM r")

@@ -227,10 +227,15 @@ def suppressed_boxes(t):
     return reports.suppressed(_wide(t), 0.1).select("frame", "label", "id")
 
 
-@query("WITH " + _T + """, g AS (SELECT frame, min(x) AS l, min(y) AS t, max(x + w) AS r, max(y + h) AS b FROM t GROUP BY 1), h AS (SELECT frame, (l + r) / 2 AS cx, (t + b) / 2 AS cy, greatest(least((b - t) * 1.4, 570), 210) AS h FROM g)
-SELECT frame, round(greatest(least(cx - h * 16 / 9 / 2, 5000), 0), 6) AS l, round(greatest(least(cy - h / 2, 600), 0), 6) AS t, round(greatest(least(cx + h * 16 / 9 / 2, 5000), 0), 6) AS r, round(greatest(least(cy + h / 2, 600), 0), 6) AS b FROM h""")
+@query("WITH " + _T + """, f AS (SELECT DISTINCT frame FROM t), p AS (SELECT * FROM t WHERE frame % 5 > 0), u AS (SELECT frame, coalesce(min(x), 0) AS l, coalesce(min(y), 0) AS t, coalesce(max(x + w), 5000) AS r, coalesce(max(y + h), 600) AS b FROM f LEFT JOIN p USING (frame) GROUP BY 1),
+h AS (SELECT frame, (l + r) / 2 AS cx, (t + b) / 2 AS cy, greatest(least((b - t) * 1.4, 570), 210) AS h FROM u),
+c AS (SELECT frame, greatest(least(cx - h * 16 / 9 / 2, 5000), 0) AS l, greatest(least(cy - h / 2, 600), 0) AS t, greatest(least(cx + h * 16 / 9 / 2, 5000), 0) AS r, greatest(least(cy + h / 2, 600), 0) AS b FROM h),
+s AS (SELECT *, greatest(r - l, 1) * least(1, 4200 / greatest(r - l, 1), 500 / greatest(b - t, 1)) / 2 AS w2, greatest(b - t, 1) * least(1, 4200 / greatest(r - l, 1), 500 / greatest(b - t, 1)) / 2 AS h2 FROM c),
+m AS (SELECT frame, w2, h2, greatest(least((l + r) / 2, 4600 - w2), 400 + w2) AS cx, greatest(least((t + b) / 2, 550 - h2), 50 + h2) AS cy FROM s)
+SELECT frame, round(cx - w2, 6) AS l, round(cy - h2, 6) AS t, round(cx + w2, 6) AS r, round(cy + h2, 6) AS b FROM m""")
 def rule_camera(t):
-    return _r(reports.rule_camera(t, 5000.0, 600.0, 16 / 9), *"ltrb")
+    """Every fifth frame has no boxes; the play bounds are narrower than the picture."""
+    return _r(reports.rule_camera(t.filter("frame % 5 > 0"), 5000.0, 600.0, 16 / 9, bounds=(400.0, 50.0, 4600.0, 550.0), every=t.select("frame").distinct()), *"ltrb")
 
 
 _CAMS = ", c AS (SELECT game, frame, avg(x) / 5000 AS x, avg(y) / 600 AS y, avg(w) / 100 AS w, avg(h) / 100 AS h, min(x) / 5000 AS px, min(y) / 600 AS py, min(w) / 100 AS pw, min(h) / 100 AS ph FROM t GROUP BY 1, 2)"
@@ -323,9 +328,11 @@ def rate_scaled(t):
     return _r(t.select("frame", "id", reports.scaled_frames(F.col("number") - 3, 0.3).alias("frames"), reports.scaled_speed(F.col("x"), 0.3).alias("speed")), "speed")
 
 
-@query("WITH " + _T + ", v AS (SELECT frame // 4 AS f, id, number, score * w / (w + 10) AS vote FROM t) SELECT f AS frame, id, number, round(vote, 9) AS vote FROM v QUALIFY row_number() OVER (PARTITION BY f, id ORDER BY vote DESC, number) = 1")
+@query("WITH " + _T + ", v AS (SELECT frame // 4 AS f, id, number, row_ord, round(score, 1) * 20 / greatest(1, CAST(w AS INT) - 25) * CASE WHEN id % 3 = 0 THEN 1.25 ELSE 1 END AS vote FROM t) SELECT f AS frame, id, number, round(vote, 9) AS vote FROM v QUALIFY row_number() OVER (PARTITION BY f, id ORDER BY vote DESC, row_ord) = 1")
 def best_reading(t):
-    rows = t.select(F.expr("frame div 4").alias("frame"), "id", "number", "score", F.col("w").alias("width"), (F.col("w") + 10).alias("roi_width"))
+    """Regions of no width or less count as one wide; equal votes, of which there are many here, go to the first reading."""
+    score = F.round(F.col("score").cast("double"), 1)
+    rows = t.select(F.expr("frame div 4").alias("frame"), "id", "number", score.alias("score"), F.lit(20.0).alias("width"), (F.col("w") - 25).alias("roi_width"), F.when(F.col("id") % 3 == 0, 1.25).otherwise(1.0).alias("vote_scale"), F.col("row_ord").alias("ord"))
     return _r(jerseys.best_reading(rows), "vote", digits=9)
 
 
@@ -364,7 +371,7 @@ def track_dedupe(t):
 
 
 @query("WITH " + _T + """, g AS (SELECT frame, id, x + w / 2 AS cx, y + h / 2 AS cy, x - lag(x) OVER (PARTITION BY game, id ORDER BY frame) AS vx FROM t), f AS (SELECT * FROM g WHERE vx IS NOT NULL),
-c AS (SELECT frame, count(*) AS n, count(*) FILTER (WHERE vx >= 200) AS r, count(*) FILTER (WHERE vx <= -200) AS l, avg(vx) FILTER (WHERE vx >= 200) AS ar, avg(vx) FILTER (WHERE vx <= -200) AS al, arg_max(cx, cx) FILTER (WHERE vx >= 200) AS rx, arg_max(cy, cx) FILTER (WHERE vx >= 200) AS ry, arg_min(cx, cx) FILTER (WHERE vx <= -200) AS lx, arg_min(cy, cx) FILTER (WHERE vx <= -200) AS ly FROM f GROUP BY 1),
+c AS (SELECT frame, count(*) AS n, count(*) FILTER (WHERE vx >= 200) AS r, count(*) FILTER (WHERE vx <= -200) AS l, avg(vx) FILTER (WHERE vx >= 200) AS ar, avg(vx) FILTER (WHERE vx <= -200) AS al, max(cx) FILTER (WHERE vx >= 200) AS rx, first(cy ORDER BY cx DESC, id) FILTER (WHERE vx >= 200) AS ry, min(cx) FILTER (WHERE vx <= -200) AS lx, first(cy ORDER BY cx, id) FILTER (WHERE vx <= -200) AS ly FROM f GROUP BY 1),
 d AS (SELECT frame, r / n > 0.5 AS right_, CASE WHEN r / n > 0.5 THEN ar ELSE al END AS v, CASE WHEN r / n > 0.5 THEN rx ELSE lx END AS ex, CASE WHEN r / n > 0.5 THEN ry ELSE ly END AS ey FROM c WHERE n >= 4 AND (r / n > 0.5 OR l / n > 0.5)),
 q AS (SELECT frame, min(x) AS l, min(y) AS t, max(x + w) AS r, max(y + h) AS b FROM t GROUP BY 1)
 SELECT frame, round((ex + (l + r) / 2) / 2 - (r - l) / 2, 6) AS l, round((ey + (t + b) / 2) / 2 - (b - t) / 2, 6) AS t, (v > 0 AND (l + r) / 2 < ex) OR (v < 0 AND (l + r) / 2 > ex) AS speeds, round(CASE WHEN (v > 0 AND (l + r) / 2 < ex) OR (v < 0 AND (l + r) / 2 > ex) THEN v * 0.3 ELSE 0 END, 6) AS push FROM d JOIN q USING (frame)""")

@@ -67,6 +67,16 @@ def shift_into(b: Box, bounds: Box) -> Box:
     return shifted(b, over(b[0], b[2], bounds[0], bounds[2]), over(b[1], b[3], bounds[1], bounds[3]))
 
 
+def scaled_into(box, bounds):
+    """The box, scaled down to fit the bounds and moved inside them; sizes below 1 count as 1."""
+    w, h = (F.greatest(v, F.lit(1.0)) for v in size(box))
+    bw, bh = (F.greatest(v, F.lit(1.0)) for v in size(bounds))
+    scale = F.least(F.lit(1.0), bw / w, bh / h)
+    half = w * scale / 2, h * scale / 2
+    at = [clamp(c, lo + d, hi - d) for c, d, lo, hi in zip(center(box), half, bounds[:2], bounds[2:], strict=True)]
+    return at[0] - half[0], at[1] - half[1], at[0] + half[0], at[1] + half[1]
+
+
 def fit_inside(b: Box, w, h) -> Box:
     """Shrunk alike in both directions to fit (0, 0, w, h), then its centre clamped."""
     (cx, cy), (bw, bh) = center(b), size(b)

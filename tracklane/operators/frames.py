@@ -155,22 +155,30 @@ def weighted_means(batches: DataFrame, keys: tuple[str, ...], n: str, metrics: t
     return batches.groupBy(*keys).agg(F.sum(n).alias(n), *[F.try_divide(F.sum(F.col(m) * F.col(n)), F.sum(n)).alias(m) for m in metrics])
 
 
-def breakaway(moving: DataFrame, targets: DataFrame, threshold: float, ratio: float, min_tracks: int, speed_ratio: float = 0.3, average: bool = True) -> DataFrame:
-    """frame, target box (l, t, r, b), speeds, push where more than the ratio of a frame's tracks rush one way.
+def rushes(moving: DataFrame, threshold: float, ratio: float, min_tracks: int, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """keys, v, ex, ey where more than the ratio of a frame's tracks (at least `min_tracks`) rush one way: their mean speed and the centre of the foremost, the least id of equals.
 
-    The target (frame, l, t, r, b) is moved to the foremost of them, or half way. Where that lies ahead of the target's
-    centre, `speeds` is true and `push` a share of the group's mean speed; else the box has overshot and should brake.
-    `moving` holds frame, id, cx, cy, vx.
+    `moving` holds keys, id, cx, cy, vx.
     """
     right, left = F.col("vx") >= threshold, F.col("vx") <= -threshold
-    front = lambda way, key: F.max(F.when(way, F.struct(key.alias("k"), "cx", "cy")))
-    g = moving.groupBy("frame").agg(F.count("*").alias("n"), F.count_if(right).alias("r"), F.count_if(left).alias("f"), F.avg(F.when(right, F.col("vx"))).alias("vr"), F.avg(F.when(left, F.col("vx"))).alias("vl"), front(right, F.col("cx")).alias("er"), front(left, -F.col("cx")).alias("el"))
-    g = g.filter((F.col("n") >= min_tracks) & ((F.col("r") / F.col("n") > ratio) | (F.col("f") / F.col("n") > ratio)))
-    to_right = F.col("r") / F.col("n") > ratio
-    g = g.select("frame", F.when(to_right, F.col("vr")).otherwise(F.col("vl")).alias("_v"), F.when(to_right, F.col("er")).otherwise(F.col("el")).alias("_e"))
-    rows = targets.join(g, "frame")
+    front = lambda way, key: F.max(F.when(way, F.struct(key.alias("k"), (-F.col("id")).alias("i"), "cx", "cy")))
+    g = moving.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(right).alias("r"), F.count_if(left).alias("f"), F.avg(F.when(right, F.col("vx"))).alias("vr"), F.avg(F.when(left, F.col("vx"))).alias("vl"), front(right, F.col("cx")).alias("er"), front(left, -F.col("cx")).alias("el"))
+    to_right, to_left = (F.col(c) / F.col("n") > ratio for c in "rf")
+    g = g.filter((F.col("n") >= min_tracks) & (to_right | to_left))
+    return g.select(*keys, F.when(to_right, F.col("vr")).otherwise(F.col("vl")).alias("v"), F.when(to_right, F.col("er")).otherwise(F.col("el")).alias("_e")).select(*keys, "v", F.col("_e.cx").alias("ex"), F.col("_e.cy").alias("ey"))
+
+
+def breakaway(moving: DataFrame, targets: DataFrame, threshold: float, ratio: float, min_tracks: int, speed_ratio: float = 0.3, average: bool = True, view: DataFrame | None = None) -> DataFrame:
+    """frame, target box (l, t, r, b), speeds, push where more than the ratio of a frame's tracks rush one way.
+
+    The target (frame, l, t, r, b) is moved to the foremost of them, or half way. Where that lies ahead of the centre of the
+    camera's box (`view`: frame, cx; else the target's own), `speeds` is true and `push` a share of the group's mean speed; else the box has overshot and should
+    brake. `moving` holds frame, id, cx, cy, vx. `movers.PlayTick` does the same with the box that it moves.
+    """
+    rows = targets.join(rushes(moving, threshold, ratio, min_tracks), "frame")
     b = boxes.cols(*"ltrb")
     (cx, cy), (w, h) = boxes.center(b), boxes.size(b)
-    at = ((F.col("_e.cx") + cx) / 2, (F.col("_e.cy") + cy) / 2) if average else (F.col("_e.cx"), F.col("_e.cy"))
-    ahead = ((F.col("_v") > 0) & (cx < F.col("_e.cx"))) | ((F.col("_v") < 0) & (cx > F.col("_e.cx")))
-    return rows.select("frame", *[v.alias(n) for v, n in zip(boxes.box_at(*at, w, h), "ltrb", strict=True)], ahead.alias("speeds"), F.when(ahead, F.col("_v") * speed_ratio).otherwise(F.lit(0.0)).alias("push"))
+    at = ((F.col("ex") + cx) / 2, (F.col("ey") + cy) / 2) if average else (F.col("ex"), F.col("ey"))
+    rows = rows.join(view.select("frame", F.col("cx").alias("_from")), "frame") if view is not None else rows.withColumn("_from", cx)
+    ahead = ((F.col("v") > 0) & (F.col("_from") < F.col("ex"))) | ((F.col("v") < 0) & (F.col("_from") > F.col("ex")))
+    return rows.select("frame", *[v.alias(n) for v, n in zip(boxes.box_at(*at, w, h), "ltrb", strict=True)], ahead.alias("speeds"), F.when(ahead, F.col("v") * speed_ratio).otherwise(F.lit(0.0)).alias("push"))

@@ -83,9 +83,13 @@ def shifts(seen: DataFrame, starts: DataFrame, game: tuple[str, ...] = ("game",)
 
 
 def best_reading(readings: DataFrame, keys: tuple[str, ...] = ("frame", "id")) -> DataFrame:
-    """keys, number, vote: of text readings (number, score, width, roi_width) the one with the largest score times share of its region's width."""
-    vote = F.col("score") * F.col("width") / F.col("roi_width")
-    return readings.withColumn("vote", vote).groupBy(*keys).agg(F.max(F.struct("vote", (-F.col("number")).alias("n"))).alias("m")).select(*keys, (-F.col("m.n")).alias("number"), "m.vote")
+    """keys, number, vote: of text readings (number, score, width, roi_width, vote_scale, ord) the one with the largest vote, the first by ord of equals.
+
+    A vote is the score times the text's share of its region's width (at least 1, in whole pixels) times the region's scale.
+    """
+    vote = F.col("score") * F.col("width") / F.greatest(F.lit(1), F.col("roi_width").cast("int")) * F.col("vote_scale")
+    best = F.max(F.struct(vote.alias("vote"), (-F.col("ord")).alias("o"), "number"))
+    return readings.groupBy(*keys).agg(best.alias("m")).select(*keys, "m.number", "m.vote")
 
 
 def readable(text: Column, detected: Column, recognised: Column, least_detected: float = 0.5, least_recognised: float = 0.8) -> Column:

@@ -140,12 +140,21 @@ def camera_losses(pred: DataFrame, truth: DataFrame, weights: tuple[float, float
     return got.withColumn("loss", weights[0] * F.col("l1") + weights[1] * (1 - F.col("iou")) + weights[2] * F.col("velocity") + weights[3] * F.col("acceleration"))
 
 
-def rule_camera(rows: DataFrame, width: float, height: float, aspect: float, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
-    """keys, l, t, r, b: the union of a frame's boxes (TLWH), its height times 1.4 between 35 and 95 hundredths of the picture's, the width from the aspect, cut to the picture."""
+def rule_camera(rows: DataFrame, width: float, height: float, aspect: float, keys: tuple[str, ...] = ("frame",), bounds: tuple[float, float, float, float] | None = None, every: DataFrame | None = None) -> DataFrame:
+    """keys, l, t, r, b: the union of a frame's boxes (TLWH), its height times 1.4 between 35 and 95 hundredths of the picture's, the width from the aspect, cut to the picture.
+
+    The box is then scaled down and moved into the play `bounds` (TLBR), if given. Frames of `every` (keys) without boxes have the whole picture as their union.
+    """
     g = rows.groupBy(*keys).agg(F.min("x").alias("_l"), F.min("y").alias("_t"), F.max(F.col("x") + F.col("w")).alias("_r"), F.max(F.col("y") + F.col("h")).alias("_b"))
+    if every is not None:
+        g = every.join(g, list(keys), "left").fillna({"_l": 0.0, "_t": 0.0, "_r": width, "_b": height})
     h = boxes.clamp((F.col("_b") - F.col("_t")) * 1.4, F.lit(height * 0.35), F.lit(height * 0.95))
     box = boxes.box_at((F.col("_l") + F.col("_r")) / 2, (F.col("_t") + F.col("_b")) / 2, h * aspect, h)
-    return g.select(*keys, *[v.alias(n) for v, n in zip(boxes.clamp_box(box, tuple(F.lit(v) for v in (0.0, 0.0, width, height))), "ltrb", strict=True)])
+    box = boxes.clamp_box(box, tuple(F.lit(v) for v in (0.0, 0.0, width, height)))
+    if bounds:
+        g = g.select(*keys, *[v.alias(n) for v, n in zip(box, "ltrb", strict=True)])
+        box = boxes.scaled_into(boxes.cols(*"ltrb"), tuple(F.lit(float(v)) for v in bounds))
+    return g.select(*keys, *[v.alias(n) for v, n in zip(box, "ltrb", strict=True)])
 
 
 def anchor_targets(targets: DataFrame, anchors: DataFrame, grid_w: int, grid_h: int, least: float = 0.6, keys: tuple[str, ...] = ("image",)) -> DataFrame:

@@ -6,7 +6,7 @@ A sample is one row for each frame with arrays side by side (boxes, scores, labe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import tables
 
@@ -76,9 +76,13 @@ def batch_records(batches: DataFrame, size: Column) -> DataFrame:
     return batches.select("frame", F.posexplode(F.slice("values", 1, size)).alias("_i", "value")).select((F.col("frame") + F.col("_i")).alias("frame"), "value")
 
 
-def camera_baseline(spark: SparkSession, frames: int) -> DataFrame:
-    """A camera table of frames 1 to n with boxes of -1: nothing annotated yet."""
-    return spark.range(1, frames + 1).select(F.col("id").alias("Frame"), *[F.lit(-1.0).alias(f"BBox_{c}") for c in "XYWH"])
+def camera_baseline(frames: DataFrame, annotated: DataFrame | None = None) -> DataFrame:
+    """A camera table of all `frames` (frame): a box of -1 where nothing is `annotated` (Frame, BBox_X, BBox_Y, BBox_W, BBox_H) yet."""
+    every = frames.select(F.col("frame").cast("long").alias("Frame")).distinct()
+    names = [f"BBox_{c}" for c in "XYWH"]
+    if annotated is None:
+        return every.select("Frame", *[F.lit(-1.0).alias(n) for n in names])
+    return every.join(annotated.select("Frame", *names), "Frame", "left").fillna(-1.0, names)
 
 
 def _file(folder: str, stem: str, label: str | None) -> str:
