@@ -34,7 +34,7 @@ from ._scratch import Scratch
 
 ARITY = 3
 #: Levels that one round finishes: a block has at most ARITY**LEVELS nodes.
-LEVELS = 11
+LEVELS = 7
 #: Leaves of a strip.
 STRIP = 1 << 14
 STEPS = "array<struct<left:string,right:string>>"
