@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from .catalog import _T, _r, query
-from .operators import frames
+from .operators import frames, sound
 from .streaming import folds, movers
 
 _TICK_ARENA = (0.0, 0.0, 5000.0, 700.0)
@@ -43,3 +43,40 @@ def play_tick(t):
     rows = box.select("game", "frame", F.col("l").alias("x"), F.col("t").alias("y"), (F.col("r") - F.col("l")).alias("w"), (F.col("b") - F.col("t")).alias("h")).join(few, ["game", "frame"]).join(rush, ["game", "frame"], "left")
     out = folds.fold(rows, movers.PlayTick((mover,), overshoot_brake=_OVER), "game")
     return _r(out.select("game", "frame", (F.col("x") + F.col("w") / 2).alias("cx"), "w"), "cx", "w")
+
+
+def _sound(spark, sf_dir, size):
+    """Events as samples: recordings of 1000 events each, their values in tenths less 250."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr("event_id div 1000").alias("game"), (F.col("event_id") % 1000).alias("i"), (F.round(F.col("value") * 10) - 250).alias("v"))
+    return rows, sound.blocks(rows, size)
+
+
+_WAVE = "x AS (SELECT event_id // 1000 AS game, event_id % 1000 AS i, round(value * 10) - 250 AS v FROM events)"
+_SPECTRA = _WAVE + """, n AS (SELECT game, max(i) + 1 AS n FROM x GROUP BY 1), f AS (SELECT game, unnest(range(0, n // 8 + 1)) AS frame FROM n),
+s AS (SELECT f.game, frame, b, sum(x.v * (0.5 - 0.5 * cos(2 * pi() * j / 32)) * cos(2 * pi() * b * j / 32)) AS re, sum(x.v * (0.5 - 0.5 * cos(2 * pi() * j / 32)) * sin(2 * pi() * b * j / 32)) AS im
+  FROM f, range(32) q(j), range(17) r(b), x WHERE x.game = f.game AND x.i = frame * 8 - 16 + j GROUP BY 1, 2, 3),
+d AS (SELECT game, frame, b, 20 * log10(greatest(sqrt(re * re + im * im), 1e-5)) AS db FROM s), p AS (SELECT game, max(db) - 80 AS least FROM d GROUP BY 1),
+e AS (SELECT game, frame, avg(greatest(db, least)) AS energy FROM d JOIN p USING (game) WHERE b BETWEEN 4 AND 9 GROUP BY 1, 2)"""
+
+
+@query("WITH " + _SPECTRA + " SELECT game, frame, round(energy, 6) AS energy FROM e")
+def band_energy(spark, sf_dir):
+    """At 100 samples a second, the band from 12.5 to 28.125 Hz."""
+    return _r(sound.band_energy(_sound(spark, sf_dir, 64)[1], 100.0, 12.5, 28.125, 32, 8, frames_a_task=50), "energy")
+
+
+@query("WITH " + _SPECTRA + """, c AS (SELECT game, quantile_cont(energy, 0.7) AS bar FROM e GROUP BY 1), l AS (SELECT game, frame, frame - row_number() OVER (PARTITION BY game ORDER BY frame) AS k FROM e JOIN c USING (game) WHERE energy > bar)
+SELECT game, round(min(frame) * 0.08::DOUBLE, 6) AS "start", round(max(frame) * 0.08::DOUBLE, 6) AS "end" FROM l GROUP BY game, k HAVING max(frame) - min(frame) >= 2""")
+def whistles(spark, sf_dir):
+    return _r(sound.whistles(_sound(spark, sf_dir, 100)[1], 100.0, 12.5, 28.125, 0.16, 0.7, 32, 8), "start", "end")
+
+
+@query("WITH " + _WAVE + """, y AS (SELECT game, i + game % 7 - 3 AS i, v FROM x WHERE i + game % 7 - 3 >= 0), c AS (SELECT game, x.i - y.i AS lag, sum(x.v * y.v) AS v FROM x JOIN y USING (game) GROUP BY 1, 2)
+SELECT game, lag, round(greatest(lag * 0.3::DOUBLE, 0), 6) AS left_offset, round(greatest(-lag * 0.3::DOUBLE, 0), 6) AS right_offset FROM c QUALIFY row_number() OVER (PARTITION BY game ORDER BY v DESC, lag) = 1""")
+def sound_lag(spark, sf_dir):
+    """Each recording against itself, a few samples later or earlier; 100 samples and 30 frames a second."""
+    rows, left = _sound(spark, sf_dir, 128)
+    moved = rows.withColumn("i", F.col("i") + F.col("game") % 7 - 3).filter("i >= 0")
+    out = sound.best_lag(left, sound.blocks(moved, 128), 128, together=2)
+    a, b = sound.frame_offsets(F.col("lag"), 100.0, 30.0)
+    return _r(out.select("game", "lag", a.alias("left_offset"), b.alias("right_offset")), "left_offset", "right_offset")
