@@ -96,6 +96,59 @@ def with_model(rows: DataFrame, window: str, model, schema: str) -> DataFrame:
     return rows.mapInPandas(run, T.StructType(out.fields + made.fields))
 
 
+def autoregressive(rows: DataFrame, model, outputs: int, window: int, first: tuple[float, ...] | None = None, residual: float | None = None, keys: tuple[str, ...] = ("game",), features: str = "features") -> DataFrame:
+    """keys, frame, outputs: what `model` gives frame by frame, its outputs of the frame before fed back behind the frame's features.
+
+    All the games of a task advance together: `model(array of shape (n, length, features + outputs))` gets the last `window` frames (fewer at
+    the start, one length at a time) of each and returns shape (n, outputs). `first` stands for the outputs before the first frame (default 0.5 each). With
+    `residual` the model gives changes around 0.5, up to so much either way, which are added to the outputs before and kept in 0 to 1. A task holds one window a game.
+    """
+    import numpy as np
+
+    start = np.full(outputs, 0.5) if first is None else np.asarray(first, float)
+    step = F.row_number().over(W.partitionBy(*keys).orderBy("frame"))
+    ordered = rows.select(*keys, "frame", F.col(features).alias("_x"), step.alias("_step")).repartition(*keys).sortWithinPartitions("_step", *keys)
+
+    def answer(held: dict, now: list, k: int):
+        windows = []
+        for key, _, x in now:
+            past, before = held.get(key, ([], start))
+            past = [*past[-(window - 1) :], np.r_[np.asarray(x, float), before]] if window > 1 else [np.r_[np.asarray(x, float), before]]
+            windows.append(past)
+        y = np.asarray(model(np.array(windows)), float).reshape(len(now), outputs)
+        if residual is not None:
+            y = np.clip(np.array([w[-1][-outputs:] for w in windows]) + (y - 0.5) * 2 * residual, 0.0, 1.0)
+        held.update({key: (w, v) for (key, _, _), w, v in zip(now, windows, y, strict=True)})
+        return y
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: dict = {}
+        now: list = []
+        step = None
+        names = [*keys, "frame", "outputs"]
+
+        def told():
+            y = answer(held, now, step)
+            cols = [*zip(*[k for k, _, _ in now], strict=True), [f for _, f, _ in now], [v.tolist() for v in y]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+        for b in batches:
+            kinds = [*(b.schema.field(k).type for k in keys), pa.int64(), pa.list_(pa.float64())]
+            for *key, frame, x, k in zip(*(b[c].to_pylist() for c in (*keys, "frame", "_x", "_step")), strict=True):
+                if step is not None and k != step:
+                    yield told()
+                    now.clear()
+                step = k
+                now.append((tuple(key), frame, x))
+        if now:
+            yield told()
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return ordered.mapInArrow(run, f"{kinds}, frame bigint, outputs array<double>")
+
+
 def transformed(rows: DataFrame, change, schema: T.StructType | None = None) -> DataFrame:
     """Rows through a function of pandas batches."""
     return rows.mapInPandas(lambda batches: (change(b) for b in batches), schema or rows.schema)

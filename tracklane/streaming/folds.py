@@ -274,6 +274,67 @@ class CenterPoints(Associations):
         return {"next": s["next"], "tracks": [t for t in tracks if t["missed"] <= self.keep]}, [(frame, i, *d) for i, d in out]
 
 
+class Reidentified(Associations):
+    """Track ids by overlap and appearance: a row's `look` is a vector, compared by its cosine with what the track looked like.
+
+    Similarity is the mean of both, by their weights; pairs of one label are matched by the least sum of costs, up to 1 less `least`.
+    Lost tracks cost `lost_cost` more and end `keep` frames after their last match. A matched track's box and look move by their momenta
+    towards the row's. Unmatched rows from `init` on begin tracks; a track's first free slot, of `slots`, decides its place in the output. Each frame gives all its tracked boxes. Without
+    looks only the overlap counts.
+    """
+
+    output = "frame bigint, id bigint, x1 double, y1 double, x2 double, y2 double, label bigint, score double"
+    columns = ("frame", "x1", "y1", "x2", "y2", "label", "score", "look")
+
+    def __init__(self, init: float = 0.7, low: float = 0.1, least: float = 0.1, keep: int = 30, iou_weight: float = 0.5, look_weight: float = 0.5, box_momentum: float = 0.6, look_momentum: float = 0.2, lost_cost: float = 0.05, slots: int = 128, weigh: bool = True):
+        self.init, self.low, self.least, self.keep, self.weights = init, low, least, keep, (max(0.0, iou_weight), max(0.0, look_weight))
+        self.box_momentum, self.look_momentum, self.lost_cost, self.slots, self.weigh = box_momentum, look_momentum, lost_cost, slots, weigh
+
+    def start(self) -> dict:
+        return {"next": 0, "tracks": []}
+
+    def _similar(self, tracks: list[dict], found: list[tuple]) -> np.ndarray:
+        o = _iou(np.array([t["box"] for t in tracks]).reshape(-1, 4), np.array([d[:4] for d in found]).reshape(-1, 4))
+        if self.weigh:
+            o = o * np.array([d[5] for d in found])
+        by_iou, by_look = self.weights
+        if any(d[6] is None for d in found) or any(t["look"] is None for t in tracks):
+            by_look = 0.0
+        if not by_iou + by_look:
+            by_iou = 1.0
+        if not by_look:
+            return o
+        unit = lambda v: v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-6)
+        looks = unit(np.array([t["look"] for t in tracks], float)) @ unit(np.array([d[6] for d in found], float)).T
+        return (o * by_iou + looks * by_look) / (by_iou + by_look)
+
+    def step(self, s: dict, frame: int, found: list[tuple]) -> tuple[dict, list[tuple]]:
+        """found: (x1, y1, x2, y2, label, score, look) of one frame."""
+        found = [d for d in found if d[5] >= self.low]
+        tracks = [dict(t) for t in s["tracks"]]
+        pairs = []
+        if tracks and found:
+            cost = 1 - self._similar(tracks, found) + self.lost_cost * np.array([[t["lost"]] for t in tracks])
+            other = np.array([t["label"] for t in tracks])[:, None] != np.array([d[4] for d in found])[None]
+            pairs = optimal_pairs(cost + 1e6 * other, 1 - min(max(self.least, 0.0), 1.0))
+        taken = {j for _, j in pairs}
+        near = lambda old, new, m: [p * (1 - m) + q * m for p, q in zip(old, new, strict=True)]
+        for t in tracks:
+            t["lost"] = True
+        for i, j in pairs:
+            t, d = tracks[i], found[j]
+            look = t["look"] if d[6] is None else list(d[6]) if t["look"] is None else near(t["look"], d[6], self.look_momentum)
+            tracks[i] = t | {"box": near(t["box"], d[:4], self.box_momentum), "look": look, "label": d[4], "score": d[5], "last": frame, "lost": False}
+        tracks = [t for t in tracks if not (t["lost"] and frame - t["last"] >= self.keep)]
+        free = sorted(set(range(self.slots)) - {t["slot"] for t in tracks})
+        new = [d for j, d in enumerate(found) if j not in taken and d[5] >= self.init][: len(free)]
+        for slot, d in zip(free, new, strict=False):
+            tracks.append({"id": s["next"], "slot": slot, "box": list(d[:4]), "look": None if d[6] is None else list(d[6]), "label": d[4], "score": d[5], "last": frame, "lost": False})
+            s = s | {"next": s["next"] + 1}
+        tracks.sort(key=lambda t: t["slot"])
+        return {"next": s["next"], "tracks": tracks}, [(frame, t["id"], *t["box"], t["label"], t["score"]) for t in tracks if not t["lost"]]
+
+
 class RecentVotes:
     """A track's number by decayed votes over the last `window` frames; older votes leave the state."""
 
