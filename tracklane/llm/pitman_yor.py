@@ -47,7 +47,7 @@ from . import _blocks as B, _text as X
 from ._scratch import Scratch
 
 #: Bytes of text in a chunk.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 _END = np.uint64(0xA24BAED4963EE407)
 _U = np.uint64
 _ROW = "key bigint, kind int, sweep int, data binary"
