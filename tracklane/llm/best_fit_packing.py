@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._graph import checkpoint
 
-PIECES = "doc_id bigint, rid bigint, piece int, start bigint, length int, ids_crc32 bigint"
+PIECES = "doc_id bigint, rid bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Words kept with their ids in a worker; beyond it the table starts anew.
 CACHE = 500_000
 
@@ -120,7 +120,7 @@ def pieces(documents: DataFrame, length: int = 2048, tokenizer: str | None = Non
                         rows["crc"].append(zlib.crc32(raw[4 * s : 4 * e]))
                 row = pa.array(rows["row"], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"].take(row), part["rid"].take(row), pa.array(rows["piece"], pa.int32()), pa.array(rows["start"], pa.int64()), pa.array(rows["length"], pa.int32()), pa.array(rows["crc"], pa.int64())],
+                    [part["doc_id"].take(row), part["rid"].take(row), pa.array(rows["piece"], pa.int32()), pa.array(rows["start"], pa.int64()), pa.array(rows["length"], pa.int64()), pa.array(rows["crc"], pa.int64())],
                     ["doc_id", "rid", "piece", "start", "length", "ids_crc32"],
                 )
 
