@@ -1,26 +1,24 @@
-"""Exact substring dedup over bytes by distributed prefix doubling.
+"""Exact substring dedup over bytes: anchored hashing in place of most of prefix doubling.
 
 Every byte covered by a `length`-byte string that also starts elsewhere, in any
-document, is removed. Position ranks are classes of equal strings: a round sorts
-positions by (rank here, rank at an offset) and gives them new ranks for the
-longer string; positions whose rank is unique drop out. Rounds:
+document, is removed. Distributed prefix doubling would sort all positions by (rank
+here, rank at an offset) in rounds of growing offsets; each round shuffles every open
+position's rank and address both ways, which README shows not to fit. Here a rank is a fingerprint
+of a string, made by doubling inside a task, and three shuffles of fewer positions follow:
 
 1. Ranks of `length / 2` bytes. Only the positions that hold the least
-   fingerprint of a `length`-byte window's half-length strings are ranked:
+   fingerprint of a `length`-byte window's half-length strings are sent:
    equal windows choose equal positions, so any repeated window has a ranked
    position in common with its copy, and about one position in fifty is ranked.
-2. The offsets grow to half a length before and a whole length behind a ranked
-   position. Where this whole surrounding repeats, all windows of the position
+2. With each goes the rank of its surroundings, half a length before and a whole length behind.
+   Where this whole surrounding repeats, all windows of the position
    repeat, and it is settled. Unique first ranks are dropped.
 3. What remains, the edges of repeats, is ranked at every byte: the pair of
-   half-length ranks at p and p + length / 2 is the rank of the whole length,
-   which passes the threshold; ranks held twice are repeats.
+   half-length ranks at p and p + length / 2 is the rank of the whole length;
+   ranks held twice are repeats.
 
-A rank is a fingerprint of the string: of 64 bits, or 96 where a removal rests on
-it, made by doubling (the mix of the ranks of two parts). Spark shuffles positions
-by rank, tasks sort those of one bucket. A plain loop over all positions from
-single bytes on would shuffle each byte's rank and address eight times; README
-says what that costs.
+Fingerprints have 64 bits, or 96 where a removal rests on them. Spark shuffles positions
+by rank, tasks sort those of one bucket.
 
 Edge cases: null text is empty; texts shorter than `length` keep everything;
 repeats within one document count, overlapping ones too; repeated rows repeat
@@ -42,6 +40,8 @@ _SPAN = {"doc": np.uint32, "lo": np.uint32, "n": np.uint8}
 _MARK, _DONE, _OPEN = np.uint8(128), np.uint8(1), np.uint8(2)
 #: Windows further apart are hashed apart.
 _NEAR = 1024
+#: Low bits of a rank that give way to the position in a stretch, which breaks ties alike in all stretches.
+_PLACE = np.uint64((1 << 24) - 1)
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
@@ -83,8 +83,7 @@ def _ranked(data: np.ndarray, off: np.ndarray, length: int):
         rank = X.window_hash(data[low:high], half)
         if high - low < length:
             continue
-        mask = np.uint64((1 << int(len(rank)).bit_length()) - 1)
-        chosen = (_least(rank & ~mask | np.arange(len(rank), dtype=np.uint64), length - half + 1) & mask).astype(np.int64)
+        chosen = (_least(rank & ~_PLACE | np.arange(len(rank), dtype=np.uint64), length - half + 1) & _PLACE).astype(np.int64)
         bounds = np.clip(off[i : j + 1] - low, 0, high - low)
         lasts = bounds[1:] - length
         opens = np.zeros(len(chosen) + 1, np.int64)
