@@ -5,12 +5,12 @@ in test items, as a Parquet table in the shared folder; it can be kept and used
 again. Of every test window (`size` words of an item) the `LISTS` terms with the
 fewest postings are its anchors. Their posting lists, each position less the
 term's offset in the window, are intersected: where all lists name one document
-and start, the window may begin. Frequent terms' lists are never intersected. An
+and start, the window may begin. Frequent terms' lists are intersected only where a window has no rarer ones. An
 exact check of the whole window against the document's words follows, for
 candidates only. For proximity, the two rarest terms' lists are intersected
 within the window's length and the slop, and the check asks for all words there.
 
-Test terms are broadcast in parts of `TERM_BYTES`, windows' anchors in blocks of
+Windows are told apart by a 64-bit hash; their item ids are joined to matches last. Test terms are broadcast in parts of `TERM_BYTES`, windows' anchors in blocks of
 `BLOCK` windows; both are measured, and one large item is split like many small
 ones. Postings are written where the text is read, without a shuffle.
 
@@ -75,11 +75,11 @@ def build_index(documents: DataFrame, terms: DataFrame, path: str | None = None,
     return documents.sparkSession.read.parquet(path)
 
 
-def anchors(index: DataFrame, wins: DataFrame, lists: int) -> DataFrame:
-    """(wid, need, term, offset, length): the rarest terms of each window, all of whose terms have postings; a term's first offset."""
+def anchors(counts: DataFrame, wins: DataFrame, lists: int) -> DataFrame:
+    """(wid, need, term, offset, length): the rarest terms of each window, all of whose terms have postings (`counts`: term, n); a term's first offset."""
     parts = wins.select("wid", F.size("window").alias("length"), F.posexplode("window").alias("offset", "term")).groupBy("wid", "length", "term").agg(F.min("offset").alias("offset"))
     mine = parts.select("term").distinct()  # at most the terms of a block of windows
-    counts = index.join(F.broadcast(mine), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    counts = counts.join(F.broadcast(mine), "term", "left_semi")
     by = W.partitionBy("wid")
     parts = parts.join(F.broadcast(counts), "term", "left").withColumn("_least", F.min(F.coalesce("n", F.lit(0))).over(by)).filter("_least > 0")
     parts = parts.withColumn("_k", F.row_number().over(by.orderBy("n", "offset"))).filter(F.col("_k") <= lists)
@@ -103,15 +103,24 @@ def matches(documents: DataFrame, items: DataFrame, size: int = 13, slop: int |
     stand, in any order, within its length plus slop around its anchor's place.
     `index` is one built before over the same documents, for all terms of the items.
     """
+    rows, hits, wins = _located(documents, items, size, slop, id_col, text_col, item_id, item_text, index, block, few, **building)
+    none = [F.lit(None).cast("int").alias(c) for c in ("start", "length")]
+    hits = hits.join(wins.select("wid", "items"), "wid").select(F.lit(None).cast("long").alias("doc_id"), "rid", F.lit(None).cast("int").alias("n_words"), "start", "length", "items")
+    return rows.select("doc_id", "rid", "n_words", *none, F.array().cast("array<string>").alias("items")).unionByName(hits)
+
+
+def _located(documents: DataFrame, items: DataFrame, size: int, slop: int | None, id_col: str, text_col: str, item_id: str, item_text: str, index: DataFrame | None, block: int, few: int, **building) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The document rows (doc_id, rid, n_words), the matches (rid, wid, start, length), and the windows (wid, window, items)."""
     wins = checkpoint(windows(items, size, item_id, item_text).withColumn("wid", F.xxhash64("window")))
     if index is None:
         index = build_index(documents, wins.select(F.explode("window").alias("term")).distinct(), None, id_col, text_col, **building)
     blocks = max(1, -(-wins.count() // block))
     lists = LISTS if slop is None else 2
     parts = [wins.filter(F.pmod("wid", F.lit(blocks)) == k) if blocks > 1 else wins for k in range(blocks)]
-    found = checkpoint(reduce(DataFrame.unionByName, [_candidates(index, anchors(index, part, lists), slop) for part in parts]))
+    counts = checkpoint(index.filter("term <> ''").groupBy("term").agg(F.count("*").alias("n")))
+    found = checkpoint(reduce(DataFrame.unionByName, [_candidates(index, anchors(counts, part, lists), slop) for part in parts]))
     # the exact check: a document's candidates with their windows, beside its words
-    asked = found.join(wins, "wid").groupBy("rid").agg(F.collect_list(F.struct("start", "window", "items")).alias("c"))
+    asked = found.join(wins.select("wid", "window"), "wid").groupBy("rid").agg(F.collect_list(F.struct("start", "window", "wid")).alias("c"))
     texts = documents.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).alias("text"))
     rids = found.select("rid").distinct()
     texts = texts.join(F.broadcast(rids) if rids.count() <= few else rids, "rid", "left_semi")
@@ -122,21 +131,23 @@ def matches(documents: DataFrame, items: DataFrame, size: int = 13, slop: int |
     else:
         near = F.slice("w", F.greatest(start - slop, F.lit(0)) + 1, F.size(window) + 2 * slop)
         here = F.forall(window, lambda x: F.array_contains(near, x))
-    hits = beside.filter(here).select(F.lit(None).cast("long").alias("doc_id"), "rid", F.lit(None).cast("int").alias("n_words"), start.alias("start"), F.size(window).alias("length"), F.col("c.items").alias("items"))
-    rows = index.filter("term = ''").select("doc_id", "rid", F.col("pos").alias("n_words"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("length"), F.array().cast("array<string>").alias("items"))
-    return rows.unionByName(hits)
-
-
-def contamination(documents: DataFrame, items: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """doc_id, rid, n_words, n_hit (words inside matches), items (ids as strings, sorted), contaminated (a twentieth of the words are hit)."""
-    found = matches(documents, items, size, None, id_col, text_col, **more)
-    per = found.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("n_words").cast("long").alias("n_words"),
-        F.count_if(F.col("start").isNull()).alias("_rows"),
-        F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "length")))).alias("_at"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
+    hits = beside.filter(here).select("rid", F.col("c.wid").alias("wid"), start.alias("start"), F.size(window).alias("length"))
+    return index.filter("term = ''").select("doc_id", "rid", F.col("pos").alias("n_words")), hits, wins
+
+
+def contamination(documents: DataFrame, items: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", index: DataFrame | None = None, block: int = BLOCK, few: int = FEW, **building) -> DataFrame:
+    """doc_id, rid, n_words, n_hit (words inside matches), items (ids as strings, sorted), contaminated (a twentieth of the words are hit).
+
+    Matches carry their window's hash; the windows' items are joined last, once for each document and window.
+    """
+    rows, hits, wins = _located(documents, items, size, None, id_col, text_col, item_id, item_text, index, block, few, **building)
+    per = rows.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"), F.count("*").alias("_rows"))
+    at = hits.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("_at"), F.collect_set("wid").alias("_wids"))
+    at = checkpoint(at)
+    held = at.select("rid", F.explode("_wids").alias("wid")).join(wins.select("wid", "items"), "wid").groupBy("rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    per = per.join(at.drop("_wids").join(held, "rid"), "rid", "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    per = per.select("rid", "doc_id", "n_words", "_rows", none("_at", "array<struct<start:int,length:int>>"), none("items", "array<string>"))
     covered = F.aggregate(
         "_at",
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
