@@ -55,6 +55,8 @@ SKIP = 64
 HOT_LOG = 12
 #: Entries of a list in one side of a task of open pairs.
 OPEN_BLOCK = 128
+#: Sizes of a class differ by less than this factor, which is more than similar sets differ.
+CLASS = 1.3
 _ENTRY = {"key": np.uint64, "node": np.int64, "n": np.uint32, "pos": np.uint32, "hot": np.uint8}
 _ASK = {"doc": np.uint32, "home2": np.uint32, "doc2": np.uint32}
 _LONG = {"lkey": np.uint64, "lnode": np.int64, "ln": np.uint32, "lpos": np.uint32}
@@ -330,15 +332,25 @@ def _open_pairs(listed: DataFrame, pairs: DataFrame, groups_of: DataFrame) -> Da
     entries = _graph.spread_join(entries, mixed, "key", hot, "node", "inner")
     times = pairs.groupBy("a").agg(F.count("*").alias("m"))
     best = _graph.spread_join(pairs, times, "a", _graph.hot_values(times, "a", "m"), "b", "inner").groupBy(F.col("b").alias("node")).agg(F.max(F.struct("m", "a", "overlap")).alias("m")).select("node", F.col("m.a").alias("head"), F.col("m.overlap").alias("shared"))
-    entries = entries.join(best, "node", "left").na.fill({"head": -1, "shared": 0})
+    entries = entries.drop("blocks").join(best, "node", "left").na.fill({"head": -1, "shared": 0})
+    # classes of sizes: similar sets are of one class or of neighbours; an entry goes where its size and position leave a partner possible
+    entries = entries.withColumn("class", F.floor(F.log("n") / F.log(F.lit(CLASS))).cast("int"))
+    other = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))
+    least = F.greatest(F.lit(CLASS) ** F.col("with") * 0.999, 0.8 * F.col("n"))
+    entries = entries.withColumn("with", other).filter((9 * (F.col("n") - F.col("pos")) >= 4 * (F.col("n") + least)) & (F.lit(CLASS) ** (F.col("with") + 1) * 1.001 >= 0.8 * F.col("n")))
+    entries = _graph.checkpoint(entries.withColumn("list", F.xxhash64("key", F.least("class", "with"), F.greatest("class", "with"))))
+    lists = entries.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
+    hot = _graph.hot_values(lists, "list", "m")
+    mixed = lists.filter("lo <> hi").select("list", F.ceil(F.col("m") / OPEN_BLOCK).cast("int").alias("blocks"))
+    entries = _graph.spread_join(entries, mixed, "list", hot, "node", "inner")
     entries = _graph.checkpoint(entries.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     if entries.isEmpty():
         return None
-    # block pairs of a list: each entry meets every block, once
+    # block pairs of what is left of a list: each entry meets every block, once
     met = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
 
     def open_(table: pa.Table) -> pa.Table:
-        t = {k: table[k].to_numpy() for k in ("node", "n", "pos", "component", "head", "shared", "side")}
+        t = {k: table[k].to_numpy() for k in ("node", "n", "pos", "component", "head", "shared", "side", "class", "with")}
         order = np.lexsort((t["node"], t["n"]))
         t = {k: v[order] for k, v in t.items()}
         across = table["lo"][0].as_py() != table["hi"][0].as_py()
@@ -346,7 +358,7 @@ def _open_pairs(listed: DataFrame, pairs: DataFrame, groups_of: DataFrame) -> Da
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(len(order)):
             j = np.arange(i + 1, ends[i])
-            j = j[(t["component"][j] != t["component"][i]) & ((t["side"][j] != t["side"][i]) | (not across))]
+            j = j[(t["component"][j] != t["component"][i]) & ((t["side"][j] != t["side"][i]) | (not across)) & (t["class"][j] == t["with"][i])]
             j = j[_possible(t["n"][i], t["pos"][i], t["n"][j], t["pos"][j])]
             most = np.minimum(t["shared"][i], t["shared"][j]) + np.minimum(t["n"][i] - t["shared"][i], t["n"][j] - t["shared"][j])
             j = j[(t["head"][j] != t["head"][i]) | (t["head"][i] < 0) | (9 * most >= 4 * (t["n"][i] + t["n"][j]))]
@@ -354,7 +366,7 @@ def _open_pairs(listed: DataFrame, pairs: DataFrame, groups_of: DataFrame) -> Da
             b.append(t["node"][j])
         return pa.table({"a": np.concatenate(a).astype(np.int64), "b": np.concatenate(b).astype(np.int64)})
 
-    pairs_left = met.groupBy("key", "lo", "hi").applyInArrow(open_, "a bigint, b bigint").distinct()
+    pairs_left = met.groupBy("list", "lo", "hi").applyInArrow(open_, "a bigint, b bigint").distinct()
     done = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     more = _graph.checkpoint(pairs_left.join(done, ["a", "b"], "left_anti"))
     return None if more.isEmpty() else more
