@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from .catalog import _T, _r, query
 from .operators import frames, sound, training
+from .sources import stores
 from .streaming import folds, movers
 
 _TICK_ARENA = (0.0, 0.0, 5000.0, 700.0)
@@ -107,3 +108,19 @@ def appearance_tracker(t):
     look = F.array(*[F.sin(F.col("id") * k + 1.0) for k in (1.0, 2.0, 3.0)])
     rows = t.select("game", "frame", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"), F.lit(0).cast("long").alias("label"), F.col("score").cast("double").alias("score"), look.alias("look"))
     return folds.fold(rows, folds.Reidentified(least=0.3), "game")
+
+
+@query("""WITH j AS (SELECT event_id AS id, 'd' || (event_id % 7) AS day, CASE WHEN event_id % 3 > 0 THEN 'j' || event_id END AS job, 'f' || (event_id // 2) AS folder, event_type AS status, CASE WHEN event_id % 5 = 0 THEN event_id END AS finished FROM events WHERE event_id % 2 = 0),
+u AS (SELECT event_id AS ord, CASE WHEN event_id % 4 = 1 THEN 'j' || ((event_id * 7) % 4001) END AS job, 'f' || ((event_id * 11) % 9001) AS folder, 'run' || (event_id % 9) AS status, CASE WHEN event_id % 6 = 1 THEN event_id END AS finished FROM events WHERE event_id % 2 = 1),
+h AS (SELECT u.*, coalesce(a.id, b.id) AS id FROM u LEFT JOIN (SELECT job, min(id) AS id FROM j WHERE job IS NOT NULL GROUP BY 1) a USING (job) LEFT JOIN (SELECT folder, max(id) AS id FROM j GROUP BY 1) b ON b.folder = u.folder),
+o AS (SELECT id, CASE WHEN id IS NULL THEN folder END AS fresh, arg_max(folder, ord) AS folder, arg_max(status, ord) AS status, arg_max(job, ord) FILTER (WHERE job IS NOT NULL) AS job, arg_max(finished, ord) FILTER (WHERE finished IS NOT NULL) AS finished FROM h GROUP BY 1, 2)
+SELECT j.id, j.day, coalesce(o.job, j.job) AS job, j.folder, coalesce(o.status, j.status) AS status, coalesce(o.finished, j.finished) AS finished, o.id IS NOT NULL AS changed FROM j LEFT JOIN o ON o.id = j.id
+UNION ALL SELECT (SELECT max(id) FROM j) + row_number() OVER (ORDER BY folder), NULL, job, folder, status, finished, true FROM o WHERE id IS NULL""")
+def merged_jobs(spark, sf_dir):
+    """Even events are jobs, odd ones updates of them by job or else by folder."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    i = F.col("event_id")
+    name = lambda letter, v: F.concat(F.lit(letter), v.cast("bigint").cast("string"))
+    jobs = e.filter("event_id % 2 = 0").select(i.alias("id"), name("d", i % 7).alias("day"), F.when(i % 3 > 0, name("j", i)).alias("job"), name("f", F.expr("event_id div 2")).alias("folder"), F.col("event_type").alias("status"), F.when(i % 5 == 0, i).alias("finished"))
+    updates = e.filter("event_id % 2 = 1").select(i.alias("ord"), F.when(i % 4 == 1, name("j", i * 7 % 4001)).alias("job"), name("f", i * 11 % 9001).alias("folder"), name("run", i % 9).alias("status"), F.when(i % 6 == 1, i).alias("finished"))
+    return stores.merged(jobs, updates, "job", "folder", "id", "ord", ("status",), ("finished",)).withColumnRenamed("_changed", "changed")
