@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from .catalog import _T, _r, query
-from .operators import frames, sound, training
+from .operators import frames, reports, sound, tiles, training
 from .sources import stores
 from .streaming import folds, movers
 
@@ -124,3 +124,29 @@ def merged_jobs(spark, sf_dir):
     jobs = e.filter("event_id % 2 = 0").select(i.alias("id"), name("d", i % 7).alias("day"), F.when(i % 3 > 0, name("j", i)).alias("job"), name("f", F.expr("event_id div 2")).alias("folder"), F.col("event_type").alias("status"), F.when(i % 5 == 0, i).alias("finished"))
     updates = e.filter("event_id % 2 = 1").select(i.alias("ord"), F.when(i % 4 == 1, name("j", i * 7 % 4001)).alias("job"), name("f", i * 11 % 9001).alias("folder"), name("run", i % 9).alias("status"), F.when(i % 6 == 1, i).alias("finished"))
     return stores.merged(jobs, updates, "job", "folder", "id", "ord", ("status",), ("finished",)).withColumnRenamed("_changed", "changed")
+
+
+_TILES = _T + """, s AS (SELECT frame, id, CAST(floor(w * (1 + id % 9)) AS BIGINT) AS w, CAST(h * (1 + id % 6) AS BIGINT) AS h FROM t),
+z AS (SELECT frame, id, CASE WHEN h > 256 THEN CAST(floor(w * 256.0::DOUBLE / greatest(1, h)) AS BIGINT) WHEN h < 128 THEN CAST(floor(greatest(1, w * 128.0::DOUBLE / greatest(1, h))) AS BIGINT) ELSE w END AS w, greatest(least(h, 256), 128) AS h FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY id) AS k FROM z), c AS (SELECT frame, max(w) AS w, greatest(max(h), CAST(floor(sqrt(sum(w * h) / (16.0::DOUBLE / 9))) AS BIGINT)) AS high, sum(w) AS total FROM z GROUP BY 1),
+d AS (SELECT frame, high, CAST(least(greatest(w, CAST(floor(high * (16.0::DOUBLE / 9)) AS BIGINT)), total) AS BIGINT) AS wide FROM c),
+p AS (SELECT frame, 0::BIGINT AS k, NULL::BIGINT AS id, 0::BIGINT AS l, 0::BIGINT AS t, 0::BIGINT AS x, 0::BIGINT AS r, 0::BIGINT AS h, wide FROM d UNION ALL
+SELECT p.frame, k.k, k.id, CASE WHEN x + w > wide THEN 0 ELSE x END, CASE WHEN x + w > wide THEN t + r ELSE t END, CASE WHEN x + w > wide THEN 0 ELSE x END + w, CASE WHEN x + w > wide THEN k.h ELSE greatest(r, k.h) END, k.h, wide FROM p JOIN k ON k.frame = p.frame AND k.k = p.k + 1)"""
+
+
+def _tiles(t):
+    w, h = (F.col("w") * (1 + F.col("id") % 9)).cast("long"), (F.col("h") * (1 + F.col("id") % 6)).cast("long")
+    w, h = tiles.readable_size(w, h)
+    return tiles.packed(t.select("frame", "id", F.col("id").alias("ord"), w.alias("w"), h.alias("h")))
+
+
+@query("WITH RECURSIVE " + _TILES + " SELECT frame, id, l, t, x AS r, t + p.h AS b, wide AS width, greatest(high, max(t + p.h) OVER (PARTITION BY frame)) AS height FROM p JOIN d USING (frame, wide) WHERE id IS NOT NULL")
+def packed_tiles(t):
+    return _tiles(t)
+
+
+@query("WITH RECURSIVE " + _TILES + " SELECT a.frame, CAST(a.number AS VARCHAR) AS text, p.id FROM t a JOIN p ON p.frame = a.frame AND p.id IS NOT NULL AND a.x / 4 >= l AND a.x / 4 < p.x AND a.y >= p.t AND a.y < p.t + p.h")
+def text_in_tiles(t):
+    """Texts found at points of the packed pictures, by the tile that holds them."""
+    points = t.select("frame", F.col("number").cast("string").alias("text"), (F.col("x") / 4).alias("px"), F.col("y").alias("py"))
+    return reports.text_in_boxes(points, _tiles(t))
