@@ -24,10 +24,10 @@ PER_PARTITION = 2
 HOME_BYTES = 64 << 20
 
 
-def count_of(documents: DataFrame, text_col: str = "text") -> int:
-    """Groups to deal to: by the measured bytes of all texts, at least two for each shuffle partition."""
+def count_of(documents: DataFrame, text_col: str = "text", per_partition: int = PER_PARTITION) -> int:
+    """Groups to deal to: by the measured bytes of all texts, at least so many for each shuffle partition."""
     size = documents.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first()["n"] or 0
-    return max(PER_PARTITION * max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-int(size) // HOME_BYTES))
+    return max(per_partition * max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-int(size) // HOME_BYTES))
 
 
 def homed(documents: DataFrame, groups: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

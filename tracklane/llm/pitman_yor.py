@@ -493,7 +493,7 @@ def _hot(contexts: np.ndarray, rows: list[dict], groups: int) -> tuple[np.ndarra
 
 def perplexity_scores(documents: DataFrame, held_out: Column, burn_in: int = 1, samples: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity; `held_out` is a condition on doc_id."""
-    groups = B.count_of(documents, text_col)
+    groups = B.count_of(documents, text_col, 1)
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held"))
     return scores(fit(rows, groups, burn_in, samples, seed=seed))
@@ -515,15 +515,12 @@ def scores(model: Model) -> DataFrame:
 
     def answer(table: pa.Table) -> pa.Table:
         """To each bucket its words' customers and tables at the parents, in each kept sweep."""
-        r, bucket, out, sweeps = split(table, ROOT, ASK), _key(table), [], []
+        r, bucket, out = split(table, ROOT, ASK), _key(table), []
         for p in r.get((ASK, 0), []):
             at = p["r"].astype(np.int64)
-            for s in range(n_kept):
-                x = r[ROOT, s][0]
-                out.append((int(p["sender"][0]), MASS, _put(c=x["c"][at], t=x["t"][at], sender=_one(bucket))))
-                sweeps.append(s)
-        made = _table(out)
-        return made.set_column(2, "sweep", pa.array(sweeps, pa.int32()))
+            held = {f"{k}{s}": r[ROOT, s][0][k][at] for s in range(n_kept) for k in "ct"}
+            out.append((int(p["sender"][0]), MASS, _put(**held, sender=_one(bucket))))
+        return _table(out)
 
     def score(table: pa.Table) -> pa.Table:
         """The logarithm of every pair's mean prediction, to each chunk in the order of its pairs."""
@@ -542,7 +539,7 @@ def scores(model: Model) -> DataFrame:
                 all_t, all_n = _answered(_bucket(contexts[is_hot], groups), r.get((HOT_MASS, s), []), "t", "n")
                 customers[is_hot], tables[is_hot] = all_n, all_t
             c, above = np.zeros(len(words)), np.zeros(len(words))
-            c[real], above[real] = _answered(_bucket(words[real], groups), r.get((MASS, s), []), "c", "t")
+            c[real], above[real] = _answered(_bucket(words[real], groups), r.get((MASS, 0), []), f"c{s}", f"t{s}")
             seated = (m.strength + customers)[ctx]
             mean += ((n - m.d * t) + (m.strength + m.d * tables)[ctx] * m.parent(c, above, s)[back]) / seated / n_kept
         logs = np.log10(mean)
