@@ -159,9 +159,9 @@ def frequent_numbers(t):
     return jerseys.frequent_numbers(jerseys.last_number(_obs(t)), 0.5)
 
 
-@query("WITH " + _OBS + " SELECT id, number, min(frame) AS first_frame, string_agg(CAST(frame AS VARCHAR), ',' ORDER BY frame) AS frames FROM o GROUP BY 1, 2")
+@query("WITH " + _OBS + " SELECT game, id, number, min(frame) AS first_frame, string_agg(CAST(frame AS VARCHAR), ',' ORDER BY frame) AS frames FROM o GROUP BY 1, 2, 3")
 def number_first_seen(t):
-    return _obs(t).groupBy("id", "number").agg(F.min("frame").alias("first_frame"), F.concat_ws(",", F.transform(F.array_sort(F.collect_list("frame")), lambda f: f.cast("string"))).alias("frames"))
+    return _obs(t).groupBy("game", "id", "number").agg(F.min("frame").alias("first_frame"), F.concat_ws(",", F.transform(F.array_sort(F.collect_list("frame")), lambda f: f.cast("string"))).alias("frames"))
 
 
 @query("WITH " + _OBS + """, d AS (SELECT DISTINCT frame, number FROM o)
@@ -313,7 +313,7 @@ def hms_parse(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.parse_hms(clock).alias("seconds"), text.parse_rate(rate).alias("fps"), text.parse_hms(short).alias("short"))
 
 
-_VX = _T + ", g AS (SELECT frame, x + w / 2 AS cx, x - lag(x) OVER (PARTITION BY id ORDER BY frame) AS vx FROM t), f AS (SELECT * FROM g WHERE vx IS NOT NULL)"
+_VX = _T + ", g AS (SELECT frame, x + w / 2 AS cx, x - lag(x) OVER (PARTITION BY game, id ORDER BY frame) AS vx FROM t), f AS (SELECT * FROM g WHERE vx IS NOT NULL)"
 
 
 def _group_sql(op: str, neg: str, most: str) -> str:
@@ -322,7 +322,7 @@ SELECT frame, CASE WHEN r / n > 0.5 THEN 1 ELSE -1 END AS direction, CASE WHEN r
 
 
 def _speeds(t):
-    return t.withColumn("vx", F.col("x") - F.lag("x").over(W.partitionBy("id").orderBy("frame"))).filter("vx is not null").withColumn("cx", F.col("x") + F.col("w") / 2)
+    return t.withColumn("vx", F.col("x") - F.lag("x").over(W.partitionBy("game", "id").orderBy("frame"))).filter("vx is not null").withColumn("cx", F.col("x") + F.col("w") / 2)
 
 
 @query(_group_sql(">", "<", ">"))
@@ -409,12 +409,12 @@ def average_precision(spark, sf_dir):
     return _r(frames.average_precision(_scored(spark, sf_dir)), "ap")
 
 
-@query("WITH " + _T + """, i AS (SELECT id, frame AS s, frame + w / 10 AS e FROM t), m AS (SELECT *, max(e) OVER (PARTITION BY id ORDER BY s, e - s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM i),
-k AS (SELECT *, sum(CASE WHEN s <= pe THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY s, e - s) AS k FROM m), u AS (SELECT id, max(e) - min(s) AS d FROM k GROUP BY id, k.k)
-SELECT id, round(b, 6) AS busy, round(a, 6) AS total FROM (SELECT id, sum(d) AS b FROM u GROUP BY 1) JOIN (SELECT id, sum(e - s) AS a FROM i GROUP BY 1) USING (id)""")
+@query("WITH " + _T + """, i AS (SELECT game, id, frame AS s, frame + w / 10 AS e FROM t), m AS (SELECT *, max(e) OVER (PARTITION BY game, id ORDER BY s, e - s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM i),
+k AS (SELECT *, sum(CASE WHEN s <= pe THEN 0 ELSE 1 END) OVER (PARTITION BY game, id ORDER BY s, e - s) AS k FROM m), u AS (SELECT game, id, max(e) - min(s) AS d FROM k GROUP BY game, id, k.k)
+SELECT game, id, round(b, 6) AS busy, round(a, 6) AS total FROM (SELECT game, id, sum(d) AS b FROM u GROUP BY 1, 2) JOIN (SELECT game, id, sum(e - s) AS a FROM i GROUP BY 1, 2) USING (game, id)""")
 def busy_union(t):
-    rows = t.select("id", F.col("frame").cast("double").alias("start"), (F.col("frame") + F.col("w") / 10).alias("end"))
-    return _r(intervals.busy_time(rows, ("id",)), "busy", "total")
+    rows = t.select("game", "id", F.col("frame").cast("double").alias("start"), (F.col("frame") + F.col("w") / 10).alias("end"))
+    return _r(intervals.busy_time(rows, ("game", "id")), "busy", "total")
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS \"start\", event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
@@ -443,14 +443,22 @@ def ema_anchor(t):
     return _r(intervals.ema(t, "x", "frame", 1 / 3, ("game", "id")), "ema")
 
 
-@query("WITH " + _T + """, m AS (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY id ORDER BY frame) = 1 THEN 0 ELSE 1 END AS fresh FROM t), r AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY frame) AS run FROM m),
-s AS (SELECT id, run, frame, sqrt(pow(x + w / 2 - lag(x + w / 2) OVER o, 2) + pow(y + h / 2 - lag(y + h / 2) OVER o, 2)) AS step FROM r WINDOW o AS (PARTITION BY id, run ORDER BY frame))
-SELECT frame, id, round(avg(step) OVER (PARTITION BY id, run ORDER BY frame ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS speed FROM s""")
+@query("WITH " + _T + """, m AS (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY game, id ORDER BY frame) = 1 THEN 0 ELSE 1 END AS fresh FROM t), r AS (SELECT *, sum(fresh) OVER (PARTITION BY game, id ORDER BY frame) AS run FROM m),
+s AS (SELECT game, id, run, frame, sqrt(pow(x + w / 2 - lag(x + w / 2) OVER o, 2) + pow(y + h / 2 - lag(y + h / 2) OVER o, 2)) AS step FROM r WINDOW o AS (PARTITION BY game, id, run ORDER BY frame))
+SELECT game, frame, id, round(avg(step) OVER (PARTITION BY game, id, run ORDER BY frame ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS speed FROM s""")
 def rolling_speed(t):
-    return _r(intervals.rolling_speed(t, 10), "speed")
-
-
-@query()
+    return _r(intervals.rolling_speed(t, 10, _GAME), "speed")
+
+
+@query("WITH RECURSIVE " + _OBS + """, i AS (SELECT game * 100 + id AS track, frame, number, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY game, id ORDER BY frame) AS k FROM o),
+s AS (SELECT track, 0::BIGINT AS k, NULL::BIGINT AS frame, CAST([] AS STRUCT(n INT, v DOUBLE)[]) AS m, -1 AS number FROM (SELECT DISTINCT track FROM i) UNION ALL
+SELECT track, k, frame, m, CASE WHEN cur < 0 THEN CASE WHEN top >= 1 THEN best ELSE cur END WHEN best <> cur AND top >= 1 AND top >= 1.05 * coalesce(second, 0) AND top >= 1.35 * coalesce(own, 0) THEN best ELSE cur END FROM
+ (SELECT *, list_max(list_transform(list_filter(m, lambda x: x.n <> best), lambda x: x.v)) AS second, list_filter(m, lambda x: x.n = cur)[1].v AS own FROM
+  (SELECT *, list_filter(m, lambda x: x.v = top)[1].n AS best FROM
+   (SELECT track, k, frame, m, cur, list_max(list_transform(m, lambda x: x.v)) AS top FROM
+    (SELECT track, k, frame, cur, CASE WHEN len(list_filter(m, lambda x: x.n = number)) > 0 THEN list_transform(m, lambda x: {'n': x.n, 'v': x.v + CASE WHEN x.n = number THEN greatest(score, 0) ELSE 0 END}) ELSE list_append(m, {'n': number, 'v': greatest(score, 0)}) END AS m FROM
+     (SELECT s.track, i.k, i.frame, i.number, i.score, s.number AS cur, list_filter(list_transform(s.m, lambda x: {'n': x.n, 'v': x.v * pow(0.92, greatest(1, i.frame - s.frame))}), lambda x: x.v >= 1e-4) AS m FROM s JOIN i ON i.track = s.track AND i.k = s.k + 1))))))
+SELECT track, frame, number FROM s WHERE frame IS NOT NULL""")
 def evidence_voter(t):
     rows = _obs(t).select((F.col("game") * 100 + F.col("id")).alias("track"), "frame", "number", F.col("score").cast("double").alias("score"))
     return folds.fold(rows, folds.EvidenceVoter(), "track")
@@ -476,10 +484,10 @@ def track_split(t):
     return jerseys.split_tracks(jerseys.resolved(_obs(t), _roster(t), 0.9).filter("sub < 10"))
 
 
-@query("""WITH i AS (SELECT user_id % 10 AS game, event_id / 4.0 AS s, value / 100.0 AS d FROM events), m AS (SELECT *, max(s + d) OVER (PARTITION BY game ORDER BY s, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM i),
+@query("""WITH i AS (SELECT event_id // 500 AS game, event_id / 4.0 AS s, value / 100.0 AS d FROM events), m AS (SELECT *, max(s + d) OVER (PARTITION BY game ORDER BY s, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM i),
 g AS (SELECT *, sum(CASE WHEN s <= pe + 0.5 THEN 0 ELSE 1 END) OVER (PARTITION BY game ORDER BY s, d) AS g FROM m) SELECT game, round(min(s), 6) AS "start", round(max(s + d) - min(s), 6) AS duration FROM g GROUP BY game, g.g""")
 def interval_merge(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 10).alias("game"), (F.col("event_id") / 4.0).alias("start"), (F.col("value") / 100.0).alias("duration"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr("event_id div 500").alias("game"), (F.col("event_id") / 4.0).alias("start"), (F.col("value") / 100.0).alias("duration"))
     return _r(intervals.merge_intervals(rows, 0.5, ("game",)), "start", "duration")
 
 
@@ -546,11 +554,11 @@ def top_actions(t):
     return training.top_classes(scores, 2, 0.5).withColumn("labels", F.concat_ws(",", "labels"))
 
 
-@query("""WITH e AS (SELECT user_id % 5 AS game, event_id AS pos, value AS energy FROM events), b AS (SELECT game, quantile_cont(energy, 0.6) AS bar FROM e GROUP BY 1),
+@query("""WITH e AS (SELECT event_id // 1000 AS game, event_id AS pos, value AS energy FROM events), b AS (SELECT game, quantile_cont(energy, 0.6) AS bar FROM e GROUP BY 1),
 k AS (SELECT game, pos, sum(CASE WHEN pos - p <= 6 THEN 0 ELSE 1 END) OVER (PARTITION BY game ORDER BY pos) AS k FROM (SELECT game, pos, lag(pos) OVER (PARTITION BY game ORDER BY pos) AS p FROM e JOIN b USING (game) WHERE energy > bar))
 SELECT game, min(pos) AS "start", max(pos) AS "end" FROM k GROUP BY game, k.k HAVING max(pos) - min(pos) >= 12""")
 def loud_runs(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 5).alias("game"), F.col("event_id").alias("at"), F.col("value").alias("energy"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr("event_id div 1000").alias("game"), F.col("event_id").alias("at"), F.col("value").alias("energy"))
     return media.loud_runs(e, 0.6, 6, 12)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import boxes
+from . import ranks
 
 
 def top_k(rows: DataFrame, k: int, by: list[Column], keys: tuple[str, ...] = ("frame",)) -> DataFrame:
@@ -123,19 +124,29 @@ def group_velocity(rows: DataFrame, threshold: float, ratio: float, min_tracks:
     return g.select("frame", F.when(F.col("r") / F.col("n") > ratio, 1).when(F.col("l") / F.col("n") > ratio, -1).alias("direction"), "edge_r", "edge_l").filter("direction is not null").select("frame", "direction", F.when(F.col("direction") == 1, F.col("edge_r")).otherwise(F.col("edge_l")).alias("edge_x"))
 
 
+def _curve(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, _bin, ord, hit, seen, total, tp of rows, counted inside ranges of the confidence and behind the ranges before."""
+    binned = ranks.score_bins(rows, "conf", keys)
+    totals = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
+    before = ranks.bins_before(totals, keys, "n", "h").withColumn("total", F.sum("h").over(W.partitionBy(*keys))).drop("n", "h")
+    w = W.partitionBy(*keys, "_bin").orderBy(F.desc("conf"), "ord").rowsBetween(W.unboundedPreceding, 0)
+    inside = binned.withColumns({"_n": F.count("*").over(w), "_h": F.sum("hit").over(w)}).join(before, [*keys, "_bin"])
+    return inside.select(*keys, "_bin", "ord", "hit", "total", (F.col("_n") + F.col("_before_n")).alias("seen"), (F.col("_h") + F.col("_before_h")).alias("tp"))
+
+
 def precision_recall(rows: DataFrame, keys: tuple[str, ...] = ("cls",)) -> DataFrame:
     """Cumulative recall and precision down the confidence; rows hold keys, ord, conf, hit (0 or 1)."""
-    w = W.partitionBy(*keys).orderBy(F.desc("conf"), "ord").rowsBetween(W.unboundedPreceding, 0)
-    total = F.sum("hit").over(W.partitionBy(*keys))
-    return rows.withColumns({"tp": F.sum("hit").over(w), "seen": F.count("*").over(w)}).select(*keys, "ord", "seen", F.try_divide("tp", total).alias("recall"), (F.col("tp") / F.col("seen")).alias("precision"))
+    return _curve(rows, keys).select(*keys, "ord", "seen", F.try_divide("tp", "total").alias("recall"), (F.col("tp") / F.col("seen")).alias("precision"))
 
 
 def average_precision(rows: DataFrame, keys: tuple[str, ...] = ("cls",)) -> DataFrame:
-    """Area under the precision envelope."""
-    curve = precision_recall(rows, keys)
-    best = F.max("precision").over(W.partitionBy(*keys).orderBy(F.desc("seen")).rowsBetween(W.unboundedPreceding, 0))
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(W.partitionBy(*keys).orderBy("seen")), F.lit(0.0))
-    return curve.withColumns({"_p": best, "_d": step}).groupBy(*keys).agg(F.sum(F.col("_p") * F.col("_d")).alias("ap"))
+    """Area under the precision envelope: at each hit, whose share of all is the step of recall, the best precision from there on."""
+    curve = _curve(rows, keys).withColumn("precision", F.col("tp") / F.col("seen"))
+    later = W.partitionBy(*keys).orderBy(F.desc("_bin")).rowsBetween(W.unboundedPreceding, -1)
+    behind = curve.groupBy(*keys, "_bin").agg(F.max("precision").alias("_m")).select(*keys, "_bin", F.max("_m").over(later).alias("_behind"))
+    best = F.greatest(F.max("precision").over(W.partitionBy(*keys, "_bin").orderBy(F.desc("seen")).rowsBetween(W.unboundedPreceding, 0)), "_behind")
+    steps = curve.join(behind, [*keys, "_bin"]).withColumns({"_p": best, "_d": F.try_divide("hit", "total")})
+    return steps.groupBy(*keys).agg(F.sum(F.col("_p") * F.col("_d")).alias("ap"))
 
 
 def pivot_sides(rows: DataFrame, key: str, side: str, value: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import boxes, text
+from . import ranks
 from .frames import top_k, weighted_means
 
 
@@ -90,10 +91,7 @@ def kept_and_renumbered(stores: dict[str, DataFrame], least: int) -> DataFrame:
     for k, (name, rows) in enumerate(stores.items()):
         one = rows.filter((F.col("width") >= least) & (F.col("height") >= least)).select(F.lit(k).alias("_k"), F.lit(name).alias("store"), "key", "width", "height")
         out = one if out is None else out.unionByName(one)
-    # ranks in each store, then the counts of the stores before: no window over all rows
-    ranked = out.withColumn("_r", F.row_number().over(W.partitionBy("_k").orderBy("key")))
-    counts = ranked.groupBy("_k").agg(F.count("*").alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(W.orderBy("_k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return ranked.join(F.broadcast(counts), "_k").select((F.col("_r") + F.col("_b")).alias("number"), "store", "key", "width", "height")
+    return ranks.numbered(out, "number", "_k", "key").select("number", "store", "key", "width", "height")
 
 
 def split_points(n: Column, parts: int) -> Column:

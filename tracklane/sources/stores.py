@@ -16,10 +16,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..operators import ranks
+
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.rstrip("/"))
@@ -183,20 +185,11 @@ def merged(target: DataFrame, updates: DataFrame, first: str, second: str, row_i
     old = changed.select(*[fresh.get(c, F.col(c)).alias(c) for c in target.columns], F.coalesce("_hit", F.lit(False)).alias("_changed"))
     new = one.filter("_id is null")
     top = target.agg(F.coalesce(F.max(row_id), F.lit(0)).alias("_top"))
-    numbered = _numbered(new, second).join(F.broadcast(top), how="cross")  # one row
+    numbered = ranks.numbered(new, "_n", second).join(F.broadcast(top), how="cross")  # one row
     made = {row_id: F.col("_top") + F.col("_n")} | {c: F.col(c) for c in (second, *values, *keep, *born)}
     return old.unionByName(numbered.select(*[made.get(c, F.lit(None)).cast(target.schema[c].dataType).alias(c) for c in target.columns], F.lit(True).alias("_changed")))
 
 
-def _numbered(rows: DataFrame, by: str, parts: int = 64) -> DataFrame:
-    """`_n` from 1 in the order of `by`, from counts of ranges, without a window over all rows."""
-    ranged = rows.repartitionByRange(parts, by).withColumn("_p", F.spark_partition_id())
-    kept = ranged.withColumn("_k", F.row_number().over(W.partitionBy("_p").orderBy(by)))
-    counts = kept.groupBy("_p").agg(F.count("*").alias("_m"))
-    before = counts.select("_p", (F.sum("_m").over(W.orderBy("_p")) - F.col("_m")).alias("_before"))  # a row a range
-    return kept.join(F.broadcast(before), "_p").withColumn("_n", F.col("_k") + F.col("_before")).drop("_p", "_k", "_before")
-
-
 def upsert(spark: SparkSession, path: str, updates: DataFrame, by: str, first: str, second: str, row_id: str, order: str, values: tuple[str, ...], fixed: tuple[str, ...] = ()) -> None:
     """Merges updates into the Parquet table at `path`, partitioned by `by`, which updates have for new rows; only partitions with a changed row are written again.
 

@@ -27,7 +27,7 @@ class EvidenceVoter:
             k = self.decay ** max(1, frame - s["last"]) if s["last"] is not None else 1.0
             scores = {n: v * k for n, v in s["scores"].items() if v * k >= 1e-4}
             scores[str(number)] = scores.get(str(number), 0.0) + max(score, 0.0)
-            current, ranked = s["current"], sorted(scores.items(), key=lambda x: (-x[1], x[0] != str(s["current"]), int(x[0])))
+            current, ranked = s["current"], sorted(scores.items(), key=lambda x: -x[1])  # of equals the first seen
             best, top = int(ranked[0][0]), ranked[0][1]
             second = ranked[1][1] if len(ranked) > 1 else 0.0
             if current < 0:  # the first number needs only enough evidence
