@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from .catalog import _T, _r, query
-from .operators import frames, reports, sound, tiles, training
+from .functions import boxes
+from .operators import frames, poses, reports, sound, tiles, training
 from .sources import stores
 from .streaming import folds, movers
 
@@ -150,3 +151,50 @@ def text_in_tiles(t):
     """Texts found at points of the packed pictures, by the tile that holds them."""
     points = t.select("frame", F.col("number").cast("string").alias("text"), (F.col("x") / 4).alias("px"), F.col("y").alias("py"))
     return reports.text_in_boxes(points, _tiles(t))
+
+
+@query("WITH " + _T + ", g AS (SELECT game, max(x + w) AS max_x, max(y + h) AS max_y FROM t GROUP BY 1), a AS (SELECT max(max_x) AS x, max(max_y) AS y FROM g WHERE game % 2 = 0) SELECT game, round(max_x, 6) AS max_x, round(max_y, 6) AS max_y, max_x > x + x * 1e-6 OR max_y > y + y * 1e-6 AS beyond FROM g, a")
+def game_extents(t):
+    """How far each game reaches, and whether that is beyond the scale of the even ones."""
+    games = frames.max_extents(t, keys=("game",))
+    scale = frames.extents_over(games.filter("game % 2 = 0")).first()  # one row
+    beyond = frames.beyond_scale(games, scale["max_x"], scale["max_y"]).select("game", F.lit(True).alias("beyond"))
+    return _r(games.join(beyond, "game", "left").fillna(False, ["beyond"]), "max_x", "max_y")
+
+
+_SCALES = """, s AS (SELECT *, frame // 10 AS batch, CASE frame % 3 WHEN 0 THEN [0.5] WHEN 1 THEN [0.5, 0.25] ELSE [0.5, 0.25, 2.0, 4.0] END::DOUBLE[] AS sc, frame % 37 = 5 AS bad FROM t),
+f AS (SELECT *, CASE WHEN bool_or(bad) OVER (PARTITION BY batch) THEN NULL WHEN len(sc) = 1 THEN [sc[1], sc[1], sc[1], sc[1]] WHEN len(sc) = 2 THEN [sc[1], sc[2], sc[1], sc[2]] ELSE sc END AS f FROM s)"""
+
+
+@query("WITH " + _T + _SCALES + " SELECT frame, id, round(x * coalesce(f[1], 1), 6) AS l, round(y * coalesce(f[2], 1), 6) AS t, round((x + w) * coalesce(f[3], 1), 6) AS r, round((y + h) * coalesce(f[4], 1), 6) AS b, round(w / coalesce(f[1], 1), 6) AS px, round(h / coalesce(f[2], 1), 6) AS py FROM f")
+def pose_scales(t):
+    """Boxes scaled for the detector and a point led back; a batch with a frame of no valid scale stays as it is."""
+    n = lambda *v: F.array(*map(F.lit, v))
+    scale = F.when(F.col("frame") % 37 == 5, n(0.0, 1.0)).when(F.col("frame") % 3 == 0, n(0.5)).when(F.col("frame") % 3 == 1, n(0.5, 0.25)).otherwise(n(0.5, 0.25, 2.0, 4.0))
+    f = poses.detection_scales(t.select("frame").distinct().select("frame", F.expr("frame div 10").alias("batch"), scale.alias("scale")))
+    rows = t.join(f.select("frame", "factors"), "frame")
+    box = poses.scaled_box(boxes.tlwh_to_tlbr(boxes.cols(*"xywh")), F.col("factors"))
+    point = poses.restored_points(F.array(F.array(F.col("w").cast("double"), F.col("h").cast("double"))), F.col("factors"))[0]
+    return _r(rows.select("frame", "id", *[c.alias(n) for c, n in zip(box, "ltrb", strict=True)], point[0].alias("px"), point[1].alias("py")), *"ltrb", "px", "py")
+
+
+@query("WITH " + _T + """, p AS (SELECT frame, id AS pose, x + 0.2 * w AS l, y + 0.1 * h AS t, x + 0.2 * w + w * 10 / 11.0 AS r, y + 0.1 * h + h * 12 / 13.0 AS b FROM t WHERE row_ord % 3 > 0),
+j AS (SELECT t.game, t.frame, t.id, p.l, p.t, greatest(least(x + w, r) - greatest(x, l), 0) * greatest(least(y + h, b) - greatest(t.y, p.t), 0) AS i, w * h + (r - l) * (b - p.t) AS u, pose FROM t JOIN p USING (frame)),
+m AS (SELECT * FROM j WHERE i / (u - i) >= 0.3 QUALIFY row_number() OVER (PARTITION BY frame, id ORDER BY round(i / (u - i), 9) DESC, pose) = 1),
+s AS (SELECT frame // 10 AS clip, id, [count(*) / 10.0::DOUBLE, avg(l) / 5000, avg(t) / 600] AS s FROM m GROUP BY 1, 2),
+c AS (SELECT *, list_max(s) AS score, list_position(s, list_max(s)) - 1 AS k FROM s)
+SELECT t.frame, t.id, ['skate', 'pass', 'shoot'][k + 1] AS label, round(c.score, 6) AS score FROM t JOIN c ON c.clip = t.frame // 10 AND c.id = t.id WHERE c.score >= 0.3""")
+def clip_actions(t):
+    """Poses matched to tracks by overlap, a clip's poses of a track through a model, its best class on all the track's frames."""
+    points = F.array(*[F.array(F.col("x") + 0.2 * F.col("w") + F.col("w") * (i * 7 % 11) / 11, F.col("y") + 0.1 * F.col("h") + F.col("h") * (i * 5 % 13) / 13) for i in range(17)])
+    held = t.filter("row_ord % 3 > 0").select("frame", F.col("id").alias("pose"), points.alias("points"), F.array_repeat(F.lit(0.9), 17).alias("scores"))
+    tracks = t.select("frame", "id", *[F.col(c).cast("double").alias(c) for c in "xywh"])
+    clips = poses.matched(tracks, held).withColumn("clip", F.expr("frame div 10"))
+    windows = poses.action_windows(clips)
+
+    def model(batch):
+        return [[len(w) / 10, w[:, 0].mean() / 5000, w[:, 1].mean() / 600] for w in batch]
+
+    scored = training.with_windows(windows, "window", model, 3)
+    found = scored.withColumn("a", poses.chosen_action(F.col("outputs"), ["skate", "pass", "shoot"], 2, 0.3)).filter("a is not null").select("clip", "id", "a.label", "a.score")
+    return _r(poses.fan_out_actions(found, clips.select("clip", "frame", "id")).select("frame", "id", "label", "score"), "score")

@@ -60,10 +60,10 @@ def non_overlapping(rows: DataFrame) -> DataFrame:
     return rows.join(hit.select("frame", "id").distinct(), ["frame", "id"], "left_anti")
 
 
-def best_match(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """frame, id, id_, iou: for each box of a the box of b with the largest IoU over the threshold, the first of equals."""
+def best_match(a: DataFrame, b: DataFrame, threshold: float, at_least: bool = False) -> DataFrame:
+    """frame, id, id_, iou: for each box of a the box of b with the largest IoU over the threshold (or `at_least` that), the first of equals."""
     iou = boxes.iou(boxes.tlwh_to_tlbr(boxes.cols(*_A)), boxes.tlwh_to_tlbr(boxes.cols(*_B)))
-    found = _pairs(a, b).withColumn("iou", iou).filter(F.col("iou") > threshold)
+    found = _pairs(a, b).withColumn("iou", iou).filter(F.col("iou") >= threshold if at_least else F.col("iou") > threshold)
     return top_k(found, 1, [F.desc("iou"), F.col("id_")], ("frame", "id")).select("frame", "id", "id_", "iou")
 
 
@@ -102,10 +102,22 @@ def frame_features(rows: DataFrame, scale_x: float, scale_y: float, max_players:
     )
 
 
-def max_extents(rows: DataFrame, default_w: float = 1920.0, default_h: float = 1080.0) -> DataFrame:
+def max_extents(rows: DataFrame, default_w: float = 1920.0, default_h: float = 1080.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, max_x, max_y: how far boxes reach right and down; a default where none reaches a positive, finite place."""
     fine = lambda c, d: F.when((c > 0) & ~F.isnan(c) & (c < float("inf")), c).otherwise(F.lit(d))
-    got = rows.agg(F.max(F.nanvl(F.col("x") + F.col("w"), F.lit(None))).alias("a"), F.max(F.nanvl(F.col("y") + F.col("h"), F.lit(None))).alias("b"))
-    return got.select(fine(F.col("a"), default_w).alias("max_x"), fine(F.col("b"), default_h).alias("max_y"))
+    got = rows.groupBy(*keys).agg(F.max(F.nanvl(F.col("x") + F.col("w"), F.lit(None))).alias("a"), F.max(F.nanvl(F.col("y") + F.col("h"), F.lit(None))).alias("b"))
+    return got.select(*keys, fine(F.col("a"), default_w).alias("max_x"), fine(F.col("b"), default_h).alias("max_y"))
+
+
+def extents_over(games: DataFrame) -> DataFrame:
+    """max_x, max_y over games' own extents (max_x, max_y): what all of them are normalised by."""
+    return games.agg(*[F.coalesce(F.greatest(F.max(c), F.lit(0.0)), F.lit(0.0)).alias(c) for c in ("max_x", "max_y")])
+
+
+def beyond_scale(games: DataFrame, scale_x: float, scale_y: float) -> DataFrame:
+    """Games that reach beyond a scale learnt from others, by more than a millionth: theirs would be clipped."""
+    over = lambda c, s: F.col(c) > s + max(1.0, s) * 1e-6
+    return games.filter(over("max_x", scale_x) | over("max_y", scale_y))
 
 
 def enclosing(rows: DataFrame, keys: tuple[str, ...] = ("frame",)) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import boxes
 
@@ -92,6 +92,57 @@ def region_for_track(points: Column, scores: Column, b: boxes.Box, width: int, h
     return F.coalesce(arm, torso_region(points, scores, width, height), F.struct(*[c.alias(n) for c, n in zip(rest, "ltrb", strict=True)]))
 
 
+def box_of(points: Column) -> boxes.Box:
+    """TLBR about all points."""
+    xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])
+    return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
+
+
+def matched(tracks: DataFrame, poses: DataFrame, least: float = 0.3) -> DataFrame:
+    """tracks (frame, id, x, y, w, h and more) with the points and scores of the pose (frame, pose, points, scores) whose box overlaps theirs most, by `least` or more; else null."""
+    from .frames import best_match
+
+    l, t, r, b = box_of(F.col("points"))
+    held = poses.select("frame", F.col("pose").alias("id"), l.alias("x"), t.alias("y"), (r - l).alias("w"), (b - t).alias("h"))
+    best = best_match(tracks, held, least, at_least=True).select("frame", "id", F.col("id_").alias("pose"))
+    return tracks.join(best, ["frame", "id"], "left").join(poses.select("frame", "pose", "points", "scores"), ["frame", "pose"], "left").drop("pose")
+
+
+def action_windows(tracks: DataFrame, point: int = 0, keys: tuple[str, ...] = ("clip", "id")) -> DataFrame:
+    """keys, window: a clip's matched poses of each track in the order of frames, one point (x, y) of each; tracks without any pose are left out."""
+    entry = F.when(F.col("points").isNotNull(), F.struct("frame", F.col("points")[point].alias("p")))
+    return tracks.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["p"]).alias("window")).filter(F.size("window") > 0)
+
+
+def chosen_action(scores: Column, labels: list[str] | None = None, k: int = 1, floor: float = 0.0) -> Column:
+    """Struct (label, label_index, score, topk_indices, topk_scores) of an array of class scores, the first of equals; null if the best is below the floor. Classes without a label are called by their number."""
+    ranked = F.slice(F.array_sort(F.transform(scores, lambda s, i: F.struct((-s).alias("s"), i.alias("i")))), 1, max(1, k))
+    first = F.try_element_at(ranked, F.lit(1))
+    name = first["i"].cast("string")
+    if labels:
+        name = F.coalesce(F.try_element_at(F.array(*map(F.lit, labels)), first["i"] + 1), name)
+    out = F.struct(name.alias("label"), first["i"].cast("bigint").alias("label_index"), (-first["s"]).alias("score"), F.transform(ranked, lambda r: r["i"].cast("bigint")).alias("topk_indices"), F.transform(ranked, lambda r: -r["s"]).alias("topk_scores"))
+    return F.when(-first["s"] >= floor, out)
+
+
+def detection_scales(frames: DataFrame, scale: str = "scale", batch: tuple[str, ...] = ("batch",)) -> DataFrame:
+    """frames with `factors` (x, y, x, y) of a scale of one, two or four numbers; null in a batch in which any frame lacks one that is finite and above 0."""
+    s = F.col(scale)
+    four = F.when(F.size(s) == 1, F.array_repeat(s[0], 4)).when(F.size(s) == 2, F.concat(s, s)).when(F.size(s) == 4, s)
+    good = F.coalesce(F.forall(four, lambda v: (v > 0) & (v < float("inf"))), F.lit(False))
+    return frames.withColumn("_f", four).withColumn("factors", F.when(F.min(good).over(W.partitionBy(*batch)), F.col("_f"))).drop("_f")
+
+
+def scaled_box(b: boxes.Box, factors: Column) -> boxes.Box:
+    """A box in the picture that the detector saw; unchanged without factors."""
+    return tuple(F.coalesce(v * factors[i], v) for i, v in enumerate(b))
+
+
+def restored_points(points: Column, factors: Column) -> Column:
+    """Points found in the detector's picture, back in the frame's."""
+    return F.when(factors.isNull(), points).otherwise(F.transform(points, lambda p: F.array(p[0] / factors[0], p[1] / factors[1])))
+
+
 def fan_out_actions(actions: DataFrame, tracks: DataFrame, keys: tuple[str, ...] = ("clip", "id")) -> DataFrame:
     """The action found for a clip's track on each of the clip's frames that hold the track."""
     return tracks.join(actions, list(keys))

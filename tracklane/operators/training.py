@@ -96,6 +96,21 @@ def with_model(rows: DataFrame, window: str, model, schema: str) -> DataFrame:
     return rows.mapInPandas(run, T.StructType(out.fields + made.fields))
 
 
+def with_windows(rows: DataFrame, window: str, model, outputs: int) -> DataFrame:
+    """Rows with `outputs`: what `model(list of arrays of shape (length, features))` gives for windows of any lengths."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            y = [np.asarray(v, float).tolist() for v in model([np.array(w, float) for w in b[window].to_pylist()])] if len(b) else []
+            if any(len(v) != outputs for v in y):
+                raise ValueError(f"the model has to give {outputs} numbers for each window")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(y, pa.list_(pa.float64()))], [*b.schema.names, "outputs"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("outputs", T.ArrayType(T.DoubleType()))]))
+
+
 def autoregressive(rows: DataFrame, model, outputs: int, window: int, first: tuple[float, ...] | None = None, residual: float | None = None, keys: tuple[str, ...] = ("game",), features: str = "features") -> DataFrame:
     """keys, frame, outputs: what `model` gives frame by frame, its outputs of the frame before fed back behind the frame's features.
 

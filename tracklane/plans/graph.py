@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 
 @dataclass
@@ -102,8 +102,8 @@ class Graph:
         return "digraph {\n" + "\n".join(lines + edges) + "\n}"
 
 
-def barrier(*inputs: DataFrame, on: tuple[str, ...] = ("frame",)) -> DataFrame:
-    """Inner join of branches that share nothing but the keys."""
+def barrier(*inputs: DataFrame, on: tuple[str, ...] = ("frame",), once: bool = False) -> DataFrame:
+    """Inner join of branches that share nothing but the keys. With `once`, a branch that brings the same keys twice makes the run fail."""
     seen: set[str] = set()
     for i in inputs:
         if missing := set(on) - set(i.columns):
@@ -111,6 +111,9 @@ def barrier(*inputs: DataFrame, on: tuple[str, ...] = ("frame",)) -> DataFrame:
         if both := seen & (set(i.columns) - set(on)):
             raise ValueError(f"several inputs have {sorted(both)}")
         seen |= set(i.columns) - set(on)
+    if once:
+        fail = F.raise_error(F.concat(F.lit("a branch brings the same keys twice: "), F.to_json(F.struct(*on))))
+        inputs = [i.withColumn("_times", F.count("*").over(W.partitionBy(*on))).filter(F.when(F.col("_times") > 1, fail.cast("boolean")).otherwise(True)).drop("_times") for i in inputs]
     return reduce(lambda a, b: a.join(b, list(on)), inputs)
 
 

@@ -37,6 +37,25 @@ def layout(kind: str, n: int) -> list[str]:
     return (base + rest + [f"_x{i}" for i in range(n)])[:n]
 
 
+def training_layout(n: int) -> list[str]:
+    """Names of a tracking file's columns as the training side reads them: with or without a pose index and actions; narrower files lack the last base columns."""
+    base, rest = list(_TRACK), list(_ACTION)
+    names = [*base, "PoseIndex", *rest] if n >= 14 else [*base, "PoseIndex"] if n == 11 else [*base, *rest] if n >= 13 else base
+    if len(names) < n < 13:
+        raise ValueError(f"a tracking table of {n} columns")
+    return names
+
+
+def read_training_tracks(spark: SparkSession, path: str) -> DataFrame:
+    """A tracking CSV by `training_layout`: columns beyond it are left out, the pose index too; base columns that it lacks are null."""
+    raw = spark.read.options(header=False, quote='"', escape='"', nanValue="nan").csv(path)
+    names = training_layout(len(raw.columns))
+    kinds = {f.name: f.dataType for f in TRACKING}
+    at = dict(zip(names, raw.columns, strict=False))
+    value = lambda n: F.col(at[n]).try_cast(kinds[n]) if n in at else F.lit(None).cast(kinds[n])
+    return raw.select(*[value(n).alias(n) for n in names if n != "PoseIndex"])
+
+
 def read_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A detections, tracking, camera, pose or actions CSV; missing columns are null, NaN becomes null."""
     want = {"detections": DETECTIONS, "tracking": TRACKING, "camera": CAMERA, "pose": POSE, "actions": ACTIONS}[kind]
