@@ -47,11 +47,11 @@ from . import _blocks as B, _text as X
 from ._scratch import Scratch
 
 #: Bytes of text in a chunk.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 _END = np.uint64(0xA24BAED4963EE407)
 _U = np.uint64
 _ROW = "key bigint, kind int, sweep int, data binary"
-CHUNKS, WORDS, IDS, PAIRS, TOKENS, MERGED, AT, ASK, AGAIN, REPEATED, STATE, HOT, TABLES, HOT_TABLES, MASS, HOT_MASS, ROOT, LOGS, TOTAL = range(19)
+CHUNKS, WORDS, IDS, PAIRS, TOKENS, MERGED, AT, ASK, AGAIN, REPEATED, STATE, TABLES, MASS, ANSWER, ROOT, LOGS, TOTAL = range(17)
 
 
 def _coded(v: np.ndarray) -> tuple:
@@ -360,11 +360,21 @@ def fit(rows: DataFrame, groups: int, burn_in: int = 1, samples: int = 2, streng
     paired = keep(chunks.unionByName(kind(named, IDS)).groupBy("key").applyInArrow(pair, _ROW), "paired")
     scratch.drop("chunks", f"named/kind={IDS}")
 
-    def told(numbers: np.ndarray, bucket: int, what: int, **fields: np.ndarray) -> list:
-        """Rows for where words lie, by their places there."""
-        real = numbers > 0
-        fields = {k: v[real] for k, v in fields.items()}
-        return _dealt(_bucket(numbers[real], groups), what, bucket, r=_place(numbers[real], groups), **fields)
+    def told(bucket: int, what: int, **lists: dict[str, np.ndarray]) -> list:
+        """One row for each bucket in which words of the lists lie: the words' places there (`_r`) and what else a list says of its `words`."""
+        out: dict[int, dict[str, np.ndarray]] = {}
+        for name, fields in lists.items():
+            numbers = fields["words"]
+            real = np.flatnonzero(numbers > 0)
+            target = _bucket(numbers[real], groups)
+            order = np.argsort(target, kind="stable")
+            at, target = real[order], target[order]
+            first, size = B.runs(target)
+            for a, n in zip(first.tolist(), size.tolist(), strict=True):
+                mine = at[a : a + n]
+                out.setdefault(int(target[a]), {}).update({f"{name}_r": _place(numbers[mine], groups)} | {f"{name}_{k}": v[mine] for k, v in fields.items() if k != "words"})
+        none = {f"{name}_{k}": np.zeros(0, np.uint64) for name, fields in lists.items() for k in ("r", *fields) if k != "words"}
+        return [(b, what, _put(**none | fields, sender=_one(bucket))) for b, fields in out.items()]
 
     def merge(table: pa.Table) -> pa.Table:
         """A bucket's pairs, where each chunk's stand among them, and what sweeps and parents need of them."""
@@ -385,12 +395,11 @@ def fit(rows: DataFrame, groups: int, burn_in: int = 1, samples: int = 2, streng
             lo += len(x[0])
         words, at = np.unique(w, return_inverse=True)
         sum_by = lambda a, k: np.bincount(a, k, len(words))
-        out += told(words, bucket, ASK, c=sum_by(at, n > 0), once=sum_by(at, n == 1))
-        out += told(np.unique(w[n > 1]), bucket, AGAIN)
+        out += told(bucket, ASK, word={"words": words, "c": sum_by(at, n > 0), "once": sum_by(at, n == 1)})
         contexts, ctx = packed["v"], np.repeat(np.arange(len(packed["v"])), packed["len"])
         dishes, single = (np.bincount(ctx, k, len(contexts)) for k in (n > 0, n == 1))
         is_hot = packed["hot"] > 0
-        out += told(contexts[is_hot], bucket, HOT, t=dishes[is_hot])
+        out += told(bucket, AGAIN, word={"words": np.unique(w[n > 1])}, hot={"words": contexts[is_hot], "t": dishes[is_hot]})
         many = n > 1
         again = _pack_pairs(v[many], w[many], n[many], hot[many])
         out.append((bucket, REPEATED, _put(**again, single=single[np.searchsorted(contexts, again["v"])], hot_v=contexts[is_hot], hot_single=single[is_hot])))
@@ -405,60 +414,55 @@ def fit(rows: DataFrame, groups: int, burn_in: int = 1, samples: int = 2, streng
     def parents(inputs: DataFrame, sweep: int, name: str) -> DataFrame:
         held = inputs.sparkSession.sparkContext.broadcast(totals)  # a few numbers
 
-        def run(table: pa.Table) -> pa.Table:
+        def seat_parents(table: pa.Table) -> pa.Table:
             m, r, bucket = held.value, _by_kind(table), _key(table)
-            again, hot = _of(r, AGAIN), _of(r, HOT)
-            hot_tables = {int(y["sender"][0]): y["t"] for y in (_of(r, HOT_TABLES) if sweep else hot)}
+            again = _of(r, AGAIN)
+            tables = {int(y["sender"][0]): y for y in (_of(r, TABLES) if sweep else again)}
             if sweep:
                 ((n, once),) = ((x["n"], x["once"]) for x in _of(r, ROOT))
                 c = once.astype(np.int64)
-                tables = {int(y["sender"][0]): y["t"] for y in _of(r, TABLES)}
                 for p in again:
-                    c[p["r"].astype(np.int64)] += tables[int(p["sender"][0])].astype(np.int64)
+                    c[p["word_r"].astype(np.int64)] += tables[int(p["sender"][0])]["word_t"].astype(np.int64)
                 t = seat(c, np.full(len(c), (m.strength + m.root_d * m.sweeps[-1][1]) / (m.words + 1)), m.root_d, np.random.default_rng((seed + sweep, bucket, 1)))
             else:
                 n = _get(r[WORDS][0])["n"] if WORDS in r else np.zeros(0, np.uint64)
                 c, once = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
                 for p in _of(r, ASK):
-                    at = p["r"].astype(np.int64)
-                    c[at] += p["c"].astype(np.int64)
-                    once[at] += p["once"].astype(np.int64)
+                    at = p["word_r"].astype(np.int64)
+                    c[at] += p["word_c"].astype(np.int64)
+                    once[at] += p["word_once"].astype(np.int64)
                 t = np.ones(len(c), np.int64)
             out = [(bucket, ROOT, _put(n=n, once=once, c=c, t=t)), (0, TOTAL, _put(sums=np.array([c.sum(), t.sum(), (c == 1).sum(), (c == 2).sum()])))]
-            for p in again:
-                at = p["r"].astype(np.int64)
-                out.append((int(p["sender"][0]), MASS, _put(c=c[at], t=t[at], sender=_one(bucket))))
             total = np.zeros(len(n), np.int64)
-            for p in hot:
-                total[p["r"].astype(np.int64)] += hot_tables[int(p["sender"][0])].astype(np.int64)
-            for p in hot:
-                at = p["r"].astype(np.int64)
-                out.append((int(p["sender"][0]), HOT_MASS, _put(t=total[at], n=n[at], sender=_one(bucket))))
+            for p in again:
+                total[p["hot_r"].astype(np.int64)] += tables[int(p["sender"][0])]["hot_t"].astype(np.int64)
+            for p in again:
+                at, hot = p["word_r"].astype(np.int64), p["hot_r"].astype(np.int64)
+                out.append((int(p["sender"][0]), MASS, _put(c=c[at], t=t[at], hot_t=total[hot], hot_n=n[hot], sender=_one(bucket))))
             return _table(out)
 
-        return keep(inputs.groupBy("key").applyInArrow(run, _ROW), name)
+        return keep(inputs.groupBy("key").applyInArrow(seat_parents, _ROW), name)
 
     def sweep_of(state: DataFrame, above: DataFrame, number: int) -> DataFrame:
         held = state.sparkSession.sparkContext.broadcast(totals)
 
-        def run(table: pa.Table) -> pa.Table:
+        def reseat(table: pa.Table) -> pa.Table:
             r, bucket, m = _by_kind(table), _key(table), held.value
-            p = _get(r[REPEATED][0])
+            p, mass = _get(r[REPEATED][0]), _of(r, MASS)
             _, w, n, ctx = _pairs(p)
             before = p["single"] + np.bincount(ctx, _get(r[STATE][0])["t"], len(p["v"]))
-            known, tables = _hot(p["hot_v"], _of(r, HOT_MASS), groups)
-            before = np.where(p["hot"] > 0, _found(known, tables, p["v"], before), before)
+            tables = _answered(_bucket(p["hot_v"], groups), mass, "hot_t")[0]
+            before = np.where(p["hot"] > 0, _found(p["hot_v"], tables, p["v"], before), before)
             words, back = np.unique(w, return_inverse=True)
-            parent = m.parent(*(a.astype(np.float64) for a in _answered(_bucket(words, groups), _of(r, MASS), "c", "t")), -1)[back]
+            parent = m.parent(*(a.astype(np.float64) for a in _answered(_bucket(words, groups), mass, "c", "t")), -1)[back]
             t = seat(n, (m.strength + m.d * before[ctx]) * parent, m.d, np.random.default_rng((seed + number, bucket)))
-            out = [(bucket, STATE, _put(t=t)), *told(words, bucket, TABLES, t=np.bincount(back, t, len(words)))]
             own = p["hot_single"] + _found(p["v"], np.bincount(ctx, t, len(p["v"])), p["hot_v"], np.zeros(len(p["hot_v"])))
-            return _table(out + told(p["hot_v"], bucket, HOT_TABLES, t=own))
+            return _table([(bucket, STATE, _put(t=t)), *told(bucket, TABLES, word={"words": words, "t": np.bincount(back, t, len(words))}, hot={"words": p["hot_v"], "t": own})])
 
-        return keep(kind(merged, REPEATED).unionByName(kind(state, STATE)).unionByName(kind(above, MASS, HOT_MASS)).groupBy("key").applyInArrow(run, _ROW), f"sweep{number}")
+        return keep(kind(merged, REPEATED).unionByName(kind(state, STATE)).unionByName(kind(above, MASS)).groupBy("key").applyInArrow(reseat, _ROW), f"sweep{number}")
 
     state = merged
-    above = root = parents(kind(named, WORDS).unionByName(kind(merged, ASK, AGAIN, HOT)), 0, "above0")
+    above = root = parents(kind(named, WORDS).unionByName(kind(merged, ASK, AGAIN)), 0, "above0")
     s = _sum(above, {"sums": 4})["sums"]
     totals.root_d = _discount(s[2], s[3])
     totals.sweeps.append((int(s[0]), int(s[1])))
@@ -466,7 +470,7 @@ def fit(rows: DataFrame, groups: int, burn_in: int = 1, samples: int = 2, streng
     for k in range(1, burn_in + samples + 1 if tokens else 1):
         last = k - 1
         state = sweep_of(state, above, k)
-        above = parents(kind(root, ROOT).unionByName(kind(merged, AGAIN, HOT)).unionByName(kind(state, TABLES, HOT_TABLES)), k, f"above{k}")
+        above = parents(kind(root, ROOT).unionByName(kind(merged, AGAIN)).unionByName(kind(state, TABLES)), k, f"above{k}")
         s = _sum(above, {"sums": 4})["sums"]
         totals.sweeps.append((int(s[0]), int(s[1])))
         if 0 < last <= burn_in:
@@ -486,11 +490,6 @@ def _found(known: np.ndarray, values: np.ndarray, keys: np.ndarray, otherwise: n
     return np.where(known[at] == keys, values[at], otherwise)
 
 
-def _hot(contexts: np.ndarray, rows: list[dict], groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """A bucket's hot contexts and all their tables."""
-    return contexts, _answered(_bucket(contexts, groups), rows, "t")[0]
-
-
 def perplexity_scores(documents: DataFrame, held_out: Column, burn_in: int = 1, samples: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity; `held_out` is a condition on doc_id."""
     groups = B.count_of(documents, text_col, 1)
@@ -517,14 +516,14 @@ def scores(model: Model) -> DataFrame:
         """To each bucket its words' customers and tables at the parents, in each kept sweep."""
         r, bucket, out = split(table, ROOT, ASK), _key(table), []
         for p in r.get((ASK, 0), []):
-            at = p["r"].astype(np.int64)
+            at = p["word_r"].astype(np.int64)
             held = {f"{k}{s}": r[ROOT, s][0][k][at] for s in range(n_kept) for k in "ct"}
-            out.append((int(p["sender"][0]), MASS, _put(**held, sender=_one(bucket))))
+            out.append((int(p["sender"][0]), ANSWER, _put(**held, sender=_one(bucket))))
         return _table(out)
 
     def score(table: pa.Table) -> pa.Table:
         """The logarithm of every pair's mean prediction, to each chunk in the order of its pairs."""
-        r, bucket, m = split(table, MERGED, AT, STATE, MASS, HOT_MASS), _key(table), whole.value
+        r, bucket, m = split(table, MERGED, AT, STATE, MASS, ANSWER), _key(table), whole.value
         p = r[MERGED, 0][0]
         _, w, n, ctx = _pairs(p)
         contexts, many, is_hot = p["v"], n > 1, p["hot"] > 0
@@ -536,10 +535,10 @@ def scores(model: Model) -> DataFrame:
             t[many] = r[STATE, s][0]["t"]
             customers, tables = np.bincount(ctx, n, len(contexts)), np.bincount(ctx, t, len(contexts))
             if is_hot.any():
-                all_t, all_n = _answered(_bucket(contexts[is_hot], groups), r.get((HOT_MASS, s), []), "t", "n")
+                all_t, all_n = _answered(_bucket(contexts[is_hot], groups), r.get((MASS, s), []), "hot_t", "hot_n")
                 customers[is_hot], tables[is_hot] = all_n, all_t
             c, above = np.zeros(len(words)), np.zeros(len(words))
-            c[real], above[real] = _answered(_bucket(words[real], groups), r.get((MASS, 0), []), f"c{s}", f"t{s}")
+            c[real], above[real] = _answered(_bucket(words[real], groups), r.get((ANSWER, 0), []), f"c{s}", f"t{s}")
             seated = (m.strength + customers)[ctx]
             mean += ((n - m.d * t) + (m.strength + m.d * tables)[ctx] * m.parent(c, above, s)[back]) / seated / n_kept
         logs = np.log10(mean)
@@ -561,7 +560,7 @@ def scores(model: Model) -> DataFrame:
     for s, (state, above) in enumerate(model.kept):
         at = lambda df, s=s: df.withColumn("sweep", F.lit(s))
         asked = asked.unionByName(at(kind(above, ROOT)))
-        mixed = mixed.unionByName(at(kind(state, STATE))).unionByName(at(kind(above, HOT_MASS)))
+        mixed = mixed.unionByName(at(kind(state, STATE))).unionByName(at(kind(above, MASS)))
     mixed = mixed.unionByName(asked.groupBy("key").applyInArrow(answer, _ROW))
     logs = mixed.groupBy("key").applyInArrow(score, _ROW)
     return kind(model.paired, TOKENS).unionByName(logs).groupBy("key").applyInArrow(result, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
