@@ -7,12 +7,11 @@ it is written as Parquet and read again. All but the last return the columns of
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracklane.llm import best_fit_packing, difference_cover, factorisation_machine, positional_index, set_relations
-from tracklane.llm._graph import checkpoint, checkpoint_dir
+from tracklane.llm._graph import checkpoint
+from tracklane.llm._scratch import Scratch
 from tracklane.llm.queries import GOOD, _fold
 
 
@@ -89,8 +88,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
+    scratch = Scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        docs = scratch.keep(stage(spark, docs, sf_dir), str(k))
+        if k:
+            scratch.drop(str(k - 1))
     return docs
