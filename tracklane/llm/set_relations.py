@@ -54,7 +54,7 @@ SKIP = 64
 #: Binary logarithm of the entries from which on a list is dealt to several tasks.
 HOT_LOG = 12
 #: Entries of a list in one side of a task of open pairs.
-OPEN_BLOCK = 128
+OPEN_BLOCK = 256
 #: Sizes of a class differ by less than this factor, which is more than similar sets differ.
 CLASS = 1.3
 _ENTRY = {"key": np.uint64, "node": np.int64, "n": np.uint32, "pos": np.uint32, "hot": np.uint8}
