@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklane.functions import boxes, text
-from tracklane.operators import frames, poses, ranks, sound, tiles, training
+from tracklane.operators import frames, joins, poses, ranks, sound, tiles, training
 from tracklane.plans import graph as G
 from tracklane.sources import tables
 from tracklane.streaming import folds, movers
@@ -226,3 +226,26 @@ def test_small_functions(spark, tmp_path):
     (tmp_path / "lines.txt").write_text("a\n\n# b\nc\n")
     counted = tables.count_lines(spark, str(tmp_path / "lines.txt"))
     assert counted.first()["n"] == 2
+
+
+def test_as_of_and_overlaps(spark):
+    rng = np.random.default_rng(6)
+    left = [(int(g), float(x)) for g, x in zip(rng.integers(0, 3, 200), rng.integers(0, 300, 200))]
+    right = [(int(g), float(x), k) for k, (g, x) in enumerate(zip(rng.integers(0, 2, 60), rng.integers(20, 300, 60)))]
+    a, b = spark.createDataFrame(left, "game long, at double"), spark.createDataFrame(right, "game long, at double, v long").withColumn("k", F.col("v"))
+
+    def want(g, x, within=1e9):
+        before = [(r[1], r[2]) for r in right if r[0] == g and r[1] <= x]
+        return max(before)[1] if before and x - max(before)[0] <= within else None
+
+    key = lambda r: (*r[:2], -1 if r[2] is None else r[2])
+    for span in (1.0, 7.0, 1000.0):
+        assert sorted(map(key, joins.as_of(a, b, "at", ("v",), span, order="k").collect())) == sorted(key((g, x, want(g, x))) for g, x in left)
+    near = joins.as_of(a, b, "at", ("v",), 9.0, order="k", within=4.0).collect()
+    assert sorted(map(key, near)) == sorted(key((g, x, want(g, x, 4.0))) for g, x in left)
+    assert {r["v"] for r in joins.as_of(a, b.limit(0), "at", ("v",), 9.0).collect()} == {None}
+    spans = [(g, x, x + (i % 5) * 4) for i, (g, x) in enumerate(left)]
+    s = spark.createDataFrame([(g, p, q, i) for i, (g, p, q) in enumerate(spans)], "game long, start double, end double, i long")
+    for width in (3.0, 50.0):
+        got = sorted((r["i"], r["i_"]) for r in joins.overlapping(s, s, width).collect())
+        assert got == sorted((i, j) for i, x in enumerate(spans) for j, y in enumerate(spans) if x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2])

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from .catalog import _T, _r, query
 from .functions import boxes
-from .operators import frames, poses, reports, sound, tiles, training
+from .operators import frames, joins, poses, reports, sound, tiles, training
 from .sources import stores
 from .streaming import folds, movers
 
@@ -198,3 +198,29 @@ def clip_actions(t):
     scored = training.with_windows(windows, "window", model, 3)
     found = scored.withColumn("a", poses.chosen_action(F.col("outputs"), ["skate", "pass", "shoot"], 2, 0.3)).filter("a is not null").select("clip", "id", "a.label", "a.score")
     return _r(poses.fan_out_actions(found, clips.select("clip", "frame", "id")).select("frame", "id", "label", "score"), "score")
+
+
+@query("WITH " + _T + ", n AS (SELECT game, frame, number, row_ord FROM t WHERE number > 60) SELECT t.game, t.frame, t.id, n.number AS seen FROM t ASOF LEFT JOIN (SELECT game, frame, arg_max(number, row_ord) AS number FROM n GROUP BY 1, 2) n ON n.game = t.game AND n.frame <= t.frame")
+def number_as_of(t):
+    """The last number over 60 that was read in the game when a track is seen."""
+    read = t.filter("number > 60").select("game", "frame", F.col("number").alias("seen"), "row_ord")
+    return joins.as_of(t.select("game", "frame", "id"), read, "frame", ("seen",), 8, order="row_ord")
+
+
+@query("WITH " + _T + ", i AS (SELECT game, id, frame AS s, frame + w / 4 AS e, number FROM t WHERE row_ord % 4 = 0) SELECT a.game, a.id, b.id AS id_, round(a.s::DOUBLE, 6) AS s, round(b.s::DOUBLE, 6) AS s_ FROM i a JOIN i b ON a.game = b.game AND a.number < 20 AND b.number > 80 AND a.s <= b.e AND b.s <= a.e")
+def overlapping_spans(t):
+    i = t.filter("row_ord % 4 = 0").select("game", "id", F.col("frame").cast("double").alias("start"), (F.col("frame") + F.col("w") / 4).alias("end"), "number")
+    out = joins.overlapping(i.filter("number < 20").drop("number"), i.filter("number > 80").drop("number"), 6.0)
+    return _r(out.select("game", "id", "id_", F.col("start").alias("s"), F.col("start_").alias("s_")), "s", "s_")
+
+
+@query("WITH " + _T + ", k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY id) - 1 AS k FROM t) SELECT frame, k AS index, id, x AS value FROM k WHERE x > 300 AND x < 700")
+def threshold_indexes(t):
+    return frames.selected(t.select("frame", "id", F.col("x").alias("value")), "value", 300.0, 700.0).select("frame", "index", "id", "value")
+
+
+@query("WITH " + _T + ", k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY id) - 1 AS k FROM t) SELECT frame, k AS index, id, floor(x / 50) AS value FROM k WHERE frame % 100 BETWEEN 10 AND 30 AND frame % 2 = 0 QUALIFY row_number() OVER (PARTITION BY frame ORDER BY floor(x / 50) DESC, k) = 1")
+def greatest_of_stride(t):
+    """Every other frame from the 10th to the 30th of each game, its greatest value and where that stands."""
+    rows = t.select("frame", "id", F.floor(F.col("x") / 50).cast("double").alias("value"), (F.col("game") * 100).alias("start"))
+    return frames.extreme(frames.between(rows, 10, 30, 2, start="start"), "value", least=False)

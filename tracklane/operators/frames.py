@@ -205,3 +205,29 @@ def breakaway(moving: DataFrame, targets: DataFrame, threshold: float, ratio: fl
     rows = rows.join(view.select("frame", F.col("cx").alias("_from")), "frame") if view is not None else rows.withColumn("_from", cx)
     ahead = ((F.col("v") > 0) & (F.col("_from") < F.col("ex"))) | ((F.col("v") < 0) & (F.col("_from") > F.col("ex")))
     return rows.select("frame", *[v.alias(n) for v, n in zip(boxes.box_at(*at, w, h), "ltrb", strict=True)], ahead.alias("speeds"), F.when(ahead, F.col("v") * speed_ratio).otherwise(F.lit(0.0)).alias("push"))
+
+
+def between(rows: DataFrame, first: int | None = None, last: int | None = None, stride: int = 1, at: str = "frame", start: str | None = None) -> DataFrame:
+    """Rows from the first to the last place, both included (None: no bound), every `stride`-th of them; places are counted from 1 behind the column `start`, if given, else as they stand."""
+    place = F.col(at) - F.col(start) if start else F.col(at)
+    keep = F.lit(True)
+    if first is not None:
+        keep = keep & (place >= first)
+    if last is not None:
+        keep = keep & (place <= last)
+    return rows.filter(keep & ((place - (first or 0)) % stride == 0))
+
+
+def selected(rows: DataFrame, value: str, over: float | None = None, under: float | None = None, keys: tuple[str, ...] = ("frame",), order: str = "id") -> DataFrame:
+    """rows, with their index (from 0 by the order) among their keys' rows, whose value is over and under the bounds: what threshold selectors give."""
+    indexed = rows.withColumn("index", F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1)
+    if over is not None:
+        indexed = indexed.filter(F.col(value) > over)
+    return indexed if under is None else indexed.filter(F.col(value) < under)
+
+
+def extreme(rows: DataFrame, value: str, least: bool = True, keys: tuple[str, ...] = ("frame",), order: str = "id") -> DataFrame:
+    """keys, index, id, value: a frame's least (or greatest) value, the first of equals by the order, and where it stands."""
+    indexed = rows.withColumn("index", F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1)
+    best = (F.min_by if least else F.max_by)(F.struct("index", "id", value), F.struct(F.col(value), F.col("index") if least else -F.col("index")))
+    return indexed.groupBy(*keys).agg(best.alias("_m")).select(*keys, "_m.index", "_m.id", F.col(f"_m.{value}").alias(value))
