@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from .catalog import _T, _r, query
 from .functions import boxes
-from .operators import frames, joins, poses, reports, sound, tiles, training
+from .operators import frames, intervals, joins, poses, reports, sound, tiles, training
 from .sources import stores
 from .streaming import folds, movers
 
@@ -224,3 +224,24 @@ def greatest_of_stride(t):
     """Every other frame from the 10th to the 30th of each game, its greatest value and where that stands."""
     rows = t.select("frame", "id", F.floor(F.col("x") / 50).cast("double").alias("value"), (F.col("game") * 100).alias("start"))
     return frames.extreme(frames.between(rows, 10, 30, 2, start="start"), "value", least=False)
+
+
+@query("WITH RECURSIVE " + _T + """, f AS (SELECT game, frame, (frame // 10) % 2 AS label, avg(x) AS x, avg(y) AS y, max(score)::DOUBLE AS score FROM t GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY game, label ORDER BY frame) AS k FROM f),
+d AS (SELECT game, label, row_number() OVER (PARTITION BY game ORDER BY min(frame)) - 1 AS id FROM f GROUP BY 1, 2),
+r AS (SELECT game, label, k, frame, score, x, y FROM k WHERE k = 1 UNION ALL SELECT k.game, k.label, k.k, k.frame, k.score, r.x * 0.4::DOUBLE + k.x * 0.6::DOUBLE, r.y * 0.4::DOUBLE + k.y * 0.6::DOUBLE FROM r JOIN k ON k.game = r.game AND k.label = r.label AND k.k = r.k + 1)
+SELECT game, frame, id, round(x, 6) AS x, round(y, 6) AS y, score FROM r JOIN d USING (game, label)""")
+def followed_boxes(t):
+    """One box a frame, of two kinds by turns that look alike: each kind is a track, which comes back when its turn does, its box following by momentum."""
+    f = t.groupBy("game", "frame").agg(F.avg("x").alias("x1"), F.avg("y").alias("y1"), F.max("score").cast("double").alias("score"))
+    rows = f.select("game", "frame", "x1", "y1", (F.col("x1") + 50).alias("x2"), (F.col("y1") + 50).alias("y2"), (F.expr("frame div 10") % 2).alias("label"), "score", F.array(F.lit(1.0), F.lit(2.0)).alias("look"))
+    out = folds.fold(rows, folds.Reidentified(init=0.0, low=0.0), "game")
+    return _r(out.select("game", "frame", "id", F.col("x1").alias("x"), F.col("y1").alias("y"), "score"), "x", "y")
+
+
+@query("WITH " + _T + " SELECT game, least(12, count(DISTINCT frame)) AS n, true AS unbroken FROM t GROUP BY 1")
+def subsequence_runs(t):
+    """Each game's random subsequence has the length asked for and leaves out no frame that the game has inside it."""
+    every = t.groupBy("game", "frame").agg(F.count("*").alias("n"))
+    place = F.row_number().over(W.partitionBy("game").orderBy("frame"))
+    cut = intervals.subsequence(every.withColumn("place", place), 12, 5)
+    return cut.groupBy("game").agg(F.count("*").alias("n"), (F.max("place") - F.min("place") + 1 == F.count("*")).alias("unbroken"))
