@@ -6,6 +6,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import boxes, text
@@ -178,24 +179,49 @@ def rescaled_detections(rows: DataFrame, matrix: Column) -> DataFrame:
 
 
 def suppressed(rows: DataFrame, threshold: float, most: int | None = None, keys: tuple[str, ...] = ("frame", "label")) -> DataFrame:
-    """Rows that stay of overlapping boxes of one frame and class: down the scores (then ids), each drops those it covers by more than the threshold."""
-    schema = rows.schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True], kind="stable")
-        b = pdf[list("xywh")].to_numpy(float)
-        lo, hi, area = b[:, :2], b[:, :2] + b[:, 2:], b[:, 2] * b[:, 3]
-        alive, kept = np.ones(len(b), bool), []
-        for i in range(len(b)):
-            if not alive[i] or (most is not None and len(kept) >= most):
-                continue
-            kept.append(i)
-            inter = np.clip(np.minimum(hi[i], hi) - np.maximum(lo[i], lo), 0, None).prod(1)
-            union = area[i] + area - inter
-            alive &= ~(np.where(union > 0, inter / np.where(union > 0, union, 1), 0) > threshold)
-        return pdf.iloc[kept]
+    """Rows that stay of overlapping boxes of one frame and class: down the scores (then ids), each drops those it covers by more than the threshold.
 
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    Rows are sorted by Spark; a task goes through whole batches of frames at once, in as many rounds as one of them keeps boxes.
+    """
+    score = F.when(~F.isnan("score"), F.col("score"))
+    sorted_ = rows.repartition(*keys).sortWithinPartitions(*keys, score.desc_nulls_last(), F.col("id").asc_nulls_last())
+
+    def starts(t: pa.Table) -> np.ndarray:
+        """Whether a row is the first of its keys."""
+        first = np.arange(t.num_rows) == 0
+        for k in keys:
+            code = t[k].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            first[1:] |= code[1:] != code[:-1]
+        return first
+
+    def kept(t: pa.Table, first: np.ndarray) -> pa.Table:
+        x, y, w, h = (t[c].cast(pa.float64()).to_numpy() for c in "xywh")
+        group, rest, rounds, out = np.cumsum(first), np.arange(t.num_rows), 0, [np.zeros(0, np.int64)]
+        while rest.size and (most is None or rounds < most):
+            lead = np.r_[True, group[rest[1:]] != group[rest[:-1]]]
+            i = rest[lead][np.cumsum(lead) - 1]  # the best box left of each row's group
+            with np.errstate(invalid="ignore", over="ignore"):
+                wide, high = np.minimum(x[i] + w[i], x[rest] + w[rest]) - np.maximum(x[i], x[rest]), np.minimum(y[i] + h[i], y[rest] + h[rest]) - np.maximum(y[i], y[rest])
+                inter = np.clip(wide, 0, None) * np.clip(high, 0, None)
+                union = w[i] * h[i] + w[rest] * h[rest] - inter
+                over = np.where(union > 0, inter / np.where(union > 0, union, 1), 0) > threshold
+            out.append(rest[lead])
+            rest, rounds = rest[~(lead | over)], rounds + 1
+        return t.take(np.sort(np.concatenate(out)))
+
+    def run(batches):
+        held = []  # rows whose keys may go on in the next batch
+        for b in batches:
+            t = pa.Table.from_batches([*held, b])
+            first = starts(t)
+            cut = int(np.flatnonzero(first)[-1]) if len(first) else 0
+            yield from kept(t[:cut], first[:cut]).to_batches()
+            held = t[cut:].to_batches()
+        if held:
+            t = pa.Table.from_batches(held)
+            yield from kept(t, starts(t)).to_batches()
+
+    return sorted_.mapInArrow(run, rows.schema)
 
 
 def track_union(a: DataFrame, b: DataFrame) -> DataFrame:
