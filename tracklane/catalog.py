@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .functions import boxes, text
+from .functions import boxes, numbers, text
 from .operators import frames, groups, intervals, jerseys, media, training
 from .sources import tables
 from .streaming import folds, movers
@@ -469,7 +469,7 @@ z AS (SELECT game, frame, k, CASE WHEN cx < 400 THEN 'left' WHEN cx > 600 THEN '
 SELECT c.game, c.frame, c.k, CASE WHEN z.zone = 'left' AND cx <= 450 OR z.zone = 'right' AND cx >= 550 THEN z.zone WHEN cx < 400 THEN 'left' WHEN cx > 600 THEN 'right' ELSE 'middle' END FROM z JOIN c ON c.game = z.game AND c.k = z.k + 1)
 SELECT game, frame, zone FROM z""")
 def zone_state(t):
-    cx = t.groupBy("game", "frame").agg(F.avg(F.col("x") + F.col("w") / 2).alias("cx"))
+    cx = t.groupBy("game", "frame").agg(numbers.steady_mean(F.col("x") + F.col("w") / 2).alias("cx"))
     return folds.fold(cx, folds.Zones(400.0, 450.0, 550.0, 600.0), "game")
 
 
