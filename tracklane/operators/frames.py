@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import boxes
+from ..functions import boxes, numbers
 from . import ranks
 
 
@@ -185,7 +185,7 @@ def rushes(moving: DataFrame, threshold: float, ratio: float, min_tracks: int, k
     """
     right, left = F.col("vx") >= threshold, F.col("vx") <= -threshold
     front = lambda way, key: F.max(F.when(way, F.struct(key.alias("k"), (-F.col("id")).alias("i"), "cx", "cy")))
-    g = moving.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(right).alias("r"), F.count_if(left).alias("f"), F.avg(F.when(right, F.col("vx"))).alias("vr"), F.avg(F.when(left, F.col("vx"))).alias("vl"), front(right, F.col("cx")).alias("er"), front(left, -F.col("cx")).alias("el"))
+    g = moving.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(right).alias("r"), F.count_if(left).alias("f"), numbers.steady_mean(F.when(right, F.col("vx"))).alias("vr"), numbers.steady_mean(F.when(left, F.col("vx"))).alias("vl"), front(right, F.col("cx")).alias("er"), front(left, -F.col("cx")).alias("el"))
     to_right, to_left = (F.col(c) / F.col("n") > ratio for c in "rf")
     g = g.filter((F.col("n") >= min_tracks) & (to_right | to_left))
     return g.select(*keys, F.when(to_right, F.col("vr")).otherwise(F.col("vl")).alias("v"), F.when(to_right, F.col("er")).otherwise(F.col("el")).alias("_e")).select(*keys, "v", F.col("_e.cx").alias("ex"), F.col("_e.cy").alias("ey"))
