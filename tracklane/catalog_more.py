@@ -193,7 +193,9 @@ def clip_actions(t):
     windows = poses.action_windows(clips)
 
     def model(batch):
-        return [[len(w) / 10, w[:, 0].mean() / 5000, w[:, 1].mean() / 600] for w in batch]
+        import math
+
+        return [[len(w) / 10, math.fsum(w[:, 0]) / len(w) / 5000, math.fsum(w[:, 1]) / len(w) / 600] for w in batch]
 
     scored = training.with_windows(windows, "window", model, 3)
     found = scored.withColumn("a", poses.chosen_action(F.col("outputs"), ["skate", "pass", "shoot"], 2, 0.3)).filter("a is not null").select("clip", "id", "a.label", "a.score")
