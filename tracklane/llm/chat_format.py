@@ -8,9 +8,11 @@ stands inside the span, whatever surrounds or escapes it. Where an output does
 not begin with the one before, the template rewrites history: the conversation is then
 rendered once, as a whole, and only the turns before the first difference keep their spans.
 
-Turns get their places without a task that sees a whole conversation: one of
-more than `SEGMENT` turns is rendered in segments by several tasks, each behind the
-`CONTEXT` turns before it; what a template does further back is not noticed there.
+A template can say by an attribute `context` on how many turns before a turn its
+rendering depends at most, and that later ones don't change it (`TurnTemplate`: 0). Then a conversation is cut into
+parts of `SEGMENT` turns that several tasks render, each behind the turns before it that matter. Of a template
+that says nothing, anything is to be expected: a conversation of any length is rendered whole, as one part, by one task,
+in a time that grows with the square of its turns. Turns get their places without a task that sees a whole conversation.
 
 Edge cases: null texts and roles count as empty; a null conversation id is a
 conversation of its own; equal turn numbers, nulls first, stand in the order of role and text, and
@@ -31,8 +33,9 @@ from pyspark.sql import DataFrame, functions as F
 from ._places import placed
 from ._scratch import Scratch
 
+#: Turns of a part, and those before it that its task gets, or more where the template's `context` is.
 SEGMENT, CONTEXT = 512, 32
-#: Characters of a prefix from which on a segment starts anew behind its last turns.
+#: Characters of a prefix from which on a segment starts anew behind its last turns, where the template has a `context`.
 LONG = 4_000_000
 Template = Callable[[list[tuple[str, str]]], str]
 
@@ -40,6 +43,7 @@ Template = Callable[[list[tuple[str, str]]], str]
 class TurnTemplate:
     """`### role: text</turn>` for each turn; backslashes, and what begins a control string in a text or ends a role, are escaped by a backslash."""
 
+    context = 0
     _in_text = re.compile(r"[\\]|#(?=##)|<(?=/turn>)")
     _in_role = re.compile(r"[\\:]")
     _turn = re.compile(r"### ((?:[^\\:]|\\.)*+): ((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.DOTALL)
@@ -76,19 +80,27 @@ def _mark(*texts: str) -> str:
         k += 1
 
 
+def _reach(template: Template) -> int | None:
+    """How many turns before a turn are enough to render it; None: all."""
+    context = getattr(template, "context", None)
+    return None if context is None else max(CONTEXT, context)
+
+
 class Segment:
     """The rendered turns of a segment: `text` and for each turn (role, start, end, text start, text end), places as None where they can't be told."""
 
     def __init__(self, template: Template, context: list[tuple[str, str]], turns: list[tuple[str, str]], learn: tuple[str, ...]):
         before, self.pieces, self.turns, self.rewritten_from = list(context), [], [], None
         prefix, length = template(before) if before else "", 0
-        start = len(prefix)
+        start, reach = len(prefix), _reach(template)
         for k, (role, text) in enumerate(turns):
-            if len(prefix) > LONG and len(before) > CONTEXT:
-                before = before[-CONTEXT:]
-                prefix = template(before)
+            if reach is not None and len(prefix) > LONG and len(before) > reach:
+                before = before[len(before) - reach :]
+                prefix = template(before) if before else ""
             now = template([*before, (role, text)])
             if not now.startswith(prefix):
+                if reach is not None:
+                    raise ValueError(f"the template changes the turns before one, against its context of {template.context}")
                 self._whole(template, context, turns, k, start)
                 return
             piece = now[len(prefix) :]
@@ -148,7 +160,7 @@ def _runs(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...], fields: tupl
 
 
 def format_conversations(rows: DataFrame, template: Template | None = None, learn: tuple[str, ...] = ("assistant",), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, part, formatted, turns, rewritten_from: a conversation's output in parts of up to SEGMENT turns.
+    """conv_id, part, formatted, turns, rewritten_from: a conversation's output in parts of up to SEGMENT turns, or as one part if the template has no `context`.
 
     `turns` has each turn's role, its span and, for roles in `learn`, its text's span, the loss mask; spans are code points of the part. `rewritten_from`
     is the first turn of the part whose place the template's later outputs changed, null if there is none.
@@ -158,8 +170,12 @@ def format_conversations(rows: DataFrame, template: Template | None = None, lear
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     read = rows.select(F.coalesce(F.concat(F.lit("+"), F.col(conv_col).cast("string")), F.lit("")).alias("g"), F.col(conv_col).cast("bigint").alias("conv_id"), F.col(turn_col).cast("bigint").alias("turn"), text(role_col).alias("role"), text(text_col).alias("text"))
     turns, _ = placed(read, ["turn", "role", "text"], scratch, "turns", 1 << 20)
-    own = F.expr(f"place div {SEGMENT}")
-    also = F.when((F.col("place") % SEGMENT >= SEGMENT - CONTEXT) & ((own + 1) * SEGMENT < F.col("total")), F.array(own, own + 1)).otherwise(F.array(own))
+    reach, size = _reach(template), SEGMENT
+    own = F.expr(f"place div {size}")
+    if reach is None:
+        also = F.array(F.lit(0).cast("bigint"))
+    else:  # its own part, and the later ones that it stands before
+        also = F.sequence(own, F.least(F.expr(f"(place + {reach}) div {size}"), F.expr(f"(total - 1) div {size}")))
     cut = turns.select("g", "conv_id", "role", "text", "place", F.explode(also).alias("segment")).repartition("g", "segment").sortWithinPartitions("g", "segment", "place")
 
     def render(batches):
@@ -167,7 +183,7 @@ def format_conversations(rows: DataFrame, template: Template | None = None, lear
         for (_, segment, conv), run in _runs(batches, ("g", "segment", "conv_id"), ("role", "text", "place")):
             context, mine = [], []
             for role, said, place in run:
-                (mine if place // SEGMENT == segment else context).append((role, said))
+                (mine if reach is None or place // size == segment else context).append((role, said))
             s = Segment(template, context, mine, learn)
             out.append((conv, segment, "".join(s.pieces), [dict(zip(("role", "start", "end", "text_start", "text_end"), t, strict=True)) for t in s.turns], s.rewritten_from))
             if len(out) >= 500 or len(out[-1][2]) > 1 << 20:
