@@ -83,42 +83,52 @@ def greedy_pairs(cost: np.ndarray, most: float) -> list[tuple[int, int]]:
 def optimal_pairs(cost: np.ndarray, most: float) -> list[tuple[int, int]]:
     """One-to-one pairs, each of cost up to `most`, that leave the least sum where a row or column left alone costs half of `most`.
 
-    Shortest augmenting paths over the matrix grown by a partner of its own for each row and column.
+    So a pair counts by what it costs less than `most`, and only rows and columns with such pairs matter. A row first takes its best column, if
+    that is free; shortest augmenting paths, each of which ends in a free column or leaves one of its rows alone, settle the others.
     """
-    n, m = cost.shape
-    if not n or not m:
+    gain = np.asarray(cost, float) - most
+    useful = gain < 0
+    rows, columns = np.flatnonzero(useful.any(1)), np.flatnonzero(useful.any(0))
+    if not rows.size:
         return []
-    size = n + m
-    full = np.full((size, size), most / 2)
-    full[:n, :m] = np.minimum(cost, 1e12)
-    full[n:, m:] = 0.0
-    u, v = np.zeros(size + 1), np.zeros(size + 1)
-    row_of, way = np.zeros(size + 1, int), np.zeros(size + 1, int)
-    for i in range(1, size + 1):
-        row_of[0], j0 = i, 0
-        least, used = np.full(size + 1, np.inf), np.zeros(size + 1, bool)
+    c = np.where(useful, gain, np.inf)[np.ix_(rows, columns)].tolist()
+    m, inf = columns.size, np.inf
+    row_of, column_of, u, v, waiting = [-1] * m, [-1] * len(c), [min(r) for r in c], [0.0] * m, []
+    for i, r in enumerate(c):
+        j = r.index(u[i])
+        if row_of[j] < 0:
+            row_of[j], column_of[i] = i, j
+        else:
+            waiting.append(i)
+    for start in waiting:
+        dist, way, open_, seen = [inf] * m, [-1] * m, set(range(m)), []
+        i, far, alone, last = start, 0.0, inf, start
         while True:
-            used[j0] = True
-            i0 = row_of[j0]
-            open_ = ~used[1:]
-            slack = full[i0 - 1] - u[i0] - v[1:]
-            better = open_ & (slack < least[1:])
-            least[1:][better] = slack[better]
-            way[1:][better] = j0
-            j1 = int(np.argmin(np.where(open_, least[1:], np.inf))) + 1
-            delta = least[j1]
-            u[row_of[used]] += delta
-            v[used] -= delta
-            least[1:][open_] -= delta
-            j0 = j1
-            if row_of[j0] == 0:
+            seen.append((i, far))
+            if far - u[i] < alone:
+                alone, last = far - u[i], i
+            r, base, end, least = c[i], far - u[i], -1, inf
+            for j in open_:
+                d = base + r[j] - v[j]
+                if d < dist[j]:
+                    dist[j], way[j] = d, i
+                if dist[j] < least or (dist[j] == least and j < end):
+                    end, least = j, dist[j]
+            if least >= alone or row_of[end] < 0:
                 break
-        while j0:
-            j1 = way[j0]
-            row_of[j0] = row_of[j1]
-            j0 = j1
-    found = [(row_of[j] - 1, j - 1) for j in range(1, size + 1)]
-    return sorted((int(i), int(j)) for i, j in found if i < n and j < m and cost[i, j] <= most)
+            open_.remove(end)
+            i, far = row_of[end], least
+        total = min(alone, least)
+        for i, far in seen:
+            u[i] += total - far
+            if column_of[i] >= 0:
+                v[column_of[i]] -= total - far
+        if least >= alone:  # the path's last row is left alone, its column is free
+            end, column_of[last] = column_of[last], -1
+        while end >= 0:
+            i = way[end]
+            row_of[end], column_of[i], end = i, end, column_of[i]
+    return [(int(rows[i]), int(columns[j])) for i, j in enumerate(column_of) if j >= 0]
 
 
 _MOTION = np.eye(8) + np.eye(8, k=4)
