@@ -371,10 +371,10 @@ def padded(rows: DataFrame, slots: int, keys: tuple[str, ...] = ("game", "frame"
     """keys, slot, id, x1, y1, x2, y2, valid, num_tracks: a frame's first tracks by id in a fixed number of slots, empty ones with id -1."""
     w = W.partitionBy(*keys)
     ranked = rows.withColumns({"slot": F.row_number().over(w.orderBy("id")) - 1, "num_tracks": F.least(F.count("*").over(w), F.lit(slots))}).filter(F.col("slot") < slots)
-    every = rows.select(*keys).distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     box = ["x1", "y1", "x2", "y2"]
-    found = every.join(ranked.select(*keys, "slot", "id", *box), [*keys, "slot"], "left").join(ranked.select(*keys, "num_tracks").distinct(), list(keys))
-    return found.select(*keys, "slot", F.coalesce("id", F.lit(-1)).alias("id"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in box], F.col("id").isNotNull().alias("valid"), "num_tracks")
+    held = ranked.groupBy(*keys, "num_tracks").agg(F.array_sort(F.collect_list(F.struct("slot", "id", *box))).alias("_e"))  # one pass over rows, which may be a fold's
+    found = held.select(*keys, "num_tracks", "_e", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot")).withColumn("_e", F.try_element_at("_e", F.col("slot") + 1))
+    return found.select(*keys, "slot", F.coalesce("_e.id", F.lit(-1)).alias("id"), *[F.coalesce(f"_e.{c}", F.lit(0.0)).alias(c) for c in box], F.col("_e.id").isNotNull().alias("valid"), "num_tracks")
 
 
 def _fold(machine, state: dict, pdf: pd.DataFrame) -> tuple[dict, list[tuple]]:
