@@ -257,31 +257,34 @@ class CenterPoints(Associations):
         self.least, self.keep = least, keep
 
     def start(self) -> dict:
-        return {"next": 0, "tracks": []}
+        return {"next": 0, "id": [], "x": [], "p": [], "box": [], "missed": []}
 
     def step(self, s: dict, frame: int, found: list[tuple]) -> tuple[dict, list[tuple]]:
-        f = np.eye(4) + np.eye(4, k=2)
-        tracks, out = [], []
-        for t in s["tracks"]:
-            x, p, b = f @ np.asarray(t["x"]), f @ np.asarray(t["p"]) @ f.T + 0.01 * np.eye(4), t["box"]
-            w, h = (b[2] - b[0]) / 2, (b[3] - b[1]) / 2
-            tracks.append(t | {"x": x, "p": p, "box": [x[0] - w, x[1] - h, x[0] + w, x[1] + h], "missed": t["missed"] + 1})
-        o = _iou(np.array([t["box"] for t in tracks]).reshape(-1, 4), np.array([d[:4] for d in found]).reshape(-1, 4))
-        pairs = greedy_pairs(1 - o, 1 - self.least)
-        for i, j in pairs:
-            t, d = tracks[i], found[j]
-            gain = t["p"][:, :2] @ np.linalg.inv(t["p"][:2, :2] + 0.1 * np.eye(2))
-            x = t["x"] + gain @ (np.array(d[:2]) - t["x"][:2])
-            w, h = (d[2] - d[0]) / 2, (d[3] - d[1]) / 2
-            tracks[i] = t | {"x": x, "p": t["p"] - gain @ t["p"][:2], "box": [x[0] - w, x[1] - h, x[0] + w, x[1] + h], "missed": 0}
-            out.append((t["id"], d))
+        """All tracks at once. Both axes are alike and apart, so `p` holds one's variances of place and speed and, between them, their covariance."""
+        ids, missed = np.asarray(s["id"], int), np.asarray(s["missed"], int) + 1
+        x, p, box = (np.asarray(s[k], float).reshape(-1, n) for k, n in (("x", 4), ("p", 3), ("box", 4)))
+        about = lambda c, b: np.concatenate([c - (b[:, 2:] - b[:, :2]) / 2, c + (b[:, 2:] - b[:, :2]) / 2], 1)
+        x = np.concatenate([x[:, :2] + x[:, 2:], x[:, 2:]], 1)
+        p = np.stack([p[:, 0] + 2 * p[:, 1] + p[:, 2] + 0.01, p[:, 1] + p[:, 2], p[:, 2] + 0.01], 1)
+        box, out = about(x[:, :2], box), []
+        boxes = np.array([d[:4] for d in found], float).reshape(-1, 4)
+        pairs = greedy_pairs(1 - _iou(box, boxes), 1 - self.least)
+        if pairs:
+            i, j = np.array(pairs).T
+            gain = p[i, :2] / (p[i, :1] + 0.1)
+            off = boxes[j, :2] - x[i, :2]
+            x[i] += np.concatenate([gain[:, :1] * off, gain[:, 1:] * off], 1)
+            p[i] -= np.stack([gain[:, 0] * p[i, 0], gain[:, 0] * p[i, 1], gain[:, 1] * p[i, 1]], 1)
+            box[i], missed[i] = about(x[i, :2], boxes[j]), 0
+            out = [(t, found[k]) for t, k in zip(ids[i].tolist(), j.tolist(), strict=True)]
         taken = {j for _, j in pairs}
-        for j, d in enumerate(found):
-            if j not in taken:
-                tracks.append({"id": s["next"], "x": np.array([d[0], d[1], 0.0, 0.0]), "p": 1000.0 * np.eye(4), "box": list(d[:4]), "missed": 0})
-                out.append((s["next"], d))
-                s = s | {"next": s["next"] + 1}
-        return {"next": s["next"], "tracks": [t for t in tracks if t["missed"] <= self.keep]}, [(frame, i, *d) for i, d in out]
+        new = [j for j in range(len(found)) if j not in taken]
+        fresh = list(range(s["next"], s["next"] + len(new)))
+        out += [(t, found[j]) for t, j in zip(fresh, new, strict=True)]
+        b, keep = boxes[new], np.r_[missed <= self.keep, np.ones(len(new), bool)]
+        made = {"id": fresh, "x": np.concatenate([b[:, :2], np.zeros((len(new), 2))], 1), "p": np.tile([1000.0, 0.0, 1000.0], (len(new), 1)), "box": b, "missed": [0] * len(new)}
+        held = {"id": ids, "x": x, "p": p, "box": box, "missed": missed}
+        return {"next": s["next"] + len(new)} | {k: np.concatenate([held[k], made[k]])[keep].astype(held[k].dtype) for k in held}, [(frame, i, *d) for i, d in out]
 
 
 class Reidentified(Associations):
