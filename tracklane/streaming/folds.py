@@ -384,9 +384,12 @@ def _fold(machine, state: dict, pdf: pd.DataFrame) -> tuple[dict, list[tuple]]:
     out: list[tuple] = []
     pdf = pdf.sort_values("frame", kind="stable")
     if isinstance(machine, Associations):
-        for frame, g in pdf.groupby("frame", sort=True):
-            found = [tuple(r) for r in g[list(machine.columns[1:])].itertuples(index=False) if r[0] is not None]
-            state, rows = machine.step(state, int(frame), found)
+        pdf = pdf[pdf["frame"].notna()]
+        at = pdf["frame"].to_numpy()
+        found = list(zip(*(pdf[c].tolist() for c in machine.columns[1:]), strict=True))
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]).tolist() if len(at) else []
+        for a, b in zip(starts, [*starts[1:], len(at)], strict=True):
+            state, rows = machine.step(state, int(at[a]), [r for r in found[a:b] if r[0] is not None])
             out += rows
         return state, out
     for row in pdf[list(machine.columns)].itertuples(index=False):
