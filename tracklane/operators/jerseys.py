@@ -46,15 +46,35 @@ def split_tracks(found: DataFrame) -> DataFrame:
 def decayed_votes(observations: DataFrame, window: int, decay: float, two_digit: float = 0.61, one_digit: float = 0.39, keys: tuple[str, ...] = ("game", "id")) -> DataFrame:
     """keys, frame, number, votes: the number with most decayed votes of a track's last `window` frames.
 
-    Frames meet observations in blocks of `window` frames, their own and the one before.
+    Observations stand in blocks of `window` frames, their own and the next, where each frame sees those before it; they are shuffled once, and what
+    a frame sees stays in its row, in the order of numbers and frames.
     """
-    block = lambda c: F.floor(c / window)
-    asked = observations.select(*keys, F.col("frame").alias("_at")).distinct().withColumn("_b", F.explode(F.array(block(F.col("_at")), block(F.col("_at")) - 1)))
-    each = asked.join(observations.withColumn("_b", block(F.col("frame"))), [*keys, "_b"]).filter(F.col("frame").between(F.col("_at") - window, F.col("_at")))
+    own = F.floor(F.col("frame") / window)
     bias = F.when(F.col("number") >= 10, two_digit).otherwise(one_digit)
-    votes = each.groupBy(*keys, "_at", "number").agg(F.sum(F.col("score") * F.pow(F.lit(decay), F.col("_at") - F.col("frame")) * bias).alias("votes"))
-    rank = F.row_number().over(W.partitionBy(*keys, "_at").orderBy(F.desc(F.round("votes", 9)), "number"))
-    return votes.withColumn("_r", rank).filter("_r = 1").select(*keys, F.col("_at").alias("frame"), "number", "votes")
+    entry = F.struct("number", "frame", "score", bias.alias("bias"))
+    both = observations.select(*keys, "frame", entry.alias("_e"), F.explode(F.array(own, own + 1)).alias("_b"))
+    block = W.partitionBy(*keys, "_b").orderBy("frame")
+    here = both.withColumns({"_seen": F.array_sort(F.collect_list("_e").over(block.rangeBetween(-window, 0))), "_k": F.row_number().over(block), "_r": F.rank().over(block)})
+    asked = here.filter((F.col("_b") == own) & (F.col("_k") == F.col("_r")))  # one row of each frame
+    fresh = lambda n: F.struct(n.alias("number"), F.lit(None).cast("double").alias("votes"))
+
+    def add(a: Column, e: Column) -> Column:
+        """The best number so far and the one whose votes are being added."""
+        now, best = a["now"], a["best"]
+        same = now["number"].eqNullSafe(e["number"])
+        held = F.when(same, now).otherwise(fresh(e["number"]))
+        vote = e["score"] * F.pow(F.lit(decay), F.col("frame") - e["frame"]) * e["bias"]
+        votes = F.coalesce(held["votes"] + vote, vote, held["votes"])  # an unknown score is no vote
+        return F.struct(F.when(same, best).otherwise(better(best, now)).alias("best"), F.struct(held["number"].alias("number"), votes.alias("votes")).alias("now"))
+
+    def better(best: Column, now: Column) -> Column:
+        more = F.coalesce(F.round(now["votes"], 9) > F.round(best["votes"], 9), now["votes"].isNotNull() & best["votes"].isNull())
+        return F.when(best.isNull() | more, now).otherwise(best)
+
+    number = observations.schema["number"].dataType
+    none = F.struct(F.lit(None).cast(T.StructType([T.StructField("number", number), T.StructField("votes", T.DoubleType())])).alias("best"), fresh(F.element_at("_seen", 1)["number"]).alias("now"))
+    won = F.aggregate("_seen", none, add, lambda a: better(a["best"], a["now"]))
+    return asked.withColumn("_won", won).select(*keys, "frame", "_won.number", "_won.votes")
 
 
 def shifts(seen: DataFrame, starts: DataFrame, game: tuple[str, ...] = ("game",)) -> DataFrame:
