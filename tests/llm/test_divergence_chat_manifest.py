@@ -4,8 +4,11 @@ import collections
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +73,57 @@ def test_audit(spark, monkeypatch):
     assert audit_rows(df.limit(0)) == []
 
 
+@pytest.mark.parametrize("rows, room, step", [(500_000, 1 << 25, 1 << 20), (20, 1 << 25, 40), (10**6, 2000, 60), (1, 1, 1)])
+def test_tally(monkeypatch, rows, room, step):
+    monkeypatch.setattr(sd, "_FLUSH", rows)
+    monkeypatch.setattr(sd, "_FLUSH_BYTES", room)
+    monkeypatch.setattr(sd.X, "STEP", step)
+    given = [(t or "", la or "", s or "") for t, la, s in [*some_documents(120), ("x" * 300 + " y", "en", "a"), ("", "none", "")]]
+    want = collections.defaultdict(lambda: [0, 0])
+    for text, lang, source in given:
+        terms = collections.Counter(re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", text.translate({k: k + 32 for k in range(65, 91)})))
+        for t, n in [("", 0), *terms.items()]:
+            want[lang, source, t] = [want[lang, source, t][0] + n, want[lang, source, t][1] + (t != "")]
+    got = collections.defaultdict(lambda: [0, 0])
+    for part in (given[:50], given[50:]):
+        text, lang, source = zip(*part, strict=True)
+        for out in sd._tally([pa.record_batch({"text": pa.array(text), "lang": pa.array(lang), "source": pa.array(source)})]):
+            for r in out.to_pylist():
+                at = got[r["lang"], r["source"], r["term"]]
+                at[0], at[1] = at[0] + r["n"], at[1] + r["docs"]
+    assert got == want
+    assert list(sd._tally([])) == []
+
+
+COUNTS_IN_LITTLE_MEMORY = """
+import re
+import numpy as np, pyarrow as pa
+from tracklane.llm import source_divergence as sd
+
+def mb(name):
+    return int(re.search(name + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+rng = np.random.default_rng(7)
+words = np.full((300_000, 7), 32, np.uint8)
+words[:, :6] = rng.integers(97, 123, (300_000, 6))
+texts = [words[rng.integers(0, 300_000, 400)].tobytes() for _ in range(6000)]
+batch = pa.record_batch({"text": pa.array(texts, pa.string()), "lang": ["en"] * 6000, "source": [f"s{k % 7}" for k in range(6000)]})
+before = mb("VmHWM")
+n = docs = 0
+for out in sd._tally([batch]):
+    n, docs = n + int(out["n"].to_numpy().sum()), docs + int(out["docs"].to_numpy().sum())
+print(n, docs, sum(len(set(t.split())) for t in texts), mb("VmHWM") - before)
+"""
+
+
+def test_counts_in_little_memory():
+    """An executor holds several tasks that count: one took more than its text twenty times over."""
+    done = subprocess.run([sys.executable, "-c", COUNTS_IN_LITTLE_MEMORY], capture_output=True, text=True, check=True)
+    n, docs, distinct, grown = map(float, done.stdout.split())
+    assert (n, docs) == (6000 * 400, distinct)
+    assert grown < 160
+
+
 def test_meetings_are_a_round_robin():
     for seats in (2, 4, 6, 8):
         met = [p for r in range(seats - 1) for p in sd.host_of(seats, r)]

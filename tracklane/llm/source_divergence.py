@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ SEATS = 8
 #: Terms of a slice times groups of a seat, at most on average.
 SEAT_CELLS = 500_000
 SCALE = 10**9
-_FLUSH = 1_000_000
+#: Rows of counts, and their bytes, that a task adds up at a time.
+_FLUSH = 500_000
+_FLUSH_BYTES = 32 << 20
 #: Terms are runs of ASCII letters and of anything beyond ASCII.
 _GAP = np.ones(256, bool)
 _GAP[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -83,38 +86,85 @@ def _terms(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
 _COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
-def _summed(tables: list[pa.Table]) -> pa.Table:
-    t = pa.concat_tables(tables).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
-    return t.rename_columns(["lang", "source", "term", "n", "docs"] if t.column_names[0] == "lang" else ["n", "docs", "lang", "source", "term"]).select(_COUNTED.names)
+class _Counted(NamedTuple):
+    """Counts by group and term: a key is the group's place times the number of terms, plus the term's place."""
 
+    lang: pa.Array
+    source: pa.Array
+    terms: pa.Array
+    keys: np.ndarray
+    n: np.ndarray
+    docs: np.ndarray
 
-def _counts(part: pa.RecordBatch) -> pa.Table:
-    """Occurrences and documents of each group's terms, and a row of the empty term for each group."""
+    @property
+    def bytes(self) -> int:
+        return sum(c.nbytes for c in self)
+
+
+def _groups(lang: pa.Array, source: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """The distinct pairs, and each row's place among them."""
+    a, b = lang.dictionary_encode(), source.dictionary_encode()
+    keys = a.indices.to_numpy().astype(np.int64) * max(len(b.dictionary), 1) + b.indices.to_numpy()
+    _, first, place = np.unique(keys, return_index=True, return_inverse=True)
+    return lang.take(pa.array(first)), source.take(pa.array(first)), place
+
+
+def _added(keys: np.ndarray, n: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first, _ = B.runs(keys)
+    return keys[first], np.add.reduceat(n[order], first), np.add.reduceat(docs[order], first)
+
+
+def _summed(held: list[_Counted]) -> _Counted:
+    if len(held) == 1:
+        return held[0]
+    lang, source, place = _groups(*(pa.concat_arrays([h[k] for h in held]) for k in (0, 1)))
+    code = pa.concat_arrays([h.terms for h in held]).dictionary_encode()
+    to, terms = code.indices.to_numpy(), code.dictionary
+    keys, g, t = [], 0, 0
+    for h in held:
+        at, what = np.divmod(h.keys, len(h.terms))
+        keys.append(place[g + at] * len(terms) + to[t + what])
+        g, t = g + len(h.lang), t + len(h.terms)
+    return _Counted(lang, source, terms, *_added(np.concatenate(keys), np.concatenate([h.n for h in held]), np.concatenate([h.docs for h in held])))
+
+
+def _counts(part: pa.RecordBatch) -> _Counted:
+    """Occurrences and documents of each group's terms, and none of the empty term, which stands for the group."""
+    lang, source, place = _groups(*(pc.cast(part[c], pa.string()) for c in ("lang", "source")))
     terms, doc = _terms(*X.buffers(part["text"]))
     code = terms.dictionary_encode()
-    n = len(code.dictionary)
-    keys, times = np.unique(doc * max(n, 1) + code.indices.to_numpy(), return_counts=True)
-    at, what = keys // max(n, 1), keys % max(n, 1)
-    names = pa.table({"lang": part["lang"], "source": part["source"]})
-    found = names.take(pa.array(at)).append_column("term", pc.cast(code.dictionary, pa.string()).take(pa.array(what))).append_column("n", pa.array(times.astype(np.int64))).append_column("docs", pa.array(np.ones(len(at), np.int64)))
-    zero = pa.array(np.zeros(len(names), np.int64))
-    here = names.append_column("term", pa.array([""] * len(names), pa.string())).append_column("n", zero).append_column("docs", zero)
-    return _summed([found.cast(_COUNTED), here.cast(_COUNTED)])
+    terms = pa.concat_arrays([pa.array([b""], pa.binary()), code.dictionary])
+    pairs, times = np.unique(doc * len(terms) + code.indices.to_numpy() + 1, return_counts=True)
+    at, what = np.divmod(pairs, len(terms))
+    none = np.zeros(len(lang), np.int64)
+    keys = np.concatenate([np.arange(len(lang)) * len(terms), place[at] * len(terms) + what])
+    return _Counted(lang, source, terms, *_added(keys, np.concatenate([none, times]), np.concatenate([none, np.ones(len(at), np.int64)])))
+
+
+def _sent(counted: _Counted):
+    terms = pc.cast(counted.terms, pa.string())
+    for i in range(0, len(counted.keys), 20_000):
+        at, what = np.divmod(counted.keys[i : i + 20_000], len(terms))
+        at = pa.array(at)
+        yield pa.record_batch([counted.lang.take(at), counted.source.take(at), terms.take(pa.array(what)), pa.array(counted.n[i : i + 20_000]), pa.array(counted.docs[i : i + 20_000])], schema=_COUNTED)
 
 
 def _tally(batches):
-    held, size = [], 0
-    for part in X.slices(batches, 4 * X.STEP):
+    """Sums by group and term. What a task holds meanwhile are numbers, and each term once, up to a number of rows and bytes."""
+    held, size, room = [], 0, 0
+    for part in X.slices(batches, 2 * X.STEP):
         held.append(_counts(part))
-        size += len(held[-1])
-        if size >= _FLUSH:
+        size, room = size + len(held[-1].keys), room + held[-1].bytes
+        if size >= _FLUSH or room >= _FLUSH_BYTES:
             held = [_summed(held)]
-            size = len(held[0])
-            if size >= _FLUSH // 2:
-                yield from held[0].to_batches(max_chunksize=20_000)
-                held, size = [], 0
+            size, room = len(held[0].keys), held[0].bytes
+            if size >= _FLUSH // 2 or room >= _FLUSH_BYTES // 2:
+                yield from _sent(held[0])
+                held, size, room = [], 0, 0
     if held:
-        yield from _summed(held).to_batches(max_chunksize=20_000)
+        yield from _sent(_summed(held))
 
 
 def _pack(at: np.ndarray, count: np.ndarray) -> bytes:
