@@ -244,3 +244,57 @@ def test_query_columns_of_scores_and_shards(spark, tmp_path):
     ranked = sorted(((2 * k + 1) / (2 * len(ids)), s, i) for s, ids in by.items() for k, i in enumerate(sorted(ids, key=hashed.get)))
     place = {i: k for k, (_, _, i) in enumerate(ranked)}
     assert {r["doc_id"]: r["shard"] for r in got} == {i: k * 24 // len(rows) for i, k in place.items()}
+
+
+def _shuffled(spark) -> int:
+    """Bytes of all shuffles so far."""
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    context.listenerBus().waitUntilEmpty(30_000)
+    none = gateway.jvm.java.util.ArrayList()
+    stages = context.statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_sets_travel_only_where_they_may_be_similar(spark):
+    """Passages make many candidates of texts that are far from similar; a few are."""
+    rng = random.Random(11)
+    passages = [[f"p{k}x{rng.randrange(10**6)}" for _ in range(60)] for k in range(240)]
+    dealt = list(range(240)) * 6
+    rng.shuffle(dealt)
+    rows = []
+    for i in range(240):
+        own = [f"o{i}x{rng.randrange(10**6)}" for _ in range(5)]
+        rows.append((i, " ".join(own + [w for k in dealt[6 * i : 6 * i + 6] for w in passages[k]])))
+    rows += [(1000 + i, rows[i][1] + f" end{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = _shuffled(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in set_relations.similar_components(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {i: i % 1000 for i, _ in rows}
+    assert _shuffled(spark) - before < 7 * sum(len(t) for _, t in rows)
+
+
+def test_marks_bound_what_sets_share(spark):
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 100, 3000):
+        a = np.unique(X.mix(rng.integers(0, 2**63, n).astype(np.uint64)))
+        for share in (0, 0.1, 0.5, 0.9, 1):
+            b = np.union1d(a[: int(share * len(a))], X.mix(rng.integers(0, 2**63, n).astype(np.uint64)))[:n]
+            most = set_relations._most(set_relations._marks(a), len(a), b)
+            assert len(np.intersect1d(a, b)) <= most <= len(a)
+        assert set_relations._most(set_relations._marks(a), len(a), a) == len(a)
+    assert most < 3000 or share == 1
+
+
+def test_full_counters_still_tell_passages(spark, monkeypatch):
+    """Counters that hold many shingles each: a passage of 80 texts counts as more frequent than what is in one text only."""
+    monkeypatch.setattr(set_relations, "SKETCH_BITS", 8)
+    rng = random.Random(5)
+    passage = " ".join(f"c{i}" for i in range(5))
+    rows = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(800)) for _ in range(100)] + [passage] * 80
+    known = np.frombuffer(set_relations.frequency_classes(spark.createDataFrame([(t,) for t in rows], "text string"), 5), np.uint8)
+    at = int(set_relations.shingle_sets(pa.array([passage]), 5)[0][0] & np.uint64(255))
+    assert known[at] > np.quantile(known, 0.98)

@@ -18,14 +18,16 @@ are skipped whole. Two relations between sets save the rest of the work:
   pairs of different components that this bound leaves open are compared.
 
 Every link between different components is found, so components are exact; links
-within a component are not all listed. Candidates are verified on whole sets.
+within a component are not all listed. Of a candidate pair the first set's marks,
+two bits a shingle, go where the second lies: they bound what both can share from
+above. Only pairs that this bound leaves possible are verified on whole sets.
 
 Lists of shingles that the counts below call frequent are dealt to several tasks,
 and the heads of their parts are compared in a further tier, part by part again
 where there are many. Open pairs of a list are dealt by pairs of its blocks.
 Shingles are counted in `2**SKETCH_BITS` counters over all texts (fixed size, 4
-MB when broadcast); any order is exact, this one keeps common passages out of
-prefixes.
+MB when broadcast), of which what a usual counter holds by chance is taken off;
+any order is exact, this one keeps common passages out of prefixes.
 
 Edge cases: texts of fewer words than a shingle have one shingle, of all their
 words; texts without words, null ones too, have none and link with nothing; a
@@ -44,6 +46,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import _blocks as B, _graph, _text as X
 
 SKETCH_BITS = 22
+#: Classes of counts for each doubling.
+FINE = 8
 _PARTS = 64
 #: Lists up to this size are paired off at once.
 SHORT = 8
@@ -55,6 +59,8 @@ SKIP = 64
 HOT_LOG = 12
 #: Entries of a list in one side of a task of open pairs.
 OPEN_BLOCK = 256
+#: Values of a row's hash by which the texts of later comparisons are told from those that stay behind.
+SLOTS = 1 << 20
 #: Sizes of a class differ by less than this factor, which is more than similar sets differ.
 CLASS = 1.3
 _ENTRY = {"key": np.uint64, "node": np.int64, "n": np.uint32, "pos": np.uint32, "hot": np.uint8}
@@ -64,7 +70,7 @@ _FIELDS = [*_ASK, *_LONG, *_ENTRY]
 _MIXED = "home int, bucket int, kind int, " + ", ".join(f"{k} binary" for k in _FIELDS)
 _SENT = "home int, kind int, src bigint, n bigint, words binary, targets binary, " + ", ".join(f"{k} binary" for k in _LONG)
 _OUT = "kind int, a bigint, b bigint, na bigint, nb bigint, overlap bigint"
-DOCUMENT, PAIR, LISTED, HEAD = 0, 1, 2, 3
+DOCUMENT, PAIR, LISTED, HEAD, RULED = 0, 1, 2, 3, 4
 
 
 def shingle_sets(texts, size: int) -> list[np.ndarray]:
@@ -85,7 +91,7 @@ def shingle_sets(texts, size: int) -> list[np.ndarray]:
 
 
 def frequency_classes(documents: DataFrame, size: int, text_col: str = "text") -> bytes:
-    """Logarithm of the count, for each counter."""
+    """`FINE` times the logarithm of the count over the median one, for each counter."""
 
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -98,7 +104,8 @@ def frequency_classes(documents: DataFrame, size: int, text_col: str = "text") -
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(zlib.decompress(c), "<u2").astype(np.uint64) for c in table["counts"].to_pylist())
-        return pa.table({"part": table["part"][:1], "counts": pa.array([np.floor(np.log2(total + np.uint64(1))).astype(np.uint8).tobytes()], pa.binary())})
+        over = total - np.minimum(total, np.uint64(np.median(total)))
+        return pa.table({"part": table["part"][:1], "counts": pa.array([np.minimum(np.floor(FINE * np.log2(over + np.uint64(1))), 255).astype(np.uint8).tobytes()], pa.binary())})
 
     rows = documents.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
     out = np.zeros((_PARTS, (1 << SKETCH_BITS) // _PARTS), np.uint8)
@@ -164,9 +171,8 @@ def similar_components(documents: DataFrame, size: int = 5, id_col: str = "doc_i
     groups = B.count_of(documents, text_col)
     spark = documents.sparkSession
     counted = frequency_classes(documents, size, text_col)
-    classes, hottest = spark.sparkContext.broadcast(counted), max(counted)
+    classes, hottest = spark.sparkContext.broadcast(counted), max(counted) // FINE
     homed = B.homed(documents, groups, id_col, text_col)
-    by_home = lambda: homed.groupBy("home")
     keyed = homed.select("doc_id", "rid", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"))
     # of equal texts the row that is compared: any one; least id for the component's name
     named = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
@@ -184,14 +190,14 @@ def similar_components(documents: DataFrame, size: int = 5, id_col: str = "doc_i
                 n = len(s)
                 if not n:
                     continue
-                order = known[s & np.uint64((1 << SKETCH_BITS) - 1)].astype(np.uint64) << np.uint64(58) | s >> np.uint64(6)
+                order = known[s & np.uint64((1 << SKETCH_BITS) - 1)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
                 p = n - (4 * n + 4) // 5 + 1
                 top = s[np.argsort(order, kind="stable")[:p]]
                 cols["key"].append(top)
                 cols["node"].append(np.full(p, home << 32 | i, np.int64))
                 cols["n"].append(np.full(p, n, np.uint32))
                 cols["pos"].append(np.arange(p, dtype=np.uint32))
-                cols["hot"].append(known[top & np.uint64((1 << SKETCH_BITS) - 1)])
+                cols["hot"].append(known[top & np.uint64((1 << SKETCH_BITS) - 1)] // FINE)
         if not cols["key"]:
             return B.empty("bucket", _ENTRY)
         e = {k: np.concatenate(v) for k, v in cols.items()}
@@ -225,31 +231,37 @@ def similar_components(documents: DataFrame, size: int = 5, id_col: str = "doc_i
             out.append(_fill(B.pack("bucket", parts_of(e["key"], e["node"], less), bucket, e, kind=HEAD)))
         return pa.concat_tables(out)
 
-    def send(table: pa.Table, asked: pa.Table) -> pa.Table:
-        rows = {k: [] for k in ("home", "kind", "src", "n", "words", "targets", *_LONG)}
-        if len(table) and len(asked):
-            home = table["home"][0].as_py()
-            kinds = asked["kind"].to_numpy()
-            q = B.unpack(asked.filter(pa.array(kinds == 0)), _ASK)
-            trip = np.unique(np.stack([q["doc"], q["home2"], q["doc2"]], 1), axis=0) if len(q["doc"]) else np.zeros((0, 3), np.uint32)
-            needed, back = np.unique(trip[:, 0], return_inverse=True)
-            sets = shingle_sets(B.ordered(table)["text"].take(pa.array(needed)), size) if len(needed) else []
-            cut = np.flatnonzero(np.r_[True, (trip[1:, :2] != trip[:-1, :2]).any(1)]) if len(trip) else np.zeros(0, np.int64)
-            for a, b in zip(cut.tolist(), np.r_[cut[1:], len(trip)].tolist(), strict=True) if len(cut) else ():
-                s = sets[back[a]]
-                rows["home"].append(int(trip[a, 1]))
-                rows["kind"].append(PAIR)
-                rows["src"].append(home << 32 | int(trip[a, 0]))
-                rows["n"].append(len(s))
-                rows["words"].append(s.tobytes())
-                rows["targets"].append(trip[a:b, 2].tobytes())
-                for k in _LONG:
-                    rows[k].append(b"")
-            for r in asked.filter(pa.array(kinds == LISTED)).to_pylist():
-                for k, v in (("home", home), ("kind", LISTED), ("src", 0), ("n", 0), ("words", b""), ("targets", b""), *((k, r[k]) for k in _LONG)):
-                    rows[k].append(v)
-        kinds_of = {"home": pa.int32(), "kind": pa.int32(), "src": pa.int64(), "n": pa.int64()}
-        return pa.table({k: pa.array(v, kinds_of.get(k, pa.binary())) for k, v in rows.items()})
+    def sets_of(table: pa.Table, rows: np.ndarray) -> dict[int, np.ndarray]:
+        rows = np.unique(rows.astype(np.int64))
+        return dict(zip(rows.tolist(), shingle_sets(B.ordered(table)["text"].take(pa.array(rows)), size), strict=True)) if len(rows) else {}
+
+    def mark(table: pa.Table, asked: pa.Table) -> pa.Table:
+        if not len(table) or not len(asked):
+            return _sent()
+        kinds = asked["kind"].to_numpy()
+        q = B.unpack(asked.filter(pa.array(kinds == 0)), _ASK)
+        return pa.concat_tables([_passed(asked.filter(pa.array(kinds == LISTED))), _addressed(table["home"][0].as_py(), sets_of(table, q["doc"]), q["doc"], q["home2"], q["doc2"], _marks)])
+
+    def sift(table: pa.Table, marked: pa.Table) -> pa.Table:
+        if not len(table) or not len(marked):
+            return _sent()
+        home = table["home"][0].as_py()
+        kinds = marked["kind"].to_numpy()
+        pairs = marked.filter(pa.array(kinds == PAIR))
+        sets = sets_of(table, np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(t, np.uint32) for t in pairs["targets"].to_pylist())]))
+        src, doc, most, possible = [], [], [], []
+        for a, n, marks, targets in zip(pairs["src"].to_pylist(), pairs["n"].to_pylist(), pairs["words"].to_pylist(), pairs["targets"].to_pylist(), strict=True):
+            for t in np.frombuffer(targets, np.uint32).tolist():
+                m = _most(marks, n, sets[t])
+                src.append(a)
+                doc.append(t)
+                most.append(m)
+                possible.append(9 * m >= 4 * (n + len(sets[t])))
+        src, doc, most, possible = np.array(src, np.int64), np.array(doc, np.int64), np.array(most, np.int64), np.array(possible, bool)
+        ruled = {"lkey": src[~possible].astype(np.uint64), "lnode": home << 32 | doc[~possible], "ln": most[~possible].astype(np.uint32), "lpos": np.zeros(int((~possible).sum()), np.uint32)}
+        out = [_passed(marked.filter(pa.array(kinds == LISTED))), _passed(B.pack("home", np.full(len(ruled["lkey"]), home), 0, ruled, kind=RULED))]
+        out.append(_addressed(home, sets, doc[possible], src[possible] >> 32, src[possible] & 0xFFFFFFFF, np.ndarray.tobytes))
+        return pa.concat_tables(out)
 
     def verify(table: pa.Table, sent: pa.Table) -> pa.Table:
         out = {k: [] for k in ("kind", "a", "b", "na", "nb", "overlap")}
@@ -265,28 +277,30 @@ def similar_components(documents: DataFrame, size: int = 5, id_col: str = "doc_i
             pairs = sent.filter(pa.array(kinds == PAIR))
             firsts = np.sort(sent.filter(pa.array(kinds == DOCUMENT))["src"].to_numpy())
             rows = np.searchsorted(table["rid"].to_numpy(), firsts)
-            need = np.unique(np.concatenate([rows, *(np.frombuffer(t, np.uint32) for t in pairs["targets"].to_pylist())]).astype(np.int64))
-            sets = dict(zip(need.tolist(), shingle_sets(table["text"].take(pa.array(need)), size), strict=True))
+            sets = sets_of(table, np.concatenate([rows, *(np.frombuffer(t, np.uint32) for t in pairs["targets"].to_pylist())]))
             add(DOCUMENT, firsts, home << 32 | rows, np.array([len(sets[p]) for p in rows.tolist()], np.int64))
             for src, n, raw, targets in zip(pairs["src"].to_pylist(), pairs["n"].to_pylist(), pairs["words"].to_pylist(), pairs["targets"].to_pylist(), strict=True):
                 x = np.frombuffer(raw, np.uint64)
                 for t in np.frombuffer(targets, np.uint32).tolist():
                     y = sets[t]
                     found = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
-                    add(PAIR, [src], [home << 32 | t], n, len(y), int(found.sum()))
+                    add(PAIR, [home << 32 | t], [src], len(y), n, int(found.sum()))
+            e = B.unpack(sent.filter(pa.array(kinds == RULED)), _LONG)
+            add(RULED, e["lkey"].astype(np.int64), e["lnode"], overlap=e["ln"])
             e = B.unpack(sent.filter(pa.array(kinds == LISTED)), _LONG)
             add(LISTED, e["lnode"], e["lkey"].astype(np.int64), e["ln"], e["lpos"])
         cols = {k: np.concatenate([np.zeros(0, np.int64), *v]) for k, v in out.items()}
         return pa.table({"kind": pa.array(cols.pop("kind"), pa.int32())} | {k: pa.array(v) for k, v in cols.items()})
 
-    def compared(asked: DataFrame, firsts: DataFrame | None) -> DataFrame:
-        sent = by_home().cogroup(asked.groupBy("home")).applyInArrow(send, _SENT)
+    def compared(asked: DataFrame, firsts: DataFrame | None, rows: DataFrame) -> DataFrame:
+        marked = rows.groupBy("home").cogroup(asked.groupBy("home")).applyInArrow(mark, _SENT)
+        sent = rows.groupBy("home").cogroup(marked.groupBy("home")).applyInArrow(sift, _SENT)
         if firsts is not None:
             blank = [F.lit(b"").alias(k) for k in ("words", "targets", *_LONG)]
             sent = sent.unionByName(firsts.select("home", F.lit(DOCUMENT).alias("kind"), F.col("first").alias("src"), F.lit(0).cast("long").alias("n"), *blank))
-        return by_home().cogroup(sent.groupBy("home")).applyInArrow(verify, _OUT)
+        return rows.groupBy("home").cogroup(sent.groupBy("home")).applyInArrow(verify, _OUT)
 
-    tier = by_home().cogroup(here.groupBy("home")).applyInArrow(prefixes, B.schema("bucket", _ENTRY))
+    tier = homed.groupBy("home").cogroup(here.groupBy("home")).applyInArrow(prefixes, B.schema("bucket", _ENTRY))
     asked, hot = None, hottest
     while True:
         found = tier.groupBy("bucket").applyInArrow(candidates, _MIXED)
@@ -297,14 +311,20 @@ def similar_components(documents: DataFrame, size: int = 5, id_col: str = "doc_i
             break
         tier = found.filter(F.col("kind") == HEAD).select("bucket", "home", "kind", *_ENTRY)
         hot = hot - HOT_LOG + 4
-    found = _graph.checkpoint(compared(asked, here))
-    pairs = found.filter(F.col("kind") == PAIR)
-    linked = lambda p: p.filter("9 * overlap >= 4 * (na + nb)").select("a", "b")
+    found = _graph.checkpoint(compared(asked, here, homed))
+    # what pairs share at most and at least: the same where they were verified
+    pairs = found.filter(F.col("kind").isin(PAIR, RULED)).withColumn("least", F.when(F.col("kind") == PAIR, F.col("overlap")).otherwise(0))
+    linked = lambda p: p.filter((F.col("kind") == PAIR) & F.expr("9 * overlap >= 4 * (na + nb)")).select("a", "b")
     groups_of = _graph.components(linked(pairs))
     more = _open_pairs(found.filter(F.col("kind") == LISTED), pairs, groups_of)
     if more is not None:
-        later = compared(more.withColumn("home", F.shiftright("a", 32).cast("int")).groupBy("home").applyInArrow(lambda t: _fill(_asked(t["a"].to_numpy(), t["b"].to_numpy(), 0)), _MIXED), None)
-        groups_of = _graph.extended(groups_of, _graph.checkpoint(linked(later.filter(F.col("kind") == PAIR))))
+        # texts that are compared again travel again; of the others their places, by which entries name the rest
+        slot = lambda c: F.pmod(F.col(c), F.lit(SLOTS))
+        again = more.select(F.explode(F.array("a", "b")).alias("b")).distinct().join(found.filter(F.col("kind") == DOCUMENT).select(F.col("a").alias("first"), "b"), "b")
+        again = F.broadcast(again.select(slot("first").alias("slot"), F.lit(True).alias("again")).distinct())
+        rows = homed.withColumn("slot", slot("rid")).join(again, "slot", "left").select("doc_id", F.when(F.col("again"), F.col("text")).alias("text"), "rid", "home")
+        later = compared(more.withColumn("home", F.shiftright("a", 32).cast("int")).groupBy("home").applyInArrow(lambda t: _fill(_asked(t["a"].to_numpy(), t["b"].to_numpy(), 0)), _MIXED), None, rows)
+        groups_of = _graph.extended(groups_of, _graph.checkpoint(linked(later)))
     docs = found.filter(F.col("kind") == DOCUMENT).select(F.col("a").alias("first"), F.when(F.col("na") > 0, F.col("b")).alias("node"), F.col("na").alias("n_shingles"))
     docs = docs.join(groups_of, "node", "left").select("first", "n_shingles", F.coalesce("component", "node").alias("component"))
     texts = reps.join(docs, "first").select("digest", "name", "n", "n_shingles", "component")
@@ -321,6 +341,45 @@ def _asked(a: np.ndarray, b: np.ndarray, bucket: int) -> pa.Table:
     return B.pack("home", (a >> 32).astype(np.int32), bucket, ask)
 
 
+def _sent(home=(), src=(), n=(), words=(), targets=()) -> pa.Table:
+    """Rows that bring something of a set to a home where its partners lie."""
+    blank = pa.array([b""] * len(home), pa.binary())
+    cols = {"home": pa.array(home, pa.int32()), "kind": pa.array([PAIR] * len(home), pa.int32()), "src": pa.array(src, pa.int64()), "n": pa.array(n, pa.int64()), "words": pa.array(words, pa.binary()), "targets": pa.array(targets, pa.binary())}
+    return pa.table(cols | {k: blank for k in _LONG})
+
+
+def _passed(rows: pa.Table) -> pa.Table:
+    """Rows of packed entries for the next task of their home."""
+    zero, blank = pa.array(np.zeros(len(rows), np.int64)), pa.array([b""] * len(rows), pa.binary())
+    return pa.table({"home": rows["home"], "kind": rows["kind"], "src": zero, "n": zero, "words": blank, "targets": blank} | {k: rows[k] for k in _LONG})
+
+
+def _addressed(home: int, sets: dict[int, np.ndarray], doc, home2, doc2, code) -> pa.Table:
+    """What `code` makes of the set of each `doc` of a home, once for each home where partners of it lie."""
+    trip = np.unique(np.stack([np.asarray(x).astype(np.int64) for x in (doc, home2, doc2)], 1), axis=0)
+    start, count = B.runs(trip[:, 0], trip[:, 1])
+    docs = trip[start, 0].tolist()
+    coded = {d: code(sets[d]) for d in set(docs)}
+    targets = [trip[a : a + c, 2].astype(np.uint32).tobytes() for a, c in zip(start.tolist(), count.tolist(), strict=True)]
+    return _sent(trip[start, 1], home << 32 | trip[start, 0], [len(sets[d]) for d in docs], [coded[d] for d in docs], targets)
+
+
+def _marks(s: np.ndarray) -> bytes:
+    """Two bits for each shingle of a set, in which each sets one."""
+    flags = np.zeros(8 * -(-2 * len(s) // 8), bool)
+    flags[(s % np.uint64(len(flags))).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
+def _most(marks: bytes, n: int, other: np.ndarray) -> int:
+    """What a set of n shingles with these marks and another set share at most."""
+    flags = np.unpackbits(np.frombuffer(marks, np.uint8)).astype(bool)
+    at = (other % np.uint64(len(flags))).astype(np.int64)
+    met = np.zeros(len(flags), bool)
+    met[at] = True
+    return min(int(flags[at].sum()), n - int((flags & ~met).sum()))
+
+
 def _open_pairs(listed: DataFrame, pairs: DataFrame, groups_of: DataFrame) -> DataFrame | None:
     """(a, b) of large lists that neither components nor the bound by a common compared set settle."""
     entries = listed.select(F.col("a").alias("node"), F.col("b").alias("key"), F.col("na").alias("n"), F.col("nb").alias("pos"))
@@ -331,13 +390,13 @@ def _open_pairs(listed: DataFrame, pairs: DataFrame, groups_of: DataFrame) -> Da
     mixed = sizes.filter("lo <> hi").select("key", F.ceil(F.col("m") / OPEN_BLOCK).cast("int").alias("blocks"))
     entries = _graph.spread_join(entries, mixed, "key", hot, "node", "inner")
     times = pairs.groupBy("a").agg(F.count("*").alias("m"))
-    best = _graph.spread_join(pairs, times, "a", _graph.hot_values(times, "a", "m"), "b", "inner").groupBy(F.col("b").alias("node")).agg(F.max(F.struct("m", "a", "overlap")).alias("m")).select("node", F.col("m.a").alias("head"), F.col("m.overlap").alias("shared"))
-    entries = entries.drop("blocks").join(best, "node", "left").na.fill({"head": -1, "shared": 0})
+    best = _graph.spread_join(pairs, times, "a", _graph.hot_values(times, "a", "m"), "b", "inner").groupBy(F.col("b").alias("node")).agg(F.max(F.struct("m", "a", "overlap", "least")).alias("m")).select("node", F.col("m.a").alias("head"), F.col("m.overlap").alias("shared"), F.col("m.least").alias("least"))
+    entries = entries.drop("blocks").join(best, "node", "left").na.fill({"head": -1, "shared": 0, "least": 0})
     # classes of sizes: similar sets are of one class or of neighbours; an entry goes where its size and position leave a partner possible
     entries = entries.withColumn("class", F.floor(F.log("n") / F.log(F.lit(CLASS))).cast("int"))
     other = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))
-    least = F.greatest(F.lit(CLASS) ** F.col("with") * 0.999, 0.8 * F.col("n"))
-    entries = entries.withColumn("with", other).filter((9 * (F.col("n") - F.col("pos")) >= 4 * (F.col("n") + least)) & (F.lit(CLASS) ** (F.col("with") + 1) * 1.001 >= 0.8 * F.col("n")))
+    smallest = F.greatest(F.lit(CLASS) ** F.col("with") * 0.999, 0.8 * F.col("n"))
+    entries = entries.withColumn("with", other).filter((9 * (F.col("n") - F.col("pos")) >= 4 * (F.col("n") + smallest)) & (F.lit(CLASS) ** (F.col("with") + 1) * 1.001 >= 0.8 * F.col("n")))
     entries = _graph.checkpoint(entries.withColumn("list", F.xxhash64("key", F.least("class", "with"), F.greatest("class", "with"))))
     lists = entries.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
     hot = _graph.hot_values(lists, "list", "m")
@@ -350,7 +409,7 @@ def _open_pairs(listed: DataFrame, pairs: DataFrame, groups_of: DataFrame) -> Da
     met = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
 
     def open_(table: pa.Table) -> pa.Table:
-        t = {k: table[k].to_numpy() for k in ("node", "n", "pos", "component", "head", "shared", "side", "class", "with")}
+        t = {k: table[k].to_numpy() for k in ("node", "n", "pos", "component", "head", "shared", "least", "side", "class", "with")}
         order = np.lexsort((t["node"], t["n"]))
         t = {k: v[order] for k, v in t.items()}
         across = table["lo"][0].as_py() != table["hi"][0].as_py()
@@ -360,7 +419,7 @@ def _open_pairs(listed: DataFrame, pairs: DataFrame, groups_of: DataFrame) -> Da
             j = np.arange(i + 1, ends[i])
             j = j[(t["component"][j] != t["component"][i]) & ((t["side"][j] != t["side"][i]) | (not across)) & (t["class"][j] == t["with"][i])]
             j = j[_possible(t["n"][i], t["pos"][i], t["n"][j], t["pos"][j])]
-            most = np.minimum(t["shared"][i], t["shared"][j]) + np.minimum(t["n"][i] - t["shared"][i], t["n"][j] - t["shared"][j])
+            most = np.minimum(t["shared"][i], t["shared"][j]) + np.minimum(t["n"][i] - t["least"][i], t["n"][j] - t["least"][j])
             j = j[(t["head"][j] != t["head"][i]) | (t["head"][i] < 0) | (9 * most >= 4 * (t["n"][i] + t["n"][j]))]
             a.append(np.full(len(j), t["node"][i]))
             b.append(t["node"][j])
