@@ -414,16 +414,19 @@ def _open_pairs(listed: DataFrame, pairs: DataFrame, groups_of: DataFrame) -> Da
         t = {k: v[order] for k, v in t.items()}
         across = table["lo"][0].as_py() != table["hi"][0].as_py()
         ends = np.searchsorted(t["n"], t["n"] * 5 // 4, "right")
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in range(len(order)):
-            j = np.arange(i + 1, ends[i])
-            j = j[(t["component"][j] != t["component"][i]) & ((t["side"][j] != t["side"][i]) | (not across)) & (t["class"][j] == t["with"][i])]
-            j = j[_possible(t["n"][i], t["pos"][i], t["n"][j], t["pos"][j])]
-            most = np.minimum(t["shared"][i], t["shared"][j]) + np.minimum(t["n"][i] - t["least"][i], t["n"][j] - t["least"][j])
-            j = j[(t["head"][j] != t["head"][i]) | (t["head"][i] < 0) | (9 * most >= 4 * (t["n"][i] + t["n"][j]))]
-            a.append(np.full(len(j), t["node"][i]))
-            b.append(t["node"][j])
-        return pa.table({"a": np.concatenate(a).astype(np.int64), "b": np.concatenate(b).astype(np.int64)})
+        count = np.maximum(ends - np.arange(len(order)) - 1, 0)
+        i = np.repeat(np.arange(len(order)), count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        kept = (t["component"][i] != t["component"][j]) & (t["with"][i] == t["class"][j])
+        if across:
+            kept &= t["side"][i] != t["side"][j]
+        i, j = i[kept], j[kept]
+        n, shared, least = ((t[k][i], t[k][j]) for k in ("n", "shared", "least"))
+        kept = _possible(n[0], t["pos"][i], n[1], t["pos"][j])
+        most = np.minimum(*shared) + np.minimum(n[0] - least[0], n[1] - least[1])
+        kept &= (t["head"][i] != t["head"][j]) | (t["head"][i] < 0) | (9 * most >= 4 * (n[0] + n[1]))
+        i, j = i[kept], j[kept]
+        return pa.table({"a": t["node"][i], "b": t["node"][j]})
 
     pairs_left = met.groupBy("list", "lo", "hi").applyInArrow(open_, "a bigint, b bigint").distinct()
     done = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
